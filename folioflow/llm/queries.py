@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, langid, line_quality, mixing, sharding
+from folioflow.llm import bpe, html_text, langid, line_quality, mixing, nearest, ngram_join, paragraphs, sharding, warc
+from folioflow.llm.common import shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,11 +26,28 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *line_quality.BASE, "base_failed", "kept")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), ["page_id"])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_counts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, with_payload=False).where("kind = 'record'")
+    return records.select(
+        warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to")
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(), ["doc_id"])
 
@@ -43,7 +61,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op3_mixing, op6_bpe, op7_sharding, op8_language_id)}
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a passage of another, which keeps it: where, how much, and the documents that keep it."""
+    out = paragraphs.dedup(table(spark, sf_dir, "documents")).where("spans is not null")
+    part = lambda name: F.transform("spans", lambda s: s[name]).alias(f"{name}s")
+    return out.select("doc_id", F.col("removed_words").cast("long").alias("removed_words"), part("start"), part("stop"), part("owner"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_frequency, op2_html_text, op3_mixing, op4_ngram_jaccard, op5_warc, op6_bpe, op7_sharding, op8_language_id, op9_paragraph_dedup, op10_nearest,
+)}
 
 _WORDS_SQL = "CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT)"
 
