@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a (spark, sf_dir) -> DataFrame function under a name, with equivalent DuckDB SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+for _module in ():
+    importlib.import_module(f"folioflow.plans.{_module}")
