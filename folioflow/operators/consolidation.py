@@ -68,12 +68,15 @@ def context_blocks(items: DataFrame, by: str = "query_id") -> DataFrame:
     return items.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", head.alias("h")))), lambda s: s["h"]), "\n\n").alias("blocks"))
 
 
-@F.pandas_udf("string")
-def renumber(text: pd.Series, offset: pd.Series) -> pd.Series:
+def renumber(text: Column, offset: Column) -> Column:
     """[S3] with offset 5 becomes [S8]."""
     import re
 
-    return pd.Series([None if t is None else re.sub(r"\[S(\d+)\]", lambda m: f"[S{int(m[1]) + int(o)}]", t) for t, o in zip(text, offset, strict=True)], dtype=object)  # noqa: B023
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, offsets: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else re.sub(r"\[S(\d+)\]", lambda m, o=int(o): f"[S{int(m[1]) + o}]", t) for t, o in zip(texts, offsets, strict=True)], dtype=object)
+
+    return run(text, offset)
 
 
 def truncated(content: str, start: int, end: int, most: int) -> tuple[str, int, int]:
@@ -100,9 +103,14 @@ def truncated(content: str, start: int, end: int, most: int) -> tuple[str, int,
     return "\n".join(x for i, x in enumerate(lines) if a <= i <= b or i in heads), a, b
 
 
-@F.pandas_udf("string")
-def truncate_around(content: pd.Series, start: pd.Series, end: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else truncated(c, int(s), int(e), int(m))[0] for c, s, e, m in zip(content, start, end, most, strict=True)], dtype=object)
+def truncate_around(content: Column, start: Column, end: Column, most: Column) -> Column:
+    """truncated() of a column of texts."""
+
+    @F.pandas_udf("string")
+    def run(contents: pd.Series, starts: pd.Series, ends: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else truncated(c, int(s), int(e), int(m))[0] for c, s, e, m in zip(contents, starts, ends, limits, strict=True)], dtype=object)
+
+    return run(content, start, end, most)
 
 
 def without_contained(items: DataFrame, by: str = "question_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +77,8 @@ def heading_priority(chunks: DataFrame, needle: str) -> DataFrame:
     return hit.withColumn("priority", F.when(F.lower(last) == needle.lower(), 1).when(last.ilike(like), 2).when(F.col("content").ilike(like), 3).otherwise(4))
 
 
-@F.pandas_udf("double")
-def cover_density(lexemes, terms):
+def cover_density(lexemes: Column, terms: Column) -> Column:
     """Sum over minimal covers of the terms of 1 / (words in the cover): the shorter and the more covers, the higher."""
-    import pandas as pd
-
     def one(words, want) -> float:
         want, last, total, start = set(want), {}, 0.0, -1
         for i, w in enumerate(words):
@@ -91,4 +89,8 @@ def cover_density(lexemes, terms):
                     total += 1.0 / (i - start + 1)
         return total
 
-    return pd.Series([0.0 if w is None or t is None or not len(t) else one(w, t) for w, t in zip(lexemes, terms, strict=True)])
+    @F.pandas_udf("double")
+    def run(words: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if w is None or t is None or not len(t) else one(w, t) for w, t in zip(words, wanted, strict=True)])
+
+    return run(lexemes, terms)

@@ -172,9 +172,9 @@ def w9(spark, sf_dir):
     return orders(spark, sf_dir).where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
-@query("w10_latest_version", "SELECT l_orderkey, max_by(l_partkey, l_linenumber) AS l_partkey, max(l_linenumber) AS version FROM lineitem GROUP BY 1")
+@query("w10_latest_version", "SELECT l_orderkey, max_by(l_partkey, (l_linenumber, l_partkey)) AS l_partkey, max(l_linenumber) AS version FROM lineitem GROUP BY 1")
 def w10(spark, sf_dir):
-    return lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.max_by("l_partkey", "l_linenumber").alias("l_partkey"), F.max("l_linenumber").alias("version"))
+    return lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("l_partkey"), F.max("l_linenumber").alias("version"))
 
 
 @query("w11_next_order", "SELECT c_custkey, CAST(coalesce(ceil(max(o_totalprice)) + 1, 1) AS BIGINT) AS next_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")

@@ -95,7 +95,7 @@ def c12(spark, sf_dir):
     return K.without_contained(docs(spark, sf_dir).select((F.col("doc_id") % 200).alias("question_id"), F.col("doc_id").alias("id"), "text").where("text is not null").withColumnRenamed("text", "content"))
 
 
-@query("c13_token_limit", r"SELECT doc_id, CASE WHEN len(w) <= 150 THEN text ELSE array_to_string(w[1:150], ' ') END AS text FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents)")
+@query("c13_token_limit", r"SELECT doc_id, CASE WHEN len(w) <= 150 THEN text ELSE array_to_string(w[1:150], ' ') END AS text FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 def c13(spark, sf_dir):
     """Texts cut to 200 tokens by the words-based estimate (three words are four tokens)."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
@@ -130,4 +130,4 @@ def c17(spark, sf_dir):
 @query("h3_truncate_around")
 def h3(spark, sf_dir):
     d = docs(spark, sf_dir).where("text is not null")
-    return d.select("doc_id", K.truncate_around("text", F.lit(2), F.lit(3), F.lit(120)).alias("text"))
+    return d.select("doc_id", K.truncate_around(F.col("text"), F.lit(2), F.lit(3), F.lit(120)).alias("text"))

@@ -44,7 +44,7 @@ def g4(spark, sf_dir):
 
 
 _OVER = r"round(CASE WHEN len(qw) = 0 THEN 0 ELSE CAST(len(list_intersect(qw, tw)) AS DOUBLE) / len(qw) END, 8)"
-_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), x -> x <> ''))"
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
 
 
 @query("g5_rerank_overlap", f"SELECT item_id, doc_id, {_OVER} AS rerank_score FROM (SELECT item_id, doc_id, {_WORDS.format('b.text')} AS qw, {_WORDS.format('d.text')} AS tw FROM benchmark b, documents d WHERE item_id < 5 AND doc_id < 100)")
@@ -55,7 +55,7 @@ def g5(spark, sf_dir):
     return d.crossJoin(b).select("item_id", "doc_id", F.round(fusion.token_overlap(F.col("q"), F.col("text")), 8).alias("rerank_score"))
 
 
-@query("g6_entity_boost", "SELECT doc_id, round(len(list_filter(['the', 'Ouwhea', 'von'], e -> contains(lower(text), lower(e)))) * 0.05::DOUBLE, 4) AS boost FROM documents")
+@query("g6_entity_boost", "SELECT doc_id, round(len(list_filter(['the', 'Ouwhea', 'von'], lambda e: contains(lower(text), lower(e)))) * 0.05::DOUBLE, 4) AS boost FROM documents")
 def g6(spark, sf_dir):
     e = F.array(F.lit("the"), F.lit("Ouwhea"), F.lit("von"))
     return C.table(spark, sf_dir, "documents").select("doc_id", F.round(fusion.entity_boost(F.col("text"), e), 4).alias("boost"))

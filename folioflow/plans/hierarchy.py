@@ -194,7 +194,7 @@ def h6(spark, sf_dir):
     return a.groupBy("id").agg(F.min_by("t", "depth").alias("heading"))
 
 
-@query("h7_heading_chain", C.sql("SELECT id, len(list_filter(string_split(heading_breadcrumbs, ' > '), x -> x <> '')) AS depth, split_part(heading_breadcrumbs, ' > ', -1) AS last FROM headings"))
+@query("h7_heading_chain", C.sql("SELECT id, len(list_filter(string_split(heading_breadcrumbs, ' > '), lambda x: x <> '')) AS depth, split_part(heading_breadcrumbs, ' > ', -1) AS last FROM headings"))
 def h7(spark, sf_dir):
     chain = F.filter(F.split("heading_breadcrumbs", " > "), lambda x: x != "")
     return C.headings(spark, sf_dir).select("id", F.size(chain).cast("long").alias("depth"), F.element_at(chain, -1).alias("last"))

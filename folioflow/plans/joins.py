@@ -49,7 +49,7 @@ def j6(spark, sf_dir):
     return docs(spark, sf_dir).join(lab, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.col("k").isNotNull().alias("evaluated"))
 
 
-@query("j7_eager_load", "SELECT o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("j7_eager_load", "SELECT o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def j7(spark, sf_dir):
     items = lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"].cast("string")), ",").alias("parts"))
     return orders(spark, sf_dir).join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "parts")

@@ -51,9 +51,9 @@ def f6(spark, sf_dir):
     return o.select("o_orderkey", (done("step", "complete") | (done("content", "completed") & done("heading", "completed") & F.map_contains_key("f", "sanitized"))).alias("in_corpus"))
 
 
-@query("f7_ilike_any", "SELECT p_partkey FROM part WHERE p_name ILIKE '%e%1%' OR p_type ILIKE '%brass%'")
+@query("f7_ilike_any", "SELECT p_partkey FROM part WHERE p_name ILIKE 'COLD%' OR p_type ILIKE '%promo%'")
 def f7(spark, sf_dir):
-    return part(spark, sf_dir).where(F.col("p_name").ilike("%e%1%") | F.col("p_type").ilike("%brass%")).select("p_partkey")
+    return part(spark, sf_dir).where(F.col("p_name").ilike("COLD%") | F.col("p_type").ilike("%promo%")).select("p_partkey")
 
 
 @query("f8_json_key_exists", "SELECT event_id FROM events WHERE list_contains(json_keys(props), 'k')")
@@ -61,10 +61,10 @@ def f8(spark, sf_dir):
     return events(spark, sf_dir).where(F.array_contains(F.json_object_keys("props"), "k")).select("event_id")
 
 
-@query("f9_array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS') OR list_contains(string_split(p_type, ' '), 'STEEL')")
+@query("f9_array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'cold') OR list_contains(string_split(p_name, ' '), 'bolt')")
 def f9(spark, sf_dir):
-    tags = F.split("p_type", " ")
-    return part(spark, sf_dir).where(F.array_contains(tags, "BRASS") | F.array_contains(tags, "STEEL")).select("p_partkey")
+    tags = F.split("p_name", " ")
+    return part(spark, sf_dir).where(F.array_contains(tags, "cold") | F.array_contains(tags, "bolt")).select("p_partkey")
 
 
 @query("f10_heading_word_filter", C.sql(r"SELECT id, CAST(len(regexp_extract_all(content, '[^\s]+')) AS INT) AS words FROM headings WHERE len(regexp_extract_all(content, '[^\s]+')) >= 500"))

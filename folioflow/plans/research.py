@@ -41,7 +41,7 @@ def g12(spark, sf_dir):
     return R.reuse_strategy(m, "question")
 
 
-@query("g13_section_metadata", f"WITH {_SEC_SQL} SELECT doc_id, CAST(words AS INT) AS words, CAST(len(c) AS INT) AS citations, CAST(len(list_filter(['Smith', 'Jones', 'Kim'], s -> len(list_filter(c, x -> contains(x, s))) > 0)) AS INT) AS sources FROM sec1")
+@query("g13_section_metadata", f"WITH {_SEC_SQL} SELECT doc_id, CAST(words AS INT) AS words, CAST(len(c) AS INT) AS citations, CAST(len(list_filter(['Smith', 'Jones', 'Kim'], lambda s: len(list_filter(c, lambda x: contains(x, s))) > 0)) AS INT) AS sources FROM sec1")
 def g13(spark, sf_dir):
     """Words, citations, and how many of the known source keys some citation contains."""
     keys = F.array(F.lit("Smith"), F.lit("Jones"), F.lit("Kim"))
@@ -58,7 +58,7 @@ def g14(spark, sf_dir):
     return R.section_quality(d).select("doc_id", "coverage", "coherence", "completeness")
 
 
-@query("g15_broken_citations", f"WITH {_SEC_SQL} SELECT doc_id, CAST(len(list_filter(c, x -> NOT contains(x, 'Smith'))) AS INT) AS broken FROM sec1")
+@query("g15_broken_citations", f"WITH {_SEC_SQL} SELECT doc_id, CAST(len(list_filter(c, lambda x: NOT contains(x, 'Smith'))) AS INT) AS broken FROM sec1")
 def g15(spark, sf_dir):
     keys = F.array(F.lit("Smith"), F.lit("Kim"))
     bad = F.filter(R.citations(F.col("text")), lambda c: ~F.exists(keys, lambda k: F.contains(c, k)))

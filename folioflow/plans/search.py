@@ -106,15 +106,15 @@ def r8(spark, sf_dir):
     return top.join(of_work, "id").join(C.works(spark, sf_dir).select("work_id", "title"), "work_id").select("query_id", "id", F.col("title").alias("work_title"), "score", "dense_rank", "lexical_rank", "rank")
 
 
-_SENT = r"len(list_filter(list_transform(string_split_regex(regexp_replace(trim(content), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x)), x -> x <> ''))"
+_SENT = r"len(list_filter(list_transform(string_split_regex(regexp_replace(trim(content), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''))"
 
 
-@query("r9_sentence_filter", C.sql(f"SELECT query_id, id AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank FROM dense WHERE {_SENT} >= 5 QUALIFY rank <= 19", C.queries_sql(), _DENSE))
+@query("r9_sentence_filter", C.sql(f"SELECT query_id, id AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank FROM dense WHERE {_SENT} >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 19", C.queries_sql(), _DENSE))
 def r9(spark, sf_dir):
     return search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 19, min_sentences=5)
 
 
-@query("r10_preview_words", r"SELECT doc_id, CASE WHEN len(w) <= 100 THEN text ELSE array_to_string(w[1:100], ' ') || '...' END AS preview FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents)")
+@query("r10_preview_words", r"SELECT doc_id, CASE WHEN len(w) <= 100 THEN text ELSE array_to_string(w[1:100], ' ') || '...' END AS preview FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 def r10(spark, sf_dir):
     return C.table(spark, sf_dir, "documents").select("doc_id", X.truncate_words(F.col("text")).alias("preview"))
 

@@ -42,7 +42,7 @@ def t11(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.count_words_stripped(F.col("text")).alias("words"))
 
 
-_SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x)), x -> x <> '')"
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 @query("t12_split_sentences", f"SELECT doc_id, CAST(len(s) AS INT) AS n, s[1] AS first FROM (SELECT doc_id, {_SENT} AS s FROM documents)")
@@ -51,7 +51,7 @@ def t12(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(s).alias("n"), F.get(s, F.lit(0)).alias("first"))
 
 
-@query("t13_valid_sentences", rf"SELECT doc_id, CAST(len(list_filter(s, x -> len(regexp_extract_all(x, '[^\s]+')) >= 7)) AS INT) AS n_valid FROM (SELECT doc_id, {_SENT} AS s FROM documents)")
+@query("t13_valid_sentences", rf"SELECT doc_id, CAST(len(list_filter(s, lambda x: len(regexp_extract_all(x, '[^\s]+')) >= 7)) AS INT) AS n_valid FROM (SELECT doc_id, {_SENT} AS s FROM documents)")
 def t13(spark, sf_dir):
     """At least seven tokens; the part-of-speech rule is a pluggable function."""
     return docs(spark, sf_dir).select("doc_id", F.size(F.filter(X.split_sentences(F.col("text")), lambda s: X.count_words(s) >= 7)).alias("n_valid"))

@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ():
+for _module in ("search", "fusion", "hierarchy", "consolidation", "text", "predicates", "aggregates", "joins", "research", "io"):
     importlib.import_module(f"folioflow.plans.{_module}")
