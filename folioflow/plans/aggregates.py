@@ -12,19 +12,20 @@ from folioflow.plans import corpus as C
 from folioflow.plans.predicates import customer, docs, events, lineitem, orders, part
 from folioflow.registry import query
 
-COUNT = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 
 
 @query("a1_count_by_status", C.sql("SELECT s.status, count(c.id) AS n FROM (VALUES ('no_vec'), ('to_vec'), ('vec'), ('vec_err')) s(status) LEFT JOIN chunks c ON c.vector_status = s.status GROUP BY 1"))
 def a1(spark, sf_dir):
     domain = spark.createDataFrame([("no_vec",), ("to_vec",), ("vec",), ("vec_err",)], "status string")
-    n = C.chunks(spark, sf_dir).groupBy(F.col("vector_status").alias("status")).agg(COUNT.alias("n"))
+    n = C.chunks(spark, sf_dir).groupBy(F.col("vector_status").alias("status")).agg(_n().alias("n"))
     return domain.join(n, "status", "left").select("status", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("a2_vectorised_per_work", C.sql("SELECT work_id, count(*) AS n FROM chunks WHERE vector_status = 'vec' GROUP BY 1"))
 def a2(spark, sf_dir):
-    return C.chunks(spark, sf_dir).where("vector_status = 'vec'").groupBy("work_id").agg(COUNT.alias("n"))
+    return C.chunks(spark, sf_dir).where("vector_status = 'vec'").groupBy("work_id").agg(_n().alias("n"))
 
 
 @query("a3_distinct_works", C.sql("SELECT DISTINCT work_id FROM chunks WHERE embedding IS NOT NULL"))
@@ -35,9 +36,9 @@ def a3(spark, sf_dir):
 @query("a4_conversion_history", "SELECT c_custkey, c_name, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_returned, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS n_accepted FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def a4(spark, sf_dir):
     """Two left joins and conditional counts. Lines are counted per order before they meet customers, so the wide join is per order."""
-    per = lineitem(spark, sf_dir).groupBy("l_orderkey").agg(COUNT.alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
+    per = lineitem(spark, sf_dir).groupBy("l_orderkey").agg(_n().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
     o = orders(spark, sf_dir).select("o_orderkey", "o_custkey").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    by = o.groupBy("o_custkey").agg(COUNT.alias("n_orders"), F.sum("n").alias("n_lines"), F.sum("r").alias("n_returned"), F.sum("a").alias("n_accepted"))
+    by = o.groupBy("o_custkey").agg(_n().alias("n_orders"), F.sum("n").alias("n_lines"), F.sum("r").alias("n_returned"), F.sum("a").alias("n_accepted"))
     z = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return customer(spark, sf_dir).select("c_custkey", "c_name").join(by, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", z("n_orders"), z("n_lines"), z("n_returned"), z("n_accepted"))
 
@@ -50,12 +51,12 @@ def a5(spark, sf_dir):
 
 @query("a6_distinct_count", "SELECT conv_id, count(DISTINCT role) AS roles, count(*) AS turns FROM conversations GROUP BY 1")
 def a6(spark, sf_dir):
-    return C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.countDistinct("role").alias("roles"), COUNT.alias("turns"))
+    return C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.countDistinct("role").alias("roles"), _n().alias("turns"))
 
 
 @query("a7_count_and_latest", "SELECT o_custkey, count(*) AS n, max(o_orderdate) AS latest FROM orders GROUP BY 1 ORDER BY latest DESC, o_custkey")
 def a7(spark, sf_dir):
-    return orders(spark, sf_dir).groupBy("o_custkey").agg(COUNT.alias("n"), F.max("o_orderdate").alias("latest")).orderBy(F.desc("latest"), "o_custkey")
+    return orders(spark, sf_dir).groupBy("o_custkey").agg(_n().alias("n"), F.max("o_orderdate").alias("latest")).orderBy(F.desc("latest"), "o_custkey")
 
 
 _SCORES_SQL = "SELECT doc_id % 5 AS experiment, (quality * 10 - toxic * 4 - CAST(doc_id % 7 AS INT)) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS s FROM labels"
@@ -78,30 +79,30 @@ def a8p(spark, sf_dir):
 
 @query("a9_correlated_count", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS item_count FROM customer")
 def a9(spark, sf_dir):
-    n = orders(spark, sf_dir).groupBy("o_custkey").agg(COUNT.alias("item_count"))
+    n = orders(spark, sf_dir).groupBy("o_custkey").agg(_n().alias("item_count"))
     return customer(spark, sf_dir).join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("item_count", F.lit(0).cast("long")).alias("item_count"))
 
 
 @query("a10_items_by_type", "SELECT user_id, count(CASE WHEN event_type = 'view' THEN 1 END) AS view, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'share' THEN 1 END) AS share FROM events GROUP BY 1")
 def a10(spark, sf_dir):
-    p = events(spark, sf_dir).groupBy("user_id").pivot("event_type", ["view", "click", "share"]).agg(COUNT)
+    p = events(spark, sf_dir).groupBy("user_id").pivot("event_type", ["view", "click", "share"]).agg(_n())
     return p.na.fill(0)
 
 
 @query("a11_global_count", C.sql("SELECT count(*) AS n FROM chunks WHERE vector_status = 'to_vec' AND parent_id IS NOT NULL"))
 def a11(spark, sf_dir):
-    return C.chunks(spark, sf_dir).where("vector_status = 'to_vec' and parent_id is not null").agg(COUNT.alias("n"))
+    return C.chunks(spark, sf_dir).where("vector_status = 'to_vec' and parent_id is not null").agg(_n().alias("n"))
 
 
 @query("a12_enrichment_metrics", C.sql(r"SELECT count(*) AS n, round(100.0 * sum((w < 150)::INT) / count(*), 4) AS percent_short, round(avg(w), 4) AS mean_words FROM (SELECT len(regexp_extract_all(content, '[^\s]+')) AS w FROM leaves)"))
 def a12(spark, sf_dir):
     w = C.leaves(spark, sf_dir).select(X.count_words(F.col("content")).alias("w"))
-    return w.agg(COUNT.alias("n"), F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("w") < 150), COUNT), 4).alias("percent_short"), F.round(F.avg("w"), 4).alias("mean_words"))
+    return w.agg(_n().alias("n"), F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("w") < 150), _n()), 4).alias("percent_short"), F.round(F.avg("w"), 4).alias("mean_words"))
 
 
 @query("a13_template_versions", "SELECT p_brand, count(*) AS versions, max(CASE WHEN p_size > 25 THEN p_partkey END) AS active, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1")
 def a13(spark, sf_dir):
-    return part(spark, sf_dir).groupBy("p_brand").agg(COUNT.alias("versions"), F.max(F.when(F.col("p_size") > 25, F.col("p_partkey"))).alias("active"), F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("ids"))
+    return part(spark, sf_dir).groupBy("p_brand").agg(_n().alias("versions"), F.max(F.when(F.col("p_size") > 25, F.col("p_partkey"))).alias("active"), F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("ids"))
 
 
 @query("a14_dimension_pivot", f"SELECT doc_id AS prompt_id, CASE WHEN doc_id % 2 = 0 THEN quality ELSE -quality END AS quality, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN toxic ELSE -toxic END END AS toxic FROM labels")
@@ -159,7 +160,7 @@ def a22(spark, sf_dir):
 
 @query("a23_section_counts", "SELECT user_id, count(*) AS total, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS completed, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed FROM events GROUP BY 1")
 def a23(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(COUNT.alias("total"), F.count_if(F.col("event_type") == "purchase").alias("completed"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    return events(spark, sf_dir).groupBy("user_id").agg(_n().alias("total"), F.count_if(F.col("event_type") == "purchase").alias("completed"), F.count_if(F.col("event_type") == "error").alias("failed"))
 
 
 @query("w2_grouping_id", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS grouping_id FROM orders")

@@ -10,7 +10,8 @@ from folioflow.plans.hierarchy import MD_SQL, md_lines
 from folioflow.plans.predicates import customer, docs, events, lineitem, orders, part
 from folioflow.registry import query
 
-COUNT = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 
 
 @query("j1_chunk_work", C.sql("SELECT id, title, year FROM headings JOIN works USING (work_id)"))
@@ -22,7 +23,7 @@ def j1(spark, sf_dir):
 def j2(spark, sf_dir):
     o = orders(spark, sf_dir).select("o_orderkey", "o_custkey").join(customer(spark, sf_dir).select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     j = lineitem(spark, sf_dir).select("l_orderkey", "l_returnflag", "l_extendedprice").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("c_mktsegment", "l_returnflag").agg(COUNT.alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    return j.groupBy("c_mktsegment", "l_returnflag").agg(_n().alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
 @query("j3_summary_chunk", C.sql("SELECT h.id, d.doc_id, d.n_chars FROM headings h JOIN documents d ON h.id = d.doc_id + 10000 ORDER BY h.id"))
@@ -83,7 +84,7 @@ def j11(spark, sf_dir):
 def j12(spark, sf_dir):
     x = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber")
     y = x.toDF("k", "n2")
-    return x.join(y, (F.col("l_orderkey") == F.col("k")) & F.col("n2").between(F.col("l_linenumber") - 1, F.col("l_linenumber") + 1)).groupBy("l_orderkey", "l_linenumber").agg(COUNT.alias("n"))
+    return x.join(y, (F.col("l_orderkey") == F.col("k")) & F.col("n2").between(F.col("l_linenumber") - 1, F.col("l_linenumber") + 1)).groupBy("l_orderkey", "l_linenumber").agg(_n().alias("n"))
 
 
 @query("j13_as_of", C.sql("SELECT m.doc_id, CAST(m.line AS INT) AS line, h.title FROM md m ASOF JOIN hd h ON m.doc_id = h.doc_id AND m.line > h.line", MD_SQL.strip()))
@@ -102,7 +103,7 @@ def j14(spark, sf_dir):
 
 @query("j15_queries_by_chunks", C.sql("SELECT query_id, count(*) AS n, max(id) AS last FROM qv, headings GROUP BY 1", C.queries_sql()))
 def j15(spark, sf_dir):
-    return C.headings(spark, sf_dir).crossJoin(C.query_vectors(spark, sf_dir).select("query_id")).groupBy("query_id").agg(COUNT.alias("n"), F.max("id").alias("last"))
+    return C.headings(spark, sf_dir).crossJoin(C.query_vectors(spark, sf_dir).select("query_id")).groupBy("query_id").agg(_n().alias("n"), F.max("id").alias("last"))
 
 
 @query("j16_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))")
@@ -135,7 +136,7 @@ def set_intersection(spark, sf_dir):
 
 @query("set_union_all", "SELECT event_type AS k, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT role FROM conversations) GROUP BY 1")
 def set_union_all(spark, sf_dir):
-    return events(spark, sf_dir).select(F.col("event_type").alias("k")).unionAll(C.table(spark, sf_dir, "conversations").select("role")).groupBy("k").agg(COUNT.alias("n"))
+    return events(spark, sf_dir).select(F.col("event_type").alias("k")).unionAll(C.table(spark, sf_dir, "conversations").select("role")).groupBy("k").agg(_n().alias("n"))
 
 
 @query("set_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
