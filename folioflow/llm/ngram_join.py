@@ -12,7 +12,9 @@ threshold share a token within short prefixes of that order, and at least two wi
    component before any list is paired up.
 4. The rest exactly: pairs of different components that share a posting. Short lists are joined by
    single tokens, with a filter on how many they share; of long ones two tokens are combined into
-   one key, as a pair without a short list in common shares two long ones.
+   one key, as a pair without a short list in common shares two long ones. There the places of the two
+   tokens bound what the sets can share: all before the first and between both is unshared. The smaller set of a pair
+   needs a shorter prefix, so its side of the join is small.
 5. Candidate pairs are verified on the whole sets.
 
 Sets are compared once however many documents have them. Defined results: texts without words, and null texts, have
@@ -110,7 +112,7 @@ def frequent_tokens(docs: DataFrame, k: int, least: int, range_bits: int) -> tup
 
 
 def postings(docs: DataFrame, k: int, percent: int, frequent, range_bits: int) -> DataFrame:
-    """(token, set_id, n, frequent class): the extended prefix of every set; a task posts a set once."""
+    """(token, set_id, n, pos): the extended prefix of every set with the tokens' places in the order; a task posts a set once."""
     shared, shift = docs.sparkSession.sparkContext.broadcast(frequent), np.uint64(32 - range_bits)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,13 +131,13 @@ def postings(docs: DataFrame, k: int, percent: int, frequent, range_bits: int) -
                     at = np.minimum(np.searchsorted(fps, fp), len(fps) - 1)
                     cls = np.where(fps[at] == fp, classes[at], 0)
                 order = np.argsort(cls, kind="stable")[: prefix_length(n, percent) + 1]
-                rows.append((tokens[order].view(np.int64), np.full(len(order), sid), np.full(len(order), n, dtype=np.int32)))
+                rows.append((tokens[order].view(np.int64), np.full(len(order), sid), np.full(len(order), n, dtype=np.int32), np.arange(len(order), dtype=np.int32)))
             if len(done) > 300_000:
                 done.clear()
             if rows:
-                yield pd.DataFrame({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("token", "set_id", "n"))})
+                yield pd.DataFrame({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("token", "set_id", "n", "pos"))})
 
-    return docs.select("text").where("text is not null").mapInPandas(post, "token long, set_id long, n int")
+    return docs.select("text").where("text is not null").mapInPandas(post, "token long, set_id long, n int, pos int")
 
 
 def memberships(docs: DataFrame, k: int) -> DataFrame:
@@ -216,10 +218,18 @@ def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, le
     shared = sides(short, ["token"]).groupBy("set_ida", "set_idb", "na", "nb", "ha", "hb").agg(F.count(F.lit(1)).alias("s"))
     most = F.col("s") + F.least("ha", "hb") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
     single = shared.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b"))
-    pair = spread.where("long").groupBy("set_id", "n", "c").agg(F.array_sort(F.collect_list("token")).alias("ts")).where("size(ts) > 1")
-    pair = pair.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("ts") - 1)))
-    pair = pair.select("set_id", "n", "c", F.element_at("ts", F.col("i")).alias("t1"), F.explode(F.slice("ts", F.col("i") + 1, F.size("ts"))).alias("t2"))
-    combined = sides(pair, ["t1", "t2"]).select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b"))
+    pair = spread.where("long").groupBy("set_id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts")).where("size(ts) > 1")
+    pair = pair.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("ts") - 1))).withColumn("x", F.element_at("ts", F.col("i")))
+    pair = pair.select("set_id", "n", "c", F.col("x.token").alias("t1"), F.col("x.pos").alias("p1"), F.explode(F.slice("ts", F.col("i") + 1, F.size("ts"))).alias("y"))
+    pair = pair.select("set_id", "n", "c", "t1", "p1", F.col("y.token").alias("t2"), F.col("y.pos").alias("p2"))
+    both = lambda o, n, m: o * (100 + percent) >= (n + m) * percent
+    small = pair.where(both(F.col("n") - F.col("p1"), F.col("n"), F.col("n"))).select("t1", "t2", *[F.col(c).alias(c + "a") for c in ("set_id", "n", "c", "p1", "p2")])
+    large = pair.select("t1", "t2", *[F.col(c).alias(c + "b") for c in ("set_id", "n", "c", "p1", "p2")])
+    combined = small.join(large, ["t1", "t2"]).where(
+        ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("set_ida") < F.col("set_idb"))) & (F.col("ca") != F.col("cb"))
+        & both(F.least(F.col("na") - F.col("p1a"), F.col("nb") - F.col("p1b")), F.col("na"), F.col("nb"))
+        & both(F.least(F.col("na") - F.col("p2a"), F.col("nb") - F.col("p2b")) + 1, F.col("na"), F.col("nb"))
+    ).select(F.least("set_ida", "set_idb").alias("a"), F.greatest("set_ida", "set_idb").alias("b"))
     rest_pairs = cut(single.unionAll(combined).distinct())
     more = linked(rest_pairs, docs, members, k, percent)
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more.select("a", "b")))
