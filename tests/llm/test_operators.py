@@ -468,3 +468,13 @@ def test_graph_search_finds_near_centroids():
     ids, _ = g.search(q, 32)
     want = np.argsort(nearest.squared(q, g.c), axis=1)[:, :5]
     assert np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(ids, want)]) > 0.95
+
+
+def test_anchors_of_text_that_repeats_itself_are_few():
+    same = np.full(1000, 7, dtype=np.uint64)
+    assert len(paragraphs.anchors(same, 36)) <= 1 + 1000 // 36
+    pairs = np.tile(np.array([5, 9], dtype=np.uint64), 500)
+    assert len(paragraphs.anchors(pairs, 36)) <= 1 + 1000 // 36
+    mixed = np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64)
+    at = paragraphs.anchors(mixed, 36)
+    assert all(i + int(mixed[i : i + 36].argmin()) in set(at.tolist()) for i in range(1000 - 35))
