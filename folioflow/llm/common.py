@@ -42,9 +42,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of at most 8 MB, so that a worker's memory doesn't depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder; Spark removes it when unused."""
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -75,7 +81,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _POWERS[int(base)][:n] if n else np.zeros(0, dtype=np.uint64)
 
 
-def word_hashes(texts: list, chunk: int = 4_000_000):
+def word_hashes(texts: list, chunk: int = 1_000_000):
     """Hash every word of every text, A-Z lower-cased, without a Python loop over words.
 
     Yields (first, docs, starts, ends, hashes) for runs of whole texts: the index of the run's first

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, shingle_hashes, word_hashes
+from folioflow.llm.common import cut, shingle_hashes, small_batches, word_hashes
 from folioflow.llm.components import components
 
 #: Most tokens in the broadcast list of frequent ones (8 bytes and a class each).
@@ -89,7 +89,7 @@ def frequent_tokens(docs: DataFrame, k: int, least: int, range_bits: int) -> tup
             for tokens in token_sets(_texts(batch), k):
                 held.append(tokens)
                 size += len(tokens)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -163,8 +163,16 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percen
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [t for t in token_sets(_texts(batch), k) if len(t)]
-            yield pd.DataFrame({"set_id": pd.Series([set_id(t) for t in got], dtype="int64"), "tokens": [t.tobytes() for t in got]})
+            got, size = [], 0
+            for t in token_sets(_texts(batch), k):
+                if len(t):
+                    got.append((set_id(t), t.tobytes()))
+                    size += len(t)
+                if size > 500_000:
+                    yield pd.DataFrame(got, columns=["set_id", "tokens"])
+                    got, size = [], 0
+            if got:
+                yield pd.DataFrame(got, columns=["set_id", "tokens"])
 
     whole = texts.mapInPandas(sets, "set_id long, tokens binary").dropDuplicates(["set_id"])
     both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").join(whole.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -237,6 +245,7 @@ def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, le
 
 def cluster(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id) of every row: component_id is the smallest id among all documents reachable by links."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     members = cut(memberships(docs, k))
     label = links(docs, members, k, percent).select(F.col("node").alias("_node"), "component")
