@@ -1,10 +1,10 @@
 """Approximate nearest neighbours: balanced posting lists around centroids.
 
 A bounded sample is bisected into equally full cells; their means are the centroids. Every vector is put on the
-list of its nearest centroid and, near a boundary, on the lists of further centroids about as near (unless one
-already chosen lies between). A graph over the centroids, searched in memory by every task, finds
-near centroids; a query reads those lists whose centroids are at most `probe_ratio` times as far as the
-nearest. Lists and their queries meet in blocks of bounded size, whatever a list holds. Equal vectors
+list of its nearest centroid and, near a boundary, on the lists of up to `copies` centroids about as near. A graph over
+the centroids, searched in memory by every task, finds near centroids; a query reads those lists whose centroids
+are at most `probe_ratio` times as far as the nearest (a quarter of all lists at most, or 64). Where vectors
+have structure these are few; without any (uniform directions) nothing but reading much gives recall. Lists and their queries meet in blocks of bounded size, whatever a list holds. Equal vectors
 are one entry with their smallest ids (no query needs more than k + 1 of them), so copies don't fill lists.
 
 Sample bound: `sample` vectors drawn by a hash. Every vector is indexed; distances are exact, on the
@@ -105,20 +105,11 @@ class CentroidGraph:
         return ids, d
 
 
-def replicas(graph: CentroidGraph, x: np.ndarray, width: int, ratio: float, most: int) -> Iterator[tuple[int, int]]:
-    """(row, list): the nearest list and those of centroids within ratio of its distance with no chosen centroid nearer to them than the vector is."""
-    ids, d = graph.search(x, width)
-    near = d <= d[:, :1] * ratio * ratio
-    for i in range(len(x)):
-        chosen: list[int] = []
-        for j in np.flatnonzero(near[i]):
-            c = int(ids[i, j])
-            gap = graph.c[chosen] - graph.c[c]
-            if not chosen or ((gap * gap).sum(axis=1) >= d[i, j]).all():
-                chosen.append(c)
-                yield i, c
-                if len(chosen) == most:
-                    break
+def within(graph: CentroidGraph, x: np.ndarray, width: int, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lists): for each row of x the nearest list and, up to `most`, those of centroids within ratio of its distance."""
+    ids, d = graph.search(x, max(width, most))
+    i, j = np.nonzero(d[:, :most] <= d[:, :1] * ratio * ratio)
+    return i, ids[i, j]
 
 
 # ---------------------------------------------------------------- the distributed part
@@ -138,7 +129,7 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 200, sample: int = 20_000,
-    max_lists: int = 2_500, copies: int = 6, copy_ratio: float = 1.2, probe_ratio: float = 1.35, probe_most: int = 48, block: int = 4_096,
+    max_lists: int = 2_500, copies: int = 4, copy_ratio: float = 1.2, probe_ratio: float = 1.28, block: int = 4_096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row of vectors that the condition `queries` (a Column over id) picks."""
     spark = vectors.sparkSession
@@ -160,20 +151,18 @@ def nearest(
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
-                got = list(replicas(graph.value, _stack(part["vec"]), 32, copy_ratio, copies))
-                if got:
-                    out = part.iloc[[i for i, _ in got]].copy()
-                    out["list"] = [c for _, c in got]
-                    yield out
+                i, lists = within(graph.value, _stack(part["vec"]), 32, copy_ratio, copies)
+                out = part.iloc[i].copy()
+                out["list"] = lists
+                yield out
 
     def to_probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
-                ids, d = graph.value.search(_stack(part["vec"]), probe_most)
-                i, j = np.nonzero(d <= d[:, :1] * probe_ratio * probe_ratio)
+                i, lists = within(graph.value, _stack(part["vec"]), 64, probe_ratio, max(64, len(graph.value.c) // 4))
                 out = part.iloc[i].copy()
-                out["list"] = ids[i, j]
+                out["list"] = lists
                 yield out
 
     posted = cut(entries.mapInPandas(to_lists, "vec array<double>, ids array<long>, list int"))
