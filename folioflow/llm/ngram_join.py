@@ -7,9 +7,10 @@ threshold share a token within short prefixes of that order, and at least two wi
 1. Frequency: every token of every document is counted; those in more than `least` documents are frequent
    (at most FREQUENT of them, the commonest; any such class keeps the join exact, so the list may be broadcast).
 2. Index: each distinct set posts the tokens of its extended prefix. Tokens posted once go.
-3. Large groups first: along each long posting list neighbours in size order, and the list's first
-   set, are compared; links found make components, so that a group of many near copies is one
-   component before any list is paired up.
+3. Large groups first: along each long posting list neighbours in size order are compared, and every set with the
+   list's hub, the set that has the token earliest in its order: the one with fewest tokens of its own, to which
+   copies with changes link sooner than to each other. Links found make components, so that a group of many near
+   copies is one component before any list is paired up.
 4. The rest exactly: pairs of different components that share a posting. Short lists are joined by
    single tokens, with a filter on how many they share; of long ones two tokens are combined into
    one key, as a pair without a short list in common shares two long ones. There the places of the two
@@ -202,10 +203,9 @@ def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, le
         return F.greatest(x, y) * percent <= F.least(x, y) * 100
 
     in_order = by_token.orderBy("n", "set_id")
-    stepped = live.where("m >= 8").withColumns({
-        "b1": F.lag("set_id").over(in_order), "n1": F.lag("n").over(in_order), "b2": F.first("set_id").over(in_order), "n2": F.first("n").over(in_order),
-    })
-    stepped = stepped.select(F.col("set_id").alias("a"), "n", F.inline(F.array(F.struct(F.col("b1").alias("b"), F.col("n1").alias("o")), F.struct(F.col("b2").alias("b"), F.col("n2").alias("o")))))
+    hub = F.min_by(F.struct("set_id", "n"), F.struct("pos", "set_id")).over(by_token)
+    stepped = live.where("m >= 8").withColumns({"b1": F.lag("set_id").over(in_order), "n1": F.lag("n").over(in_order), "hub": hub})
+    stepped = stepped.select(F.col("set_id").alias("a"), "n", F.inline(F.array(F.struct(F.col("b1").alias("b"), F.col("n1").alias("o")), F.struct(F.col("hub.set_id").alias("b"), F.col("hub.n").alias("o")))))
     stepped = stepped.where("a != b").where(fits("n", "o"))
     stepped = cut(stepped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = cut(linked(stepped, docs, members, k, percent))
