@@ -15,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import n_words
+from folioflow.llm.common import cut, n_words
+
+#: Rows of the table of targets (one per source) up to which it is broadcast (some 50 bytes each); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _ADDED = ["size", "source_size", "target", "rate", "copies"]
 
@@ -65,7 +68,9 @@ def mix_counts(
     """docs with size (words), source_size, target, rate and copies (how often the mix emits the row)."""
     docs = docs.drop(*_ADDED).withColumn("size", n_words(F.col(text_col)))
     targets = source_targets(docs.select(F.col(source_col).alias("source"), "size"), weights, share, cap)
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    targets = cut(targets.select(F.col("source").alias("_source"), "source_size", "target"))
+    if targets.count() <= BROADCAST_ROWS:  # then texts don't move
+        targets = F.broadcast(targets)
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     out = docs.withColumn("_u", uniform(seed, id_col, text_col))
     out = out.join(targets, out[source_col].eqNullSafe(targets["_source"]), "inner").drop("_source").withColumn("rate", rate)
