@@ -424,6 +424,26 @@ def test_exact_and_near_paragraphs(spark):
     assert paragraphs.dedup(make(spark, [])).count() == 0
 
 
+def planted(rng, passage):
+    return f"{prose(rng, rng.randrange(20, 90), 50000)} {' '.join(passage)} {prose(rng, rng.randrange(20, 90), 50000)}"
+
+
+def test_passages_with_one_changed_word_are_cut(spark):
+    rng = random.Random(11)
+    rows, at = [], {}
+    for k, n in enumerate([*range(51, 96, 2)] * 4):
+        passage = prose(rng, n, 50000).split()
+        rows.append((1000 + 2 * k, planted(rng, passage)))
+        i = rng.randrange(5, n - 5) if k % 3 else n // 2
+        changed = passage[:i] + ["changed"] + passage[i + (k % 2) :]
+        rows.append((1001 + 2 * k, planted(rng, changed)))
+        at[1001 + 2 * k] = len(changed)
+    got = {r.doc_id: r for r in paragraphs.dedup(make(spark, rows)).where("spans is not null").collect()}
+    assert set(got) == set(at)
+    for i, n in at.items():
+        assert n - 5 <= got[i].removed_words <= n + 2 and "changed" not in got[i].clean_text, i
+
+
 @pytest.mark.parametrize(
     ("text", "spans", "left"),
     [("a b c d", [(1, 3)], "a d"), ("a b\nc d", [(1, 3)], "a\nd"), ("a b c", [(0, 3)], ""), ("a b c", [(0, 1)], "b c"), ("a b c ", [(2, 9)], "a b "), ("a\nb\nc", [(1, 2)], "a\nc")],
