@@ -444,6 +444,22 @@ def test_passages_with_one_changed_word_are_cut(spark):
         assert n - 5 <= got[i].removed_words <= n + 2 and "changed" not in got[i].clean_text, i
 
 
+def test_passages_are_cut_whatever_fragments_smaller_documents_hold(spark):
+    rng = random.Random(12)
+    rows, cut = [], set()
+    for k in range(40):
+        passage = prose(rng, 60, 50000).split()
+        part = (26, 35, 45, 49)[k % 4]
+        for j in range(1 + k % 3):
+            rows += [(10 * k + 2 * j, planted(rng, passage[:part])), (10 * k + 2 * j + 1, planted(rng, passage[-part:]))]
+        rows += [(1000 + 2 * k, planted(rng, passage)), (1001 + 2 * k, planted(rng, passage))]
+        rows += [(2000 + 2 * k, planted(rng, passage[:part])), (2001 + 2 * k, planted(rng, passage[-part:]))]
+        cut.add(1001 + 2 * k)
+    got = {r.doc_id: r for r in paragraphs.dedup(make(spark, rows)).where("spans is not null").collect()}
+    assert cut <= set(got) and all(60 <= got[i].removed_words <= 62 for i in cut)
+    assert not any(i < 1000 or i in range(1000, 1080, 2) for i in got)
+
+
 @pytest.mark.parametrize(
     ("text", "spans", "left"),
     [("a b c d", [(1, 3)], "a d"), ("a b\nc d", [(1, 3)], "a\nd"), ("a b c", [(0, 3)], ""), ("a b c", [(0, 1)], "b c"), ("a b c ", [(2, 9)], "a b "), ("a\nb\nc", [(1, 2)], "a\nc")],
