@@ -460,6 +460,18 @@ def test_passages_are_cut_whatever_fragments_smaller_documents_hold(spark):
     assert not any(i < 1000 or i in range(1000, 1080, 2) for i in got)
 
 
+def test_a_frequent_phrase_with_varied_continuations(spark):
+    rng = random.Random(13)
+    phrase = prose(rng, 30, 50000).split()
+    rows, cut = [(i, planted(rng, phrase + prose(rng, 22, 50000).split())) for i in (*range(100), *range(300, 400))], set()
+    for k in range(30):
+        more = prose(rng, 24, 50000).split()
+        rows += [(100 + k, planted(rng, phrase + more)), (200 + k, planted(rng, phrase + more[:12] + ["changed"] + more[13:]))]
+        cut.add(200 + k)
+    got = {r.doc_id for r in paragraphs.dedup(make(spark, rows)).where("spans is not null").collect()}
+    assert got == cut
+
+
 @pytest.mark.parametrize(
     ("text", "spans", "left"),
     [("a b c d", [(1, 3)], "a d"), ("a b\nc d", [(1, 3)], "a\nd"), ("a b c", [(0, 3)], ""), ("a b c", [(0, 1)], "b c"), ("a b c ", [(2, 9)], "a b "), ("a\nb\nc", [(1, 2)], "a\nc")],
