@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ IMPLIED = (
     | {"tr": (frozenset(["tr", "td", "th", "caption"]), _TABLE)}
     | dict.fromkeys(["thead", "tbody", "tfoot"], (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption"]), _TABLE))
 )
+_ROWS = frozenset("table thead tbody tfoot tr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -99,11 +101,13 @@ def parse(html: str) -> Element:
             stack.pop()  # content begins where head can't go on
         node = Element(tag, attrs)
         stack[-1].children.append(node)
+        if tag == "form" and stack[-1].tag in _ROWS:
+            continue  # a form between rows or cells holds nothing
         if tag in RAW:
             e = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             node.children.append(html[at : e.start() if e else len(html)])
             at = e.end() if e else len(html)
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID and tag != "colgroup" and len(stack) < DEPTH:
             stack.append(node)
     text(html[at:])
     return root
@@ -258,27 +262,50 @@ def _span(cell: Element, name: str, most: int) -> int:
 def _table_rows(table: Element) -> Iterator[Element]:
     """Rows of a table in the order shown (head, bodies, foot); caption and other content first."""
     parts = {"thead": [], "": [], "tfoot": []}
-    for child in table.children:
-        if isinstance(child, str):
-            if child.strip():
-                loose = Element("caption", {})
-                loose.children.append(child)
-                yield loose
-        elif visible(child):
-            if child.tag in ("thead", "tbody", "tfoot"):
-                parts[child.tag if child.tag != "tbody" else ""] += [c for c in child.children if isinstance(c, Element) and visible(c)]
-            elif child.tag in ("tr", "td", "th"):
-                parts[""].append(child)
-            elif child.tag not in ("col", "colgroup"):
-                loose = Element("caption", {})
-                loose.children.append(child)
-                yield loose
-    for row in (*parts["thead"], *parts[""], *parts["tfoot"]):
-        if row.tag in ("td", "th"):
-            alone = Element("tr", {})
-            alone.children.append(row)
-            row = alone
-        yield row
+    loose: list[Element] = []
+
+    def stray(children: list) -> None:
+        """What stands between rows or cells goes before the table; inline pieces next to each other are one run."""
+        kept = [c for c in children if not isinstance(c, str) and visible(c) or isinstance(c, str) and c.strip()]
+        if kept:
+            loose.append(Element("caption", {}))
+            loose[-1].children += kept
+
+    def row(tr: Element) -> Element:
+        """The row with its cells only."""
+        out = Element("tr", tr.attrs)
+        for cell, group in groupby(tr.children, lambda c: isinstance(c, Element) and c.tag in ("td", "th")):
+            if cell:
+                out.children += group
+            else:
+                stray([*group])
+        return out
+
+    def rows(children: list) -> Iterator[tuple[str, Element]]:
+        held: list = []
+        for child in children:
+            if isinstance(child, Element) and child.tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "col", "colgroup"):
+                stray(held)
+                held = []
+                if not visible(child) or child.tag in ("col", "colgroup"):
+                    continue
+                if child.tag in ("td", "th"):
+                    alone = Element("tr", {})
+                    alone.children.append(child)
+                    yield "", alone
+                elif child.tag == "tr":
+                    yield "", row(child)
+                else:
+                    for _, r in rows(child.children):
+                        yield child.tag if child.tag != "tbody" else "", r
+            else:
+                held.append(child)
+        stray(held)
+
+    for part, r in rows(table.children):
+        parts[part].append(r)
+    yield from loose
+    yield from (*parts["thead"], *parts[""], *parts["tfoot"])
 
 
 def _descend(node: Element, tag: str) -> Iterator[Element]:

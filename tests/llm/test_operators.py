@@ -147,6 +147,29 @@ def test_html_of_any_depth_and_brute_force_words(spark):
     assert sorted((r.page_id, r.text or "") for r in df.collect()) == [(1, ""), (1, "a")]
 
 
+@pytest.mark.parametrize(
+    ("html", "words"),
+    [
+        ("<table><tr><form><td>x</td><td>y</td></form></tr></table>", "x y"),
+        ("<table><form><tr><td>x</td></tr></form></table>", "x"),
+        ("<table><tr>text<td>x</table>", "text x"),
+        ("<table><tr><b>bold</b> t<td>x</table>", "bold t x"),
+        ("<table><tbody>loose<tr><td>x</tbody><tfoot><i>i</i></table>", "loose i x"),
+    ],
+)
+def test_text_between_cells_and_rows_is_kept(html, words):
+    assert html_text.render(html).split() == words.split()
+
+
+def test_brute_force_words_in_tables():
+    rng = random.Random(4)
+    for _ in range(300):
+        words = [f"w{i}" for i in range(20)]
+        tags = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<tbody>", "<thead>", "<form>", "</form>", "<b>", "</b>", "<div>", "<caption>", "<colgroup>", " "]
+        html = "".join(f"{rng.choice(tags)}{rng.choice(tags)} {w} " for w in words)
+        assert sorted(html_text.render(html).split()) == sorted(words), html
+
+
 # ---------------------------------------------------------------- 3 mixing
 
 
