@@ -20,5 +20,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("search", "fusion", "hierarchy", "consolidation", "text", "predicates", "aggregates", "joins", "research", "io"):
-    importlib.import_module(f"folioflow.plans.{_module}")
+def load() -> dict:
+    """Import all modules that register queries; the queries by name."""
+    for module in ("search", "fusion", "hierarchy", "consolidation", "text", "predicates", "aggregates", "joins", "research", "io"):
+        importlib.import_module(f"folioflow.plans.{module}")
+    return QUERIES

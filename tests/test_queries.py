@@ -9,6 +9,8 @@ import pytest
 
 from folioflow import registry
 
+registry.load()
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
