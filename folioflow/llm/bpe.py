@@ -7,7 +7,8 @@ token that ends the prefix and is compatible with the last token of what stands
 crosses their boundary. So a child costs a few look-ups, shared prefixes are computed once, and a
 word's ids are read off by walking back along last tokens.
 
-Text is split as the vocabulary file says: special tokens first, then the byte-level word pattern.
+Text is split as the vocabulary file says: special tokens first, then the byte-level word pattern. Files that ask for more
+than that (normalizers, prefix spaces, unknown tokens, dropout, tokens that take in white space) are refused.
 Defined results: a null text is empty and has no ids; texts of any length are encoded whole; repeated rows
 are encoded alike; an empty table gives an empty table; further columns pass through.
 """
@@ -22,12 +23,16 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+
+from folioflow.llm.common import small_batches
 
 #: Fixed value: the public byte-level word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words a worker remembers across batches; beyond it the memory starts anew (results don't depend on it).
-CACHE_WORDS = 300_000
+#: What a worker remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
+CACHE_BYTES, CACHE_PAIRS = 16 << 20, 400_000
+#: Characters of texts that are split into words at a time (a longer text alone), and the longest word that is remembered.
+CHARS, CACHE_WORD = 1_000_000, 64
 _ALONE = 1 << 60
 
 
@@ -38,11 +43,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def supported(spec: dict) -> None:
+    """Raises where a vocabulary file asks for what this encoder doesn't do."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {"type": "ByteLevel"}, spec.get("added_tokens", [])
+    asks = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "a normalizer": spec.get("normalizer") is not None,
+        "another split than the byte-level one": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", False) or not pre.get("use_regex", True),
+        "dropout, unknown tokens, word affixes, byte fallback or whole words first": any(
+            model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")),
+        "added tokens that depend on what surrounds them": any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip")),
+    }
+    if any(asks.values()):
+        raise ValueError("the vocabulary file asks for " + ", ".join(k for k, v in asks.items() if v))
+
+
 class TrieEncoder:
     """Encoder and decoder of one vocabulary (the text of a tokenizers JSON file with a byte-level BPE model)."""
 
     def __init__(self, vocabulary: str):
         spec = json.loads(vocabulary)
+        supported(spec)
         letters = {c: b for b, c in enumerate(byte_letters())}
         raw = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items()}
@@ -60,12 +81,13 @@ class TrieEncoder:
         self.longest = max(map(len, self.id_of))
         self.word = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.fits: dict = {}
+        self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def _compatible(self, a: int, b: int) -> bool:
         """Do tokens a, b side by side stay two tokens? Not if a merge joins a right edge of a to a left edge of b while both still stand alone."""
-        key = a * 1_000_003 + b if a < 1_000_003 else (a, b)
+        key = a << 32 | b
         known = self.fits.get(key)
         if known is None:
             known, rank, x, x_until = True, self.rank, a, _ALONE
@@ -78,6 +100,8 @@ class TrieEncoder:
                         break
                     y, y_until = self.left.get(y), self.made.get(y)
                 x, x_until = self.right.get(x), self.made.get(x)
+            if len(self.fits) >= CACHE_PAIRS:
+                self.fits.clear()
             self.fits[key] = known
         return known
 
@@ -109,15 +133,20 @@ class TrieEncoder:
         """Little-endian 32-bit ids of each text."""
         split, word = self.split, self.word
         cut = [word(t) if split is None or not any(s in t for s in self.special) else [w for p in split(t) for w in ([p] if p in self.special else word(p))] for t in texts]
+        if self.cached > CACHE_BYTES:
+            self.cache.clear()
+            self.cached = 0
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if not cache:
-            cache.update((s, np.array([i], dtype="<u4").tobytes()) for s, i in self.special.items())
         new = set().union(*cut).difference(cache) if cut else ()
-        pairs = sorted((w.encode(), w) for w in new)
-        cache.update(zip((w for _, w in pairs), self.encode_words([b for b, _ in pairs]), strict=True))
-        return [b"".join(map(cache.__getitem__, ws)) for ws in cut]
+        pairs = sorted((w.encode(), w) for w in new if w not in self.special)
+        made = {s: np.array([i], dtype="<u4").tobytes() for s, i in self.special.items()}
+        for (_, w), ids in zip(pairs, self.encode_words([b for b, _ in pairs]), strict=True):
+            if len(w) <= CACHE_WORD:
+                cache[w] = ids
+                self.cached += 2 * len(w) + len(ids) + 150
+            else:
+                made[w] = ids
+        return [b"".join([cache.get(w) or made[w] for w in ws]) for ws in cut]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -134,7 +163,7 @@ def encoder(vocabulary: str) -> TrieEncoder:
     return _ENCODERS[key]
 
 
-def _runs(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def _runs(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
     """Consecutive runs of whole texts of about so many characters."""
     run, size = [], 0
     for t in texts:
@@ -147,52 +176,56 @@ def _runs(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
         yield run
 
 
-def _mapped(docs: DataFrame, vocabulary_path: str, text_col: str, keep: list[str], added: list[tuple], row) -> DataFrame:
-    """keep columns of docs and, for every text, the values row(encoder, ids) under the added (name, type)s."""
-    spark = docs.sparkSession
+def _column(df: DataFrame, vocabulary_path: str, col: str, kind: str, values):
+    """Column: values(encoder, list of col's values) of a batch, as a column of a type (for a struct, tuples). Only col goes to Python."""
+    spark = df.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:  # a file of the driver, of fixed size
         vocabulary = spark.sparkContext.broadcast(f.read())
-    names = [n for n, _ in added]
-    keep = [c for c in keep if c not in names]
-    source = docs.select(*keep, docs[text_col].alias("_text"))
+    small_batches(spark)
+    names = [x.split(" ")[0] for x in kind.split(", ")] if " " in kind else []
+
+    def rows(column: pd.Series) -> list:
+        return list(values(encoder(vocabulary.value), column.to_list()))
+
+    @F.pandas_udf(kind)
+    def one(column: pd.Series) -> pd.Series:
+        return pd.Series(rows(column), dtype=object)
+
+    @F.pandas_udf(kind)
+    def several(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(rows(column), columns=names)
+
+    return (several if names else one).asNondeterministic()(df[col])  # so that filters on the result don't run it again
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary.value)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
-            values = [row(enc, ids) for run in _runs(texts) for ids in enc.encode_batch(run)]
-            out = batch[keep].copy()
-            for k, name in enumerate(names):
-                out[name] = pd.Series([v[k] for v in values], index=out.index, dtype=object)
-            yield out
 
-    schema = T.StructType([f for f in source.schema.fields if f.name in keep] + [T.StructField(n, t) for n, t in added])
-    return source.mapInPandas(work, schema)
+def _encoded(enc: TrieEncoder, texts: list) -> Iterator[tuple[str, bytes]]:
+    for run in _runs([t if isinstance(t, str) else "" for t in texts]):
+        yield from zip(run, enc.encode_batch(run), strict=True)
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of every text as an array of ints."""
-    return _mapped(docs, vocabulary_path, text_col, docs.columns, [(ids_col, T.ArrayType(T.IntegerType()))], lambda enc, ids: (np.frombuffer(ids, dtype="<i4"),))
+    ids = _column(docs, vocabulary_path, text_col, "array<int>", lambda enc, texts: (np.frombuffer(b, dtype="<i4") for _, b in _encoded(enc, texts)))
+    return docs.withColumn(ids_col, ids)
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """df with the text of every array of ids (null: empty)."""
-    with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c != text_col]
+    return df.withColumn(text_col, _column(df, vocabulary_path, ids_col, "string", lambda enc, all_ids: (enc.decode(np.asarray(x if x is not None else [], dtype="<u4").tobytes()) for x in all_ids)))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary.value)
-        for batch in batches:
-            out = batch[keep].copy()
-            out[text_col] = [enc.decode(np.asarray(x if x is not None else [], dtype="<u4").tobytes()) for x in batch[ids_col]]
-            yield out
 
-    return df.mapInPandas(work, T.StructType([df.schema[c] for c in keep] + [T.StructField(text_col, T.StringType())]))
+def encode_checked(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens, ids and round_trip (decoding the ids gives the text again), in one pass."""
+    kind = "n_tokens long, ids array<int>, round_trip boolean"
+    coded = _column(docs, vocabulary_path, text_col, kind, lambda enc, texts: ((len(b) // 4, np.frombuffer(b, dtype="<i4"), enc.decode(b) == t) for t, b in _encoded(enc, texts)))
+    kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "round_trip")]
+    return docs.select(*kept, coded.alias("_c")).select(*kept, "_c.*")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep columns with n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256, in one pass that ships no ids."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return _mapped(docs, vocabulary_path, text_col, keep, added, lambda enc, ids: (len(ids) // 4, sha(ids), sha(enc.decode(ids).encode("utf-8", "surrogatepass"))))
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    coded = _column(docs, vocabulary_path, text_col, kind, lambda enc, texts: ((len(b) // 4, sha(b), sha(enc.decode(b).encode("utf-8", "surrogatepass"))) for _, b in _encoded(enc, texts)))
+    kept = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    return docs.select(*kept, coded.alias("_c")).select(*kept, "_c.*")

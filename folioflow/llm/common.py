@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,11 @@ def n_words(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (local tests only) a fresh one."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is a fresh one in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_folioflow_dir", None) or f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark._folioflow_dir = base
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,8 +47,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in batches of at most 8 MB, so that a worker's memory doesn't depend on how long texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Rows go to Python in batches of at most 8 MB, so that a worker's memory doesn't depend on how long texts are. A lower limit of the session stays."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -69,46 +76,73 @@ _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so invertible modulo 2^64
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: Bytes of text that are hashed at a time; a longer word is hashed alone.
+CHUNK = 1 << 20
+_EDGE = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS: dict = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1); the longest so far is kept (its length is that of the largest run of texts)."""
-    if len(_POWERS.get(int(base), ())) < n:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        _POWERS[int(base)] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS[int(base)][:n] if n else np.zeros(0, dtype=np.uint64)
+    """base^0 .. base^(n-1); kept for the usual lengths."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, 2 * CHUNK), base, dtype=np.uint64)
+        have[0] = 1
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= 2 * CHUNK:
+            _POWERS[int(base)] = have
+    return have[:n]
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of some bytes."""
+    buf = np.frombuffer(data, dtype=np.uint8)
+    space = np.ones(len(buf) + 2, dtype=bool)
+    space[1:-1] = _SPACE[buf]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[0::2], edge[1::2]
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(buf)), out=sums[1:])
+    hashes = mix64((sums[ends] - sums[starts]) * _powers(_INV, len(buf))[starts]) if len(starts) else np.zeros(0, dtype=np.uint64)
+    hashes ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return starts, ends, hashes
+
+
+def _pieces(data: bytes, chunk: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of pieces of about `chunk` bytes that end at white space."""
+    at = 0
+    while at < len(data):
+        m = _EDGE.search(data, at + chunk)
+        end = m.end() if m else len(data)
+        yield at, data[at:end]
+        at = end
 
 
-def word_hashes(texts: list, chunk: int = 1_000_000):
+def word_hashes(texts: list, chunk: int = CHUNK):
     """Hash every word of every text, A-Z lower-cased, without a Python loop over words.
 
-    Yields (first, docs, starts, ends, hashes) for runs of whole texts: the index of the run's first
-    text, and for each word its text (relative to first), its byte range in that text and a 64-bit hash.
-    A word's hash is a polynomial of its bytes modulo 2^64, read off prefix sums, then finalised.
+    Yields (first, n, docs, hashes) for runs of n whole texts: the index of the run's first text, and for each word
+    its text (relative to first) and a 64-bit hash. A word's hash is a polynomial of its bytes modulo 2^64, read off
+    prefix sums, then finalised; words of different lengths get different offsets. A text longer than a chunk is
+    hashed piece by piece, so beyond the text itself memory is 16 bytes a word.
     """
     at = 0
     while at < len(texts):
         raw, size, first = [], 0, at
         while at < len(texts) and (size < chunk or at == first):
-            b = (texts[at] or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower: A-Z only
+            b = (texts[at] or "").encode("utf-8", "surrogatepass")
+            if raw and size + len(b) > 2 * chunk:
+                break
             raw.append(b)
             size += len(b) + 1
             at += 1
-        buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-        offsets = np.cumsum([0] + [len(b) + 1 for b in raw])
-        space = _SPACE[buf]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if len(buf) and not space[0]:
-            edge = np.concatenate(([0], edge))
-        starts, ends = edge[0::2], edge[1::2]
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(buf)), out=sums[1:])
-        hashes = mix64((sums[ends] - sums[starts]) * _powers(_INV, len(buf))[starts])
-        hashes ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        docs = np.searchsorted(offsets, starts, side="right") - 1
-        yield first, len(raw), docs, starts - offsets[docs], ends - offsets[docs], hashes
+        if len(raw) == 1 and size > 2 * chunk:
+            hashes = np.concatenate([_hashed(piece.lower())[2] for _, piece in _pieces(raw[0], chunk)])
+            docs = np.zeros(len(hashes), dtype=np.int64)
+        else:
+            starts, _, hashes = _hashed(b"\n".join(raw).lower())  # bytes.lower: A-Z only
+            docs = np.searchsorted(np.cumsum([0] + [len(b) + 1 for b in raw]), starts, side="right") - 1
+        yield first, len(raw), docs, hashes
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

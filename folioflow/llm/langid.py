@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams per language on the cluster; the matrix of log probabilities (languages x buckets)
-is small and broadcast; scoring adds up its rows for a batch of texts at once in numpy.
+is small and broadcast; scoring is a sparse product: the counts of each text's own buckets times the matrix's
+rows, for a batch of texts at once in numpy.
 
 Training reads whole texts, but at most about `per_language` labelled rows of each language, drawn by a
 hash of the key (the documented bound); prediction covers every row and whole texts and sees nothing but the text.
+A long text is counted in pieces, so memory doesn't grow with it.
 
-Defined results: a text that is null or has no letter is `und` with score 0, as is everything when there
+Defined results: a text that is null or has no letters is `und` with score 0, as is everything when there
 is nothing to learn from; ties go to the language first in code-point order; repeated rows are predicted alike;
 an empty table gives an empty table; further columns pass through (the added names are replaced if present).
 """
@@ -19,52 +21,60 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from folioflow.llm.common import small_batches
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 UNKNOWN = "und"
+#: Characters that are counted at a time, and numbers of the matrix that are added up at a time.
+CHARS, CELLS = 500_000, 4_000_000
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
-def _runs(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
-    run, size, first = [], 0, 0
+def _runs(texts: list[str], chars: int) -> Iterator[list[tuple[int, str, int]]]:
+    """Lists of (text, piece, n) of about so many characters: lower-cased pieces with n characters of their own and those that their last n-grams run into."""
+    run, size = [], 0
     for i, t in enumerate(texts):
-        run.append(t)
-        size += len(t)
-        if size >= chars:
-            yield first, run
-            run, size, first = [], 0, i + 1
+        low = t.lower()
+        for at in range(0, len(low), chars):
+            run.append((i, low[at : at + chars + ORDERS[-1] - 1], min(chars, len(low) - at)))
+            size += run[-1][2]
+            if size >= chars:
+                yield run
+                run, size = [], 0
     if run:
-        yield first, run
-
-
-def ngram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order n: the bucket of the n-gram at every character of the lower-cased, joined texts
-    (BUCKETS where it would run into the next text), and where each text begins. Texts must not be empty."""
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    size = np.array([len(t) for t in low])
-    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    left = np.repeat(starts + size, size) - np.arange(len(codes))  # characters from here to the text's end
-    h = np.zeros(len(codes), dtype=np.uint32)
-    for n in ORDERS:
-        h = h[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :] * _MULT[(n - 1) % 4] if len(codes) >= n else h[:0]
-        g = h ^ (h >> np.uint32(15))
-        g = (g * np.uint32(0x2C1B3C6D)) >> np.uint32(15)
-        out = np.full(len(codes), BUCKETS, dtype=np.int64)
-        out[: len(g)] = g
-        out[left < n] = BUCKETS
-        yield out, starts
+        yield run
+
+
+def ngram_counts(texts: list[str], chars: int = CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, bucket, count) arrays for runs of texts, sorted: how often each text has n-grams of a bucket. A long text is in several runs."""
+    for run in _runs(texts, chars):
+        codes = np.frombuffer("".join(p for _, p, _ in run).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        size = np.array([len(p) for _, p, _ in run])
+        own = np.repeat(np.array([n for _, _, n in run]), size)
+        start = np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        place = np.arange(len(codes)) - start  # inside its piece
+        left = np.repeat(size, size) - place
+        row = np.repeat(np.array([i for i, _, _ in run], dtype=np.int64), size) * BUCKETS
+        h, keys = np.zeros(len(codes), dtype=np.uint32), []
+        for n in ORDERS:
+            h = h[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :] * _MULT[(n - 1) % 4] if len(codes) >= n else h[:0]
+            g = h ^ (h >> np.uint32(15))
+            g = (g * np.uint32(0x2C1B3C6D)) >> np.uint32(15)
+            here = (place < own)[: len(g)] & (left >= n)[: len(g)]
+            keys.append(row[: len(g)][here] + g[here])
+        found, count = np.unique(np.concatenate(keys), return_counts=True)
+        yield found // BUCKETS, found % BUCKETS, count
 
 
 def train(docs: DataFrame, label_col: str, text_col: str = "text", key_col: str = "doc_id", per_language: int = 5_000, block: int = 4_096):
-    """(languages, log priors, matrix of log probabilities with a last row of zeros) from rows with a label and a text."""
+    """(languages, log priors, matrix of log probabilities) from rows with a label and a text."""
     docs = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in docs.groupBy(label_col).count().collect()}  # one row per language
     langs = sorted(counts)
     if not langs:
-        return [], np.zeros(0), np.zeros((BUCKETS + 1, 0))
+        return [], np.zeros(0), np.zeros((BUCKETS, 0))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col(label_col) == lang, min(1.0, per_language / n)).otherwise(share)
@@ -75,10 +85,9 @@ def train(docs: DataFrame, label_col: str, text_col: str = "text", key_col: str
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
-                total = found.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
-                for _, run in _runs([t for t in rows["text"] if t]):
-                    for idx, _ in ngram_buckets(run):
-                        total += np.bincount(idx, minlength=BUCKETS + 1)
+                total = found.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                for _, bucket, n in ngram_counts([t for t in rows["text"] if t]):
+                    np.add.at(total, bucket, n)
         for lang, total in found.items():
             yield pd.DataFrame({"lang": lang, "block": range(BUCKETS // block), "n": [total[i : i + block] for i in range(0, BUCKETS, block)]})
 
@@ -87,44 +96,47 @@ def train(docs: DataFrame, label_col: str, text_col: str = "text", key_col: str
 
     schema = "lang string, block int, n array<long>"
     summed = sample.mapInPandas(count, schema).groupBy("lang", "block").applyInPandas(add, schema)
-    matrix = np.full((BUCKETS + 1, len(langs)), 0.1)  # additive smoothing
+    matrix = np.full((BUCKETS, len(langs)), 0.1)  # additive smoothing
     for lang, b, n in summed.toLocalIterator():  # languages * BUCKETS numbers in all
         matrix[b * block : (b + 1) * block, langs.index(lang)] += n
-    matrix[:BUCKETS] = np.log(matrix[:BUCKETS] / matrix[:BUCKETS].sum(axis=0))
-    matrix[BUCKETS] = 0.0
     prior = np.log(np.array([counts[x] for x in langs]) / sum(counts.values()))
-    return langs, prior, matrix
+    return langs, prior, np.log(matrix / matrix.sum(axis=0))
 
 
-def score_texts(texts: list[str], model) -> tuple[list[str], list[float]]:
+def score_texts(texts: list[str], model, chars: int = CHARS) -> tuple[list[str], list[float]]:
     """Language and posterior probability of each text."""
     langs, prior, matrix = model
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     there = [i for i, t in enumerate(texts) if isinstance(t, str) and any(map(str.isalpha, t))] if langs else []
-    for first, run in _runs([texts[i] for i in there]):
-        total = np.tile(prior, (len(run), 1))
-        for idx, starts in ngram_buckets(run):
-            total += np.add.reduceat(matrix[idx], starts, axis=0)
-        best = total.argmax(axis=1)
-        prob = 1.0 / np.exp(total - total[np.arange(len(run)), best][:, None]).sum(axis=1)
-        for k in range(len(run)):
-            pred[there[first + k]], score[there[first + k]] = langs[best[k]], float(prob[k])
+    if not there:
+        return pred, score
+    total = np.tile(prior, (len(there), 1))
+    step = max(1, CELLS // len(langs))
+    for text, bucket, n in ngram_counts([texts[i] for i in there], chars):
+        for at in range(0, len(text), step):
+            t = text[at : at + step]
+            edge = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            total[t[edge]] += np.add.reduceat(matrix[bucket[at : at + step]] * n[at : at + step, None], edge, axis=0)
+    best = total.argmax(axis=1)
+    prob = 1.0 / np.exp(total - total[np.arange(len(there)), best][:, None]).sum(axis=1)
+    for k, i in enumerate(there):
+        pred[i], score[i] = langs[best[k]], float(prob[k])
     return pred, score
 
 
-def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep columns of docs with lang_pred and score."""
+def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score. Only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
-    source = docs.select(*keep, docs[text_col].alias("_text"))
+    small_batches(docs.sparkSession)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            out["lang_pred"], out["score"] = score_texts(batch["_text"].to_list(), shared.value)
-            yield out
+    @F.pandas_udf("lang_pred string, score double")
+    def work(texts: pd.Series) -> pd.DataFrame:
+        pred, score = score_texts(texts.to_list(), shared.value)
+        return pd.DataFrame({"lang_pred": pd.Series(pred, dtype=object), "score": score})
 
-    return source.mapInPandas(work, T.StructType([f for f in source.schema.fields if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    once = work.asNondeterministic()  # so that filters on the result don't run it again
+    kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, once(docs[text_col]).alias("_p")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_p.lang_pred", "_p.score")
 
 
 def identify(docs: DataFrame, keep: list[str], per_language: int = 5_000) -> DataFrame:
@@ -132,4 +144,4 @@ def identify(docs: DataFrame, keep: list[str], per_language: int = 5_000) -> Dat
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = train(docs.where(fold != 2), "lang", per_language=per_language)
     marked = docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
-    return predict(marked, model, [*[c for c in keep if c != "held_out"], "held_out"])
+    return predict(marked, model).select(*[c for c in keep if c not in ("held_out", "lang_pred", "score")], "held_out", "lang_pred", "score")

@@ -1,18 +1,23 @@
 """Quality rules: base statistics of a text, and cross-document line frequency.
 
-Lines are normalised (A-Z lower-cased, runs of digits as one 0, runs of white space as one space) and
-hashed. For each host (a column, here the source) the distinct documents of every line are counted.
-A line is boilerplate if it is in more than `least` documents of its host and in more than `share` of
-them; such lines are removed, and a document that keeps less than `left` of its words is rejected.
-
-Defined results: a null or empty text has no words and so fails the base rules; a null host is a host; rows
-with equal id, host and text are one document to the counts and each get its result; lines without a
-word are never boilerplate; an empty table gives an empty table; further columns pass through (the names
-that are added replace those present).
+Lines are normalised (A-Z lower-cased, runs of white space as one space; digits stay, so rows of tables, dates and
+numbered lines are different lines) and hashed. For each host (a column, here the source) the distinct documents of
+every line are counted; rows of a host with equal texts are one document, as whole copies are not boilerplate. A line is
+boilerplate if it is in more documents of its host than a limit: `share` of them, but `least` at the least and `most` at the
+most, so that on a host of any size a line in more than `most` documents goes. Such lines are removed, and a document
+that keeps less than `left` of its words is rejected.
+
+Each text is read once, in Python: statistics and hashes of lines come out, and only these move.
+
+Defined results: a null or empty text has no words and so fails the base rules; a null host is a host; repeated rows
+each get their result; lines without a word are never boilerplate; a text of any length is read whole; an empty table gives
+an empty table; further columns pass through (the names that are added replace those present). Two different lines with
+one 64-bit hash would count as one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,13 +25,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioflow.llm.common import WORD, cut, n_words
+from folioflow.llm.common import WORD, cut, small_batches
 
 _WORDS = re.compile(WORD).findall
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Rows of the list of boilerplate lines up to which it is broadcast (some 40 bytes each); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def repeated_words(words: list[str], window: int = 8) -> int:
@@ -49,84 +55,77 @@ def repeated_words(words: list[str], window: int = 8) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    words = _WORDS(text)
-    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
-    return len(words), sum(map(len, words)), len(text) - len(text.translate(_SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def line_hash(words: list[str]) -> int:
+    """Hash of a line's normalised form."""
+    return _hash(" ".join(words).encode("utf-8", "surrogatepass").lower())  # bytes.lower: A-Z only
+
+
+def text_stats(text: str | None) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text, and {hash of a line: its words in the text}."""
+    words, seen, dup, lines = [], set(), 0, {}
+    for line in (text or "").split("\n"):
+        own = _WORDS(line)
+        if own:
+            dup += line in seen
+            seen.add(line)
+            words += own
+            h = line_hash(own)
+            lines[h] = lines.get(h, 0) + len(own)
+    symbols = len(text) - len(text.translate(_SYMBOLS)) if text else 0
+    return len(words), sum(map(len, words)), symbols, dup, repeated_words(words), lines
+
+
+def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """keep columns of docs with the BASE statistics, text_hash and lines (hash, words)."""
+    small_batches(docs.sparkSession)
+    added = [*BASE, "text_hash", "lines"]
+    kind = ", ".join(f"{n} long" for n in BASE) + ", text_hash long, lines array<struct<h: long, words: long>>"
+
+    @F.pandas_udf(kind)
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            *base, lines = text_stats(t)
+            rows.append((*base, _hash((t or "").encode("utf-8", "surrogatepass")), [{"h": h, "words": n} for h, n in lines.items()]))
+        return pd.DataFrame(rows, columns=added)
+
+    keep = [c for c in keep if c not in added]
+    return docs.select(*keep, stats.asNondeterministic()(docs[text_col]).alias("_s")).select(*keep, "_s.*")
 
 
 def base_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep columns of docs with the BASE statistics."""
-    keep = [c for c in keep if c not in BASE]
-    source = docs.select(*keep, docs[text_col].alias("_text"))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            rows = [text_stats(t) for t in batch["_text"]]
-            for k, name in enumerate(BASE):
-                out[name] = pd.Series([r[k] for r in rows], index=out.index, dtype="int64")
-            yield out
-
-    return source.mapInPandas(work, T.StructType([f for f in source.schema.fields if f.name != "_text"] + [T.StructField(n, T.LongType()) for n in BASE]))
-
-
-def normalised(line):
-    """The line as it is compared: a column of strings."""
-    line = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(_id, _tx, host, h, words): every line with a word; _id and _tx tell documents apart."""
-    return (
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tx"), F.col(host_col).alias("host"), F.explode(F.split(text_col, "\n")).alias("line"))
-        .select("_id", "_tx", "host", F.xxhash64(normalised(F.col("line"))).alias("h"), n_words(F.col("line")).alias("words"))
-        .where("words > 0")
-    )
-
-
-def boilerplate(docs: DataFrame, least: int = 10, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(host, h): hashes of the lines over the limits. Counts are combined before they move, so a line in every document costs one row a task."""
-    lines = _lines(docs, id_col, text_col, host_col)
-    # documents of a line: rows are made distinct inside the document, then counted
-    per_doc = docs.select(
-        F.col(host_col).alias("host"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tx"),
-    ).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    counts = lines.select("_id", "_tx", "host", "h").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    hosts = per_doc.select(F.col("host").alias("_host"), "docs")
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["_host"])).where(F.col("n") > F.col("docs") * share).select("host", "h")
-
-
-def line_frequency(
-    docs: DataFrame, least: int = 10, share: float = 0.02, left: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-) -> DataFrame:
-    """(_id, _tx, removed_words, removed_lines): of every document that loses lines, how many words and the hashes of the lines.
+    return measured(docs, keep, text_col).drop("text_hash", "lines")
 
-    The boilerplate table is cut off from its lineage, so both sides of the join are plain shuffles
-    that Spark can split where one line or host has most rows.
-    """
-    common = cut(boilerplate(docs, least, share, id_col, text_col, host_col)).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    lines = _lines(docs, id_col, text_col, host_col)
-    lines = lines.groupBy("_id", "_tx", "host", "h").agg(F.sum("words").alias("words"))
-    hit = lines.join(common, (lines["h"] == common["_h"]) & lines["host"].eqNullSafe(common["_host"]))
-    return hit.groupBy("_id", "_tx").agg(F.max("words").alias("_w"), F.sum("words").alias("removed_words"), F.collect_set("h").alias("removed_lines")).drop("_w")
+
+def boilerplate(rows: DataFrame, least: int = 10, share: float = 0.002, most: int = 1_000, host_col: str = "source") -> DataFrame:
+    """(host, h): hashes of the lines over the limits, of what measured() gives. Counts are combined before they move, so a line in every document costs one row a task."""
+    docs = rows.select(F.col(host_col).alias("host"), "text_hash", "lines")
+    lines = docs.select("host", "text_hash", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    hosts = docs.select("host", "text_hash").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("docs"))
+    limit = F.greatest(F.lit(least), F.least(F.col("docs") * share, F.lit(most)))
+    return lines.join(hosts, lines["host"].eqNullSafe(hosts["_host"])).where(F.col("n") > limit).select("host", "h")
 
 
 def quality(
-    docs: DataFrame, keep: list[str], least: int = 10, share: float = 0.02, left: float = 0.5,
-    min_words: int = 20, max_repeat: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    docs: DataFrame, keep: list[str], least: int = 10, share: float = 0.002, most: int = 1_000, left: float = 0.5,
+    min_words: int = 20, max_repeat: int = 30, text_col: str = "text", host_col: str = "source",
 ) -> DataFrame:
     """keep columns of docs, BASE, removed_words, removed_lines, base_failed and kept (base passed and at least `left` of the words stay)."""
     added = [*BASE, "removed_words", "removed_lines", "base_failed", "kept"]
     keep = [c for c in keep if c not in added]
-    base = base_stats(docs.withColumns({"_bid": F.col(id_col), "_btx": F.xxhash64(text_col)}), [*keep, "_bid", "_btx"], text_col)
-    lost = line_frequency(docs, least, share, left, id_col, text_col, host_col)
-    out = base.join(lost, base["_bid"].eqNullSafe(lost["_id"]) & base["_btx"].eqNullSafe(lost["_tx"]), "left").drop("_bid", "_btx", "_id", "_tx")
+    rows = cut(measured(docs.withColumn("_host", F.col(host_col)), [*keep, "_host"], text_col)).withColumn("_row", F.monotonically_increasing_id())  # stable: read from the checkpoint
+    common = cut(boilerplate(rows, least, share, most, "_host").select(F.col("host").alias("_h"), F.col("h").alias("_l")))
+    if common.count() <= BROADCAST_ROWS:
+        common = F.broadcast(common)
+    lines = rows.select("_row", "_host", F.inline("lines"))
+    hit = lines.join(common, (lines["h"] == common["_l"]) & lines["_host"].eqNullSafe(common["_h"]))
+    lost = hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("removed_words"), F.collect_list("h").alias("removed_lines"))
+    out = rows.drop("lines", "text_hash").join(lost, F.col("_row") == F.col("_r"), "left").drop("_host", "_row", "_r")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * left))
@@ -134,5 +133,12 @@ def quality(
 
 def without_lines(text, removed):
     """Column: the text without the lines whose hashes are in the array (null: nothing is removed)."""
-    lines = F.split(text, "\n")
-    return F.when(removed.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(removed, F.xxhash64(normalised(x)))), "\n"))
+
+    def cut_lines(texts: Iterator) -> list:
+        return [t if t is None or gone is None else "\n".join(x for x in t.split("\n") if not (w := _WORDS(x)) or line_hash(w) not in set(gone)) for t, gone in texts]
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, all_gone: pd.Series) -> pd.Series:
+        return pd.Series(cut_lines(zip(texts, all_gone, strict=True)), dtype=object)
+
+    return run(text, removed)

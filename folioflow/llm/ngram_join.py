@@ -47,7 +47,7 @@ BROADCAST_ROWS = 500_000
 
 def token_sets(texts: list, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct token hashes of each text (uint64)."""
-    for _, n, docs, _, _, hashes in word_hashes(texts):
+    for _, n, docs, hashes in word_hashes(texts):
         edge = np.searchsorted(docs, np.arange(n + 1))
         whole = shingle_hashes(hashes, k) if len(hashes) >= k else hashes[:0]
         for a, b in zip(edge[:-1], edge[1:], strict=True):

@@ -47,13 +47,23 @@ def corpus(seed=0, n=60):
 
 def test_word_hashes_tell_words_apart_and_ignore_ascii_case():
     texts = ["Aa bB\tcc\n\xc9t\xe9 ", None, "", "aa  BB cc \xe9t\xe9", "x" * 10000 + " y"]
-    got = {}
-    for first, _n, docs, starts, ends, hashes in common.word_hashes(texts, chunk=10):
-        for d, a, b, h in zip(docs, starts, ends, hashes):
-            got.setdefault(first + d, []).append((texts[first + d].encode()[a:b].decode(), h))
-    assert [w for w, _ in got[0]] == WORDS.findall(texts[0]) and 1 not in got and 2 not in got
-    a, b = [h for _, h in got[0]], [h for _, h in got[3]]
-    assert a[:3] == b[:3] and a[3] != b[3] and len({*a, *b}) == 5
+    for chunk in (10, 1 << 20):
+        got = collections.defaultdict(list)
+        for first, _, docs, hashes in common.word_hashes(texts, chunk=chunk):
+            for d, h in zip(docs, hashes):
+                got[first + d].append(h)
+        a, b = got[0], got[3]
+        assert [len(got[i]) for i in range(5)] == [4, 0, 0, 4, 2]
+        assert a[:3] == b[:3] and a[3] != b[3] and len({*a, *b}) == 5
+
+
+def test_word_hashes_of_a_long_text_do_not_depend_on_pieces():
+    rng = random.Random(0)
+    text = "\n".join(prose(rng, 50) for _ in range(200)) + " " + "z" * 5000
+    (_, _, _, want), = common.word_hashes([text])
+    for chunk in (7, 64, 1000):
+        (_, n, docs, got), = common.word_hashes([text], chunk=chunk)
+        assert n == 1 and not docs.any() and (got == want).all() and len(want) == 10001
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -86,20 +96,47 @@ def test_base_statistics_match_brute_force():
     texts = [None, "", "a", "a b\na b\n\na b \n", "# $x* é\U0001f600 <&>", "\n".join(["x y z w v u t s r"] * 4)]
     texts += ["\n".join(prose(rng, rng.randrange(30), 3) for _ in range(rng.randrange(12))) for _ in range(60)]
     for t in texts:
-        assert line_quality.text_stats(t) == brute_stats(t), t
-
-
-def test_line_frequency_removes_common_lines_and_rejects_depleted_documents(spark):
+        assert line_quality.text_stats(t)[:5] == brute_stats(t), t
+
+
+def brute_quality(rows, least, share, most, left, min_words, max_repeat):
+    """(doc_id, removed words, kept) by plain loops over rows (doc_id, text, lang, host)."""
+    norm = lambda line: " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split())
+    holders, hosts, out = collections.defaultdict(set), collections.defaultdict(set), []
+    for _, text, _, host in rows:
+        hosts[host].add(text or "")
+        for line in (text or "").split("\n"):
+            if norm(line):
+                holders[host, norm(line)].add(text)
+    for i, text, _, host in rows:
+        lost = sum(len(line.split()) for line in (text or "").split("\n") if norm(line) and len(holders[host, norm(line)]) > max(least, min(share * len(hosts[host]), most)))
+        n, _, _, _, repeat = brute_stats(text)
+        out.append((str(i), lost, n >= min_words and 100 * repeat <= max_repeat * n and n - lost >= n * left))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("least", "share", "most"), [(3, 0.1, 1000), (3, 0.9, 12), (1, 0.0, 1)])
+def test_line_frequency_matches_brute_force(spark, least, share, most):
     rng = random.Random(2)
-    rows = [(i, f"Common Line of site {i}\n{prose(rng, 40)}", "en", "a" if i < 30 else None) for i in range(40)]
-    rows += [(100 + i, "common line of  SITE 7\n" + " ".join(["tail"] * 3), "en", "a") for i in range(2)]
-    out = line_quality.quality(make(spark, rows), ["doc_id", "text"], least=20, share=0.1, min_words=0, max_repeat=100)
-    out = out.withColumn("clean", line_quality.without_lines(F.col("text"), F.col("removed_lines")))
-    got = {r.doc_id: r for r in out.collect()}
-    assert got[0].removed_words == 5 and got[0].kept and "Common" not in got[0].clean and got[0].clean == rows[0][1].split("\n")[1]
-    assert got[35].removed_words == 0 and got[35].clean == rows[35][1]  # ten documents of that host
-    assert not got[100].kept and not got[100].base_failed  # three of eight words are left
-    assert len(got) == 42
+    stock = [f"Stock  line {i} of the SITE" for i in range(12)] + ["2024-01-%02d | %d" % (i, i) for i in range(12)]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(stock[: 1 + rng.randrange(len(stock))]) for _ in range(rng.randrange(5))] + [prose(rng, rng.randrange(2, 20)) for _ in range(rng.randrange(4))]
+        rows.append((i, "\n".join(rng.sample(lines, len(lines))).upper() if i % 9 == 0 else "\n".join(lines), "en", rng.choice(["a", "a", "b", None])))
+    rows += [rows[7]] * 20 + [(500, None, "en", "a"), (501, "", "en", None), (None, rows[3][1], "en", "b"), (502, prose(rng, 50000), "en", "a")]
+    options = {"least": least, "share": share, "most": most, "left": 0.5, "min_words": 5, "max_repeat": 60}
+    got = line_quality.quality(make(spark, rows).repartition(3), ["doc_id", "text"], **options)
+    got = got.withColumn("clean", line_quality.without_lines(F.col("text"), F.col("removed_lines"))).collect()
+    assert sorted((str(r.doc_id), r.removed_words, r.kept) for r in got) == brute_quality(rows, **options)
+    assert any(r.removed_words for r in got) and any(r.removed_words and not r.kept for r in got) and any(r.removed_words and r.kept for r in got)
+    assert all(len((r.text or "").split()) - r.removed_words == len((r.clean or "").split()) for r in got)
+
+
+def test_lines_that_differ_in_digits_are_different_lines_and_copies_of_a_text_are_one_document(spark):
+    rng = random.Random(3)
+    rows = [(i, f"row {i} of 90\n{prose(rng, 30, 9000)}", "en", "a") for i in range(40)] + [(100 + i, "a text that many rows repeat in full\n" + "second line of it " * 5, "en", "a") for i in range(40)]
+    got = line_quality.quality(make(spark, rows), ["doc_id"], max_repeat=100).collect()
+    assert all(r.removed_words == 0 and r.kept for r in got) and len(got) == 80
 
 
 def test_quality_edge_rows(spark):
@@ -394,19 +431,53 @@ def test_language_id(spark):
     assert langid.identify(make(spark, []), ["doc_id"]).count() == 0
 
 
-def test_scores_are_plain_naive_bayes():
+def plain_bucket(gram):
+    h = 0
+    for k, c in enumerate(gram):
+        h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) * int(langid._MULT[k]) & 0xFFFFFFFF)
+    h ^= h >> 15
+    return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 15
+
+
+def plain_counts(text):
+    low = text.lower()
+    return collections.Counter(plain_bucket(low[i : i + n]) for n in langid.ORDERS for i in range(len(low) - n + 1))
+
+
+@pytest.mark.parametrize("chars", [3, 10, langid.CHARS])
+def test_counts_and_scores_are_plain_naive_bayes(chars):
     rng = np.random.default_rng(0)
-    model = ["x", "y"], np.log([0.3, 0.7]), np.concatenate([rng.normal(-5, 1, (langid.BUCKETS, 2)), np.zeros((1, 2))])
-    texts = ["Ab c", "é", "longer text with words"]
-    pred, score = langid.score_texts(texts, model)
+    model = ["x", "y"], np.log([0.3, 0.7]), rng.normal(-5, 1, (langid.BUCKETS, 2))
+    texts = ["Ab c", "\xe9", "longer text with words", "\u0130stanbul ab", "abcd" * 9]
+    found = [collections.Counter() for _ in texts]
+    for text, bucket, n in langid.ngram_counts(texts, chars):
+        for t, b, k in zip(text, bucket, n):
+            found[t][b] += k
+    assert found == [plain_counts(t) for t in texts]
+    pred, score = langid.score_texts(texts, model, chars)
     for t, p, s in zip(texts, pred, score):
-        total = model[1].copy()
-        for idx, _ in langid.ngram_buckets([t]):
-            total += model[2][idx].sum(axis=0)
+        total = model[1] + sum(k * model[2][b] for b, k in plain_counts(t).items())
         want = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
         assert p == model[0][total.argmax()] and s == pytest.approx(want.max())
 
 
+def test_language_ties_go_to_the_first_in_code_point_order():
+    model = ["aa", "bb"], np.log([0.5, 0.5]), np.zeros((langid.BUCKETS, 2))
+    assert langid.score_texts(["text"], model) == (["aa"], [0.5])
+
+
+def test_trained_matrix_is_of_plain_counts(spark):
+    rows = [(1, "abc", "aa", "s"), (2, "abd abd", "aa", "s"), (3, "xyz", "bb", "s"), (4, None, "bb", "s"), (5, "q", None, "s")]
+    langs, prior, matrix = langid.train(make(spark, rows), "lang")
+    assert langs == ["aa", "bb"] and np.exp(prior) == pytest.approx([2 / 3, 1 / 3])
+    for k, texts in enumerate((["abc", "abd abd"], ["xyz"])):
+        want = np.full(langid.BUCKETS, 0.1)
+        for t in texts:
+            for b, n in plain_counts(t).items():
+                want[b] += n
+        assert np.exp(matrix[:, k]) == pytest.approx(want / want.sum())
+
+
 # ---------------------------------------------------------------- 9 paragraph dedup
 
 
