@@ -62,10 +62,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that repeat a passage of another, which keeps it: where, how much, and the documents that keep it."""
+    """Documents that repeat a passage of another: where, how much, the smallest document found to hold it, and the cluster's, which keeps its text."""
     out = paragraphs.dedup(table(spark, sf_dir, "documents")).where("spans is not null")
     part = lambda name: F.transform("spans", lambda s: s[name]).alias(f"{name}s")
-    return out.select("doc_id", F.col("removed_words").cast("long").alias("removed_words"), part("start"), part("stop"), part("owner"), F.sha2("clean_text", 256).alias("clean_sha256"))
+    return out.select("doc_id", F.col("removed_words").cast("long").alias("removed_words"), part("start"), part("stop"), part("owner"), part("cluster"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -566,6 +566,96 @@ def test_a_frequent_phrase_with_varied_continuations(spark):
     assert got == cut
 
 
+def words_of(text):
+    return WORDS.findall((text or "").lower())
+
+
+def shingles_of(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def similarity(x, y):
+    x, y = shingles_of(x), shingles_of(y)
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_spans_against_brute_force(spark, seed):
+    """Complete: of every 50 equal words of two documents the larger id loses its passage (up to its edges). Sound: every linked passage is as similar as it must be."""
+    rng = random.Random(20 + seed)
+    pool = [prose(rng, rng.randrange(20, 140), 50000).split() for _ in range(12)]
+    rows = []
+    for i in range(70):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(0, max(1, len(p) - 20))
+            piece = p[a : a + rng.randrange(20, 120)]
+            if rng.random() < 0.4 and len(piece) > 30:
+                piece[rng.randrange(len(piece))] = f"e{rng.randrange(10**6)}"
+            parts += [*prose(rng, rng.randrange(0, 40), 50000).split(), *piece]
+        rows.append((i, " ".join(parts)))
+    rows += [(70, prose(rng, 30000, 50000)), (71, None), (72, "")]
+    rows.append((73, prose(rng, 30000, 60000) + " " + rows[70][1][-9000:]))
+    docs = make(spark, rows).repartition(5)
+    words = {i: words_of(t) for i, t in rows}
+    links = paragraphs.passage_links(docs).collect()
+    assert links
+    for r in links:
+        assert r.owner < r.doc_id and r.stop - r.start >= 50 and r.owner_stop - r.owner_start >= 50
+        assert similarity(words[r.doc_id][r.start : r.stop], words[r.owner][r.owner_start : r.owner_stop]) >= 0.8
+    removed = {r.doc_id: {k for s in r.spans for k in range(s["start"], s["stop"])} for r in paragraphs.repeated_spans(docs).collect()}
+    first, want, lost = {}, 0, 0
+    for i in sorted(words):
+        w = words[i]
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone = len(removed.get(i, set()).intersection(range(k, k + 50)))
+                assert gone >= 10, (i, k)
+                want, lost = want + 50, lost + gone
+    assert want and lost >= 0.99 * want
+    linked = collections.defaultdict(set)
+    for r in links:
+        linked[r.doc_id].update(range(r.start, r.stop))
+    assert removed == linked
+
+
+def test_recall_of_near_passages(spark):
+    """Of passages with several changes whose similarity is 0.8 or more, nearly all are found."""
+    rng = random.Random(30)
+    rows, near = [], set()
+    for k in range(200):
+        passage = prose(rng, rng.randrange(55, 260), 50000).split()
+        changed = passage[:]
+        for _ in range(1 + rng.randrange(1 + len(passage) // 45)):
+            at = rng.randrange(1, len(changed) - 1)
+            changed[at : at + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(1, 3)
+        rows += [(2 * k, planted(rng, passage)), (2 * k + 1, planted(rng, changed))]
+        if similarity(passage, changed) >= 0.8:
+            near.add(2 * k + 1)
+    got = {r.doc_id for r in paragraphs.repeated_spans(make(spark, rows)).collect()}
+    assert len(near) > 80 and len(near & got) >= 0.98 * len(near) and all(i % 2 for i in got)
+
+
+def test_clusters_are_components_of_linked_passages(spark):
+    rng = random.Random(31)
+    a, b = (prose(rng, 70, 50000).split() for _ in range(2))
+    rows = [(1, planted(rng, a)), (2, planted(rng, a[:60] + b[:0])), (3, planted(rng, a[8:])), (11, planted(rng, b)), (12, planted(rng, b)), (20, " ".join(a) + " " + prose(rng, 40, 50000) + " " + " ".join(b))]
+    got = {r.doc_id: [(s["owner"], s["cluster"]) for s in r.spans] for r in paragraphs.repeated_spans(make(spark, rows)).collect()}
+    assert got == {2: [(1, 1)], 3: [(1, 1)], 12: [(11, 11)], 20: [(1, 1), (11, 11)]}
+
+
+def test_words_between_two_shared_passages_stay(spark):
+    rng = random.Random(32)
+    a, b = (prose(rng, 60, 50000).split() for _ in range(2))
+    rows = [(i, planted(rng, a + prose(rng, 20, 50000).split() + b)) for i in range(20)]
+    for r in paragraphs.dedup(make(spark, rows)).where("doc_id > 0").collect():
+        kept = r.text.split()
+        for s in reversed(r.spans):
+            del kept[s["start"] : s["stop"]]
+        assert r.clean_text.split() == kept and 120 <= r.removed_words <= 124
+
+
 @pytest.mark.parametrize(
     ("text", "spans", "left"),
     [("a b c d", [(1, 3)], "a d"), ("a b\nc d", [(1, 3)], "a\nd"), ("a b c", [(0, 3)], ""), ("a b c", [(0, 1)], "b c"), ("a b c ", [(2, 9)], "a b "), ("a\nb\nc", [(1, 2)], "a\nc")],
