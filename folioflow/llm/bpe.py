@@ -30,7 +30,7 @@ from folioflow.llm.common import small_batches
 #: Fixed value: the public byte-level word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
-CACHE_BYTES, CACHE_PAIRS = 16 << 20, 400_000
+CACHE_BYTES, CACHE_PAIRS = 64 << 20, 400_000
 #: Characters of texts that are split into words at a time (a longer text alone), and the longest word that is remembered.
 CHARS, CACHE_WORD = 1_000_000, 64
 _ALONE = 1 << 60
@@ -77,50 +77,87 @@ class TrieEncoder:
                 raise ValueError("two merges make the same token; this traversal needs one")
             self.rank[vocab[a], vocab[b]] = r
             self.left[new], self.right[new], self.made[new] = vocab[a], vocab[b], r
-        self.id_of = {raw[t]: i for t, i in vocab.items() if i in self.made or len(raw[t]) == 1}
-        self.longest = max(map(len, self.id_of))
+        self._build({raw[t]: i for t, i in vocab.items() if i in self.made or len(raw[t]) == 1})
         self.word = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.cached = 0
 
+    def _build(self, tokens: dict[bytes, int]) -> None:
+        """An automaton over the tokens: its state after a prefix is the longest end of it that begins a token; ends has the tokens that end there, longest first."""
+        self.goto: dict[int, int] = {}  # state and byte -> state
+        self.ends: list[tuple] = [()]
+        letters: list[list[tuple[int, int]]] = [[]]
+        own: dict[int, tuple[int, int]] = {}
+        for t, i in tokens.items():
+            state = 0
+            for byte in t:
+                after = self.goto.get(state << 8 | byte)
+                if after is None:
+                    after = self.goto[state << 8 | byte] = len(letters)
+                    letters[state].append((byte, after))
+                    letters.append([])
+                    self.ends.append(())
+                state = after
+            own[state] = (i, len(t))
+        self.back = [0] * len(letters)
+        queue = [0]
+        for state in queue:  # breadth first: shorter ends are done before longer ones
+            for byte, after in letters[state]:
+                self.back[after] = self._step(self.back[state], byte) if state else 0
+                self.ends[after] = ((own[after],) if after in own else ()) + self.ends[self.back[after]]
+                queue.append(after)
+
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        while True:
+            after = self.goto.get(state << 8 | byte)
+            if after is not None or not state:
+                return after or 0
+            state = self.back[state]
+
     def _compatible(self, a: int, b: int) -> bool:
         """Do tokens a, b side by side stay two tokens? Not if a merge joins a right edge of a to a left edge of b while both still stand alone."""
-        key = a << 32 | b
-        known = self.fits.get(key)
-        if known is None:
-            known, rank, x, x_until = True, self.rank, a, _ALONE
-            while known and x is not None:
-                y, y_until = b, _ALONE
-                while y is not None:
-                    r = rank.get((x, y))
-                    if r is not None and r < x_until and r <= y_until:
-                        known = False
-                        break
-                    y, y_until = self.left.get(y), self.made.get(y)
-                x, x_until = self.right.get(x), self.made.get(x)
-            if len(self.fits) >= CACHE_PAIRS:
-                self.fits.clear()
-            self.fits[key] = known
+        known, rank, x, x_until = True, self.rank, a, _ALONE
+        while known and x is not None:
+            y, y_until = b, _ALONE
+            while y is not None:
+                r = rank.get((x, y))
+                if r is not None and r < x_until and r <= y_until:
+                    known = False
+                    break
+                y, y_until = self.left.get(y), self.made.get(y)
+            x, x_until = self.right.get(x), self.made.get(x)
+        if len(self.fits) >= CACHE_PAIRS:
+            self.fits.clear()
+        self.fits[a << 32 | b] = known
         return known
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word; words must be sorted and distinct."""
-        id_of, longest, fits, out, before = self.id_of, self.longest, self._compatible, [], b""
-        last, start = [0], [0]  # of the prefix of each length: its last token and where that begins
+        goto, ends, fits, out, before = self.goto, self.ends, self.fits, [], b""
+        last, start, states = [0], [0], [0]  # of the prefix of each length: its last token, where that begins, and the automaton's state
         for w in words:
             n, m = 0, min(len(w), len(before))
             while n < m and w[n] == before[n]:
                 n += 1
-            del last[n + 1 :], start[n + 1 :]
-            for end in range(n + 1, len(w) + 1):
-                for at in range(max(0, end - longest), end):
-                    t = id_of.get(w[at:end])
-                    if t is not None and (at == 0 or fits(last[at], t)):
-                        last.append(t)
-                        start.append(at)
+            del last[n + 1 :], start[n + 1 :], states[n + 1 :]
+            state, end = states[n], n
+            for byte in w[n:]:
+                end += 1
+                after = goto.get(state << 8 | byte)
+                state = self._step(state, byte) if after is None else after
+                states.append(state)
+                for t, size in ends[state]:
+                    if size == end:
+                        break
+                    a = last[end - size]
+                    known = fits.get(a << 32 | t)
+                    if known if known is not None else self._compatible(a, t):
                         break
+                last.append(t)
+                start.append(end - size)
             ids, end = [], len(w)
             while end:
                 ids.append(last[end])
