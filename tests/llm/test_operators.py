@@ -693,6 +693,62 @@ def test_nearest_recall_and_exact_scores(spark):
     assert nearest.nearest(df.where("vec_id in (100, 7)"), lambda i: i % 100 == 0).count() == 1
 
 
+def brute_nearest(rows, k=10):
+    """{query: [(vec_id, score)]} of (id, vector) rows with distinct ids."""
+    out = {}
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    for i, v in zip(ids, x):
+        if i % 100 == 0:
+            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+            out[int(i)] = [(int(ids[j]), float(d[j])) for j in np.lexsort((ids, d)) if ids[j] != i][:k]
+    return out
+
+
+def found_nearest(spark, rows, **options):
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    out = collections.defaultdict(list)
+    for r in sorted(nearest.nearest(df, lambda i: i % 100 == 0, **options).collect(), key=lambda r: (r.query_id, r["rank"])):
+        out[r.query_id].append((r.vec_id, r.score))
+    return dict(out)
+
+
+def test_nearest_of_ties_goes_by_id(spark):
+    rows = [(i, np.eye(64)[i]) for i in range(64)]  # all as far from each other
+    got = found_nearest(spark, rows)
+    assert [v for v, _ in got[0]] == list(range(1, 11)) and got == brute_nearest(rows)
+
+
+def test_nearest_far_from_the_origin(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64) * 5e7
+    rows = [(i, base + rng.integers(-2, 3, 64) * 0.25) for i in range(1500)]
+    got, want = found_nearest(spark, rows), brute_nearest(rows)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) > 0.9
+    huge = [(i, np.full(4, 1e200) * (1 + i)) for i in range(30)]
+    found = found_nearest(spark, huge)
+    assert [v for v, _ in found[0]] == list(range(1, 11)) and all(np.isfinite(s) for _, s in found[0])
+
+
+def test_nearest_has_ten_rows_however_small_the_lists(spark):
+    rng = np.random.default_rng(4)
+    distinct = rng.normal(size=(400, 16))
+    rows = [(i, distinct[i] if i < 400 else distinct[7]) for i in range(6000)]  # most rows are copies of one
+    got, want = found_nearest(spark, rows, list_rows=4), brute_nearest(rows)
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) > 0.9
+    few = [(i, [float(i + 1)]) for i in range(7)]
+    assert found_nearest(spark, few, list_rows=1) == brute_nearest(few)
+
+
+def test_recall_on_the_given_table_with_production_parameters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is not None and any(r.embedding)]
+    want, got = brute_nearest(rows), collections.defaultdict(set)
+    for r in nearest.nearest(df, lambda i: i % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.95
+
+
 def test_graph_search_finds_near_centroids():
     rng = np.random.default_rng(1)
     g = nearest.CentroidGraph(rng.normal(size=(600, 8)))
