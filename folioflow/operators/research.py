@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import structure as S
 
 #: The citation pattern, and model names that count as strong.
 CITATION = r"(\[[A-Za-z\s]+(?:\set\sal\.)?\s\d{4}\])"
@@ -17,47 +18,81 @@ def citations(text: Column) -> Column:
 
 
 def quality_score(text: Column, created: Column, model: Column, as_of: Column) -> Column:
-    """.40 citation density + .20 freshness (180 days) + .15 completeness (1000 words) + .15 diversity (5 sources) + .10 model."""
+    """.40 citation density (one in 50 words is full) + .20 freshness (180 days) + .15 completeness (1000 words) + .15 diversity (5 sources) + .10 model; 0 without words."""
     words, cites = X.count_words(text), citations(text)
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    density = clamp(F.coalesce(F.try_divide(F.size(cites) * 100.0, words), F.lit(0.0)))
-    fresh = clamp(1 - F.datediff(as_of, created) / F.lit(180.0))
-    strong = F.when(F.exists(F.array(*map(F.lit, STRONG)), lambda s: F.contains(model, s)), 1.0).otherwise(0.5)
+    density = clamp(F.coalesce(F.try_divide(F.size(cites) * 50.0, words), F.lit(0.0)))
+    fresh = F.greatest(F.lit(0.0), 1 - F.datediff(as_of, created) / F.lit(180.0))
+    strong = F.when(F.exists(F.array(*map(F.lit, STRONG)), lambda s: F.contains(F.lower(model), s)), 1.0).otherwise(0.5)
     total = 0.4 * density + 0.2 * fresh + 0.15 * clamp(words / F.lit(1000.0)) + 0.15 * clamp(F.size(F.array_distinct(cites)) / F.lit(5.0)) + 0.1 * strong
-    return F.round(total, 6)
+    return F.when(words == 0, 0.0).otherwise(F.round(clamp(total), 6))
 
 
 def reuse_strategy(matches: DataFrame, by: str) -> DataFrame:
-    """(by, strategy) of matches (by, similarity, quality): exact_reuse, partial_reuse, ensemble or new_generation."""
+    """(by, strategy) of matches (by, similarity, quality): none good: new_generation; one: exact_reuse or partial_reuse by its similarity; else ensemble."""
     good = F.col("quality") > 0.75
-    best = F.max_by("similarity", F.struct("quality", "similarity"))
-    g = matches.groupBy(by).agg(F.count_if(good).alias("n"), F.max(F.when(good, F.col("similarity"))).alias("s"), best.alias("b"))
-    return g.select(by, F.when(F.col("n") > 1, "ensemble").when((F.col("n") == 1) & (F.col("s") > 0.9), "exact_reuse").when((F.col("n") == 1) & (F.col("s") > 0.85), "partial_reuse").otherwise("new_generation").alias("strategy"))
+    g = matches.groupBy(by).agg(F.count_if(good).alias("n"), F.max(F.when(good, F.col("similarity"))).alias("s"))
+    one = F.col("n") == 1
+    return g.select(by, F.when(F.col("n") == 0, "new_generation").when(one & (F.col("s") > 0.9), "exact_reuse").when(one & (F.col("s") > 0.85), "partial_reuse").otherwise("ensemble").alias("strategy"))
+
+
+def count_sentences(text: Column) -> Column:
+    """Pieces between periods followed by white space, at least one."""
+    return F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"\.\s+"), lambda s: F.trim(s) != "")))
 
 
 def section_quality(sections: DataFrame, words: str = "words", cites: str = "citations", sentences: str = "sentences", sources: str = "sources") -> DataFrame:
-    """sections with coverage, coherence and completeness bands."""
-    cov = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col(cites).cast("double"), F.col(sentences)), F.lit(0.0)))
+    """sections with coverage (citations a sentence), coherence and completeness bands."""
+    cov = F.least(F.lit(1.0), F.col(cites).cast("double") / F.greatest(F.lit(1), F.col(sentences)))
     w = F.col(words)
-    s = sections.withColumn("coverage", F.round(cov, 6))
-    return s.withColumn("coherence", F.when((w > 800) & (F.col("coverage") > 0.5), "High").when((w > 400) & (F.col("coverage") > 0.3), "Medium").otherwise("Low")).withColumn(
-        "completeness", F.when((F.col(sources) >= 3) & (w > 600), "High").when((F.col(sources) >= 1) & (w > 200), "Medium").otherwise("Low"))
+    s = sections.withColumn("_cov", cov).withColumn("coverage", F.round("_cov", 2))
+    return s.withColumn("coherence", F.when((w > 800) & (F.col("_cov") > 0.5), "High").when((w > 400) & (F.col("_cov") > 0.3), "Medium").otherwise("Low")).withColumn(
+        "completeness", F.when((F.col(sources) >= 3) & (w > 600), "High").when((F.col(sources) >= 1) & (w > 200), "Medium").otherwise("Low")).drop("_cov")
+
 
+def needs_refinement(sections: DataFrame, coverage: str = "coverage", sources: str = "sources", coherence: str = "coherence", broken: str = "broken", rounds: str = "rounds", most: int = 2) -> DataFrame:
+    """sections with refine: coverage under .7, fewer than three sources, low coherence or a broken citation, and rounds left."""
+    poor = (F.col(coverage) < 0.7) | (F.col(sources) < 3) | (F.col(coherence) == "Low") | (F.col(broken) > 0)
+    return sections.withColumn("refine", poor & (F.col(rounds) < most))
 
-def structure_scores(headings: DataFrame, totals: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Per document: depth, jumps, sections in the size bands (12 words a line), spread of the top headings, largest section's share and the scores made of them.
 
-    headings (doc, line, level, title); totals (doc, total_lines).
+def structure_scores(headings: DataFrame, totals: DataFrame, doc: str = "doc_id", words_per_line: float = 12.0) -> DataFrame:
+    """Per document with headings: how well its structure serves chunking.
+
+    headings (doc, line, level, title); totals (doc, total_lines). A section runs to the next heading that isn't deeper; its words are
+    estimated from its lines. hierarchy, chunkability and coverage are 0 to 1; penalties are points of which 30 take all.
     """
     w = Window.partitionBy(doc).orderBy("line")
-    h = headings.join(totals, doc).withColumns({"size": (F.coalesce(F.lead("line").over(w), F.col("total_lines") + 1) - F.col("line")) * 12, "jump": F.col("level") - F.lag("level").over(w), "gap": F.lead("line").over(w) - F.col("line")})
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    h = S.section_ends(headings, totals, doc).join(totals, doc)
+    h = h.withColumns({
+        "size": ((F.col("end_line") - F.col("line") + 1) * words_per_line).cast("int"), "jump": F.abs(F.col("level") - F.lag("level").over(w)), "near": F.col("line") - F.lag("line").over(w) <= 2,
+        "top": F.col("level") <= 2, "top_before": F.last(F.when(F.col("level") <= 2, F.col("line")), ignorenulls=True).over(before), "name": F.lower(F.trim("title"))})
+    h = h.withColumn("stretch", F.sum(F.when(F.col("near"), 0).otherwise(1)).over(w))
+    h = h.withColumns({"row": F.count_if("near").over(w.partitionBy(doc, "stretch")), "same": F.count(F.lit(1)).over(Window.partitionBy(doc, "name")), "mean": F.avg("size").over(Window.partitionBy(doc, "name")), "nth": F.row_number().over(Window.partitionBy(doc, "name").orderBy("line"))})
+    spacing = F.when(F.col("top"), F.col("line") - F.col("top_before"))
     g = h.groupBy(doc).agg(
-        F.max("level").alias("depth"), F.count_if(F.abs("jump") > 2).alias("jumps"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("size").between(150, 400)).alias("good"), F.count_if(F.col("size") < 50).alias("small"),
-        F.count_if(F.col("size") > 800).alias("large"), F.count_if(F.col("level") <= 2).alias("top"), F.coalesce(F.var_samp("gap"), F.lit(0.0)).alias("spread"), F.max("size").alias("largest"), F.sum("size").alias("total"))
+        F.count(F.lit(1)).alias("n"), F.max("level").alias("depth"), F.count_if(F.col("jump") > 2).alias("jumps"), F.count_if(F.col("size").between(150, 400)).alias("good"), F.count_if(F.col("size") < 50).alias("small"),
+        F.count_if(F.col("size") > 800).alias("large"), F.count_if("top").alias("top"), F.coalesce(F.var_samp(spacing), F.lit(0.0)).alias("spread"), F.max("size").alias("largest"), F.sum("size").alias("total"),
+        (F.count_if((F.col("same") >= 3) & (F.col("mean") < 30) & (F.col("nth") == 1)) * 5).alias("repeated"), F.when(F.max("row") >= 5, 10).otherwise(0).alias("runs"), F.max("total_lines").alias("total_lines"))
     n = F.col("n").cast("double")
+    floor = lambda c: F.greatest(F.lit(0.0), c)
     depth = F.when(F.col("depth") == 1, 0.3).when(F.col("depth") == 2, 0.7).when(F.col("depth") <= 4, 1.0).otherwise(0.9)
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    even = F.when(F.col("top") >= 2, floor(1 - 100 * F.coalesce(F.try_divide(F.col("spread"), F.col("total_lines").cast("double") ** 2), F.lit(0.0)))).otherwise(0.5)
     out = g.withColumns({
-        "hierarchy": F.round(clamp(depth - 0.1 * F.col("jumps")), 6), "chunkability": F.round(clamp((F.col("good") - 0.5 * F.col("small") - 0.5 * F.col("large")) / n), 6),
-        "coverage": F.round(clamp(F.least(F.lit(1.0), F.col("top") / F.lit(5.0)) - F.least(F.lit(0.5), F.col("spread") / F.lit(10000.0))), 6), "penalty": F.when(F.col("largest") > 0.5 * F.col("total"), 10).otherwise(0)})
-    return out.withColumn("score", F.round(0.4 * F.col("hierarchy") + 0.4 * F.col("chunkability") + 0.2 * F.col("coverage") - F.col("penalty") / F.lit(30.0), 6))
+        "hierarchy": F.round(F.when(F.col("n") == 1, depth).otherwise(0.5 * depth + 0.5 * floor(1 - 2 * F.col("jumps") / (n - 1))), 6),
+        "chunkability": F.round(floor((F.col("good") - 0.3 * F.col("small") - 0.5 * F.col("large")) / n), 6),
+        "coverage": F.round(F.when(F.col("top") == 0, 0.0).otherwise(0.6 * F.least(F.col("top") / 10.0, F.lit(1.0)) + 0.4 * even), 6),
+        "imbalance": F.when((F.col("n") > 1) & (F.col("largest") > 0.5 * F.col("total")), 15).otherwise(0)})
+    out = out.withColumn("penalty", F.col("repeated") + F.col("runs") + F.col("imbalance"))
+    return out.withColumn("score", F.round(floor(0.4 * F.col("hierarchy") + 0.4 * F.col("chunkability") + 0.2 * F.col("coverage") - F.least(F.col("penalty") / 30.0, F.lit(1.0))), 6))
+
+
+def better_of(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """(key, best): 'first' or 'second' of two scored documents: the higher score; within .01 better chunkability, fewer jumps, more top headings, then the second. One alone wins."""
+    cols = ["score", "chunkability", "jumps", "top"]
+    a, b = (df.select(key, F.struct(*cols).alias(n)) for df, n in ((first, "a"), (second, "b")))
+    c = lambda n, x: F.col(f"{n}.{x}")
+    wins = F.when(F.abs(c("a", "score") - c("b", "score")) >= 0.01, c("a", "score") > c("b", "score")).when(c("a", "chunkability") != c("b", "chunkability"), c("a", "chunkability") > c("b", "chunkability"))
+    wins = wins.when(c("a", "jumps") != c("b", "jumps"), c("a", "jumps") < c("b", "jumps")).otherwise(c("a", "top") > c("b", "top"))
+    return a.join(b, key, "full").select(key, F.when(F.col("b").isNull() | (F.col("a").isNotNull() & wins), "first").otherwise("second").alias("best"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = range(1, 6)
+LEVELS = range(1, 7)
 
 
-def parse_headings(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, line, level, title) of lines with one to five marks and a blank."""
-    h = lines.where(F.col("text").rlike(r"^#{1,5}\s+"))
+def parse_headings(lines: DataFrame, doc: str = "doc_id", most: int = 5) -> DataFrame:
+    """(doc, line, level, title) of lines with one to `most` marks and a blank."""
+    h = lines.where(F.col("text").rlike(r"^#{1,%d}\s+" % most))
     return h.select(doc, "line", F.length(F.regexp_extract("text", r"^(#+)\s+", 1)).alias("level"), F.trim(F.regexp_extract("text", r"^#+\s+(.*)$", 1)).alias("title"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import consolidation as K
 from folioflow.plans import corpus as C
-from folioflow.plans.predicates import docs, events, orders
+from folioflow.plans.predicates import LINKS, docs, events, items_with_links, orders
 from folioflow.registry import query
 
 #: Items: the leaves on two of three lines, for queries by work.
@@ -119,12 +119,13 @@ def c16(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("views"), F.min("event_id").alias("first"))
 
 
-@query("c17_parse_links", "SELECT event_id, event_id % 100 AS work, user_id AS start_line, user_id + 5 AS end_line FROM events")
+@query("c17_parse_links", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 100 END AS work, CASE WHEN event_id % 3 = 0 THEN user_id END AS start_line, CASE WHEN event_id % 3 = 0 THEN user_id + 5 END AS end_line, CASE WHEN event_id % 3 = 1 AND user_id % 2 = 0 OR event_id % 3 = 2 THEN event_id END AS query, CASE WHEN event_id % 3 = 1 AND user_id % 2 = 0 THEN user_id END AS result FROM events")
 def c17(spark, sf_dir):
-    s = lambda c: c.cast("string")
-    link = F.concat(F.lit("/corpus/"), s(F.col("event_id") % 100), F.lit("?start="), s(F.col("user_id")), F.lit("&end="), s(F.col("user_id") + 5))
-    p = r"^/corpus/(\d+)\?start=(\d+)&end=(\d+)$"
-    return events(spark, sf_dir).select("event_id", *[F.regexp_extract(link, p, i).cast("long").alias(n) for i, n in ((1, "work"), (2, "start_line"), (3, "end_line"))])
+    """Excerpts to (work, start_line, end_line), results to (query, result), queries to (query); nulls where the link hasn't its type's shape."""
+    part = lambda kind, i: F.when(F.col("kind") == kind, F.nullif(F.regexp_extract("link", LINKS[kind], i), F.lit("")).cast("long"))
+    return items_with_links(spark, sf_dir).select(
+        "event_id", part("excerpt", 1).alias("work"), part("excerpt", 2).alias("start_line"), part("excerpt", 3).alias("end_line"),
+        F.coalesce(part("research_result", 1), part("research_query", 1)).alias("query"), part("research_result", 2).alias("result"))
 
 
 @query("h3_truncate_around")

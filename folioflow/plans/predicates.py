@@ -90,24 +90,31 @@ def f13(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.when(err, "failed").when(F.col("value").isNull(), "pending").otherwise("complete").alias("status"), F.when(err, F.coalesce("props", F.lit("unknown"))).alias("error"))
 
 
-_LINKS = {"chunk": r"^/corpus/\d+\?start=\d+&end=\d+$", "result": r"^/rag/\d+/results/\d+$", "query": r"^/rag/\d+$"}
+#: The links of collection items by type.
+LINKS = {"excerpt": r"^/search/result/(\d+)/(\d+)/(\d+)$", "research_result": r"^/rag/(\d+)/results/(\d+)$", "research_query": r"^/rag/(\d+)$"}
 
 
 def valid_link(item_type, link):
     """Column: does the link have its type's shape?"""
     out = F.lit(False)
-    for kind, pattern in _LINKS.items():
+    for kind, pattern in LINKS.items():
         out = F.when(item_type == kind, link.rlike(pattern)).otherwise(out)
     return out
 
 
+def items_with_links(spark, sf_dir):
+    """(event_id, kind, link): collection items of all three types, some with a wrong link."""
+    e, s = events(spark, sf_dir), lambda c: c.cast("string")
+    n, u = s(F.col("event_id")), s(F.col("user_id"))
+    kind = F.when(F.col("event_id") % 3 == 0, "excerpt").when(F.col("event_id") % 3 == 1, "research_result").otherwise("research_query")
+    link = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/search/result/"), s(F.col("event_id") % 100), F.lit("/"), u, F.lit("/"), s(F.col("user_id") + 5)))
+    link = link.when(F.col("event_id") % 3 == 1, F.concat(F.lit("/rag/"), n, F.when(F.col("user_id") % 2 == 0, "/results/").otherwise("/result/"), u)).otherwise(F.concat(F.lit("/rag/"), n))
+    return e.select("event_id", kind.alias("kind"), link.alias("link"))
+
+
 @query("f14_link_validation", "SELECT event_id, event_id % 3 = 1 AND user_id % 2 = 0 OR event_id % 3 <> 1 AS valid FROM events")
 def f14(spark, sf_dir):
-    e = events(spark, sf_dir)
-    n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    kind = F.when(F.col("event_id") % 3 == 0, "chunk").when(F.col("event_id") % 3 == 1, "result").otherwise("query")
-    link = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/corpus/"), n, F.lit("?start="), u, F.lit("&end=9"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("/rag/"), n, F.when(F.col("user_id") % 2 == 0, "/results/").otherwise("/result/"), u)).otherwise(F.concat(F.lit("/rag/"), n))
-    return e.select("event_id", kind.alias("k"), link.alias("l")).select("event_id", valid_link(F.col("k"), F.col("l")).alias("valid"))
+    return items_with_links(spark, sf_dir).select("event_id", valid_link(F.col("kind"), F.col("link")).alias("valid"))
 
 
 @query("f15_score_validation", "SELECT doc_id, quality * 12 - 6 AS score, abs(quality * 12 - 6) <= 10 AS in_range, toxic = 0 AS complete FROM labels")

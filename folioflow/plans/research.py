@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
@@ -24,17 +23,17 @@ def sections(spark, sf_dir):
 
 
 _CL = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, {}))"
-_DENS, _COMP, _DIV = _CL.format("coalesce(len(c) * 100.0::DOUBLE / nullif(words, 0), 0)"), _CL.format("words / 1000.0::DOUBLE"), _CL.format("len(list_distinct(c)) / 5.0::DOUBLE")
+_DENS, _COMP, _DIV = _CL.format("coalesce(len(c) * 50.0::DOUBLE / nullif(words, 0), 0)"), _CL.format("words / 1000.0::DOUBLE"), _CL.format("len(list_distinct(c)) / 5.0::DOUBLE")
 
 
-@query("g11_quality_score", f"WITH {_SEC_SQL} SELECT doc_id, round(0.4::DOUBLE * {_DENS} + 0.2::DOUBLE * {_CL.format('1 - (doc_id % 200) / 180.0::DOUBLE')} + 0.15::DOUBLE * {_COMP} + 0.15::DOUBLE * {_DIV} + 0.1::DOUBLE * CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END, 6) AS quality FROM sec1")
+@query("g11_quality_score", f"WITH {_SEC_SQL} SELECT doc_id, CASE WHEN words = 0 THEN 0 ELSE round(0.4::DOUBLE * {_DENS} + 0.2::DOUBLE * {_CL.format('1 - (doc_id % 200) / 180.0::DOUBLE')} + 0.15::DOUBLE * {_COMP} + 0.15::DOUBLE * {_DIV} + 0.1::DOUBLE * CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END, 6) END AS quality FROM sec1")
 def g11(spark, sf_dir):
     as_of = F.lit("2025-01-01").cast("date")
     made = F.date_sub(as_of, (F.col("doc_id") % 200).cast("int"))
-    return sections(spark, sf_dir).select("doc_id", R.quality_score(F.col("text"), made, F.when(F.col("doc_id") % 2 == 0, "gpt-4-turbo").otherwise("tiny"), as_of).alias("quality"))
+    return sections(spark, sf_dir).select("doc_id", R.quality_score(F.col("text"), made, F.when(F.col("doc_id") % 2 == 0, "GPT-4-turbo").otherwise("tiny"), as_of).alias("quality"))
 
 
-@query("g12_reuse_strategy", "WITH m AS (SELECT label AS k, vec_id % 37 AS q, (vec_id % 100) / 100.0::DOUBLE AS similarity, ((vec_id * 7) % 100) / 100.0::DOUBLE AS quality FROM embeddings), g AS (SELECT k, q, count(CASE WHEN quality > 0.75 THEN 1 END) AS n, max(CASE WHEN quality > 0.75 THEN similarity END) AS s FROM m GROUP BY 1, 2) SELECT k * 100 + q AS question, CASE WHEN n > 1 THEN 'ensemble' WHEN n = 1 AND s > 0.9 THEN 'exact_reuse' WHEN n = 1 AND s > 0.85 THEN 'partial_reuse' ELSE 'new_generation' END AS strategy FROM g")
+@query("g12_reuse_strategy", "WITH m AS (SELECT label AS k, vec_id % 37 AS q, (vec_id % 100) / 100.0::DOUBLE AS similarity, ((vec_id * 7) % 100) / 100.0::DOUBLE AS quality FROM embeddings), g AS (SELECT k, q, count(CASE WHEN quality > 0.75 THEN 1 END) AS n, max(CASE WHEN quality > 0.75 THEN similarity END) AS s FROM m GROUP BY 1, 2) SELECT k * 100 + q AS question, CASE n WHEN 0 THEN 'new_generation' WHEN 1 THEN CASE WHEN s > 0.9 THEN 'exact_reuse' WHEN s > 0.85 THEN 'partial_reuse' ELSE 'ensemble' END ELSE 'ensemble' END AS strategy FROM g")
 def g12(spark, sf_dir):
     e = C.table(spark, sf_dir, "embeddings")
     m = e.select((F.col("label") * 100 + F.col("vec_id") % 37).alias("question"), ((F.col("vec_id") % 100) / F.lit(100.0)).alias("similarity"), ((F.col("vec_id") * 7 % 100) / F.lit(100.0)).alias("quality"))
@@ -49,13 +48,22 @@ def g13(spark, sf_dir):
     return s.select("doc_id", X.count_words(F.col("text")).alias("words"), F.size("c").alias("citations"), F.size(F.filter(keys, lambda k: F.exists("c", lambda x: F.contains(x, k)))).alias("sources"))
 
 
-_COV = "least(1.0::DOUBLE, coalesce((doc_id % 9)::DOUBLE / nullif(doc_id % 11, 0), 0))"
+_QUAL = f"""{_SEC_SQL}, qual AS (SELECT doc_id, words AS w, c, least(1.0::DOUBLE, len(c) / greatest(1, len(list_filter(regexp_split_to_array(text, '\\.\\s+'), lambda s: trim(s) <> '')))::DOUBLE) AS cov,
+  len(list_filter(['Smith', 'Jones', 'Kim'], lambda s: len(list_filter(c, lambda x: contains(x, s))) > 0)) AS sources FROM sec1),
+ql AS (SELECT *, CASE WHEN w > 800 AND cov > 0.5 THEN 'High' WHEN w > 400 AND cov > 0.3 THEN 'Medium' ELSE 'Low' END AS coherence FROM qual)"""
 
 
-@query("g14_section_quality", f"SELECT doc_id, round(cov, 6) AS coverage, CASE WHEN w > 800 AND round(cov, 6) > 0.5 THEN 'High' WHEN w > 400 AND round(cov, 6) > 0.3 THEN 'Medium' ELSE 'Low' END AS coherence, CASE WHEN doc_id % 5 >= 3 AND w > 600 THEN 'High' WHEN doc_id % 5 >= 1 AND w > 200 THEN 'Medium' ELSE 'Low' END AS completeness FROM (SELECT doc_id, n_chars / 5 AS w, {_COV} AS cov FROM documents)")
+def judged(spark, sf_dir):
+    """Sections with the counts that their quality is made of."""
+    keys = F.array(F.lit("Smith"), F.lit("Jones"), F.lit("Kim"))
+    s = sections(spark, sf_dir).withColumn("c", R.citations(F.col("text")))
+    s = s.select("doc_id", X.count_words(F.col("text")).alias("words"), F.size("c").alias("citations"), R.count_sentences(F.col("text")).alias("sentences"), "c", F.size(F.filter(keys, lambda k: F.exists("c", lambda x: F.contains(x, k)))).alias("sources"))
+    return R.section_quality(s)
+
+
+@query("g14_section_quality", f"WITH {_QUAL} SELECT doc_id, round(cov, 2) AS coverage, coherence, CASE WHEN sources >= 3 AND w > 600 THEN 'High' WHEN sources >= 1 AND w > 200 THEN 'Medium' ELSE 'Low' END AS completeness FROM ql")
 def g14(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", (F.col("n_chars") / 5).alias("words"), (F.col("doc_id") % 9).alias("citations"), (F.col("doc_id") % 11).alias("sentences"), (F.col("doc_id") % 5).alias("sources"))
-    return R.section_quality(d).select("doc_id", "coverage", "coherence", "completeness")
+    return judged(spark, sf_dir).select("doc_id", "coverage", "coherence", "completeness")
 
 
 @query("g15_broken_citations", f"WITH {_SEC_SQL} SELECT doc_id, CAST(len(list_filter(c, lambda x: NOT contains(x, 'Smith'))) AS INT) AS broken FROM sec1")
@@ -65,28 +73,35 @@ def g15(spark, sf_dir):
     return sections(spark, sf_dir).select("doc_id", F.size(bad).alias("broken"))
 
 
-@query("g16_refinement_decision", "SELECT doc_id, (doc_id % 10 < 7 OR doc_id % 5 < 3 OR doc_id % 7 = 0) AND doc_id % 4 < 2 AS refine FROM documents")
+@query("g16_refinement_decision", f"WITH {_QUAL} SELECT doc_id, (round(cov, 2) < 0.7 OR sources < 3 OR coherence = 'Low' OR len(list_filter(c, lambda x: NOT contains(x, 'Smith'))) > 0) AND doc_id % 4 < 2 AS refine FROM ql")
 def g16(spark, sf_dir):
-    """Coverage under .7, fewer than three sources or a broken citation, at most two rounds."""
-    d = F.col("doc_id")
-    return docs(spark, sf_dir).select("doc_id", ((((d % 10) / 10 < 0.7) | (d % 5 < 3) | (d % 7 == 0)) & (d % 4 < 2)).alias("refine"))
-
-
-_ST = """g AS (SELECT doc_id, max(level) AS depth, count(CASE WHEN abs(jump) > 2 THEN 1 END) AS jumps, count(*) AS n, count(CASE WHEN size BETWEEN 150 AND 400 THEN 1 END) AS good, count(CASE WHEN size < 50 THEN 1 END) AS small, count(CASE WHEN size > 800 THEN 1 END) AS large,
-  count(CASE WHEN level <= 2 THEN 1 END) AS top, coalesce(var_samp(gap), 0) AS spread, max(size) AS largest, sum(size) AS total
-  FROM (SELECT h.doc_id, level, level - lag(level) OVER w AS jump, lead(line) OVER w - line AS gap, (coalesce(lead(line) OVER w, total_lines + 1) - line) * 12 AS size FROM hd h JOIN tot USING (doc_id) WINDOW w AS (PARTITION BY h.doc_id ORDER BY line)) GROUP BY 1),
-st AS (SELECT *, round(greatest(0, least(1.0::DOUBLE, (CASE WHEN depth = 1 THEN 0.3::DOUBLE WHEN depth = 2 THEN 0.7 WHEN depth <= 4 THEN 1.0 ELSE 0.9 END) - 0.1::DOUBLE * jumps)), 6) AS hierarchy, round(greatest(0, least(1.0::DOUBLE, (good - 0.5::DOUBLE * small - 0.5::DOUBLE * large) / n)), 6) AS chunkability,
-  round(greatest(0, least(1.0::DOUBLE, least(1.0::DOUBLE, top / 5.0::DOUBLE) - least(0.5::DOUBLE, spread / 10000.0::DOUBLE))), 6) AS coverage, CASE WHEN largest > 0.5 * total THEN 10 ELSE 0 END AS penalty FROM g),
-sc AS (SELECT *, round(0.4::DOUBLE * hierarchy + 0.4::DOUBLE * chunkability + 0.2::DOUBLE * coverage - penalty / 30.0::DOUBLE, 6) AS score FROM st)"""
+    """Sections that go for another round, of at most two; their number says how many they had."""
+    known = F.array(F.lit("Smith"), F.lit("Kim"))
+    bad = F.size(F.filter("c", lambda c: ~F.exists(known, lambda k: F.contains(c, k))))
+    return R.needs_refinement(judged(spark, sf_dir).withColumns({"broken": bad, "rounds": F.col("doc_id") % 4})).select("doc_id", "refine")
+
+
+_HEADS = r"""h6 AS (SELECT doc_id, line, len(regexp_extract(text, '^(#+)\s+', 1)) AS level, lower(trim(regexp_extract(text, '^#+\s+(.*)$', 1))) AS name FROM md WHERE regexp_matches(text, '^#{1,6}\s+')),
+hs AS (SELECT h.*, total_lines, (coalesce((SELECT min(x.line) FROM h6 x WHERE x.doc_id = h.doc_id AND x.line > h.line AND x.level <= h.level), total_lines + 1) - h.line) * 12 AS size,
+  row_number() OVER w AS k, line - lag(line) OVER w AS gap, abs(level - lag(level) OVER w) AS jump FROM h6 h JOIN tot USING (doc_id) WINDOW w AS (PARTITION BY h.doc_id ORDER BY line))"""
+_ST = """tops AS (SELECT doc_id, count(*) AS top, coalesce(var_samp(s), 0) AS spread FROM (SELECT doc_id, line - lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS s FROM hs WHERE level <= 2) GROUP BY 1),
+rep AS (SELECT doc_id, 5 * count(*) AS repeated FROM (SELECT doc_id, name FROM hs GROUP BY 1, 2 HAVING count(*) >= 3 AND avg(size) < 30) GROUP BY 1),
+five AS (SELECT DISTINCT a.doc_id FROM hs a WHERE (SELECT count(*) FROM hs b WHERE b.doc_id = a.doc_id AND b.k BETWEEN a.k - 4 AND a.k AND b.gap <= 2) = 5),
+g AS (SELECT doc_id, max(total_lines) AS total_lines, count(*) AS n, max(level) AS depth, count(*) FILTER (jump > 2) AS jumps, count(*) FILTER (size BETWEEN 150 AND 400) AS good, count(*) FILTER (size < 50) AS small, count(*) FILTER (size > 800) AS large, max(size) AS largest, sum(size) AS total FROM hs GROUP BY 1),
+d AS (SELECT g.*, coalesce(top, 0) AS top, coalesce(spread, 0) AS spread, coalesce(repeated, 0) AS repeated, CASE WHEN five.doc_id IS NULL THEN 0 ELSE 10 END AS runs, CASE WHEN n > 1 AND largest > 0.5 * total THEN 15 ELSE 0 END AS imbalance,
+  CASE depth WHEN 1 THEN 0.3::DOUBLE WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 WHEN 4 THEN 1.0 ELSE 0.9 END AS dp FROM g LEFT JOIN tops USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN five USING (doc_id)),
+st AS (SELECT *, round(CASE WHEN n = 1 THEN dp ELSE dp * 0.5::DOUBLE + 0.5::DOUBLE * greatest(0::DOUBLE, 1 - jumps * 2.0::DOUBLE / (n - 1)) END, 6) AS hierarchy, round(greatest(0::DOUBLE, good / n::DOUBLE - small / n::DOUBLE * 0.3::DOUBLE - large / n::DOUBLE * 0.5::DOUBLE), 6) AS chunkability,
+  round(CASE WHEN top = 0 THEN 0 ELSE least(top / 10.0::DOUBLE, 1) * 0.6::DOUBLE + 0.4::DOUBLE * CASE WHEN top = 1 THEN 0.5 ELSE greatest(0::DOUBLE, 1 - spread / (total_lines * total_lines)::DOUBLE * 100) END END, 6) AS coverage, repeated + runs + imbalance AS penalty FROM d),
+sc AS (SELECT *, round(greatest(0::DOUBLE, hierarchy * 0.4::DOUBLE + chunkability * 0.4::DOUBLE + coverage * 0.2::DOUBLE - least(penalty / 30.0::DOUBLE, 1)), 6) AS score FROM st)"""
 
 
 def scored(spark, sf_dir):
     x = md_lines(spark, sf_dir)
-    return R.structure_scores(S.parse_headings(x), totals(x))
+    return R.structure_scores(S.parse_headings(x, most=6), totals(x))
 
 
 def _st(cols: str) -> str:
-    return C.sql(f"SELECT doc_id, {cols} FROM sc", MD_SQL.strip(), _ST)
+    return C.sql(f"SELECT doc_id, {cols} FROM sc", MD_SQL.strip(), _HEADS, _ST)
 
 
 @query("g17_structure_score", _st("score"))
@@ -109,16 +124,14 @@ def g20(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", "good", "small", "large", "chunkability")
 
 
-@query("g21_penalties", C.sql("SELECT doc_id, sum((n >= 3)::INT)::BIGINT AS repeated FROM (SELECT doc_id, title, count(*) AS n FROM hd WHERE length(title) < 20 GROUP BY 1, 2) GROUP BY 1", MD_SQL.strip()))
+@query("g21_penalties", _st("CAST(repeated AS BIGINT) AS repeated, CAST(runs AS INT) AS runs, CAST(imbalance AS INT) AS imbalance, CAST(penalty AS BIGINT) AS penalty"))
 def g21(spark, sf_dir):
-    """Short headings that repeat at least three times."""
-    h = S.parse_headings(md_lines(spark, sf_dir)).where(F.length("title") < 20)
-    return h.groupBy("doc_id", "title").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.count_if(F.col("n") >= 3).alias("repeated"))
+    return scored(spark, sf_dir).select("doc_id", "repeated", "runs", "imbalance", "penalty")
 
 
-@query("g22_compare_documents", C.sql("SELECT k, max_by(doc_id, (floor(score / 0.01), chunkability, -jumps, top, -doc_id)) AS best FROM (SELECT *, doc_id // 2 AS k FROM sc) GROUP BY 1", MD_SQL.strip(), _ST))
+@query("g22_compare_documents", C.sql("""SELECT coalesce(a.doc_id, b.doc_id) // 2 AS k, CASE WHEN b.doc_id IS NULL THEN 'first' WHEN a.doc_id IS NULL THEN 'second' WHEN abs(a.score - b.score) >= 0.01 THEN CASE WHEN a.score > b.score THEN 'first' ELSE 'second' END
+  WHEN (a.chunkability, -a.jumps, a.top) > (b.chunkability, -b.jumps, b.top) THEN 'first' ELSE 'second' END AS best FROM (SELECT * FROM sc WHERE doc_id % 2 = 0) a FULL JOIN (SELECT * FROM sc WHERE doc_id % 2 = 1) b ON a.doc_id // 2 = b.doc_id // 2""", MD_SQL.strip(), _HEADS, _ST))
 def g22(spark, sf_dir):
-    """Of two candidates the better by score (in bands of .01), then chunkability, fewer jumps, more top headings."""
+    """Two conversions of one work: documents 2k and 2k + 1."""
     s = scored(spark, sf_dir).withColumn("k", F.floor(F.col("doc_id") / 2))
-    w = Window.partitionBy("k").orderBy(F.desc(F.floor(F.col("score") / 0.01)), F.desc("chunkability"), "jumps", F.desc("top"), "doc_id")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("k", F.col("doc_id").alias("best"))
+    return R.better_of(s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1"), "k")

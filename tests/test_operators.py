@@ -105,8 +105,28 @@ def test_experiment_statistics(spark):
 
 
 def test_reuse_strategy(spark):
-    m = spark.createDataFrame([("a", 0.95, 0.5), ("b", 0.95, 0.8), ("c", 0.88, 0.8), ("d", 0.9, 0.8), ("d", 0.9, 0.9)], "q string, similarity double, quality double")
-    assert dict(rows(research.reuse_strategy(m, "q"), "q", "strategy")) == {"a": "new_generation", "b": "exact_reuse", "c": "partial_reuse", "d": "ensemble"}
+    m = spark.createDataFrame([("a", 0.95, 0.5), ("b", 0.95, 0.8), ("c", 0.88, 0.8), ("d", 0.9, 0.8), ("d", 0.9, 0.9), ("e", 0.8, 0.8)], "q string, similarity double, quality double")
+    assert dict(rows(research.reuse_strategy(m, "q"), "q", "strategy")) == {"a": "new_generation", "b": "exact_reuse", "c": "partial_reuse", "d": "ensemble", "e": "ensemble"}
+
+
+def test_structure_scores(spark):
+    h = [(0, 1 + 20 * i, 1 + i % 2, f"t{i}") for i in range(10)] + [(1, 1, 1, "only")] + [(2, i, 1 if i == 1 else 5, "Same ") for i in range(1, 9)]
+    t = spark.createDataFrame([(0, 200), (1, 10), (2, 100)], "doc_id int, total_lines int")
+    got = {r.doc_id: r for r in research.structure_scores(spark.createDataFrame(h, "doc_id int, line int, level int, title string"), t).collect()}
+    assert (got[0].hierarchy, got[0].coverage, got[0].penalty, got[0].jumps) == (0.85, 1.0, 0, 0)
+    assert (got[1].hierarchy, got[1].coverage, got[1].top, got[1].imbalance) == (0.3, 0.26, 1, 0)
+    assert (got[2].runs, got[2].repeated, got[2].jumps, got[2].imbalance) == (10, 0, 1, 15) and got[2].score == 0.0
+    s = spark.createDataFrame([(1, 0.5, 0.2, 1, 3), (2, 0.505, 0.3, 1, 3), (3, 0.5, 0.2, 1, 3)], "k int, score double, chunkability double, jumps int, top int")
+    o = spark.createDataFrame([(1, 0.6, 0.2, 1, 3), (2, 0.5, 0.2, 1, 3), (4, 0.5, 0.2, 1, 3)], s.schema)
+    assert dict(rows(research.better_of(s, o, "k"), "k", "best")) == {1: "second", 2: "first", 3: "first", 4: "second"}
+    assert dict(rows(research.better_of(s, s, "k"), "k", "best")) == {1: "second", 2: "second", 3: "second"}
+
+
+def test_section_quality(spark):
+    s = spark.createDataFrame([(1, 900, 6, 10, 3), (2, 500, 4, 0, 1), (3, 10, 0, 0, 0)], "id int, words int, citations int, sentences int, sources int")
+    got = research.needs_refinement(research.section_quality(s).withColumns({"broken": F.lit(0), "rounds": F.lit(0)}))
+    assert rows(got, "id", "coverage", "coherence", "completeness", "refine") == [(1, 0.6, "High", "High", True), (2, 1.0, "Medium", "Medium", True), (3, 0.0, "Low", "Low", True)]
+    assert value(spark, research.count_sentences(F.lit("A b. C d.\nE"))) == 3 and value(spark, research.count_sentences(F.lit(""))) == 1
 
 
 def test_text_functions(spark):
@@ -119,7 +139,7 @@ def test_text_functions(spark):
 
 
 def test_links_and_parameters(spark):
-    assert value(spark, valid_link(F.lit("chunk"), F.lit("/corpus/1?start=2&end=3"))) and not value(spark, valid_link(F.lit("result"), F.lit("/rag/1")))
+    assert value(spark, valid_link(F.lit("excerpt"), F.lit("/search/result/1/2/3"))) and not value(spark, valid_link(F.lit("research_result"), F.lit("/rag/1")))
     assert resolve("retrieval", "rrf_k") == 50 and resolve("retrieval", "rrf_k", argument=9) == 9 and resolve("a", "b", deprecated=3) == 3 and resolve("a", "b") is None
 
 
