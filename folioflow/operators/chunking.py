@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words in a chunk (aim, most, least) and sentences carried over.
@@ -13,10 +13,25 @@ TARGET, MOST, LEAST, OVERLAP = 200, 300, 50, 3
 _EDGE = re.compile(r"(?<=[.!?])\s+")
 
 
+BULLET = r"^\s*[-*+]\s+"
+
+
 def bullet_sentence(line: Column) -> Column:
-    """A bullet line as a sentence; other lines as they are."""
-    body = F.regexp_replace(line, r"^\s*[-*+]\s+", "")
-    return F.when(line.rlike(r"^\s*[-*+]\s+"), F.concat(body, F.when(body.rlike(r"[.!?]\s*$"), "").otherwise("."))).otherwise(line)
+    """A bullet's text as a sentence; '' if it has none."""
+    body = F.trim(F.regexp_replace(line, r"^\s*[-*+]\s*", ""))
+    return F.when(body == "", "").otherwise(F.concat(body, F.when(body.rlike(r"[.!?]$"), "").otherwise(".")))
+
+
+def bullets_to_sentences(lines: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, line, text) of lines (by, line, text): each run of bullets becomes one line of sentences, at the run's first line; a run without any text goes."""
+    along = Window.partitionBy(by).orderBy("line")
+    x = lines.withColumn("bullet", F.col("text").rlike(BULLET))
+    new = ~F.col("bullet") | ~F.coalesce(F.lag("bullet").over(along), F.lit(False))
+    x = x.withColumn("run", F.sum(new.cast("int")).over(along))
+    said = F.array_sort(F.collect_list(F.struct("line", F.when(F.col("bullet"), bullet_sentence(F.col("text"))).otherwise(F.col("text")).alias("t"))))
+    g = x.groupBy(by, "run", "bullet").agg(F.min("line").alias("line"), said.alias("p"))
+    text = F.array_join(F.filter(F.transform("p", lambda s: s["t"]), lambda t: t != ""), " ")
+    return g.select(by, "line", F.when(F.col("bullet"), text).otherwise(F.col("p")[0]["t"]).alias("text"), "bullet").where("not bullet or text != ''").drop("bullet")
 
 
 def paragraph_chunks(paragraphs: DataFrame, by: str = "doc_id") -> DataFrame:

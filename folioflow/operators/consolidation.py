@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from itertools import accumulate
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import structure as S
+from folioflow.sources.files import written
 
 
 def coverage(items: DataFrame, parents: DataFrame, by: str = "query_id") -> DataFrame:
@@ -36,22 +41,48 @@ def consolidate_once(items: DataFrame, parents: DataFrame, threshold: float = 0.
     return up.unionByName(rest.select(by, F.col("parent_id").alias("node_id"), "start_line", "end_line", "score", F.lit(False).alias("replaced")))
 
 
-def consolidate(items: DataFrame, parents: DataFrame, threshold: float = 0.5, gap: int = 7, rounds: int = 5, by: str = "query_id") -> DataFrame:
-    """(by, node_id, level_up, start_line, end_line, score): rounds of consolidation until nothing is covered enough, at most the height of the forest.
+def consolidate(items: DataFrame, parents: DataFrame, threshold: float = 0.5, gap: int = 7, by: str = "query_id", enrich: bool = False) -> DataFrame:
+    """(by, ids, parent_id, node_id, level_up, start_line, end_line, score, content): contexts consolidated until nothing changes.
 
-    items (by, id, parent_id, content, start_line, end_line, score); parents (id, parent_id, content, start_line, end_line).
-    Each round is a grouping and two joins over what the round before replaced; the rest is final.
+    items (by, id, parent_id, content, start_line, end_line, score, and work_id and heading_breadcrumbs or not); parents (id, parent_id, content, start_line, end_line).
+    In each round a group of items under one parent that covers `threshold` of it becomes the parent (node_id, its own parent next;
+    level_up counts); the others merge what lies within `gap` lines, with the lines of the parent between them if `enrich`. Items
+    without a parent merge inside their work. What isn't changed stays as it is, so nothing is lost at any height. Rounds are as many
+    as the forest is high and merges follow each other; each is written to the shared folder.
     """
-    current, done = items.select(by, "id", "parent_id", "content", "start_line", "end_line", "score"), None
-    p = parents.select(F.col("id").alias("_p"), F.col("parent_id").alias("up"), F.col("content").alias("pc"), F.col("start_line").alias("ps"), F.col("end_line").alias("pe"))
-    for n in range(rounds):
-        cov = coverage(current, parents, by)
-        j = current.join(cov, [by, "parent_id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-        stay = merged_groups(j.where(F.col("coverage") < threshold).select(*current.columns), gap, by).select(by, F.col("parent_id").alias("node_id"), F.lit(n).alias("level_up"), "start_line", "end_line", "score")
-        done = stay if done is None else done.unionByName(stay)
-        up = j.where(F.col("coverage") >= threshold).groupBy(by, "parent_id").agg(F.max("score").alias("score")).withColumnRenamed("parent_id", "id")
-        current = up.join(p, F.col("id") == F.col("_p")).select(by, "id", F.col("up").alias("parent_id"), F.col("pc").alias("content"), F.col("ps").alias("start_line"), F.col("pe").alias("end_line"), "score")
-    return done
+    p = parents.select(F.col("id").alias("_p"), F.col("parent_id").alias("_up"), F.col("content").alias("_content"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
+    crumb = F.col("heading_breadcrumbs") if "heading_breadcrumbs" in items.columns else F.lit(None).cast("string")
+    work = F.concat(F.lit("w"), F.col("work_id").cast("string")) if "work_id" in items.columns else F.concat(F.lit("i"), F.col("id").cast("string"))
+    group = [by, "parent_id", "root"]
+    key = [by, "parent_id", "work", "start_line", "end_line", "score", "content", "ids", "node_id", "level_up", "crumb"]
+    state = items.select(by, "parent_id", work.alias("work"), "start_line", "end_line", "score", "content", F.array("id").alias("ids"), F.lit(None).cast("long").alias("node_id"), F.lit(0).alias("level_up"), crumb.alias("crumb"))
+    state = written(state)
+    before = state.count()
+    while before:
+        whole = state.join(p, F.col("parent_id") == F.col("_p"), "left").withColumn("root", F.when(F.col("_p").isNull(), F.col("work")))
+        whole = whole.withColumn("covered", F.coalesce(F.try_divide(F.sum(F.length("content")).over(Window.partitionBy(*group)).cast("double"), F.length("_content")), F.lit(0.0)) >= threshold)
+        up = whole.where("covered").groupBy(by, F.col("parent_id").alias("node_id"), F.col("_up").alias("parent_id")).agg(
+            F.min("work").alias("work"), F.first("_start").alias("start_line"), F.first("_end").alias("end_line"), F.max("score").alias("score"), F.first("_content").alias("content"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"),
+            (F.max("level_up") + 1).alias("level_up"), F.lit(None).cast("string").alias("crumb"))
+        rest = S.islands(whole.where("not covered").withColumn("_id", F.element_at("ids", 1)), group, gap, order="_id")
+        part = F.array_sort(F.collect_list(F.struct("start_line", "end_line", F.element_at("ids", 1).alias("id"), "content", "ids", "node_id", "crumb")))
+        merged = rest.groupBy(*group, "island").agg(
+            F.min("work").alias("work"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("score").alias("score"), part.alias("p"), F.max("level_up").alias("level_up"), F.first("_content").alias("_content"), F.first("_start").alias("_start"))
+        joined = F.array_join(F.filter(F.transform("p", lambda x: x["content"]), lambda c: F.coalesce(c, F.lit("")) != ""), "\n\n")
+        between = lines_of(F.col("_content"), F.col("start_line"), F.col("end_line"), F.col("_start")) if enrich else F.lit("")
+        text = F.when(F.trim(F.coalesce(between, F.lit(""))) != "", between).otherwise(joined)
+        head = F.trim(F.element_at(F.split(F.col("p")[0]["crumb"], " > "), -1))
+        text = F.when((F.size("p") > 1) & (head != "") & ~F.startswith(text, head), F.concat(head, F.lit("\n\n"), text)).otherwise(text)
+        merged = merged.select(
+            by, "parent_id", "work", "start_line", "end_line", "score", F.when(F.size("p") == 1, F.col("p")[0]["content"]).otherwise(text).alias("content"),
+            F.array_sort(F.flatten(F.transform("p", lambda x: x["ids"]))).alias("ids"), F.when(F.size("p") == 1, F.col("p")[0]["node_id"]).alias("node_id"), "level_up", F.col("p")[0]["crumb"].alias("crumb"))
+        state = written(up.withColumn("covered", F.lit(True)).unionByName(merged.withColumn("covered", F.lit(False))))
+        n, ups = state.agg(F.count(F.lit(1)), F.count_if("covered")).first()
+        state = state.select(*key)
+        if not ups and n == before:
+            break
+        before = n
+    return state.drop("crumb", "work")
 
 
 def lines_of(content: Column, start: Column, end: Column, parent_start: Column) -> Column:
@@ -70,7 +101,6 @@ def context_blocks(items: DataFrame, by: str = "query_id") -> DataFrame:
 
 def renumber(text: Column, offset: Column) -> Column:
     """[S3] with offset 5 becomes [S8]."""
-    import re
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, offsets: pd.Series) -> pd.Series:
@@ -80,29 +110,47 @@ def renumber(text: Column, offset: Column) -> Column:
 
 
 def truncated(content: str, start: int, end: int, most: int) -> tuple[str, int, int]:
-    """The lines around start..end (0-based) of at most so many words; headings always stay; grows alternately up and down and stops at a sentence's end."""
-    import re
+    """(text, first line, last line): the lines around the characters start to end, of at most so many words; headings always stay.
 
+    The window grows by a line up and down in turn. The first line that doesn't fit ends it, there or at a line before it that ends a sentence.
+    """
+    if not content:
+        return "", 0, 0
     lines = content.split("\n")
     count = [len(x.split()) for x in lines]
     if sum(count) <= most:
         return content, 0, len(lines) - 1
+    ends = list(accumulate((len(x) + 1 for x in lines), initial=-1))[1:]  # the place of each line's break
+    a = min(bisect_left(ends, start), len(lines) - 1)
+    b = max(a, min(bisect_left(ends, end), len(lines) - 1))
     heads = {i for i, x in enumerate(lines) if re.match(r"#{1,6}\s+", x)}
-    a, b = max(0, min(start, len(lines) - 1)), max(0, min(end, len(lines) - 1))
-    left = most - sum(count[i] for i in heads | set(range(a, b + 1)))
+    words = sum(count[i] for i in heads | set(range(a, b + 1)))
     up = True
-    while left > 0 and (a > 0 or b < len(lines) - 1):
-        i = a - 1 if (up and a > 0) or b == len(lines) - 1 else b + 1
-        need = 0 if i in heads else count[i]
-        if need > left:
+    while words < most and (a > 0 or b < len(lines) - 1):
+        if up and a == 0 or not up and b == len(lines) - 1:
+            up = not up
+        i = a - 1 if up else b + 1
+        words += 0 if i in heads else count[i]
+        if words > most:
+            if up:
+                a = sentence_edge_up(lines, a, i)
+            else:
+                b = sentence_edge_down(lines, b, i)
             break
-        left -= need
         a, b, up = min(a, i), max(b, i), not up
-    while b > end and not re.search(r"[.!?][\"')\]]*\s*$", lines[b]):
-        b -= 1
     return "\n".join(x for i, x in enumerate(lines) if a <= i <= b or i in heads), a, b
 
 
+def sentence_edge_up(lines: list[str], now: int, wanted: int) -> int:
+    """The line after the nearest line from now - 1 up to `wanted` that ends a sentence; now if there is none."""
+    return next((i + 1 for i in range(now - 1, max(wanted, 0) - 1, -1) if lines[i].rstrip().endswith((".", "!", "?"))), now)
+
+
+def sentence_edge_down(lines: list[str], now: int, wanted: int) -> int:
+    """The nearest line from now + 1 down to `wanted` that ends a sentence; now if there is none."""
+    return next((i for i in range(now + 1, min(wanted, len(lines) - 1) + 1) if lines[i].rstrip().endswith((".", "!", "?"))), now)
+
+
 def truncate_around(content: Column, start: Column, end: Column, most: Column) -> Column:
     """truncated() of a column of texts."""
 

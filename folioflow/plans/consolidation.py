@@ -31,9 +31,21 @@ def c1(spark, sf_dir):
     return K.consolidate_once(items(spark, sf_dir), C.headings(spark, sf_dir), 0.6, 1)
 
 
-@query("c1_consolidate")
+def _rounds(n: int) -> list[str]:
+    """SQL of n rounds of consolidation from `items` on: s0 .. sn. A round over what doesn't change any more changes nothing."""
+    out = ["nodes AS (SELECT id, parent_id, content, start_line, end_line FROM headings)", "s0 AS (SELECT query_id, parent_id, start_line, end_line, score, content, [id] AS ids, CAST(NULL AS BIGINT) AS node_id, 0 AS up FROM items)"]
+    for k in range(n):
+        out.append(f"""c{k} AS (SELECT s.*, n.parent_id AS np, n.content AS nc, n.start_line AS ns, n.end_line AS ne, coalesce(sum(length(s.content)) OVER (PARTITION BY query_id, s.parent_id)::DOUBLE / nullif(length(n.content), 0), 0) >= 0.6 AS covered FROM s{k} s LEFT JOIN nodes n ON n.id = s.parent_id),
+i{k} AS (SELECT *, sum(CASE WHEN p IS NULL OR start_line - p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, parent_id ORDER BY start_line, end_line, ids[1]) AS island FROM (SELECT *, lag(end_line) OVER (PARTITION BY query_id, parent_id ORDER BY start_line, end_line, ids[1]) AS p FROM c{k} WHERE NOT covered)),
+s{k + 1} AS (SELECT query_id, any_value(np) AS parent_id, any_value(ns) AS start_line, any_value(ne) AS end_line, max(score) AS score, any_value(nc) AS content, list_sort(flatten(list(ids))) AS ids, parent_id AS node_id, max(up) + 1 AS up FROM c{k} WHERE covered GROUP BY query_id, c{k}.parent_id
+  UNION ALL SELECT query_id, parent_id, min(start_line), max(end_line), max(score), string_agg(content, chr(10) || chr(10) ORDER BY start_line, end_line, ids[1]) FILTER (content <> ''), list_sort(flatten(list(ids))), CASE WHEN count(*) = 1 THEN any_value(node_id) END, max(up) FROM i{k} GROUP BY query_id, parent_id, island)""")
+    return out
+
+
+@query("c1_consolidate", C.sql("SELECT query_id, list_aggregate(ids, 'string_agg', ',') AS ids, parent_id, node_id, CAST(up AS INT) AS level_up, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, score, md5(content) AS content FROM s7", _ITEMS, *_rounds(7)))
 def c1_all(spark, sf_dir):
-    return K.consolidate(items(spark, sf_dir), C.headings(spark, sf_dir), 0.6, 1, rounds=4)
+    out = K.consolidate(items(spark, sf_dir).withColumn("work_id", F.col("query_id")), C.headings(spark, sf_dir), 0.6, 1)
+    return out.select("query_id", F.array_join("ids", ",").alias("ids"), "parent_id", "node_id", "level_up", "start_line", "end_line", "score", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
 @query("c3_lines_of_parent", C.sql("SELECT l.id, list_aggregate(string_split(h.content, chr(10))[l.start_line : l.start_line + 1], 'string_agg', chr(10)) AS excerpt FROM leaves l JOIN headings h ON h.id = l.parent_id"))
@@ -130,5 +142,5 @@ def c17(spark, sf_dir):
 
 @query("h3_truncate_around")
 def h3(spark, sf_dir):
-    d = docs(spark, sf_dir).where("text is not null")
-    return d.select("doc_id", K.truncate_around(F.col("text"), F.lit(2), F.lit(3), F.lit(120)).alias("text"))
+    """A window of 120 words around characters 60 to 140 of each document."""
+    return docs(spark, sf_dir).where("text is not null").select("doc_id", K.truncate_around(F.col("text"), F.lit(60), F.lit(140), F.lit(120)).alias("text"))

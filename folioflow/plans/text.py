@@ -16,10 +16,12 @@ from folioflow.registry import query
 _W = r"len(regexp_extract_all(text, '[^\s]+'))"
 
 
-@query("t3_bullets_to_sentences", sql(r"SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN regexp_matches(b, '^\s*[-*+]\s+') THEN regexp_replace(b, '^\s*[-*+]\s+', '') || CASE WHEN regexp_matches(b, '[.!?]\s*$') THEN '' ELSE '.' END ELSE b END AS text FROM (SELECT doc_id, line, CASE WHEN line % 5 = 3 THEN '- ' || text ELSE text END AS b FROM md)"))
+@query("t3_bullets_to_sentences", sql(r"""SELECT doc_id, CAST(min(line) AS INT) AS line, CASE WHEN bullet THEN string_agg(CASE WHEN regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END, ' ' ORDER BY line) FILTER (t <> '') ELSE any_value(b) END AS text
+  FROM (SELECT *, trim(regexp_replace(b, '^\s*[-*+]\s*', '')) AS t, line - row_number() OVER (PARTITION BY doc_id, bullet ORDER BY line) AS run FROM (SELECT *, regexp_matches(b, '^\s*[-*+]\s+') AS bullet FROM (SELECT doc_id, line, CASE WHEN line % 5 IN (2, 3) THEN '- ' || text ELSE text END AS b FROM md)))
+  GROUP BY doc_id, bullet, run, CASE WHEN bullet THEN 0 ELSE line END HAVING NOT bullet OR count(*) FILTER (t <> '') > 0"""))
 def t3(spark, sf_dir):
-    b = F.when(F.col("line") % 5 == 3, F.concat(F.lit("- "), "text")).otherwise(F.col("text"))
-    return md_lines(spark, sf_dir).select("doc_id", "line", CH.bullet_sentence(b).alias("text"))
+    b = F.when((F.col("line") % 5).isin(2, 3), F.concat(F.lit("- "), "text")).otherwise(F.col("text"))
+    return CH.bullets_to_sentences(md_lines(spark, sf_dir).withColumn("text", b)).select("doc_id", "line", "text")
 
 
 @query("t6_paragraph_chunks")

@@ -16,11 +16,22 @@ from folioflow.functions import text as X
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir; a temporary one only where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/folioflow"
+    """A fresh path in the folder that all executors share: spark.checkpoint.dir. Unset, it is a temporary one in local mode (tests) and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/folioflow"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder, which cuts their lineage."""
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, content) of the *.md files under a folder; hidden files are skipped, bytes that aren't UTF-8 are read as Latin-1."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)

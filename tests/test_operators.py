@@ -146,6 +146,8 @@ def test_links_and_parameters(spark):
 def test_replies(spark):
     assert value(spark, chunking.repaired_json(F.lit("x ```json\n{“a”: [1,],}\n``` y"))) == '{"a": [1]}'
     assert value(spark, chunking.bullet_sentence(F.lit("- one"))) == "one." and value(spark, chunking.bullet_sentence(F.lit("* two!"))) == "two!"
+    lines = spark.createDataFrame([(0, i, t) for i, t in enumerate(["a", "- b", " * c?", "d", "+ ", "- e"])], "doc_id int, line int, text string")
+    assert rows(chunking.bullets_to_sentences(lines), "line", "text") == [(0, "a"), (1, "b. c?"), (3, "d"), (4, "e.")]
 
 
 def test_chunk_packing(spark):
@@ -163,9 +165,31 @@ def test_decisions(spark):
 
 def test_truncation_keeps_headings_and_centre():
     lines = ["# A", *["one two three four five." for _ in range(10)], "# B", "six seven."]
-    text, a, b = consolidation.truncated("\n".join(lines), 5, 5, 20)
-    assert "# A" in text and "# B" in text and lines[5] in text and len(text.split()) <= 20 and a <= 5 <= b
-    assert consolidation.truncated("short", 0, 0, 20)[0] == "short"
+    place = sum(len(x) + 1 for x in lines[:5])
+    text, a, b = consolidation.truncated("\n".join(lines), place, place + 3, 20)
+    assert "# A" in text and "# B" in text and len(text.split()) <= 20 and a <= 5 <= b and (a, b) == (4, 6)
+    assert consolidation.truncated("short", 0, 0, 20)[0] == "short" and consolidation.truncated("", 0, 5, 20) == ("", 0, 0)
+
+
+def test_sentence_edges():
+    lines = ["a.", "b", "c!", "d", "e?  ", "f"]
+    assert [consolidation.sentence_edge_up(lines, now, to) for now, to in ((5, 3), (4, 3), (4, 0), (1, -3))] == [5, 4, 3, 1]
+    assert [consolidation.sentence_edge_down(lines, now, to) for now, to in ((0, 1), (0, 3), (3, 9), (4, 9))] == [0, 2, 4, 4]
+
+
+def test_consolidation_climbs_to_any_height_and_keeps_every_root(spark):
+    height = 14
+    p = [(i, i + 1 if i < height else None, "x" * 10, 1, 10) for i in range(1, height + 1)] + [(100, None, "y" * 10, 1, 10), (200, None, "z" * 1000, 1, 90)]
+    parents = spark.createDataFrame(p, "id long, parent_id long, content string, start_line int, end_line int")
+    i = [(0, 1000, 1, "x" * 9, 1, 2, 0.5), (0, 1001, 100, "y" * 9, 1, 2, 0.4), (0, 1002, 200, "p", 1, 2, 0.1), (0, 1003, 200, "q", 5, 6, 0.3), (0, 1004, 200, "r", 50, 60, 0.2), (0, 1005, None, "s", 1, 2, 0.2)]
+    items = spark.createDataFrame(i, "query_id int, id long, parent_id long, content string, start_line int, end_line int, score double")
+    got = consolidation.consolidate(items, parents, 0.5, 7)
+    assert sorted((r.ids, r.node_id, r.level_up, r.start_line, r.end_line, r.score, r.content) for r in got.collect()) == [
+        ([1000], height, height, 1, 10, 0.5, "x" * 10), ([1001], 100, 1, 1, 10, 0.4, "y" * 10), ([1002, 1003], None, 0, 1, 6, 0.3, "p\n\nq"), ([1004], None, 0, 50, 60, 0.2, "r"), ([1005], None, 0, 1, 2, 0.2, "s")]
+    assert consolidation.consolidate(items.limit(0), parents).count() == 0
+    doc = spark.createDataFrame([(5, None, "l1\nl2\nl3\nl4\n" + "l" * 90, 1, 5)], parents.schema)
+    two = spark.createDataFrame([(0, 1, 5, "l1", 1, 1, 0.5, "A > B"), (0, 2, 5, "l3", 3, 3, 0.5, "A > C")], items.schema.simpleString()[7:-1] + ", heading_breadcrumbs:string")
+    assert [r.content for r in consolidation.consolidate(two, doc, 0.5, 7, enrich=True).collect()] == ["B\n\nl1\nl2\nl3"]
 
 
 def test_containment_dedup(spark):
