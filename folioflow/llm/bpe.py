@@ -30,7 +30,7 @@ from folioflow.llm.common import small_batches
 #: Fixed value: the public byte-level word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
-CACHE_BYTES, CACHE_PAIRS = 64 << 20, 400_000
+CACHE_BYTES, CACHE_PAIRS = 48 << 20, 300_000
 #: Characters of texts that are split into words at a time (a longer text alone), and the longest word that is remembered.
 CHARS, CACHE_WORD = 1_000_000, 64
 _ALONE = 1 << 60
