@@ -27,12 +27,24 @@ def searchable(chunks: DataFrame, min_sentences: int | None = None) -> DataFrame
     return out if min_sentences is None else out.where(F.col("sentence_count").isNotNull() & (F.col("sentence_count") >= min_sentences))
 
 
+#: Queries of a batch that may meet every chunk; larger sets come in batches.
+BATCH = 4_096
+
+
+def stated(queries: DataFrame) -> DataFrame:
+    """A batch of queries, after a check of its size."""
+    if queries.limit(BATCH + 1).count() > BATCH:
+        raise ValueError(f"give at most {BATCH} queries at a time")
+    return queries
+
+
 def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every query against every chunk with similarity (1 - cosine distance), rounded to 6 places.
 
     queries (query_id, qe) is the stated batch; the scan of chunks is not shuffled before the top-k.
     """
     q = queries.select("query_id", "qe", V.norm(F.col("qe")).alias("_qn"))
+    q = F.broadcast(stated(q))
     c = chunks.withColumn("_cn", V.norm(F.col("embedding")))
     cos = F.coalesce(F.try_divide(V.dot(F.col("qe"), F.col("embedding")), F.col("_qn") * F.col("_cn")), F.lit(0.0))
     return c.crossJoin(q).withColumn("similarity", F.round(cos, 6)).drop("_qn", "_cn", "qe")
@@ -50,23 +62,38 @@ def with_lexemes(chunks: DataFrame, text_col: str = "content") -> DataFrame:
 
 
 def lexical_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, n_terms, id, hits) of chunks that have all terms of a query (query_id, q).
+    """(query_id, id, hits, size) of chunks that have all terms of a query (query_id, q): how many of their lexemes are terms, of how many.
 
-    Terms meet lexemes in an equality join, so the work follows the postings of the terms, not queries x chunks.
+    Only lexemes that some query of the batch asks for are exploded, so the work follows the postings of the terms.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.lexemes(F.col("q")))).alias("term"))
-    n = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    posts = chunks.select("id", F.explode(X.lexemes(F.col("content"))).alias("term"))
-    hits = posts.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("term").alias("found"))
-    return hits.join(n, "query_id").where("found = n_terms").drop("found")
+    q = stated(queries.select("query_id", F.array_distinct(X.lexemes(F.col("q"))).alias("terms")))
+    terms = q.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    wanted = F.broadcast(q.agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_wanted")))
+    c = chunks.select("id", X.lexemes(F.col("content")).alias("_lex")).join(wanted)
+    posts = c.select("id", F.size("_lex").alias("size"), F.explode(F.filter("_lex", lambda w: F.array_contains("_wanted", w))).alias("term"))
+    hits = posts.groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(terms), "term")
+    hits = hits.groupBy("query_id", "n_terms", "id", "size").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("found"))
+    return hits.where("found = n_terms").drop("found", "n_terms")
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int | None = 20) -> DataFrame:
     """(query_id, id, score, rank, total): term frequency per lexeme, all terms required; total counts all matches."""
-    size = chunks.select("id", F.size(X.lexemes(F.col("content"))).alias("_size"))
-    m = lexical_matches(queries, chunks).join(size, "id").withColumn("score", F.round(F.col("hits") / F.col("_size"), 8))
-    m = m.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    return ranked(m, k, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "rank", "total")
+    m = lexical_matches(queries, chunks).withColumn("score", F.round(F.col("hits") / F.col("size"), 8))
+    total = m.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return ranked(m, k, F.desc("score"), F.asc("id")).join(F.broadcast(total), "query_id").select("query_id", "id", "score", "rank", "total")
+
+
+def lexical_over_ids(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best of given chunks (id, lexemes) for each query (query_id, terms), matching or not; score is the share of the lexemes that are terms."""
+    q = F.broadcast(stated(queries))
+    s = chunks.crossJoin(q).withColumn("score", F.round(F.size(F.filter("lexemes", lambda x: F.array_contains("terms", x))) / F.size("lexemes"), 8))
+    return ranked(s, k, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "rank")
+
+
+def matching_results(questions: DataFrame, results: DataFrame, bound: float = 0.85) -> DataFrame:
+    """(query_id, result_id, similarity, quality, rank): for each question (query_id, qe) the earlier results (result_id, embedding, quality) of questions more similar than the bound, best quality first."""
+    near = dense_scores(questions, results).where(F.col("similarity") > bound)
+    return ranked(near, None, F.desc("quality"), F.desc("similarity"), F.asc("result_id")).select("query_id", "result_id", "similarity", "quality", "rank")
 
 
 def heading_priority(chunks: DataFrame, needle: str) -> DataFrame:

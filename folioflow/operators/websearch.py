@@ -1,0 +1,101 @@
+"""Web-style full-text search: "quoted phrases", -excluded words, OR; ranked by cover density.
+
+A query is branches joined by OR; a branch is terms that must all match, or must not; a term is one word or a phrase of
+adjacent words. Words go through an analyser: `simple` (lower case) or `english` (also stop words and endings).
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.functions import text as X
+from folioflow.operators import search
+
+#: Words that English search leaves out.
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those"
+    " am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below"
+    " to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+_PART = re.compile(r'(-?)(?:"([^"]*)"|(\S+))')
+_WORD = re.compile(r"\w+")
+_BRANCHES = "array<array<struct<excluded: boolean, words: array<string>>>>"
+
+
+def analysed(words: Column, analyser: str = "simple") -> Column:
+    """Lower-cased words as the analyser has them, in place; a stop word becomes ''."""
+    if analyser == "simple":
+        return words
+    return F.transform(words, lambda w: F.when(w.isin(STOP), "").otherwise(stem(w)))
+
+
+def stem(word: Column) -> Column:
+    """English endings off: possessives, plurals, -ed, -ing, -ly; a doubled last consonant of what is left is single."""
+    w = F.regexp_replace(word, r"(?:'s|')$", "")
+    w = F.when(w.rlike("sses$"), F.regexp_replace(w, "sses$", "ss")).when(w.rlike("..ies$"), F.regexp_replace(w, "ies$", "i")).when(w.rlike("[^su]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)
+    bare = F.regexp_replace(w, r"^(.*[aeiouy].*)(?:ing|ed|edly|ingly)$", "$1")
+    bare = F.when(bare.rlike("(?:at|bl|iz)$"), F.concat(bare, F.lit("e"))).otherwise(F.regexp_replace(bare, r"([bdfgmnprt])\1$", "$1"))
+    w = F.when(w.rlike(r"^.*[aeiouy].*(?:ing|ed|edly|ingly)$") & (F.length(w) > 4), bare).otherwise(w)
+    w = F.when(w.rlike("[^aeiou]ly$") & (F.length(w) > 4), F.regexp_replace(w, "ly$", "")).otherwise(w)
+    return F.when(w.rlike("..[^aeiou]y$"), F.regexp_replace(w, "y$", "i")).otherwise(w)
+
+
+def parsed(queries: DataFrame, analyser: str = "simple") -> DataFrame:
+    """(query_id, branch, terms, positive): the branches of queries (query_id, q); positive are the words that have to be there. Terms of stop words only go, and so do branches without terms."""
+
+    @F.pandas_udf(_BRANCHES)
+    def parse(texts: pd.Series) -> pd.Series:
+        return pd.Series([_branches(t or "") for t in texts], dtype=object)
+
+    b = queries.select("query_id", F.posexplode(parse(F.col("q"))).alias("branch", "terms"))
+    known = F.filter(F.transform("terms", lambda t: F.struct(t["excluded"].alias("excluded"), F.filter(analysed(t["words"], analyser), lambda w: w != "").alias("words"))), lambda t: F.size(t["words"]) > 0)
+    b = b.withColumn("terms", known).where("size(terms) > 0")
+    return b.withColumn("positive", F.array_distinct(F.flatten(F.transform(F.filter("terms", lambda t: ~t["excluded"]), lambda t: t["words"]))))
+
+
+def _branches(text: str) -> list:
+    out: list[list] = [[]]
+    for minus, phrase, word in _PART.findall(text.lower()):
+        if word == "or" and not minus:
+            out.append([])
+            continue
+        words = _WORD.findall(phrase or word)
+        if words:
+            out[-1].append({"excluded": minus == "-", "words": words})
+    return [b for b in out if b]
+
+
+def has_phrase(lexemes: Column, words: Column) -> Column:
+    """Do the words stand next to each other?"""
+    n = F.size(words)
+    places = F.sequence(F.lit(1), F.size(lexemes) - n + 1)
+    return F.when(F.size(lexemes) < n, False).when(n == 1, F.array_contains(lexemes, words[0])).otherwise(F.exists(places, lambda i: F.slice(lexemes, i, n) == words))
+
+
+def matches(branches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, id, branch, lexemes, positive) of chunks (id, lexemes) that a branch matches.
+
+    A branch's words meet the lexemes in an equality join, so work follows postings; phrases and excluded terms are
+    tested on what has them all. Branches of excluded terms alone (a stated set) are tested on every chunk.
+    """
+    words = branches.select("query_id", "branch", F.explode("positive").alias("term"), F.size("positive").alias("n"))
+    wanted = chunks.join(F.broadcast(search.stated(words.select("term").distinct().agg(F.collect_set("term").alias("_wanted")))))
+    posts = wanted.select("id", F.explode(F.array_intersect("lexemes", "_wanted")).alias("term"))
+    hits = posts.join(words, "term").groupBy("query_id", "branch", "id", "n").agg(F.count(F.lit(1)).alias("found")).where("found = n").select("query_id", "branch", "id")
+    some = hits.join(branches, ["query_id", "branch"]).join(chunks.select("id", "lexemes"), "id")
+    alone = search.stated(branches.where("size(positive) = 0"))
+    every = chunks.select("id", "lexemes").crossJoin(F.broadcast(alone)).select(*some.columns)
+    ok = F.forall("terms", lambda t: has_phrase(F.col("lexemes"), t["words"]) != t["excluded"])
+    return some.unionByName(every).where(ok)
+
+
+def websearch(queries: DataFrame, chunks: DataFrame, k: int = 5, analyser: str = "english", text_col: str = "content") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks (id, content) for each query (query_id, q); score is the best branch's cover density."""
+    c = chunks.select("id", analysed(X.lexemes(F.col(text_col)), analyser).alias("lexemes"))
+    m = matches(parsed(queries, analyser), c).withColumn("score", F.round(search.cover_density(F.col("lexemes"), F.col("positive")), 8))
+    best = m.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return search.ranked(best, k, F.desc("score"), F.asc("id")).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")

@@ -121,7 +121,7 @@ def a15(spark, sf_dir):
 
 
 def _headed(spark, sf_dir):
-    return orders(spark, sf_dir).select((F.col("o_custkey") % 50).alias("work_id"), F.col("o_orderkey").alias("heading_id"), F.concat(F.lit("H"), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("level"), F.lit(20).alias("title_tokens"), F.array_repeat(F.lit(100), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("chunk_tokens")).where("heading_id < 2000")
+    return orders(spark, sf_dir).select(F.col("o_custkey").alias("work_id"), F.col("o_orderkey").alias("heading_id"), F.concat(F.lit("H"), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("level"), F.lit(20).alias("title_tokens"), F.array_repeat(F.lit(100), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("chunk_tokens"))
 
 
 @query("a16_prompt_budget")

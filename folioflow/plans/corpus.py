@@ -106,18 +106,18 @@ def sql(body: str, *more: str) -> str:
 
 
 def queries_sql() -> str:
-    """Query vectors: embeddings with vec_id < 10."""
-    return "qv AS (SELECT vec_id AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id < 10)"
+    """Query vectors, a stated set: embeddings whose vec_id is divisible by 100."""
+    return "qv AS (SELECT vec_id AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, q): the first three words of ten benchmark items."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 10")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.lexemes(F.col("text")), 1, 2), " ").alias("q"))
+    """(query_id, q): the first three words of every benchmark item."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.lexemes(F.col("text")), 1, 3), " ").alias("q"))
 
 
-TEXTS_SQL = r"qt AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 2), ' ') AS q FROM benchmark WHERE item_id < 10)"
+TEXTS_SQL = r"qt AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 3), ' ') AS q FROM benchmark)"

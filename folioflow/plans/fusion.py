@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import vector as V
-from folioflow.operators import fusion, search
+from folioflow.operators import external, fusion, search
 from folioflow.plans import corpus as C
 from folioflow.plans.search import _DENSE, _HYBRID, _LEX, hybrid
 from folioflow.registry import query
@@ -47,12 +47,12 @@ _OVER = r"round(CASE WHEN len(qw) = 0 THEN 0 ELSE CAST(len(list_intersect(qw, tw
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
 
 
-@query("g5_rerank_overlap", f"SELECT item_id, doc_id, {_OVER} AS rerank_score FROM (SELECT item_id, doc_id, {_WORDS.format('b.text')} AS qw, {_WORDS.format('d.text')} AS tw FROM benchmark b, documents d WHERE item_id < 5 AND doc_id < 100)")
+@query("g5_rerank_overlap", C.sql(f"SELECT query_id, id, round({_OVER}, 6) AS rerank_score FROM (SELECT r.query_id, h.id, {_WORDS.format('q')} AS qw, {_WORDS.format('content')} AS tw FROM (SELECT DISTINCT query_id, chunk_id FROM r) r JOIN headings h ON h.id = r.chunk_id JOIN qt USING (query_id))", *_ALL))
 def g5(spark, sf_dir):
-    """The offline reranker over pairs; a model takes its place as an iterator UDF (operators.external)."""
-    b = C.table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.col("text").alias("q"))
-    d = C.table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", "text")
-    return d.crossJoin(b).select("item_id", "doc_id", F.round(fusion.token_overlap(F.col("q"), F.col("text")), 8).alias("rerank_score"))
+    """Every fused candidate of every query, scored in batches by the offline reranker in a cross-encoder's place."""
+    c = fusion.rrf(lists(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("id"))
+    c = c.join(C.headings(spark, sf_dir).select("id", "content"), "id").join(F.broadcast(search.stated(C.query_texts(spark, sf_dir))), "query_id")
+    return external.with_rerank_score(c, "q", "content", external.overlap_scorer).select("query_id", "id", "rerank_score")
 
 
 @query("g6_entity_boost", "SELECT doc_id, round(len(list_filter(['the', 'Ouwhea', 'von'], lambda e: contains(lower(text), lower(e)))) * 0.05::DOUBLE, 4) AS boost FROM documents")

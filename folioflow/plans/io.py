@@ -11,6 +11,7 @@ from folioflow.plans.hierarchy import MD_SQL, md_lines
 from folioflow.plans.predicates import docs, events, orders, part
 from folioflow.registry import query
 from folioflow.sources import files as IO
+from folioflow.sources import navigation as NAV
 from folioflow.streaming import ingest
 
 
@@ -86,10 +87,51 @@ def s11(spark, sf_dir):
     return IO.html_to_markdown(C.table(spark, sf_dir, "pages")).select("page_id", "markdown")
 
 
-@query("s12_html_headings", r"SELECT page_id, len(regexp_extract_all(html, '<h1>')) AS n_h1, len(regexp_extract_all(html, '<li>')) AS n_li FROM pages")
+_NAV = """nav AS (SELECT work_id, 0 AS pos, 1 AS level, title, title || '.xhtml' AS document, CAST(NULL AS VARCHAR) AS fragment FROM works
+  UNION ALL SELECT DISTINCT work_id, 1 + lang_no, 2, source || ' ' || lang, source || '.xhtml', 'l' || lang_no FROM docs)"""
+
+
+def languages(spark, sf_dir):
+    """(work_id, title, langs): the languages of each work in order, as chapters of a book."""
+    c = C.documents(spark, sf_dir).groupBy("work_id", "lang_no").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
+    return c.groupBy("work_id").agg(F.min("source").alias("title"), F.array_sort(F.collect_list(F.struct("lang_no", "lang"))).alias("langs"))
+
+
+def _book(title, one, before, after):
+    parts = F.array_join(F.transform("langs", one), "")
+    return F.concat(F.lit(before[0]), F.col("title"), F.lit(before[1]), F.col("title"), F.lit(before[2]), parts, F.lit(after))
+
+
+def nav_documents(spark, sf_dir):
+    one = lambda l: F.concat(F.lit('<li><a href="text/'), F.col("title"), F.lit(".xhtml#l"), l["lang_no"].cast("string"), F.lit('"> '), F.col("title"), F.lit(" <b>"), l["lang"], F.lit("</b></a></li>"))
+    return languages(spark, sf_dir).select("work_id", _book("title", one, ('<html><body><nav epub:type="toc"><h1>Contents</h1><ol><li><a href="', '.xhtml">', "</a><ol>"), "</ol></li></ol></nav><nav><ol><li><a href='x'>other</a></li></ol></nav></body></html>").alias("nav"))
+
+
+def ncx_documents(spark, sf_dir):
+    one = lambda l: F.concat(F.lit("<navPoint><navLabel><text>"), F.col("title"), F.lit(" "), l["lang"], F.lit('</text></navLabel><content src="text/'), F.col("title"), F.lit(".xhtml#l"), l["lang_no"].cast("string"), F.lit('"/></navPoint>'))
+    return languages(spark, sf_dir).select("work_id", _book("title", one, ('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>', '</text></navLabel><content src="', '.xhtml"/>'), "</navPoint></navMap></ncx>").alias("ncx"))
+
+
+@query("s12_nav_hierarchy", C.sql("SELECT work_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY pos) - 1 AS INT) AS pos, CAST(level AS INT) AS level, title, document, fragment FROM nav", _NAV))
 def s12(spark, sf_dir):
-    p = C.table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_count("html", F.lit("<h1>")).cast("long").alias("n_h1"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("n_li"))
+    """The nested lists of EPUB 3 navigation documents."""
+    e = NAV.with_entries(nav_documents(spark, sf_dir), "nav", "nav")
+    return e.select("work_id", F.posexplode("entries").alias("pos", "e")).select("work_id", "pos", "e.*")
+
+
+@query("s14_ncx_toc", C.sql("SELECT work_id, string_agg(repeat('#', level) || ' ' || title, chr(10) || chr(10) ORDER BY pos) AS toc FROM nav GROUP BY 1", _NAV))
+def s14(spark, sf_dir):
+    """The nested points of EPUB 2 navigation as Markdown headings."""
+    return NAV.with_entries(ncx_documents(spark, sf_dir), "ncx", "ncx").select("work_id", NAV.toc_markdown(F.col("entries")).alias("toc"))
+
+
+@query("s16_json_config", "SELECT 1200 AS token_threshold, 15000 AS other")
+def s16(spark, sf_dir):
+    path = IO.scratch(spark, "config")
+    spark.range(1).select(F.lit('{"conversion": {"token_threshold": 1200, "wrong": "x"}}').alias("value")).coalesce(1).write.text(path)
+    config = IO.read_config(spark, path)
+    values = [IO.setting(config, "conversion", k, default=15000) for k in ("token_threshold", "wrong")]
+    return spark.createDataFrame([tuple(values)], "token_threshold int, other int")
 
 
 @query("s15_csv_mapping", "SELECT p_name AS old, p_brand AS new FROM part")

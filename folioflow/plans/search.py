@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.functions import vector as V
-from folioflow.operators import fusion, search
+from folioflow.operators import fusion, search, websearch
 from folioflow.plans import corpus as C
 from folioflow.registry import query
 
@@ -43,11 +42,10 @@ def r2(spark, sf_dir):
 
 @query("r3_lexical_cover_density")
 def r3(spark, sf_dir):
-    """All terms, ranked by cover density, top 5."""
-    q = C.query_texts(spark, sf_dir)
-    hits = search.lexical_matches(q, _h3(spark, sf_dir)).join(q, "query_id").join(_h3(spark, sf_dir).select("id", "content"), "id")
-    hits = hits.withColumn("score", F.round(search.cover_density(X.lexemes(F.col("content")), X.lexemes(F.col("q"))), 8))
-    return search.ranked(hits, 5, F.desc("score"), F.asc("id")).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+    """Web-style queries over the English analyser, ranked by cover density, top 5: `w1 w2 or "w3 w4" -w5` of every benchmark item."""
+    w = X.lexemes(F.col("text"))
+    q = F.concat_ws(" ", F.slice(w, 1, 2), F.lit('or "'), F.slice(w, 3, 2), F.lit('"'), F.concat(F.lit("-"), F.get(w, F.lit(4))))
+    return websearch.websearch(C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), q.alias("q")), _h3(spark, sf_dir), 5)
 
 
 @query("r4_search_lexical", C.sql("SELECT query_id, id, score, CAST(rank AS INT) AS rank, total FROM lex WHERE rank <= 20", C.TEXTS_SQL, _LEX))
@@ -57,14 +55,14 @@ def r4(spark, sf_dir):
 
 @query("r5_lexical_over_ids", C.sql(
     """SELECT query_id, id, round(coalesce(h, 0) / sz, 8) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(h, 0) / sz, 8) DESC, id) AS INT) AS rank
-    FROM (SELECT t.query_id, s.id, s.sz, CAST((SELECT count(*) FROM posts p JOIN terms x ON p.term = x.term AND x.query_id = t.query_id WHERE p.id = s.id) AS DOUBLE) AS h FROM sizes s, (SELECT DISTINCT query_id FROM terms) t WHERE s.id < 10050)
-    QUALIFY rank <= 7""", C.TEXTS_SQL, _LEX))
+    FROM (SELECT t.query_id, s.id, s.sz, h FROM (SELECT * FROM sizes WHERE id IN (SELECT id FROM dense WHERE rank <= 19)) s CROSS JOIN (SELECT DISTINCT query_id FROM terms) t
+      LEFT JOIN (SELECT p.id, x.query_id, count(*)::DOUBLE AS h FROM posts p JOIN terms x ON p.term = x.term GROUP BY 1, 2) k ON k.id = s.id AND k.query_id = t.query_id)
+    QUALIFY rank <= 7""", C.queries_sql(), C.TEXTS_SQL, _DENSE, _LEX))
 def r5(spark, sf_dir):
-    """Given ids only, no match filter: rows without any term score 0 and are ranked too."""
+    """Given ids only (what the dense lists hold), no match filter: rows without any term score 0 and are ranked too."""
+    ids = search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 19).select(F.col("chunk_id").alias("id")).distinct()
     q = C.query_texts(spark, sf_dir).select("query_id", F.array_distinct(X.lexemes(F.col("q"))).alias("terms"))
-    c = search.with_lexemes(_h3(spark, sf_dir).where("id < 10050")).select("id", "lexemes")
-    s = c.crossJoin(q).withColumn("score", F.round(F.size(F.filter("lexemes", lambda x: F.array_contains("terms", x))) / F.size("lexemes"), 8))
-    return search.ranked(s, 7, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "rank")
+    return search.lexical_over_ids(q, search.with_lexemes(_h3(spark, sf_dir).join(ids, "id", "left_semi")).select("id", "lexemes"), 7)
 
 
 @query("r6_chunk_search_priority", C.sql(
@@ -130,9 +128,8 @@ def r12(spark, sf_dir):
     return spark.range(1, 4).withColumnRenamed("id", "page").crossJoin(total).select("page", "total", (F.col("page") * 20 < F.col("total")).alias("has_next"), (F.col("page") > 1).alias("has_prev"))
 
 
-@query("r13_match_results", "WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id < 10) SELECT query_id, vec_id AS result_id, " + _COS + " AS similarity, (vec_id % 100) / 100.0::DOUBLE AS quality FROM q, embeddings WHERE " + _COS + " > 0.3")
+@query("r13_match_results", "WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id AS result_id, " + _COS + " AS similarity, (vec_id * 7 % 100) / 100.0::DOUBLE AS quality, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id * 7 % 100 DESC, " + _COS + " DESC, vec_id) AS INT) AS rank FROM q, embeddings WHERE " + _COS + " > 0.85")
 def r13(spark, sf_dir):
-    """Earlier results whose question is near enough, with their quality. The given vectors are further apart than sentence embeddings, so the bound is 0.3 instead of 0.85."""
-    q = C.query_vectors(spark, sf_dir).select("query_id", "qe")
-    r = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("result_id"), "embedding", ((F.col("vec_id") % 100) / F.lit(100.0)).alias("quality"))
-    return r.crossJoin(q).withColumn("similarity", F.round(V.cosine(F.col("qe"), F.col("embedding")), 6)).where("similarity > 0.3").select("query_id", "result_id", "similarity", "quality")
+    """Earlier results whose question is near enough, best quality first."""
+    r = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("result_id"), "embedding", ((F.col("vec_id") * 7 % 100) / F.lit(100.0)).alias("quality"))
+    return search.matching_results(C.query_vectors(spark, sf_dir), r)

@@ -22,6 +22,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict:
     """Import all modules that register queries; the queries by name."""
-    for module in ("search", "fusion", "hierarchy", "consolidation", "text", "predicates", "aggregates", "joins", "research", "io"):
+    for module in ("search", "fusion", "hierarchy", "consolidation", "text", "predicates", "aggregates", "joins", "research", "io", "assisted"):
         importlib.import_module(f"folioflow.plans.{module}")
     return QUERIES

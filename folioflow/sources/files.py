@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return f.where(~name.startswith(".")).select("path", name.alias("name"), utf8.alias("content"))
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration file of JSON, by whatever store Spark reads; a missing or unreadable one is empty."""
+    try:
+        text = "\n".join(r[0] for r in spark.read.option("wholetext", "true").text(path).collect())  # a small file
+        found = json.loads(text)
+    except (AnalysisException, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def setting(config: dict, *keys: str, default: int) -> int:
+    """A positive whole number inside nested sections; the default where it is absent or anything else."""
+    for k in keys:
+        config = config.get(k, {}) if isinstance(config, dict) else {}
+    return config if isinstance(config, int) and not isinstance(config, bool) and config > 0 else default
+
+
 def write_text_files(rows: DataFrame, path: str, name_col: str, text_col: str) -> None:
     """One folder per name with its text as a file; Spark's commit makes each write whole or absent."""
     rows.select(F.col(name_col).alias("name"), F.col(text_col).alias("value")).write.partitionBy("name").option("lineSep", "\n").text(path)
