@@ -5,6 +5,14 @@ visibility rules drop what a browser doesn't show; a renderer emits all visible
 of their own, paragraphs set apart by an empty line, list items marked and indented, table cells padded
 to columns, preformatted text as it is.
 
+Visibility: `hidden` attributes, closed details and dialogs, and the properties display and visibility of style attributes and of style
+elements count; of style sheets, rules with selectors of one element (name, classes, id) outside of @-blocks, or in @media blocks for all
+or screen, by specificity and order. Other selectors and linked sheets are passed over. Text inside an element with visibility hidden
+is shown again where a descendant says visible. Fallbacks of audio, video, canvas, iframe, noscript and object are not
+shown, as in a browser with scripts; text in svg and math is. Buttons and text fields show their values.
+
+Cells are padded up to CELL characters, so that one long cell doesn't push the others out; wider ones run over.
+
 Defined results: null html gives null text, markup without visible text gives ''; markup is never refused
 (stray end tags are ignored, open elements end with the page); elements nested deeper than DEPTH go into their
 ancestor at that depth; repeated rows are alike; an empty table gives an empty table; further columns pass through.
@@ -22,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 DEPTH = 256
-#: Cells are padded up to this width; wider ones run over.
 CELL = 80
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math map area base link meta param source track rp".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas area base link meta param source track rp desc metadata annotation annotation-xml".split())
+FIELDS = frozenset(["", "text", "search", "tel", "url", "email", "number", "date", "time", "month", "week", "datetime-local", "submit", "reset", "button"])
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr td th thead tbody tfoot listing xmp".split()
@@ -47,7 +55,8 @@ IMPLIED = (
 _ROWS = frozenset("table thead tbody tfoot tr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_PROPERTY = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!important)?", re.I)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -113,9 +122,85 @@ def parse(html: str) -> Element:
     return root
 
 
+def properties(style: str) -> dict:
+    """display and visibility of a block of declarations: {name: (important, value)}."""
+    found: dict = {}
+    for name, value, mark in _PROPERTY.findall(style):
+        if mark or not found.get(name.lower(), (False,))[0]:
+            found[name.lower()] = bool(mark), value.lower()
+    return found
+
+
+def sheet_blocks(css: str) -> Iterator[tuple[str, str]]:
+    """(what stands before, what stands inside) of each outermost pair of braces."""
+    depth = start = inside = 0
+    before = ""
+    for m in re.finditer(r"[{};]", css):
+        if m[0] == "{":
+            if not depth:
+                before, inside = css[start : m.start()].strip(), m.end()
+            depth += 1
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+            if not depth:
+                yield before, css[inside : m.start()]
+                before, start, inside = "", m.end(), m.end()
+        elif not depth:
+            start = m.end()
+    if depth:
+        yield before, css[inside:]
+
+
+def sheet_rules(css: str, rules: list) -> None:
+    """Appends (name, classes, ids, specificity, properties) of a sheet's rules about visibility."""
+    for before, inside in sheet_blocks(re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)):
+        if before.startswith("@"):
+            if re.fullmatch(r"@media\s*(?:only\s+)?(?:all|screen)?", before, re.I):
+                sheet_rules(inside, rules)
+            continue
+        found = properties(inside)
+        for one in before.split(",") if found else ():
+            m = _SELECTOR.match(one.strip())
+            if m and one.strip():
+                parts = re.findall(r"([.#])([\w-]+)", m[2])
+                classes, ids = {x for k, x in parts if k == "."}, {x for k, x in parts if k == "#"}
+                name = (m[1] or "*").lower()
+                rules.append((name, classes, ids, (len(ids), len(classes), name != "*"), found))
+
+
+def shown(node: Element, rules: list, seen: bool = True) -> None:
+    """Takes what style rules hide out of the tree: elements that aren't displayed, and strings that aren't visible."""
+    kept = []
+    for child in node.children:
+        if isinstance(child, str):
+            if seen:
+                kept.append(child)
+            continue
+        a, own = child.attrs, {}
+        if rules:
+            classes = set(a.get("class", "").split())
+            for name, need, ids, weight, found in rules:
+                if name in ("*", child.tag) and need <= classes and (not ids or ids == {a.get("id")}):
+                    for k, (important, value) in found.items():
+                        if (important, weight) >= own.get(k, ((False, (-1,)),))[0]:
+                            own[k] = (important, weight), value
+        for k, (important, value) in properties(a["style"]).items() if "style" in a else ():
+            if important or not own.get(k, ((False,),))[0][0]:
+                own[k] = (True,), value
+        display = own["display"][1] if "display" in own else "none" if "hidden" in a else ""
+        if display != "none":
+            visibility = own["visibility"][1] if "visibility" in own else ""
+            inside = True if visibility == "visible" else False if visibility in ("hidden", "collapse") else seen
+            shown(child, rules, inside)
+            if not inside:
+                child.attrs = {k: v for k, v in a.items() if k != "value"}
+                child.attrs["hidden-mark"] = ""
+            kept.append(child)
+    node.children = kept
+
+
 def visible(node: Element) -> bool:
-    a = node.attrs
-    return node.tag not in HIDDEN and "hidden" not in a and not ("style" in a and _UNSEEN.search(a["style"])) and not (node.tag == "dialog" and "open" not in a)
+    return node.tag not in HIDDEN and not (node.tag == "dialog" and "open" not in node.attrs)
 
 
 class Page:
@@ -154,8 +239,9 @@ class Page:
         if tag == "br":
             self.run.append("\0")
         elif tag == "wbr" or tag in VOID and tag != "hr":
-            if tag == "input" and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-                self.run.append(f" {node.attrs.get('value', '')} ")
+            kind = node.attrs.get("type", "").lower()
+            if tag == "input" and kind in FIELDS and "hidden-mark" not in node.attrs:
+                self.run.append(f" {node.attrs.get('value', {'submit': 'Submit', 'reset': 'Reset'}.get(kind, ''))} ")
         elif tag == "select":
             options = [o for o in _descend(node, "option")]
             for o in [o for o in options if "selected" in o.attrs] or options[:1]:
@@ -238,20 +324,18 @@ class Page:
                     spans[c] = high - 1
                 col += wide
             rows.append(row)
+        starts, place = {}, 0  # a column's place: after all columns before it in which cells begin
+        for col in sorted({c for row in rows for c, _ in row}):
+            starts[col] = place
+            place += widths.get(col, 0) + 2
         for row in rows:
-            if any(len(lines) for _, lines in row):
-                for k in range(max(len(lines) for _, lines in row)):
-                    out, place = "", 0
-                    for col, lines in row:
-                        while place < col:
-                            out = out.ljust(sum(widths.get(c, 0) + 2 for c in range(place + 1))) if place < 64 else out
-                            place += 1
-                            if place >= 64:
-                                place = col
-                        start = sum(widths.get(c, 0) + 2 for c in range(min(col, 64)))
-                        out = (out.ljust(start) if len(out) <= start else out + "  ") + (lines[k] if k < len(lines) else "")
-                    if out.strip():
-                        self.put(out)
+            for k in range(max((len(lines) for _, lines in row), default=0)):
+                out = ""
+                for col, lines in row:
+                    out = out.ljust(starts[col]) if len(out) <= starts[col] else out + "  "
+                    out += lines[k] if k < len(lines) else ""
+                if out.strip():
+                    self.put(out)
 
 
 def _span(cell: Element, name: str, most: int) -> int:
@@ -325,8 +409,13 @@ def render(html: str | None) -> str | None:
     """All visible text of a page."""
     if html is None:
         return None
-    root, page = parse(html), Page()
-    if visible(root):
+    root, page, rules = parse(html), Page(), []
+    for style in _descend(root, "style"):
+        sheet_rules("".join(c for c in style.children if isinstance(c, str)), rules)
+    whole = Element("", {})
+    whole.children.append(root)
+    shown(whole, rules)
+    if whole.children:
         page.children(root)
         page.edge()
     return "\n".join(page.lines)

@@ -166,12 +166,27 @@ def test_quality_edge_rows(spark):
         ("<select><option>1<option selected>2</select>", "2"),
         ("<head><title>t</title><p>body", "body"),
         ("<p title=\"a>b\">c</p>", "c"),
+        ("<style>.x{display:none} p#y , b{visibility:hidden} i{display:none} @media print{u{display:none}} @media screen{s{display:none}}</style><p class='z x'>n</p><p id=y>n<span style='visibility:visible'>v</span></p><b>n</b><i class=k>n</i><u>u</u><s>n</s>", "v\n\nu"),
+        ("<style>div.a{display:none}.b{display:block !important}</style><div class='a b'>x</div><div class=a>n</div><div class=a style='display:block'>y</div><p>.a{}</p>", "x\ny\n\n.a{}"),
+        ("<style>ul li{display:none}</style><ul><li>kept: not a rule of one element</ul>", "- kept: not a rule of one element"),
+        ("<div style='visibility:hidden'>n<div style='visibility: visible'>v</div><input value=n><input type=submit></div>", "v"),
+        ("a<svg><text>s</text><desc>n</desc></svg><map name=m>t</map><math><mi>x</mi></math>", "astx"),
+        ("<input value=v><input type=hidden value=n><input type=submit><input type=reset value=r><input type=password value=n><button>b</button>", "v Submit r b"),
+        ("<table><tr>" + "".join(f"<td>c{i}" for i in range(80)) + "<tr>" + "".join(f"<td>{i}" for i in range(80)) + "</table>", "  ".join(f"c{i}" for i in range(80)) + "\n" + "  ".join(str(i).ljust(len(f"c{i}")) for i in range(80)).rstrip()),
+        ("<table><tr><td colspan=3>wide</td><td>d</td></tr><tr><td>a</td><td>b</td><td>c</td><td>e</td></tr></table>", "wide     d\na  b  c  e"),
     ],
 )
 def test_html_rendering(html, text):
     assert html_text.render(html) == text
 
 
+def test_html_of_long_and_broken_pages_takes_linear_time(spark):
+    for html in ("<style>" + "a" * 300_000, "<style>" + "a{" * 100_000, "<style>" + "}" * 300_000, "<div " * 60_000, "<p>" + "x " * 300_000, "<table>" + "<tr><td>x" * 30_000, "&" * 300_000):
+        assert isinstance(html_text.render(html), str)
+    schema = "page_id long, html string, text string"
+    assert html_text.extract_text(spark.createDataFrame([], schema), ["page_id"]).count() == 0
+
+
 def test_html_of_any_depth_and_brute_force_words(spark):
     deep = "<div>" * 5000 + "x" + "<table><tr><td>" * 500 + "y"
     assert html_text.render(deep).split() == ["x", "y"]
