@@ -30,9 +30,9 @@ from folioflow.llm.common import small_batches
 #: Fixed value: the public byte-level word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
-CACHE_BYTES, CACHE_PAIRS = 48 << 20, 300_000
+CACHE_BYTES, CACHE_PAIRS = 36 << 20, 250_000
 #: Characters of texts that are split into words at a time (a longer text alone), and the longest word that is remembered.
-CHARS, CACHE_WORD = 1_000_000, 64
+CHARS, CACHE_WORD = 500_000, 64
 _ALONE = 1 << 60
 
 
@@ -256,7 +256,7 @@ def encode_checked(docs: DataFrame, vocabulary_path: str, text_col: str = "text"
     kind = "n_tokens long, ids array<int>, round_trip boolean"
     coded = _column(docs, vocabulary_path, text_col, kind, lambda enc, texts: ((len(b) // 4, np.frombuffer(b, dtype="<i4"), enc.decode(b) == t) for t, b in _encoded(enc, texts)))
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "round_trip")]
-    return docs.select(*kept, coded.alias("_c")).select(*kept, "_c.*")
+    return docs.select(*kept, coded.alias("__bpe")).select(*kept, "__bpe.*")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -265,4 +265,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str, keep: list[str], text_col:
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     coded = _column(docs, vocabulary_path, text_col, kind, lambda enc, texts: ((len(b) // 4, sha(b), sha(enc.decode(b).encode("utf-8", "surrogatepass"))) for _, b in _encoded(enc, texts)))
     kept = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.select(*kept, coded.alias("_c")).select(*kept, "_c.*")
+    return docs.select(*kept, coded.alias("__bpe")).select(*kept, "__bpe.*")

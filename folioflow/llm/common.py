@@ -77,7 +77,7 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 #: Bytes of text that are hashed at a time; a longer word is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _EDGE = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS: dict = {}
 

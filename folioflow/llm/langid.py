@@ -136,7 +136,7 @@ def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     once = work.asNondeterministic()  # so that filters on the result don't run it again
     kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, once(docs[text_col]).alias("_p")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_p.lang_pred", "_p.score")
+    return docs.select(*kept, once(docs[text_col]).alias("__lang")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "__lang.lang_pred", "__lang.score")
 
 
 def identify(docs: DataFrame, keep: list[str], per_language: int = 5_000) -> DataFrame:

@@ -94,7 +94,7 @@ def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
         return pd.DataFrame(rows, columns=added)
 
     keep = [c for c in keep if c not in added]
-    return docs.select(*keep, stats.asNondeterministic()(docs[text_col]).alias("_s")).select(*keep, "_s.*")
+    return docs.select(*keep, stats.asNondeterministic()(docs[text_col]).alias("__stats")).select(*keep, "__stats.*")
 
 
 def base_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -106,9 +106,9 @@ def boilerplate(rows: DataFrame, least: int = 10, share: float = 0.002, most: in
     """(host, h): hashes of the lines over the limits, of what measured() gives. Counts are combined before they move, so a line in every document costs one row a task."""
     docs = rows.select(F.col(host_col).alias("host"), "text_hash", "lines")
     lines = docs.select("host", "text_hash", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    hosts = docs.select("host", "text_hash").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("docs"))
+    hosts = docs.select("host", "text_hash").distinct().groupBy(F.col("host").alias("__host")).agg(F.count(F.lit(1)).alias("docs"))
     limit = F.greatest(F.lit(least), F.least(F.col("docs") * share, F.lit(most)))
-    return lines.join(hosts, lines["host"].eqNullSafe(hosts["_host"])).where(F.col("n") > limit).select("host", "h")
+    return lines.join(hosts, lines["host"].eqNullSafe(hosts["__host"])).where(F.col("n") > limit).select("host", "h")
 
 
 def quality(
@@ -118,14 +118,14 @@ def quality(
     """keep columns of docs, BASE, removed_words, removed_lines, base_failed and kept (base passed and at least `left` of the words stay)."""
     added = [*BASE, "removed_words", "removed_lines", "base_failed", "kept"]
     keep = [c for c in keep if c not in added]
-    rows = cut(measured(docs.withColumn("_host", F.col(host_col)), [*keep, "_host"], text_col)).withColumn("_row", F.monotonically_increasing_id())  # stable: read from the checkpoint
-    common = cut(boilerplate(rows, least, share, most, "_host").select(F.col("host").alias("_h"), F.col("h").alias("_l")))
+    rows = cut(measured(docs.withColumn("__host", F.col(host_col)), [*keep, "__host"], text_col)).withColumn("__row", F.monotonically_increasing_id())  # stable: read from the checkpoint
+    common = cut(boilerplate(rows, least, share, most, "__host").select(F.col("host").alias("_h"), F.col("h").alias("_l")))
     if common.count() <= BROADCAST_ROWS:
         common = F.broadcast(common)
-    lines = rows.select("_row", "_host", F.inline("lines"))
-    hit = lines.join(common, (lines["h"] == common["_l"]) & lines["_host"].eqNullSafe(common["_h"]))
-    lost = hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("removed_words"), F.collect_list("h").alias("removed_lines"))
-    out = rows.drop("lines", "text_hash").join(lost, F.col("_row") == F.col("_r"), "left").drop("_host", "_row", "_r")
+    lines = rows.select("__row", "__host", F.inline("lines"))
+    hit = lines.join(common, (lines["h"] == common["_l"]) & lines["__host"].eqNullSafe(common["_h"]))
+    lost = hit.groupBy(F.col("__row").alias("__r")).agg(F.sum("words").alias("removed_words"), F.collect_list("h").alias("removed_lines"))
+    out = rows.drop("lines", "text_hash").join(lost, F.col("__row") == F.col("__r"), "left").drop("__host", "__row", "__r")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * left))

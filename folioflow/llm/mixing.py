@@ -68,17 +68,17 @@ def mix_counts(
     """docs with size (words), source_size, target, rate and copies (how often the mix emits the row)."""
     docs = docs.drop(*_ADDED).withColumn("size", n_words(F.col(text_col)))
     targets = source_targets(docs.select(F.col(source_col).alias("source"), "size"), weights, share, cap)
-    targets = cut(targets.select(F.col("source").alias("_source"), "source_size", "target"))
+    targets = cut(targets.select(F.col("source").alias("__source"), "source_size", "target"))
     if targets.count() <= BROADCAST_ROWS:  # then texts don't move
         targets = F.broadcast(targets)
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    out = docs.withColumn("_u", uniform(seed, id_col, text_col))
-    out = out.join(targets, out[source_col].eqNullSafe(targets["_source"]), "inner").drop("_source").withColumn("rate", rate)
+    out = docs.withColumn("__u", uniform(seed, id_col, text_col))
+    out = out.join(targets, out[source_col].eqNullSafe(targets["__source"]), "inner").drop("__source").withColumn("rate", rate)
     whole = F.floor("rate").cast("int")
-    return out.withColumn("copies", whole + (F.col("_u") < F.col("rate") - whole).cast("int")).drop("_u")
+    return out.withColumn("copies", whole + (F.col("__u") < F.col("rate") - whole).cast("int")).drop("__u")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of docs as many times as mix_counts says, with docs' own columns."""
     counted = mix_counts(docs, **options).where("copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, html_text, langid, line_quality, mixing, nearest, ngram_join, paragraphs, sharding, warc
-from folioflow.llm.common import shared_path
+from folioflow.llm.common import cut, remove_path, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -43,9 +43,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = warc.read_archives(spark, path, with_payload=False).where("kind = 'record'")
-    return records.select(
+    out = cut(records.select(
         warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to")
-    )
+    ))
+    remove_path(spark, path)
+    return out
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,33 @@ QUERIES = {f.__name__: f for f in (
 
 _WORDS_SQL = "CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT)"
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD_LIST = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLES = {
+    "op1_line_frequency": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source, {_WORD_LIST.format("coalesce(text, '')")} AS ws FROM documents),
+l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT rid, source, text, line, len({_WORD_LIST.format('line')}) AS n, {_LOWER.format(f"array_to_string({_WORD_LIST.format('line')}, ' ')")} AS norm FROM l),
+t AS (SELECT * FROM n WHERE n > 0),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+f AS (SELECT source, norm, count(DISTINCT text) AS k FROM t GROUP BY 1, 2),
+common AS (SELECT f.source, norm FROM f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE k > greatest(10, least(docs * 0.002::DOUBLE, 1000))),
+lost AS (SELECT rid, sum(n) AS lost FROM t JOIN common c ON t.source IS NOT DISTINCT FROM c.source AND t.norm = c.norm GROUP BY 1),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS dup FROM t GROUP BY 1),
+g AS (SELECT rid, i, ws[i:i + 7] AS gram FROM d, unnest(range(1, len(ws) - 6)) AS u(i) WHERE len(ws) >= 8),
+again AS (SELECT rid, gram FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS rep FROM (SELECT g.rid, unnest(range(i, i + 8)) AS p FROM g JOIN again a ON g.rid = a.rid AND g.gram = a.gram) GROUP BY 1),
+s AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - lost >= 0.5 * n_words AS kept FROM b
+""",
+    "op5_warc": """
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN r THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN r THEN last END AS refers_to
+FROM (SELECT *, coalesce(octet_length(encode(h)) >= 1000 AND page_id <> last, FALSE) AS r FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages))
+""",
     "op3_mixing": f"""
 WITH d AS (SELECT doc_id, text, source, {_WORDS_SQL} AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),

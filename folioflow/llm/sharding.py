@@ -25,20 +25,26 @@ def rendezvous(key, shards: list[int], weights: list[float] | None = None, seed:
     return F.least(*draws)["shard"] if len(draws) > 1 else draws[0]["shard"]
 
 
-def with_slots(df: DataFrame, shard_col: str, order: list[str], parts: int = 256) -> DataFrame:
+#: Rows of a part of a shard that a task sorts, about; and parts up to which their counts are broadcast (some 30 bytes each).
+PART_ROWS, BROADCAST_ROWS = 500_000, 500_000
+
+
+def with_slots(df: DataFrame, shard_col: str, order: list[str], n_shards: int) -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
-    A shard may hold most of the table, so it is numbered in `parts` hash parts that tasks sort on
-    their own; the parts' offsets come from counts (at most shards * parts rows, so they are broadcast).
+    A shard may hold most of the table, so it is numbered in hash parts that tasks sort on their own, as many as
+    the table is large; the parts' offsets come from their counts.
     """
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = df.groupBy(F.col(shard_col).alias("_shard"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(counts.select("_shard", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    own = Window.partitionBy(shard_col, "_part").orderBy(*order)
-    out = df.withColumn("_rn", F.row_number().over(own))
-    out = out.join(offsets, (out[shard_col] == offsets["_shard"]) & (out["_part"] == offsets["_p"]))
-    return out.withColumn("slot", F.col("_offset") + F.col("_rn") - 1).drop("_part", "_rn", "_shard", "_p", "_offset")
+    parts = max(16, -(-df.count() // PART_ROWS))
+    df = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = df.groupBy(F.col(shard_col).alias("__shard"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__shard").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__shard", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = F.broadcast(offsets) if parts * n_shards <= BROADCAST_ROWS else offsets
+    own = Window.partitionBy(shard_col, "__part").orderBy(*order)
+    out = df.withColumn("__rn", F.row_number().over(own))
+    out = out.join(offsets, (out[shard_col] == offsets["__shard"]) & (out["__part"] == offsets["__p"]))
+    return out.withColumn("slot", F.col("__offset") + F.col("__rn") - 1).drop("__part", "__rn", "__shard", "__p", "__offset")
 
 
 def assign_shards(
@@ -57,7 +63,7 @@ def assign_shards(
         "grown_shard": rendezvous(F.col(key_col), list(range(n_shards + 1)), grown, seed).cast("int"),
     })
     out = out if keep_text else out.drop(text_col)
-    return with_slots(out, "shard", [key_col, "text_crc32", "size"])
+    return with_slots(out, "shard", [key_col, "text_crc32", "size"], n_shards)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

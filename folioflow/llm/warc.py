@@ -7,7 +7,8 @@ revisit it.
 The reader walks an archive (plain, or gzip members) record by record. A record counts only if all its
 checks hold: version line, header lines, length, terminator, payload digest. After a failure it
 searches on for the next place where a whole valid member or record starts, takes up there, and
-logs the bytes between as a gap. A file is read by one task, so the writer rolls archives at `archive_bytes`.
+logs the bytes between as a gap. A file is read by one task, so the writer rolls archives at `archive_bytes`; foreign archives of gigabytes
+take a task of that memory each, and files beyond 2 GB can't be read (binaryFile's limit).
 
 Defined results: a null html is an empty payload; a null id is written as such and read back as null, and yields
 to any other id; rows with equal id and payload are alike (both response or both revisit); pages with equal
@@ -30,8 +31,8 @@ from folioflow.llm.common import cut
 
 #: Rows of the table of repeated payloads up to which it is broadcast (about 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Bytes that a gzip member may unpack to; a larger one is quarantined.
-MEMBER_BYTES = 1 << 30
+#: What a task may hold: bytes that a gzip member may unpack to, and of a record's head. What is larger is no record but a logged gap, so that it can be read otherwise.
+MEMBER_BYTES, HEAD_BYTES = 1 << 30, 1 << 20
 
 _HEAD_END = b"\r\n\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -42,9 +43,9 @@ _FIELD = re.compile(rb"([!#-'*+\-.0-9A-Z^-z|~]+):[ \t]*([^\r\n]*)\Z")
 # ---------------------------------------------------------------- writing
 
 
-def with_records(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """(id, record): the WARC record of every page, without the final separator."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
+def with_records(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", keep: list[str] | None = None) -> DataFrame:
+    """(id, record, and columns of pages to keep): the WARC record of every page, without the final separator."""
+    rows = pages.select(*(keep or []), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
     repeated = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     repeated = cut(repeated.where("n > 1 and first_id is not null").select(F.col("digest").alias("_digest"), "first_id"))
@@ -64,14 +65,22 @@ def with_records(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id
         F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit(f"{crlf}Content-Type: application/http;msgtype=response{crlf}Content-Length: "), block_size.cast("string"), F.lit(crlf + crlf), http,
     )
-    return rows.select("id", F.concat(head, F.when(revisit, "").otherwise(F.col("payload"))).alias("record"))
+    return rows.select(*(keep or []), "id", F.concat(head, F.when(revisit, "").otherwise(F.col("payload"))).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, html_col: str = "html", **options) -> None:
-    """Write the pages as plain WARC files of about archive_bytes each."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html_col), F.lit(0)) + 500)).first()[0] or 500.0
-    records = with_records(pages, html_col=html_col, **options).select("record")
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
+    """Write the pages as plain WARC files of at most about archive_bytes each, or one record.
+
+    Spark rolls files by rows, so pages are written by classes of size, four times as large each, and a file of a class has as many rows as its largest
+    would fill. Classes without pages cost nothing.
+    """
+    size = F.coalesce(F.octet_length(html_col), F.lit(0)) + 1_000
+    level = F.greatest(F.lit(0), F.ceil(F.log2(size / 4096.0) / 2)).cast("int")
+    present = sorted(r[0] for r in pages.select(level.alias("l")).distinct().collect())  # a dozen classes at most
+    records = with_records(pages.withColumn("_level", level), html_col=html_col, keep=["_level"], **options)
+    for k in present or [0]:
+        some = records.where(F.col("_level") == k).select("record") if len(present) > 1 else records.select("record")
+        some.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, archive_bytes >> (12 + 2 * k))).text(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -80,7 +89,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, h
 def _record_at(data: bytes, at: int) -> tuple[int, dict] | None:
     """(end, fields) of the record that starts here, or None if a check fails."""
     v = _VERSION.match(data, at)
-    end = data.find(_HEAD_END, at, at + (1 << 20)) if v else -1  # a head of over 1 MiB isn't one
+    end = data.find(_HEAD_END, at, at + HEAD_BYTES) if v else -1
     if end < 0:
         return None
     fields = {}

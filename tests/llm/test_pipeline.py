@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import mixing, queries
@@ -71,3 +72,32 @@ def test_run_gives_the_last_stage(spark, stages):
     _, out, _, base = stages
     got = corpus_pipeline.run(spark, f"file://{base}").collect()
     assert sorted(map(str, got)) == sorted(map(str, out[4]))
+
+
+def chained(spark, docs, base):
+    out = []
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, docs, f"file://{base}").write.parquet(f"file://{base}/{k}")
+        docs = spark.read.parquet(f"file://{base}/{k}")
+        out.append(docs)
+    return out
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], DOCS)
+    out = chained(spark, docs, tmp_path)
+    assert all(d.count() == 0 for d in out) and all(d.columns == docs.columns for d in out[:-1])
+
+
+def test_stages_with_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    rng = random.Random(12)
+    long = prose(rng, 120000, 90000)
+    rows = [(1, long, None, None), (2, prose(rng, 30, 9000) + " " + long[-5000:], "en", None), (3, prose(rng, 60, 9000), None, "a"), (3, prose(rng, 60, 9000), None, "a"), (4, "one word", "fr", "b")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], DOCS)
+    names = ["spans", "removed_words", "clean_text", "size", "source_size", "rate", "copies", "lang_pred", "score", "held_out", "component_id", "set_id", "c", "component", "_id", "_doc", "_p", "_text", "k", "host", "ids", "n_tokens", "node", "key"]
+    docs = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    out = chained(spark, docs, tmp_path)
+    assert all(d.columns == docs.columns for d in out[:-1])
+    kept = {r.doc_id: r for r in out[2].collect()}
+    assert set(kept) <= {1, 2, 3, 4} and kept[1].text == long and len(kept[2].text) < 600 and kept[1]["_p"] == kept[1]["host"] == "x"
+    assert out[4].where("not round_trip").count() == 0
