@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results of all stages: an empty table gives an empty table; texts of any length are read whole; null lang, source or n_chars
+are values like others; further columns of docs pass through (but for the last stage, which has columns of its own), those named like a column that an
+operator adds come back with the operator's values. What nulls and repeated rows give is said at each stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, langid, mixing, ngram_join, paragraphs
-from folioflow.llm.common import cut, n_words, shared_path
+from folioflow.llm.common import cut, n_words, remove_path, shared_path
 from folioflow.llm.queries import vocabulary_path
 
 #: Rows of a list of ids up to which it is broadcast (8 bytes each); beyond, it is joined by shuffle.
@@ -18,7 +22,7 @@ BROADCAST_ROWS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: no letters, or a posterior under one half."""
+    """Drops documents without a recognisable language: null, empty or without letters, or with a posterior under one half. Rows with a null id are judged like others; repeated rows fare alike."""
     found = langid.identify(docs, docs.columns)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
 
@@ -40,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that stand in a document with a smaller id; a document that loses every word goes."""
+    """Cuts passages that stand in a document with a smaller id; a document that loses every word goes. Null texts and rows with a null id stay as they are; rows that repeat an id lose alike."""
     out = paragraphs.dedup(docs)
     out = out.where((F.col("removed_words") == 0) | (n_words(F.col("clean_text")) > 0))
     cleaned = F.col("spans").isNotNull()
@@ -48,12 +52,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents by their source's rate."""
+    """Repeats documents by their source's rate; texts that are null or without words go, as no word of them is asked for. A null source is a source; equal rows are decided alike."""
     return mixing.mix(docs)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text again."""
+    """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text again. A null text is empty; repeated rows are encoded alike."""
     return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary_path()).drop("text")
 
 
@@ -70,12 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    """All stages over sf_dir's documents. A stage's table goes when the next one is written; the last one's is read by the result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"pipeline-{name}")
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
