@@ -81,12 +81,13 @@ def islands(df: DataFrame, by: list[str], gap: int = 7, start: str = "start_line
 
 
 def ancestors(chunks: DataFrame, depth: int = 10) -> DataFrame:
-    """(id, depth, ancestor_id): a bounded loop of self-joins on (id, parent_id), each as long as what still has a parent; stops at a cycle by depth."""
-    edges = chunks.select("id", "parent_id").where("parent_id is not null")
-    step = edges.select("id", F.lit(1).alias("depth"), F.col("parent_id").alias("ancestor_id"))
-    out = step
+    """(id, depth, ancestor_id): a bounded loop of self-joins on (id, parent_id), each as long as what still has a parent; a climb ends where it would come to a node again."""
+    edges = chunks.select("id", "parent_id").where("parent_id is not null and parent_id != id")
+    step = edges.select("id", F.lit(1).alias("depth"), F.col("parent_id").alias("ancestor_id"), F.array("id", "parent_id").alias("seen"))
+    out = step.drop("seen")
     up = edges.select(F.col("id").alias("_i"), F.col("parent_id").alias("_p"))
     for n in range(2, depth + 1):
-        step = step.join(up, F.col("ancestor_id") == F.col("_i")).where(F.col("_p") != F.col("id")).select("id", F.lit(n).alias("depth"), F.col("_p").alias("ancestor_id"))
-        out = out.unionAll(step)
+        step = step.join(up, F.col("ancestor_id") == F.col("_i")).where(~F.array_contains("seen", F.col("_p")))
+        step = step.select("id", F.lit(n).alias("depth"), F.col("_p").alias("ancestor_id"), F.array_append("seen", F.col("_p")).alias("seen"))
+        out = out.unionAll(step.drop("seen"))
     return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
 from folioflow.operators import consolidation as K
+from folioflow.operators import retrieval as RT
 from folioflow.plans import corpus as C
 from folioflow.plans.predicates import LINKS, docs, events, items_with_links, orders
 from folioflow.registry import query
@@ -69,10 +71,12 @@ def c5(spark, sf_dir):
     return K.context_blocks(t.withColumns({"work_id": F.col("query_id"), "title": F.concat(F.lit("src"), F.col("query_id").cast("string"))}))
 
 
-@query("c6_augmented_prompt", "SELECT item_id, 'Intent: MECHANISM' || chr(10) || 'Question: ' || text AS prompt FROM benchmark")
+@query("c6_augmented_prompt", C.sql("SELECT query_id, 'Intent: MECHANISM' || chr(10) || 'Entities: src' || query_id || ', lines' || chr(10) || '[S1] Source: src' || query_id || ' | (work_id=' || query_id || ', start-line=' || start_line || ', end-line=' || end_line || ')' || chr(10) || 'Text:' || chr(10) || content || chr(10) || 'Question: what of ' || query_id AS prompt FROM top WHERE pos = 1", _ITEMS, _TOP))
 def c6(spark, sf_dir):
-    t = F.lit("Intent: {intent}\nQuestion: {question}")
-    return C.table(spark, sf_dir, "benchmark").select("item_id", F.replace(F.replace(t, F.lit("{intent}"), F.lit("MECHANISM")), F.lit("{question}"), F.col("text")).alias("prompt"))
+    """The template's intent, entities, context blocks and question filled in."""
+    i = items(spark, sf_dir).withColumns({"work_id": F.col("query_id"), "ids": F.array("id")})
+    asked = i.select("query_id").distinct().select("query_id", F.concat(F.lit("what of "), F.col("query_id").cast("string")).alias("q"), F.lit("MECHANISM").alias("intent"), F.array(F.concat(F.lit("src"), F.col("query_id").cast("string")), F.lit("lines")).alias("entities"))
+    return RT.augmented_prompts(asked, i, C.works(spark, sf_dir), "Intent: {intent}\nEntities: {entities}\n{context}\nQuestion: {question}", 1)
 
 
 _SEC = "SELECT o_custkey, o_orderkey, 'see [S1] and [S' || (1 + o_orderkey % 3) || ']' AS body, CAST(1 + o_orderkey % 3 AS INT) AS n FROM orders"
@@ -104,7 +108,8 @@ def c11(spark, sf_dir):
 
 @query("c12_containment_dedup")
 def c12(spark, sf_dir):
-    return K.without_contained(docs(spark, sf_dir).select((F.col("doc_id") % 200).alias("question_id"), F.col("doc_id").alias("id"), "text").where("text is not null").withColumnRenamed("text", "content"))
+    """The turns of each conversation (a few dozen at most)."""
+    return K.without_contained(C.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("id"), F.col("text").alias("content")).where("content is not null"))
 
 
 @query("c13_token_limit", r"SELECT doc_id, CASE WHEN len(w) <= 150 THEN text ELSE array_to_string(w[1:150], ' ') END AS text FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
@@ -119,24 +124,44 @@ def c14(spark, sf_dir):
     return C.headings(spark, sf_dir).join(C.works(spark, sf_dir), "work_id").select("id", F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")")).alias("source"))
 
 
-@query("c15_item_metadata", "SELECT e.event_id, coalesce(substr(d.text, 1, 40), 'Source Deleted') AS preview FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id * 3")
+_ITEM = r"""it AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'excerpt' WHEN 1 THEN 'research_result' ELSE 'research_query' END AS kind, CASE WHEN event_id % 3 = 0 THEN event_id % 100 END AS work, CASE WHEN event_id % 3 = 1 AND user_id % 2 = 0 THEN user_id END AS result, CASE WHEN event_id % 3 = 2 THEN event_id END AS query, user_id FROM events),
+found AS (SELECT it.*, coalesce(w.title, r.text, q.text) AS content FROM it LEFT JOIN works w ON w.work_id = it.work LEFT JOIN documents r ON r.doc_id = it.result LEFT JOIN benchmark q ON q.item_id = it.query),
+words AS (SELECT *, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') AS ws FROM found)"""
+
+
+def items_found(spark, sf_dir):
+    """Collection items with what their links lead to: a work's title, a document, a question; null where it is gone."""
+    x = parsed_links(spark, sf_dir)
+    w = C.works(spark, sf_dir).select(F.col("work_id").alias("_w"), "title")
+    r = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_r"), F.col("text").alias("_rt"))
+    q = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_q"), F.col("text").alias("_qt"))
+    x = x.join(w, F.col("work") == F.col("_w"), "left").join(r, F.col("result") == F.col("_r"), "left").join(q, (F.col("query") == F.col("_q")) & (F.col("kind") == "research_query"), "left")
+    return x.withColumn("content", F.coalesce("title", "_rt", "_qt"))
+
+
+@query("c15_item_metadata", C.sql("SELECT event_id, kind, CASE WHEN content IS NULL THEN 'Source Deleted' WHEN len(ws) <= 75 THEN content ELSE array_to_string(ws[1:75], ' ') || '...' END AS preview FROM words", _ITEM))
 def c15(spark, sf_dir):
-    link = F.concat(F.lit("/corpus/"), (F.col("event_id") * 3).cast("string"))
-    e = events(spark, sf_dir).select("event_id", F.regexp_extract(link, r"^/corpus/(\d+)", 1).cast("long").alias("k"))
-    return e.join(docs(spark, sf_dir), F.col("k") == F.col("doc_id"), "left").select("event_id", F.coalesce(F.substring("text", 1, 40), F.lit("Source Deleted")).alias("preview"))
+    return items_found(spark, sf_dir).select("event_id", "kind", F.coalesce(X.truncate_words(F.col("content"), 75), F.lit("Source Deleted")).alias("preview"))
 
 
-@query("c16_collection_analysis", "SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'view' THEN 1 END) AS views, min(event_id) AS first FROM events GROUP BY 1")
+@query("c16_collection_analysis", C.sql("SELECT user_id, kind, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS items, md5(string_agg(coalesce(substr(content, 1, 2000), 'deleted'), chr(10) ORDER BY event_id)) AS previews FROM found GROUP BY 1, 2", _ITEM))
 def c16(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("views"), F.min("event_id").alias("first"))
+    """Per collection (a user's items) and type: how many, which in order, and the first 2000 characters of each."""
+    p = F.array_sort(F.collect_list(F.struct("event_id", F.coalesce(F.substring("content", 1, 2000), F.lit("deleted")).alias("t"))))
+    g = items_found(spark, sf_dir).groupBy("user_id", "kind").agg(F.count(F.lit(1)).alias("n"), p.alias("p"))
+    return g.select("user_id", "kind", "n", F.array_join(F.transform("p", lambda s: s["event_id"].cast("string")), ",").alias("items"), F.md5(F.array_join(F.transform("p", lambda s: s["t"]), "\n").cast("binary")).alias("previews"))
 
 
 @query("c17_parse_links", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 100 END AS work, CASE WHEN event_id % 3 = 0 THEN user_id END AS start_line, CASE WHEN event_id % 3 = 0 THEN user_id + 5 END AS end_line, CASE WHEN event_id % 3 = 1 AND user_id % 2 = 0 OR event_id % 3 = 2 THEN event_id END AS query, CASE WHEN event_id % 3 = 1 AND user_id % 2 = 0 THEN user_id END AS result FROM events")
 def c17(spark, sf_dir):
+    return parsed_links(spark, sf_dir).select("event_id", "work", "start_line", "end_line", "query", "result")
+
+
+def parsed_links(spark, sf_dir):
     """Excerpts to (work, start_line, end_line), results to (query, result), queries to (query); nulls where the link hasn't its type's shape."""
     part = lambda kind, i: F.when(F.col("kind") == kind, F.nullif(F.regexp_extract("link", LINKS[kind], i), F.lit("")).cast("long"))
     return items_with_links(spark, sf_dir).select(
-        "event_id", part("excerpt", 1).alias("work"), part("excerpt", 2).alias("start_line"), part("excerpt", 3).alias("end_line"),
+        "event_id", "user_id", "kind", part("excerpt", 1).alias("work"), part("excerpt", 2).alias("start_line"), part("excerpt", 3).alias("end_line"),
         F.coalesce(part("research_result", 1), part("research_query", 1)).alias("query"), part("research_result", 2).alias("result"))
 
 

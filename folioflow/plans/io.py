@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow.operators import chunking as CH
 from folioflow.operators import rewriting as R
 from folioflow.operators import structure as S
 from folioflow.plans import corpus as C
@@ -39,28 +40,31 @@ def exports(spark, sf_dir):
     return w.select("work_id", IO.export_name(F.col("title")).alias("name"), F.concat(IO.front_matter(F.col("title"), F.col("authors"), F.col("year")), F.lit("# "), "title").alias("value"))
 
 
-@query("s4_markdown_scan", C.sql("SELECT title AS name FROM works"))
+@query("s4_markdown_scan", C.sql("SELECT title || '.md' AS name, md5('# ' || title) AS content FROM works"))
 def s4(spark, sf_dir):
-    """Exports are written as files and their folder is listed."""
+    """Exports are written as files; their folder is listed and read."""
     path = IO.scratch(spark, "markdown")
-    IO.write_text_files(exports(spark, sf_dir), path, "name", "value")
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return f.select(F.regexp_extract("path", r"name=([^/]+)\.md/", 1).alias("name"))
+    IO.write_named_files(C.works(spark, sf_dir).select(F.concat("title", F.lit(".md")).alias("name"), F.concat(F.lit("# "), "title").alias("value")), path, "name", "value")
+    return IO.read_markdown(spark, path).select("name", F.md5(F.trim("content", F.lit("\n")).cast("binary")).alias("content"))
 
 
-@query("s5_import_sanitized", C.sql("SELECT title, year, sha256('# ' || title) AS content_hash FROM works"))
+@query("s5_import_sanitized", C.sql("SELECT title, authors AS author, year, sha256('# ' || title || chr(10) || chr(10) || 'text of ' || title || '.') AS content_hash, 'small' AS size_class, NULL::VARCHAR AS error, 1 AS chunks FROM works"))
 def s5(spark, sf_dir):
-    """Written files are read back, front matter is taken off and parsed, the body hashed."""
+    """Written files are read back, checked, front matter is taken off and parsed, the body hashed and cut into chunks."""
     path = IO.scratch(spark, "import")
-    exports(spark, sf_dir).select("value").write.option("lineSep", "\x00").text(path)
-    t = spark.read.option("lineSep", "\x00").text(path).select(F.col("value").alias("t"))
-    return t.select(R.front_matter_field(F.col("t"), "title").alias("title"), R.front_matter_field(F.col("t"), "year").cast("int").alias("year"), F.sha2(F.trim(R.strip_front_matter(F.col("t")), F.lit("\n")), 256).alias("content_hash"))
+    body = F.concat(IO.front_matter(F.col("title"), F.col("authors"), F.col("year")), F.lit("# "), "title", F.lit("\n\ntext of "), "title", F.lit("."))
+    IO.write_named_files(C.works(spark, sf_dir).select(F.concat("title", F.lit(".md")).alias("name"), body.alias("value")), path, "name", "value")
+    got = IO.import_markdown(IO.read_markdown(spark, path))
+    lines = got.where("error is null").select(F.col("title").alias("doc_id"), F.posexplode(F.split("content", "\n")).alias("p", "text")).withColumn("line", F.col("p") + 1)
+    chunks = CH.paragraph_chunks(S.blocks(lines).where("kind = 'paragraph'").select("doc_id", "start_line", "end_line", "content")).groupBy(F.col("doc_id").alias("title")).agg(F.count(F.lit(1)).cast("int").alias("chunks"))
+    return got.join(chunks, "title", "left").select("title", "author", "year", "content_hash", "size_class", "error", "chunks")
 
 
-@query("s6_import_routing", r"SELECT doc_id, sha256(text) AS content_hash, CASE WHEN CAST(trunc(len(regexp_extract_all(text, '[^\s]+')) / 0.75) AS INT) < 1000 THEN 'small' ELSE 'large' END AS route FROM documents")
+@query("s6_import_routing", r"SELECT doc_id, CASE WHEN trim(text, chr(10) || ' ') = '' THEN NULL ELSE sha256(trim(text, chr(10))) END AS content_hash, CASE WHEN trim(text, chr(10) || ' ') = '' THEN NULL WHEN CAST(trunc(len(regexp_extract_all(text, '[^\s]+')) / 0.75) AS INT) < 1000 THEN 'small' ELSE 'large' END AS route, CASE WHEN trim(text, chr(10) || ' ') = '' THEN 'empty file' END AS error FROM documents")
 def s6(spark, sf_dir):
-    from folioflow.functions import text as X
-    return docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"), F.when(X.tokens_by_ratio(X.count_words(F.col("text"))) < 1000, "small").otherwise("large").alias("route"))
+    """The same for texts that were not sanitised: by their size they go one way or the other."""
+    files = docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.lit("x.md").alias("name"), F.col("text").alias("content"))
+    return IO.import_markdown(files, small_tokens=1000).select(F.col("path").alias("doc_id"), "content_hash", F.col("size_class").alias("route"), "error")
 
 
 @query("s7_front_matter", C.sql("SELECT work_id, title, authors AS author, '# ' || title AS body FROM works"))

@@ -103,13 +103,13 @@ def valid_link(item_type, link):
 
 
 def items_with_links(spark, sf_dir):
-    """(event_id, kind, link): collection items of all three types, some with a wrong link."""
+    """(event_id, user_id, kind, link): collection items of all three types, some with a wrong link."""
     e, s = events(spark, sf_dir), lambda c: c.cast("string")
     n, u = s(F.col("event_id")), s(F.col("user_id"))
     kind = F.when(F.col("event_id") % 3 == 0, "excerpt").when(F.col("event_id") % 3 == 1, "research_result").otherwise("research_query")
     link = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/search/result/"), s(F.col("event_id") % 100), F.lit("/"), u, F.lit("/"), s(F.col("user_id") + 5)))
     link = link.when(F.col("event_id") % 3 == 1, F.concat(F.lit("/rag/"), n, F.when(F.col("user_id") % 2 == 0, "/results/").otherwise("/result/"), u)).otherwise(F.concat(F.lit("/rag/"), n))
-    return e.select("event_id", kind.alias("kind"), link.alias("link"))
+    return e.select("event_id", "user_id", kind.alias("kind"), link.alias("link"))
 
 
 @query("f14_link_validation", "SELECT event_id, event_id % 3 = 1 AND user_id % 2 = 0 OR event_id % 3 <> 1 AS valid FROM events")

@@ -194,12 +194,14 @@ def t35(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", score.cast("int").alias("score"))
 
 
-@query("t36_parse_summaries", "SELECT event_id, i AS heading_id, CASE WHEN i % 2 = 0 THEN 'missing summary' END AS error FROM events, range(1, 4) AS r(i)")
+@query("t36_parse_summaries", "SELECT conv_id, turn AS heading_id, CASE WHEN role = 'system' THEN NULL ELSE length(text) END AS size, CASE WHEN role = 'system' THEN 'missing summary' END AS error FROM conversations")
 def t36(spark, sf_dir):
-    """A JSON array of items; an item without a summary gets an error."""
-    reply = F.lit('[{"heading_id": 1, "summary": "a"}, {"heading_id": 2}, {"heading_id": 3, "summary": "c"}]')
-    p = events(spark, sf_dir).select("event_id", F.inline(F.from_json(reply, "array<struct<heading_id: bigint, summary: string>>")))
-    return p.select("event_id", "heading_id", F.when(F.col("summary").isNull(), "missing summary").alias("error"))
+    """A JSON array of items per conversation, in a fence; an item without a summary gets an error."""
+    item = F.struct(F.col("turn").alias("heading_id"), F.when(F.col("role") != "system", F.col("text")).alias("summary"))
+    reply = F.concat(F.lit("Summaries:\n```json\n"), F.to_json(F.collect_list(item)), F.lit("\n```"))
+    replies = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(reply.alias("reply"))
+    p = replies.select("conv_id", F.inline(F.from_json(CH.unfenced(F.col("reply")), "array<struct<heading_id: bigint, summary: string>>")))
+    return p.select("conv_id", "heading_id", F.length("summary").cast("long").alias("size"), F.when(F.col("summary").isNull(), "missing summary").alias("error"))
 
 
 @query("t37_reconcile_ids", "SELECT coalesce(p.k, x.doc_id) AS id, CASE WHEN p.k IS NULL THEN 'missing' WHEN x.doc_id IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS state FROM (SELECT k, count(*) AS n FROM (SELECT doc_id * 2 AS k FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 0) GROUP BY 1) p FULL JOIN (SELECT doc_id FROM documents) x ON p.k = x.doc_id")
@@ -219,12 +221,13 @@ def t38(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.size(F.slice(p, 1, 7)).cast("long").alias("sections"), (F.size(p) >= 3).alias("valid"))
 
 
-@query("t39_plan_validation", "SELECT event_id, event_id % 3 <> 0 AND event_id % 5 <> 0 AS valid FROM events")
+@query("t39_plan_validation", "SELECT conv_id, count(*) AS sections, bool_and(role <> 'system' AND turn % 5 <> 4) AS valid FROM conversations GROUP BY 1")
 def t39(spark, sf_dir):
-    """Every section of a plan needs a title and at least one question."""
-    e = events(spark, sf_dir)
-    plan = F.array(F.struct(F.when(F.col("event_id") % 3 != 0, "t").alias("title"), F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("q"))).alias("questions")))
-    return e.select("event_id", F.forall(plan, lambda s: s["title"].isNotNull() & (F.size(s["questions"]) > 0)).alias("valid"))
+    """A plan is valid if each of its sections has a title and at least one question; plans come as JSON, a section a turn."""
+    section = F.struct(F.when(F.col("role") != "system", F.col("role")).alias("title"), F.when(F.col("turn") % 5 != 4, F.array("text")).otherwise(F.array().cast("array<string>")).alias("questions"))
+    plans = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(section)).alias("reply"))
+    p = plans.select("conv_id", F.from_json("reply", "array<struct<title: string, questions: array<string>>>").alias("p"))
+    return p.select("conv_id", F.size("p").cast("long").alias("sections"), F.forall("p", lambda s: s["title"].isNotNull() & (F.size(s["questions"]) > 0)).alias("valid"))
 
 
 @query("t40_embed_chunks")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import rewriting
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -64,6 +66,35 @@ def write_text_files(rows: DataFrame, path: str, name_col: str, text_col: str) -
     rows.select(F.col(name_col).alias("name"), F.col(text_col).alias("value")).write.partitionBy("name").option("lineSep", "\n").text(path)
 
 
+def write_named_files(rows: DataFrame, path: str, name_col: str, text_col: str) -> None:
+    """Each row's text as a file of its own name (a few thousand at most: the driver names them)."""
+    spark = rows.sparkSession
+    write_text_files(rows, path, name_col, text_col)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(at):
+        name = unquote(folder.getPath().getName())
+        if name.startswith("name="):
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), at.suffix("/" + name.removeprefix("name=")))
+            fs.delete(folder.getPath(), True)
+
+
+def import_markdown(files: DataFrame, most_bytes: int = 50 << 20, small_tokens: int = 15_000) -> DataFrame:
+    """(path, name, title, author, year, content, content_hash, size_class, error) of read_markdown(): front matter taken off and read (the
+    title falls back to the file's name), size class small or large by the estimate of tokens; empty files and those over most_bytes are errors without content."""
+    size = F.octet_length("content")
+    error = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty file").when(size > most_bytes, "file too large")
+    body = F.trim(rewriting.strip_front_matter(F.col("content")), F.lit("\n"))
+    field = lambda name: rewriting.front_matter_field(F.col("content"), name)
+    out = files.withColumns({"error": error, "_body": F.when(error.isNull(), body)})
+    small = X.tokens_by_ratio(X.count_words(F.col("_body"))) < small_tokens
+    return out.select(
+        "path", "name", F.coalesce(field("title"), F.regexp_replace("name", r"\.md$", "")).alias("title"), field("author").alias("author"), field("year").try_cast("int").alias("year"), F.col("_body").alias("content"),
+        F.sha2("_body", 256).alias("content_hash"), F.when(F.col("_body").isNotNull(), F.when(small, "small").otherwise("large")).alias("size_class"), "error")
+
+
 def duplicates_by_hash(new: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of new whose content hash a known row has."""
     k = known.select(F.sha2(text_col, 256).alias("_h")).distinct()
