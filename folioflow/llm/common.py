@@ -47,8 +47,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of at most 8 MB, so that a worker's memory doesn't depend on how long texts are. A lower limit of the session stays."""
-    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    """Rows go to Python in batches of at most 4 MB, so that a worker's memory doesn't depend on how long texts are. A lower limit of the session stays."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
     now = spark.conf.get(key, None)
     if not (now and now.isdigit() and 0 < int(now) <= most):
         spark.conf.set(key, str(most))

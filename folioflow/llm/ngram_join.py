@@ -207,7 +207,7 @@ def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, le
     range_bits = int(np.clip(np.ceil(np.log2(max(1, n_rows) / 2_000)), 4, 24))
     spark = docs.sparkSession
     path = shared_path(spark, "postings")
-    postings(docs, k, percent, frequent_tokens(docs, k, least, range_bits), range_bits).write.parquet(path)
+    postings(docs, k, percent, frequent_tokens(docs, k, least, range_bits), range_bits).write.option("compression", "none").parquet(path)  # hashes don't shrink
     posted = spark.read.parquet(path)
     by_token = Window.partitionBy("token")
     # tokens that aren't in the list of frequent ones have short postings (as long as the list has room), so a window may hold one;
