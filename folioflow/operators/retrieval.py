@@ -51,31 +51,35 @@ def vectorise_queries(expanded: DataFrame, embed: Callable[[list[str]], list[lis
 def enriched(items: DataFrame, chunks: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WORDS, height: int = HEIGHT) -> DataFrame:
     """items (id, parent_id, content, start_line, end_line, heading_breadcrumbs, ...) with enriched_content, title, enriched_from, depth, fallback and reached_root.
 
-    A text of fewer than `least` words takes that of the first ancestor with enough, or else of the topmost found (reached_root), of at most `height` steps up. Missing
-    parents, cycles and null texts end the climb (fallback). Texts over `most` words are cut to a window around the item. Only what still climbs is joined again.
+    A text of fewer than `least` words takes that of the first ancestor with enough, or else of the topmost with a text, of at most `height` steps up;
+    reached_root says that the root was not enough. A missing parent or a cycle ends the climb; where no ancestor has a text, the item keeps its own
+    (fallback). Ancestors' texts over `most` words are cut to a window around the item. Only what still climbs is joined again.
     """
     up = chunks.select(F.col("id").alias("_i"), F.col("parent_id").alias("_up"), F.col("content").alias("_c"), F.col("start_line").alias("_s"), F.col("heading_breadcrumbs").alias("_b"))
     state = items.withColumns({
-        "_at": F.when(X.count_words(F.col("content")) < least, F.col("parent_id")), "_seen": F.array("id"), "_text": F.lit(None).cast("string"), "_first": F.lit(None).cast("int"), "_title": F.lit(None).cast("string"),
-        "enriched_from": F.lit(None).cast("long"), "depth": F.lit(0), "fallback": F.col("content").isNull()})
+        "_at": F.when(X.count_words(F.col("content")) < least, F.col("parent_id")), "_seen": F.array("id"), "_stop": F.col("content").isNull(), "_text": F.lit(None).cast("string"), "_title": F.lit(None).cast("string"),
+        "enriched_from": F.lit(None).cast("long"), "depth": F.lit(0)})
+    state = state.withColumn("_at", F.when(~F.col("_stop"), F.col("_at")))
     for _ in range(height):
         j = state.join(up, F.col("_at") == F.col("_i"), "left")
-        circular = F.array_contains("_seen", F.col("_at"))
-        there = F.col("_at").isNotNull() & F.col("_i").isNotNull() & ~circular
+        there = F.col("_at").isNotNull() & F.col("_i").isNotNull() & ~F.array_contains("_seen", F.col("_at"))
         use = there & F.col("_c").isNotNull()
-        failed = F.col("_at").isNotNull() & ~use
+        on = there & (F.col("_c").isNull() | (X.count_words(F.col("_c")) < least))
+        circular = F.coalesce(F.array_contains("_seen", F.col("_at")), F.lit(False))
         state = j.select(
-            *items.columns, F.when(use & (X.count_words(F.col("_c")) < least), F.col("_up")).alias("_at"), F.when(there, F.array_append("_seen", F.col("_at"))).otherwise(F.col("_seen")).alias("_seen"),
-            F.when(use, F.col("_c")).otherwise(F.col("_text")).alias("_text"), F.when(use, F.col("_s")).otherwise(F.col("_first")).alias("_first"), F.when(use, F.col("_b")).otherwise(F.col("_title")).alias("_title"),
-            F.when(use, F.col("_at")).otherwise(F.col("enriched_from")).alias("enriched_from"), F.when(there, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), (F.col("fallback") | failed).alias("fallback"))
+            *items.columns, F.when(on, F.col("_up")).alias("_at"), F.when(there, F.array_append("_seen", F.col("_at"))).otherwise(F.col("_seen")).alias("_seen"),
+            (F.col("_stop") | (F.col("_at").isNotNull() & (F.col("_i").isNull() | circular))).alias("_stop"),
+            F.when(use, F.col("_c")).otherwise(F.col("_text")).alias("_text"), F.when(use, F.col("_b")).otherwise(F.col("_title")).alias("_title"),
+            F.when(use, F.col("_at")).otherwise(F.col("enriched_from")).alias("enriched_from"), F.when(there, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
     text = F.coalesce("_text", "content", F.lit(""))
-    place = F.greatest(F.lit(0), F.instr(text, F.coalesce(F.col("content"), F.lit(""))) - 1)
+    place = F.greatest(F.lit(0), F.instr(text, F.substring(F.coalesce(F.col("content"), F.lit("")), 1, 50)) - 1)
     cut = consolidation.truncate_around(text, place, place + F.coalesce(F.length("content"), F.lit(0)), F.lit(most))
-    long = X.count_words(text) > most
+    found = F.col("enriched_from").isNotNull()
     title = F.coalesce(F.nullif(F.element_at(F.split(F.coalesce("_title", "heading_breadcrumbs"), " > "), -1), F.lit("")), F.lit("Untitled"))
+    ended = F.col("_at").isNull() & ~F.col("_stop") & (F.col("depth") > 0)
     return state.select(
-        *items.columns, F.when(long, cut).otherwise(text).alias("enriched_content"), title.alias("title"), "enriched_from", "depth", "fallback",
-        (F.col("enriched_from").isNotNull() & (X.count_words(text) < least)).alias("reached_root"))
+        *items.columns, F.when(found & (X.count_words(text) > most), cut).otherwise(text).alias("enriched_content"), title.alias("title"), "enriched_from", "depth",
+        (~found & (F.col("_stop") | (F.col("depth") > 0))).alias("fallback"), (ended & (~found | (X.count_words(text) < least))).alias("reached_root"))
 
 
 def retrieve(

