@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import small_batches
+from folioflow.llm.common import give_back, small_batches
 
 #: Fixed value: the public byte-level word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: What a worker remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
+#: What a task remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
 CACHE_BYTES, CACHE_PAIRS = 36 << 20, 250_000
 #: Characters of texts that are split into words at a time (a longer text alone), and the longest word that is remembered.
 CHARS, CACHE_WORD = 500_000, 64
@@ -189,17 +189,6 @@ class TrieEncoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
-def encoder(vocabulary: str) -> TrieEncoder:
-    """This worker's encoder of a vocabulary, built once."""
-    key = hashlib.sha1(vocabulary.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TrieEncoder(vocabulary)
-    return _ENCODERS[key]
-
-
 def _runs(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
     """Consecutive runs of whole texts of about so many characters."""
     run, size = [], 0
@@ -221,16 +210,22 @@ def _column(df: DataFrame, vocabulary_path: str, col: str, kind: str, values):
     small_batches(spark)
     names = [x.split(" ")[0] for x in kind.split(", ")] if " " in kind else []
 
-    def rows(column: pd.Series) -> list:
-        return list(values(encoder(vocabulary.value), column.to_list()))
+    def rows(batches: Iterator[pd.Series]) -> Iterator[list]:
+        enc = TrieEncoder(vocabulary.value)  # lives as long as the task
+        for column in batches:
+            yield list(values(enc, column.to_list()))
+        del enc
+        give_back()
 
     @F.pandas_udf(kind)
-    def one(column: pd.Series) -> pd.Series:
-        return pd.Series(rows(column), dtype=object)
+    def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in rows(batches):
+            yield pd.Series(x, dtype=object)
 
     @F.pandas_udf(kind)
-    def several(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(rows(column), columns=names)
+    def several(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in rows(batches):
+            yield pd.DataFrame(x, columns=names)
 
     return (several if names else one).asNondeterministic()(df[col])  # so that filters on the result don't run it again
 

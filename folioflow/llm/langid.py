@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import small_batches
+from folioflow.llm.common import give_back, small_batches, tidy
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 17
@@ -95,7 +95,7 @@ def train(docs: DataFrame, label_col: str, text_col: str = "text", key_col: str
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "block": [group["block"].iloc[0]], "n": [np.sum(np.stack(group["n"].to_list()), axis=0)]})
 
     schema = "lang string, block int, n array<long>"
-    summed = sample.mapInPandas(count, schema).groupBy("lang", "block").applyInPandas(add, schema)
+    summed = sample.mapInPandas(tidy(count), schema).groupBy("lang", "block").applyInPandas(add, schema)
     matrix = np.full((BUCKETS, len(langs)), 0.1)  # additive smoothing
     for lang, b, n in summed.toLocalIterator():  # languages * BUCKETS numbers in all
         matrix[b * block : (b + 1) * block, langs.index(lang)] += n
@@ -130,9 +130,11 @@ def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
-    def work(texts: pd.Series) -> pd.DataFrame:
-        pred, score = score_texts(texts.to_list(), shared.value)
-        return pd.DataFrame({"lang_pred": pd.Series(pred, dtype=object), "score": score})
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            pred, score = score_texts(texts.to_list(), shared.value)
+            yield pd.DataFrame({"lang_pred": pd.Series(pred, dtype=object), "score": score})
+        give_back()
 
     once = work.asNondeterministic()  # so that filters on the result don't run it again
     kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]

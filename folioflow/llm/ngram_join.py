@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, remove_path, shared_path, shingle_hashes, small_batches, word_hashes
+from folioflow.llm.common import cut, remove_path, shared_path, shingle_hashes, small_batches, tidy, word_hashes
 from folioflow.llm.components import components
 
 #: Most tokens in the broadcast list of frequent ones (8 bytes and a class each).
@@ -112,7 +112,7 @@ def frequent_tokens(docs: DataFrame, k: int, least: int, range_bits: int) -> tup
         rest, n = rest[n > least], n[n > least]
         return pd.DataFrame({"fp": (np.int64(group["part"].iloc[0]) << 32) + rest.astype(np.int64), "class": np.log2(n / least).astype(np.int32) * 2 + 1 + (np.log2(n / least) % 1 > 0.5)})
 
-    counted = cut(docs.select("text").where("text is not null").mapInPandas(pack, "part int, rest binary, n binary").groupBy("part").applyInPandas(count, "fp long, class int"))
+    counted = cut(docs.select("text").where("text is not null").mapInPandas(tidy(pack), "part int, rest binary, n binary").groupBy("part").applyInPandas(count, "fp long, class int"))
     room, floor = FREQUENT, 1
     for c, n in sorted(counted.groupBy("class").count().collect(), reverse=True):  # a few dozen classes
         room -= n
@@ -149,7 +149,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequent, range_bits: int) -
             if rows:
                 yield pd.DataFrame({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("token", "set_id", "n", "pos", "heavy"))})
 
-    return docs.select("text").where("text is not null").mapInPandas(post, "token long, set_id long, n int, pos int, heavy boolean")
+    return docs.select("text").where("text is not null").mapInPandas(tidy(post), "token long, set_id long, n int, pos int, heavy boolean")
 
 
 def memberships(docs: DataFrame, k: int) -> DataFrame:
@@ -160,7 +160,7 @@ def memberships(docs: DataFrame, k: int) -> DataFrame:
             sets = [(len(t), set_id(t) if len(t) else None) for t in token_sets(_texts(batch), k)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "set_id": pd.array([s for _, s in sets], dtype="Int64"), "n_shingles": [n for n, _ in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, set_id long, n_shingles long")
+    return docs.select("doc_id", "text").mapInPandas(tidy(work), "doc_id long, set_id long, n_shingles long")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -186,7 +186,7 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percen
             if got:
                 yield pd.DataFrame(got, columns=["set_id", "tokens"])
 
-    whole = texts.mapInPandas(sets, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    whole = texts.mapInPandas(tidy(sets), "set_id long, tokens binary").dropDuplicates(["set_id"])
     both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").join(whole.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +198,7 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percen
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.loc[ok, ["a", "b"]]
 
-    return both.mapInPandas(verify, "a long, b long")
+    return both.mapInPandas(tidy(verify), "a long, b long")
 
 
 def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, least: int = 16) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut
+from folioflow.llm.common import cut, tidy
 
 #: Rows of the table of repeated payloads up to which it is broadcast (about 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -190,7 +190,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    return files.mapInPandas(work, _SCHEMA)
+    return files.mapInPandas(tidy(work), _SCHEMA)
 
 
 def page_number(urn_col: str):
