@@ -7,8 +7,8 @@ threshold share a token within short prefixes of that order, and at least two wi
 1. Frequency: every token of every document is counted; those in more than `least` documents are frequent
    (at most FREQUENT of them, the commonest; any such class keeps the join exact, so the list may be broadcast).
 2. Index: each distinct set posts the tokens of its extended prefix. Tokens posted once go.
-3. Large groups first: along each long posting list neighbours in size order are compared (in parts of about PART places, dealt by
-   a hash), and every set with the list's hub, the set that has the token earliest in its order: the one with fewest tokens of its own, to which
+3. Large groups first: along each long posting list neighbours in size order are compared, and every set with the
+   list's hub, the set that has the token earliest in its order: the one with fewest tokens of its own, to which
    copies with changes link sooner than to each other. Links found make components, so that a group of many near
    copies is one component before any list is paired up.
 4. The rest exactly: pairs of different components that share a posting. Short lists are joined by
@@ -34,15 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, remove_path, shared_path, shingle_hashes, small_batches, tidy, word_hashes
+from folioflow.llm.common import cut, shingle_hashes, small_batches, tidy, word_hashes
 from folioflow.llm.components import components
 
 #: Most tokens in the broadcast list of frequent ones (8 bytes and a class each).
 FREQUENT = 1 << 20
 #: Posting lists longer than this are compared along their order first, and paired by two tokens later.
 LONG = 64
-#: Places of a list's parts, inside which neighbours in size order are compared.
-PART = 1_024
 #: Rows of a list of documents to fetch up to which it is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -124,7 +122,7 @@ def frequent_tokens(docs: DataFrame, k: int, least: int, range_bits: int) -> tup
 
 
 def postings(docs: DataFrame, k: int, percent: int, frequent, range_bits: int) -> DataFrame:
-    """(token, set_id, n, pos, heavy): the extended prefix of every set with the tokens' places in the order, heavy where the token is in the list of frequent ones; a task posts a set once."""
+    """(token, set_id, n, pos): the extended prefix of every set with the tokens' places in the order; a task posts a set once."""
     shared, shift = docs.sparkSession.sparkContext.broadcast(frequent), np.uint64(32 - range_bits)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,13 +141,13 @@ def postings(docs: DataFrame, k: int, percent: int, frequent, range_bits: int) -
                     at = np.minimum(np.searchsorted(fps, fp), len(fps) - 1)
                     cls = np.where(fps[at] == fp, classes[at], 0)
                 order = np.argsort(cls, kind="stable")[: prefix_length(n, percent) + 1]
-                rows.append((tokens[order].view(np.int64), np.full(len(order), sid), np.full(len(order), n, dtype=np.int32), np.arange(len(order), dtype=np.int32), cls[order] > 0))
+                rows.append((tokens[order].view(np.int64), np.full(len(order), sid), np.full(len(order), n, dtype=np.int32), np.arange(len(order), dtype=np.int32)))
             if len(done) > 300_000:
                 done.clear()
             if rows:
-                yield pd.DataFrame({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("token", "set_id", "n", "pos", "heavy"))})
+                yield pd.DataFrame({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("token", "set_id", "n", "pos"))})
 
-    return docs.select("text").where("text is not null").mapInPandas(tidy(post), "token long, set_id long, n int, pos int, heavy boolean")
+    return docs.select("text").where("text is not null").mapInPandas(tidy(post), "token long, set_id long, n int, pos int")
 
 
 def memberships(docs: DataFrame, k: int) -> DataFrame:
@@ -205,27 +203,17 @@ def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, le
     """(node, component) over set ids: enough verified links to span every component of the whole link graph."""
     n_rows = members.count()
     range_bits = int(np.clip(np.ceil(np.log2(max(1, n_rows) / 2_000)), 4, 24))
-    spark = docs.sparkSession
-    path = shared_path(spark, "postings")
-    postings(docs, k, percent, frequent_tokens(docs, k, least, range_bits), range_bits).write.option("compression", "none").parquet(path)  # hashes don't shrink
-    posted = spark.read.parquet(path)
+    posted = postings(docs, k, percent, frequent_tokens(docs, k, least, range_bits), range_bits)
     by_token = Window.partitionBy("token")
-    # tokens that aren't in the list of frequent ones have short postings (as long as the list has room), so a window may hold one;
-    # the others are counted by aggregates, and the join is of plain tables, which Spark can split
-    rare = posted.where("not heavy").repartition("token").dropDuplicates(["token", "set_id"]).withColumn("m", F.count(F.lit(1)).over(by_token)).where("m > 1")
-    heavy = cut(posted.where("heavy").dropDuplicates(["token", "set_id"]))
-    sizes = cut(heavy.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    live = cut(rare.drop("heavy").unionByName(heavy.drop("heavy").join(sizes, F.col("token") == F.col("_t")).drop("_t")))
-    remove_path(spark, path)
+    live = posted.repartition("token").dropDuplicates(["token", "set_id"]).withColumn("m", F.count(F.lit(1)).over(by_token))
+    live = cut(live.where("m > 1"))
 
     def fits(x: str, y: str):
         return F.greatest(x, y) * percent <= F.least(x, y) * 100
 
-    listed = live.where("m >= 8")
-    hubs = cut(listed.groupBy(F.col("token").alias("_t")).agg(F.min_by(F.struct("set_id", "n"), F.struct("pos", "set_id")).alias("hub")))
-    stepped = listed.join(hubs, F.col("token") == F.col("_t")).withColumn("part", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("m") / PART)))
-    in_order = Window.partitionBy("token", "part").orderBy("n", "set_id")
-    stepped = stepped.withColumns({"b1": F.lag("set_id").over(in_order), "n1": F.lag("n").over(in_order)})
+    in_order = by_token.orderBy("n", "set_id")
+    hub = F.min_by(F.struct("set_id", "n"), F.struct("pos", "set_id")).over(by_token)
+    stepped = live.where("m >= 8").withColumns({"b1": F.lag("set_id").over(in_order), "n1": F.lag("n").over(in_order), "hub": hub})
     stepped = stepped.select(F.col("set_id").alias("a"), "n", F.inline(F.array(F.struct(F.col("b1").alias("b"), F.col("n1").alias("o")), F.struct(F.col("hub.set_id").alias("b"), F.col("hub.n").alias("o")))))
     stepped = stepped.where("a != b").where(fits("n", "o"))
     stepped = cut(stepped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -233,9 +221,8 @@ def links(docs: DataFrame, members: DataFrame, k: int = 4, percent: int = 85, le
     groups = components(near)
 
     labelled = live.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id")).drop("component", "m")
-    labelled = cut(labelled)
-    mixed = cut(labelled.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("_t", "m"))
-    spread = cut(labelled.join(mixed, F.col("token") == F.col("_t")).drop("_t").withColumn("long", F.col("m") > LONG))
+    spread = labelled.withColumns({"m": F.count(F.lit(1)).over(by_token), "c0": F.min("c").over(by_token), "c1": F.max("c").over(by_token)}).where("c0 != c1").drop("c0", "c1")
+    spread = cut(spread.withColumn("long", F.col("m") > LONG))
     many = spread.where("long").groupBy("set_id").agg(F.count(F.lit(1)).alias("h"))
     short = spread.where("not long").join(many, "set_id", "left").select("token", "set_id", "n", "c", F.coalesce("h", F.lit(0)).alias("h"))
 
