@@ -61,7 +61,7 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lines(spark, sf_dir)
     return x.select(
-        (1_000_000_000 + F.col("doc_id") * 10000 + F.col("line_no")).alias("id"), (F.col("doc_id") + 10000).alias("parent_id"), "work_id", F.lit("H3-chunk").alias("level"),
+        (1_000_000_000 + F.col("doc_id") * 100_000_000 + F.col("line_no")).alias("id"), (F.col("doc_id") + 10000).alias("parent_id"), "work_id", F.lit("H3-chunk").alias("level"),
         F.col("line").alias("content"), F.concat_ws(" > ", "source", "lang", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("heading_breadcrumbs"),
         (F.col("line_no") + 1).alias("start_line"), (F.col("line_no") + 1).alias("end_line"))
 
@@ -92,7 +92,7 @@ headings AS (
   SELECT work_id + 1 AS id, CAST(NULL AS BIGINT) AS parent_id, work_id, 'H1' AS level, '# ' || min(source) AS content, min(source) AS heading_breadcrumbs, 0 AS start_line, 0 AS end_line FROM docs GROUP BY work_id
   UNION ALL SELECT 1000 + work_id * 10 + lang_no, work_id + 1, work_id, 'H2', '## ' || min(source) || ' ' || min(lang), min(source) || ' > ' || min(lang), 0, 0 FROM docs GROUP BY work_id, lang_no
   UNION ALL SELECT doc_id + 10000, 1000 + work_id * 10 + lang_no, work_id, 'H3', '### Document ' || doc_id || chr(10) || text, source || ' > ' || lang || ' > Document ' || doc_id, 1, CAST(len(string_split(text, chr(10))) + 1 AS INT) FROM docs),
-leaves AS (SELECT 1000000000 + doc_id * 10000 + line_no AS id, doc_id + 10000 AS parent_id, work_id, 'H3-chunk' AS level, line AS content,
+leaves AS (SELECT 1000000000 + doc_id * 100000000 + line_no AS id, doc_id + 10000 AS parent_id, work_id, 'H3-chunk' AS level, line AS content,
   source || ' > ' || lang || ' > Document ' || doc_id AS heading_breadcrumbs, CAST(line_no + 1 AS INT) AS start_line, CAST(line_no + 1 AS INT) AS end_line FROM doc_lines),
 chunks0 AS (SELECT h.*, e.embedding FROM headings h LEFT JOIN embeddings e ON h.id = e.vec_id + 10000 UNION ALL SELECT l.*, NULL FROM leaves l),
 chunks AS (SELECT *, CASE WHEN embedding IS NOT NULL THEN 'vec' WHEN level = 'H3-chunk' THEN 'to_vec' ELSE 'no_vec' END AS vector_status,
