@@ -51,6 +51,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to a scratch folder and read again, and the folder, for remove_path when nothing reads it any more."""
+    small_batches(df.sparkSession)
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows go to Python in batches of at most 4 MB, so that a worker's memory doesn't depend on how long texts are. A lower limit of the session stays."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
