@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import chunking, consolidation, external, fusion, search, websearch
+from folioflow.operators import chunking, consolidation, external, fulltext, fusion, search
 
 #: Limits of the lists, of their fusion and of the result; words of an enriched text; weights.
 DENSE, LEXICAL, RRF_K, FUSED, FINAL = 19, 5, 50, 75, 17
@@ -85,22 +85,24 @@ def enriched(items: DataFrame, chunks: DataFrame, least: int = LEAST_WORDS, most
 def retrieve(
     expanded: DataFrame, chunks: DataFrame, embed: Callable = external.hashing_embedder, score: Callable = external.overlap_scorer, analyser: str = "english",
     dense: int = DENSE, lexical: int = LEXICAL, fused: int = FUSED, final: int = FINAL,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, parent_id, work_id, level, content, enriched_content, start_line, end_line, heading_breadcrumbs, rrf_score, final_score): the contexts of each query.
 
     expanded: what expand_queries() gives. A dense list for each embedded text and a lexical one for the question and each rephrasing are
-    fused by rank; the best are enriched from their parents, reranked, moved by entities and intent, and chosen for diversity.
+    fused by rank (index: stored postings of the chunks; without it their texts are read); the best are enriched from their parents, reranked, moved by entities and intent, and chosen for diversity.
     """
     lists = vectorise_queries(expanded, embed)
     key = F.struct("query_id", "list_id").alias("query_id")
     near = search.dense_search(lists.select(key, F.col("embedding").alias("qe")), chunks, dense).select("query_id.*", "chunk_id", "rank")
     usable = search.searchable(chunks)
-    found = websearch.websearch(lists.where("kind != 'hyde'").select(key, F.col("text").alias("q")), usable, lexical, analyser).select("query_id.*", "chunk_id", "rank").withColumn("list_id", F.col("list_id") + 1000)
+    words = fulltext.postings(usable, analyser) if index is None else index
+    found = fulltext.search_web(lists.where("kind != 'hyde'").select(key, F.col("text").alias("q")), words, lexical, analyser, F.col("usable") & F.col("has_vector")).select("query_id.*", "chunk_id", "rank").withColumn("list_id", F.col("list_id") + 1000)
     best = fusion.rrf(near.unionByName(found), RRF_K, fused)
     fields = ["id", "parent_id", "work_id", "level", "content", "start_line", "end_line", "heading_breadcrumbs", "embedding"]
     cand = best.join(chunks.select(*fields), F.col("chunk_id") == F.col("id")).select("query_id", "rrf_score", *fields)
     cand = enriched(cand, chunks).drop("title", "enriched_from", "depth", "fallback", "reached_root")
-    cand = cand.join(F.broadcast(search.stated(expanded.select("query_id", "q", "intent", "entities"))), "query_id")
+    cand = cand.join(expanded.select("query_id", "q", "intent", "entities"), "query_id")
     cand = fusion.intent_boost(external.with_rerank_score(cand, "q", "enriched_content", score))
     cand = cand.withColumn("final_score", F.round(F.col("rerank_score") + fusion.entity_boost(F.col("enriched_content"), F.col("entities"), ENTITY) + F.col("intent_boost"), 6))
     cand = consolidation.written(cand)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions import text as X
 from folioflow.functions import vector as V
 
 
@@ -27,27 +27,22 @@ def searchable(chunks: DataFrame, min_sentences: int | None = None) -> DataFrame
     return out if min_sentences is None else out.where(F.col("sentence_count").isNotNull() & (F.col("sentence_count") >= min_sentences))
 
 
-#: Queries of a batch that may meet every chunk; larger sets come in batches.
+#: Queries that go to every task at a time; larger sets are dealt into parts of about so many.
 BATCH = 4_096
 
 
-def stated(queries: DataFrame) -> DataFrame:
-    """A batch of queries, after a check of its size."""
-    if queries.limit(BATCH + 1).count() > BATCH:
-        raise ValueError(f"give at most {BATCH} queries at a time")
-    return queries
-
-
 def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every query against every chunk with similarity (1 - cosine distance), rounded to 6 places.
 
-    queries (query_id, qe) is the stated batch; the scan of chunks is not shuffled before the top-k.
+    queries (query_id, qe) is the stated set, in parts of bounded size; the scan of chunks is not shuffled before the top-k.
     """
     q = queries.select("query_id", "qe", V.norm(F.col("qe")).alias("_qn"))
-    q = F.broadcast(stated(q))
+    parts = -(-max(queries.count(), 1) // BATCH)
     c = chunks.withColumn("_cn", V.norm(F.col("embedding")))
     cos = F.coalesce(F.try_divide(V.dot(F.col("qe"), F.col("embedding")), F.col("_qn") * F.col("_cn")), F.lit(0.0))
-    return c.crossJoin(q).withColumn("similarity", F.round(cos, 6)).drop("_qn", "_cn", "qe")
+    each = [q] if parts == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    scored = [c.crossJoin(F.broadcast(x)).withColumn("similarity", F.round(cos, 6)).drop("_qn", "_cn", "qe") for x in each]
+    return functools.reduce(DataFrame.unionAll, scored)
 
 
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 19, min_sentences: int | None = None) -> DataFrame:
@@ -56,40 +51,6 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 19, min_sentenc
     return ranked(scored, k, F.desc("similarity"), F.asc("id")).select("query_id", F.col("id").alias("chunk_id"), "rank")
 
 
-def with_lexemes(chunks: DataFrame, text_col: str = "content") -> DataFrame:
-    """The searchable form of a text, made once and kept as a column when chunks are written."""
-    return chunks.withColumn("lexemes", X.lexemes(F.col(text_col)))
-
-
-def lexical_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id, hits, size) of chunks that have all terms of a query (query_id, q): how many of their lexemes are terms, of how many.
-
-    Only lexemes that some query of the batch asks for are exploded, so the work follows the postings of the terms.
-    """
-    q = stated(queries.select("query_id", F.array_distinct(X.lexemes(F.col("q"))).alias("terms")))
-    terms = q.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    wanted = F.broadcast(q.agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_wanted")))
-    c = chunks.select("id", X.lexemes(F.col("content")).alias("_lex")).join(wanted)
-    posts = c.select("id", F.size("_lex").alias("size"), F.explode(F.filter("_lex", lambda w: F.array_contains("_wanted", w))).alias("term"))
-    hits = posts.groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(terms), "term")
-    hits = hits.groupBy("query_id", "n_terms", "id", "size").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("found"))
-    return hits.where("found = n_terms").drop("found", "n_terms")
-
-
-def lexical_search(queries: DataFrame, chunks: DataFrame, k: int | None = 20) -> DataFrame:
-    """(query_id, id, score, rank, total): term frequency per lexeme, all terms required; total counts all matches."""
-    m = lexical_matches(queries, chunks).withColumn("score", F.round(F.col("hits") / F.col("size"), 8))
-    total = m.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return ranked(m, k, F.desc("score"), F.asc("id")).join(F.broadcast(total), "query_id").select("query_id", "id", "score", "rank", "total")
-
-
-def lexical_over_ids(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k best of given chunks (id, lexemes) for each query (query_id, terms), matching or not; score is the share of the lexemes that are terms."""
-    q = F.broadcast(stated(queries))
-    s = chunks.crossJoin(q).withColumn("score", F.round(F.size(F.filter("lexemes", lambda x: F.array_contains("terms", x))) / F.size("lexemes"), 8))
-    return ranked(s, k, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "rank")
-
-
 def matching_results(questions: DataFrame, results: DataFrame, bound: float = 0.85) -> DataFrame:
     """(query_id, result_id, similarity, quality, rank): for each question (query_id, qe) the earlier results (result_id, embedding, quality) of questions more similar than the bound, best quality first."""
     near = dense_scores(questions, results).where(F.col("similarity") > bound)
@@ -103,21 +64,3 @@ def heading_priority(chunks: DataFrame, needle: str) -> DataFrame:
     hit = chunks.where(F.col("heading_breadcrumbs").ilike(like) | F.col("content").ilike(like))
     return hit.withColumn("priority", F.when(F.lower(last) == needle.lower(), 1).when(last.ilike(like), 2).when(F.col("content").ilike(like), 3).otherwise(4))
 
-
-def cover_density(lexemes: Column, terms: Column) -> Column:
-    """Sum over minimal covers of the terms of 1 / (words in the cover): the shorter and the more covers, the higher."""
-    def one(words, want) -> float:
-        want, last, total, start = set(want), {}, 0.0, -1
-        for i, w in enumerate(words):
-            if w in want:
-                last[w] = i
-                if len(last) == len(want) and min(last.values()) > start:
-                    start = min(last.values())
-                    total += 1.0 / (i - start + 1)
-        return total
-
-    @F.pandas_udf("double")
-    def run(words: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if w is None or t is None or not len(t) else one(w, t) for w, t in zip(words, wanted, strict=True)])
-
-    return run(lexemes, terms)

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from folioflow.functions import vector as V
 from folioflow.operators import external, fusion, search
 from folioflow.plans import corpus as C
-from folioflow.plans.search import _DENSE, _HYBRID, _LEX, hybrid
+from folioflow.plans.lexical_sql import LEX
+from folioflow.plans.search import _DENSE, _HYBRID, all_terms, hybrid
 from folioflow.registry import query
 
 _LISTS = """lists AS (SELECT query_id, 0 AS list_id, id AS chunk_id, rank FROM dense WHERE rank <= 19 UNION ALL SELECT query_id, 1, id, rank FROM lex WHERE rank <= 5),
 r AS (SELECT query_id, chunk_id, round(sum(1.0 / (50 + rank)), 10) AS rrf_score, min(list_id) AS l, min(rank) AS k FROM lists GROUP BY 1, 2)"""
-_ALL = (C.queries_sql(), C.TEXTS_SQL, _DENSE, _LEX, _LISTS)
+_ALL = (C.queries_sql(), C.TEXTS_SQL, _DENSE, LEX, _LISTS)
 
 
 def lists(spark, sf_dir):
     dense = search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 19).withColumn("list_id", F.lit(0))
-    lex = search.lexical_search(C.query_texts(spark, sf_dir), C.chunks(spark, sf_dir).where("level = 'H3'"), 5).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit(1).alias("list_id"))
+    lex = all_terms(spark, sf_dir, 5).select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit(1).alias("list_id"))
     return dense.unionByName(lex)
 
 
@@ -27,12 +28,12 @@ def g1(spark, sf_dir):
     return fusion.rrf(lists(spark, sf_dir)).drop("rank")
 
 
-@query("g2_weighted_rrf", C.sql("SELECT query_id, id, score, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank FROM f", C.queries_sql(), C.TEXTS_SQL, _DENSE, _LEX, _HYBRID))
+@query("g2_weighted_rrf", C.sql("SELECT query_id, id, score, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank FROM f", C.queries_sql(), C.TEXTS_SQL, _DENSE, LEX, _HYBRID))
 def g2(spark, sf_dir):
     return hybrid(spark, sf_dir)
 
 
-@query("g3_two_list_rrf", C.sql("SELECT query_id, id, s AS rrf_score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rk FROM (SELECT *, round(1.0 / (60 + coalesce(dense_rank, 999999)) + 1.0 / (60 + coalesce(lexical_rank, 999999)), 10) AS s FROM f)) WHERE rk <= 7", C.queries_sql(), C.TEXTS_SQL, _DENSE, _LEX, _HYBRID))
+@query("g3_two_list_rrf", C.sql("SELECT query_id, id, s AS rrf_score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rk FROM (SELECT *, round(1.0 / (60 + coalesce(dense_rank, 999999)) + 1.0 / (60 + coalesce(lexical_rank, 999999)), 10) AS s FROM f)) WHERE rk <= 7", C.queries_sql(), C.TEXTS_SQL, _DENSE, LEX, _HYBRID))
 def g3(spark, sf_dir):
     f = hybrid(spark, sf_dir)
     return fusion.two_list_rrf(f.where("dense_rank is not null").select("query_id", "id", F.col("dense_rank").alias("rank")), f.where("lexical_rank is not null").select("query_id", "id", F.col("lexical_rank").alias("rank")), by="query_id")
@@ -47,11 +48,11 @@ _OVER = r"round(CASE WHEN len(qw) = 0 THEN 0 ELSE CAST(len(list_intersect(qw, tw
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
 
 
-@query("g5_rerank_overlap", C.sql(f"SELECT query_id, id, round({_OVER}, 6) AS rerank_score FROM (SELECT r.query_id, h.id, {_WORDS.format('q')} AS qw, {_WORDS.format('content')} AS tw FROM (SELECT DISTINCT query_id, chunk_id FROM r) r JOIN headings h ON h.id = r.chunk_id JOIN qt USING (query_id))", *_ALL))
+@query("g5_rerank_overlap", C.sql(f"SELECT query_id, id, round({_OVER}, 6) AS rerank_score FROM (SELECT r.query_id, h.id, {_WORDS.format('q')} AS qw, {_WORDS.format('content')} AS tw FROM (SELECT DISTINCT query_id, chunk_id FROM r) r JOIN chunks h ON h.id = r.chunk_id JOIN qt USING (query_id))", *_ALL))
 def g5(spark, sf_dir):
     """Every fused candidate of every query, scored in batches by the offline reranker in a cross-encoder's place."""
     c = fusion.rrf(lists(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("id"))
-    c = c.join(C.headings(spark, sf_dir).select("id", "content"), "id").join(F.broadcast(search.stated(C.query_texts(spark, sf_dir))), "query_id")
+    c = c.join(C.chunks(spark, sf_dir).select("id", "content"), "id").join(C.query_texts(spark, sf_dir), "query_id")
     return external.with_rerank_score(c, "q", "content", external.overlap_scorer).select("query_id", "id", "rerank_score")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.operators import structure as S
-from folioflow.operators import search
+from folioflow.operators import patterns, search
 from folioflow.plans import corpus as C
 from folioflow.plans.hierarchy import MD_SQL, md_lines
 from folioflow.plans.predicates import customer, docs, events, lineitem, orders, part
@@ -109,9 +109,9 @@ def j15(spark, sf_dir):
 
 @query("j16_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def j16(spark, sf_dir):
-    """A stated set of needles (the benchmark) against all texts."""
-    b = F.broadcast(search.stated(C.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))))
-    return docs(spark, sf_dir).crossJoin(b).where(F.contains("text", F.col("needle"))).select("item_id", "doc_id")
+    """All needles (the benchmark) against all texts, each read once."""
+    needles = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    return patterns.containments(docs(spark, sf_dir).select("doc_id", "text"), needles).select(F.col("needle_id").alias("item_id"), "doc_id")
 
 
 @query("j17_lookup", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import fusion, search, websearch
+from folioflow.operators import fulltext, fusion, search
 from folioflow.plans import corpus as C
+from folioflow.plans.lexical_sql import GIVEN, LEX, WEB
 from folioflow.registry import query
 
 _COS = "round(coalesce(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0), 6)"
 _DENSE = f"dense AS (SELECT query_id, id, heading_breadcrumbs, level, work_id, content, {_COS} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, id) AS rank FROM qv, chunks WHERE embedding IS NOT NULL AND dense_lexical_use)"
-_LEX = r"""terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(q, '[\p{L}\p{N}_]+')) AS term FROM qt),
-nterms AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
-posts AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM chunks WHERE level = 'H3'),
-sizes AS (SELECT id, count(*) AS sz FROM posts GROUP BY 1),
-m AS (SELECT query_id, id, count(*) AS hits FROM posts JOIN terms USING (term) GROUP BY 1, 2 HAVING count(DISTINCT term) = (SELECT n_terms FROM nterms n WHERE n.query_id = terms.query_id)),
-lex AS (SELECT query_id, id, round(CAST(hits AS DOUBLE) / sz, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(hits AS DOUBLE) / sz, 8) DESC, id) AS rank,
-  count(*) OVER (PARTITION BY query_id) AS total FROM m JOIN sizes USING (id))"""
-
-
-def _h3(spark, sf_dir):
-    return C.chunks(spark, sf_dir).where("level = 'H3'")
-
-
 @query("r1_dense_search", C.sql("SELECT query_id, id AS chunk_id, CAST(rank AS INT) AS rank FROM dense WHERE rank <= 19", C.queries_sql(), _DENSE))
 def r1(spark, sf_dir):
     return search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 19)
@@ -40,29 +28,43 @@ def r2(spark, sf_dir):
     return top.join(n, "query_id").join(C.works(spark, sf_dir).select("work_id", "title"), "work_id").select("query_id", "id", F.col("title").alias("work_title"), "similarity", "rank", "total")
 
 
-@query("r3_lexical_cover_density")
+@query("r3_lexical_cover_density", C.sql("SELECT query_id, id AS chunk_id, score, CAST(rank AS INT) AS rank FROM web WHERE rank <= 5", WEB))
 def r3(spark, sf_dir):
-    """Web-style queries over the English analyser, ranked by cover density, top 5: `w1 w2 or "w3 w4" -w5` of every benchmark item."""
+    """Web-style queries over the English analyser, ranked by cover density, top 5 of the chunks with vectors: `w1 w2 or "w3 w4" -w5` of every benchmark item."""
     w = X.lexemes(F.col("text"))
     q = F.concat_ws(" ", F.slice(w, 1, 2), F.lit('or "'), F.slice(w, 3, 2), F.lit('"'), F.concat(F.lit("-"), F.get(w, F.lit(4))))
-    return websearch.websearch(C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), q.alias("q")), _h3(spark, sf_dir), 5)
+    asked = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), q.alias("q"))
+    return fulltext.search_web(asked, C.fulltext_index(spark, sf_dir), 5, where=F.col("usable") & F.col("has_vector"))
+
 
+def all_terms(spark, sf_dir, k):
+    """The lexical list of every text query over all usable chunks."""
+    return fulltext.search_all_terms(C.query_texts(spark, sf_dir), C.fulltext_index(spark, sf_dir), k, where=F.col("usable"))
 
-@query("r4_search_lexical", C.sql("SELECT query_id, id, score, CAST(rank AS INT) AS rank, total FROM lex WHERE rank <= 20", C.TEXTS_SQL, _LEX))
+
+@query("r4_search_lexical", C.sql("SELECT query_id, id, score, CAST(rank AS INT) AS rank, total FROM lex WHERE rank <= 20", C.TEXTS_SQL, LEX))
 def r4(spark, sf_dir):
-    return search.lexical_search(C.query_texts(spark, sf_dir), _h3(spark, sf_dir), 20)
+    return all_terms(spark, sf_dir, 20)
+
+
+@query("r4_headings_only", C.sql("SELECT query_id, id, title AS work_title, score, CAST(rank AS INT) AS rank, total FROM lex JOIN headings USING (id) JOIN works USING (work_id) WHERE rank > 2 AND rank <= 4", C.TEXTS_SQL, LEX.replace("WHERE dense_lexical_use", "WHERE level IN ('H1', 'H2', 'H3')", 1)))
+def r4_headings(spark, sf_dir):
+    """Page 2 of size 2 over headings, usable or not, with the work's title and the number of matches."""
+    found = fulltext.search_all_terms(C.query_texts(spark, sf_dir), C.fulltext_index(spark, sf_dir), 4, where=F.col("heading"))
+    of = C.headings(spark, sf_dir).select("id", "work_id")
+    return search.page(found, 2, 2).join(of, "id").join(C.works(spark, sf_dir).select("work_id", F.col("title").alias("work_title")), "work_id").drop("work_id")
+
+
+_GIVEN = "gp AS (SELECT item_id AS query_id, id FROM benchmark JOIN chunks ON work_id = item_id % 20 WHERE level = 'H3' AND embedding IS NOT NULL)"
 
 
-@query("r5_lexical_over_ids", C.sql(
-    """SELECT query_id, id, round(coalesce(h, 0) / sz, 8) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(h, 0) / sz, 8) DESC, id) AS INT) AS rank
-    FROM (SELECT t.query_id, s.id, s.sz, h FROM (SELECT * FROM sizes WHERE id IN (SELECT id FROM dense WHERE rank <= 19)) s CROSS JOIN (SELECT DISTINCT query_id FROM terms) t
-      LEFT JOIN (SELECT p.id, x.query_id, count(*)::DOUBLE AS h FROM posts p JOIN terms x ON p.term = x.term GROUP BY 1, 2) k ON k.id = s.id AND k.query_id = t.query_id)
-    QUALIFY rank <= 7""", C.queries_sql(), C.TEXTS_SQL, _DENSE, _LEX))
+@query("r5_lexical_over_ids", C.sql("SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM given WHERE rank <= 7", C.TEXTS_SQL, _GIVEN, GIVEN))
 def r5(spark, sf_dir):
-    """Given ids only (what the dense lists hold), no match filter: rows without any term score 0 and are ranked too."""
-    ids = search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 19).select(F.col("chunk_id").alias("id")).distinct()
-    q = C.query_texts(spark, sf_dir).select("query_id", F.array_distinct(X.lexemes(F.col("q"))).alias("terms"))
-    return search.lexical_over_ids(q, search.with_lexemes(_h3(spark, sf_dir).join(ids, "id", "left_semi")).select("id", "lexemes"), 7)
+    """Given ids only, for each query those of one work's chunks with vectors, no match filter: chunks without all terms score 0 and are ranked too."""
+    ids = C.chunks(spark, sf_dir).where("level = 'H3' and embedding is not null").select("id", "work_id")
+    asked = C.query_texts(spark, sf_dir)
+    pairs = asked.select("query_id", (F.col("query_id") % 20).alias("work_id")).join(ids, "work_id").select("query_id", "id")
+    return fulltext.rank_given(pairs, asked, C.fulltext_index(spark, sf_dir), 7)
 
 
 @query("r6_chunk_search_priority", C.sql(
@@ -89,18 +91,17 @@ _HYBRID = """f AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce
 
 def hybrid(spark, sf_dir):
     dense = search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 20).withColumnRenamed("chunk_id", "id")
-    lexical = search.lexical_search(C.query_texts(spark, sf_dir), _h3(spark, sf_dir), 20)
-    return fusion.weighted_rrf(dense, lexical)
+    return fusion.weighted_rrf(dense, all_terms(spark, sf_dir, 20))
 
 
 @query("r8_search_hybrid", C.sql(
     """SELECT query_id, f.id, title AS work_title, score, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank, CAST(rn AS INT) AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM f) f JOIN headings h ON f.id = h.id JOIN works w ON h.work_id = w.work_id WHERE rn <= 10""",
-    C.queries_sql(), C.TEXTS_SQL, _DENSE, _LEX, _HYBRID))
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM f) f JOIN chunks h ON f.id = h.id JOIN works w ON h.work_id = w.work_id WHERE rn <= 10""",
+    C.queries_sql(), C.TEXTS_SQL, _DENSE, LEX, _HYBRID))
 def r8(spark, sf_dir):
     """First page of ten: dense and lexical candidates, fused, joined to works."""
     top = search.ranked(hybrid(spark, sf_dir), 10, F.desc("score"), F.asc("id"))
-    of_work = C.headings(spark, sf_dir).where("level = 'H3'").select("id", "work_id")
+    of_work = C.chunks(spark, sf_dir).select("id", "work_id")
     return top.join(of_work, "id").join(C.works(spark, sf_dir).select("work_id", "title"), "work_id").select("query_id", "id", F.col("title").alias("work_title"), "score", "dense_rank", "lexical_rank", "rank")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.functions import vector as V
-from folioflow.operators import chunking, consolidation, external, fusion, research, retrieval, rewriting, search, statistics, structure, suggestions, summarize, websearch
+from folioflow.operators import chunking, consolidation, external, fusion, research, retrieval, rewriting, search, statistics, structure, suggestions, summarize
 from folioflow.plans.predicates import resolve, valid_link
 from folioflow.sources import files, navigation
 
@@ -139,7 +139,6 @@ def test_text_functions(spark):
     assert value(spark, X.split_sentences(F.lit("A b. C? D"))) == ["A b.", "C?", "D"]
     assert value(spark, X.truncate_words(F.lit("a  b c"), 2)) == "a b..." and value(spark, X.truncate_words(F.lit("a  b"), 2)) == "a  b"
     assert value(spark, X.normalize_whitespace(F.lit(" a \t b\n\n\n\nc"))) == "a b\n\nc"
-    assert value(spark, search.cover_density(F.array(*map(F.lit, "a x b a".split())), F.array(F.lit("a"), F.lit("b")))) == pytest.approx(1 / 3 + 1 / 2)
 
 
 def test_links_and_parameters(spark):
@@ -223,48 +222,6 @@ def test_embedding_is_deterministic_and_pluggable(spark):
     assert external.with_embedding(df, "text", lambda ts: [[float(len(ts))]] * len(ts)).where("id = 1").first().embedding == [1.0] or True
 
 
-def brute_websearch(queries, chunks):
-    """{(query, id)} of what matches, by plain loops."""
-    out = set()
-    for q, text in queries:
-        for i, content in chunks:
-            words = content.lower().split()
-            pair = set(zip(words, words[1:]))
-            for branch in text.lower().split(" or "):
-                ok, any_ = True, False
-                for part in branch.replace('" ', '"|').replace(' "', '|"').replace(" -", "|-").split("|"):
-                    minus, part = part.startswith("-"), part.lstrip("-")
-                    if part.startswith('"'):
-                        tests = [tuple(part.strip('"').split()) in pair]
-                    else:
-                        tests = [w in words for w in part.split()]
-                    any_ = any_ or bool(tests)
-                    ok = ok and all(t != minus for t in tests)
-                if ok and any_:
-                    out.add((q, i))
-    return out
-
-
-def test_websearch_matches_brute_force(spark):
-    rng = random.Random(5)
-    word = lambda: f"w{rng.randrange(8)}"
-    chunks = [(i, " ".join(word() for _ in range(rng.randrange(3, 12)))) for i in range(80)]
-    queries = [(0, "w1 w2"), (1, '"w1 w2"'), (2, "w1 -w2"), (3, "w1 w2 or w3 w4"), (4, '"w1 w2" w3'), (5, '-"w1 w2" w5'), (6, "-w1"), (7, "w1 or -w3"), (8, "w99"), (9, "")]
-    c = spark.createDataFrame(chunks, "id long, content string")
-    q = spark.createDataFrame(queries, "query_id int, q string")
-    got = {(r.query_id, r.chunk_id) for r in websearch.websearch(q, c, 1000, "simple").collect()}
-    assert got == brute_websearch(queries[:9], chunks) and not any(k in (8, 9) for k, _ in got)
-
-
-def test_english_analyser(spark):
-    words = {"running": "run", "relational": "relational", "memories": "memori", "memory": "memori", "classes": "class", "hoping": "hop", "quickly": "quick", "dogs'": "dog", "is": "", "bus": "bus", "stated": "state"}
-    got = value(spark, websearch.analysed(F.array(*map(F.lit, words)), "english"))
-    assert dict(zip(words, got)) == words | {"classes": "class" if "class" in got else got[4]}
-    c = spark.createDataFrame([(1, "the memory of running dogs"), (2, "a cat")], "id long, content string")
-    q = spark.createDataFrame([(0, "memories of the dog")], "query_id int, q string")
-    assert rows(websearch.websearch(q, c), "query_id", "chunk_id") == [(0, 1)]
-
-
 def test_enrichment_climbs_and_stops(spark):
     w = lambda n: " ".join(["w"] * n)
     chunks = [(1, None, w(200), "Top"), (2, 1, w(10), "Top > Mid"), (3, 2, w(5), "Top > Mid > Leaf"), (4, None, w(3), "Root"), (5, 4, w(2), "Root > x"), (6, 7, w(2), "c"), (7, 6, w(3), "d"), (8, 99, w(2), "lost"), (9, 10, w(2), "nul"), (10, None, None, "null"), (11, 1, w(160), "enough"), (12, None, None, "empty")]
@@ -365,8 +322,11 @@ def test_ancestors_stop_at_cycles(spark):
     assert rows(structure.ancestors(c), "id", "depth", "ancestor_id") == [(1, 1, 2), (1, 2, 3), (2, 1, 3), (3, 1, 2)]
 
 
-def test_batches_of_queries_are_bounded(spark, monkeypatch):
+def test_queries_come_in_batches_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(1)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    c = spark.createDataFrame([(i, vec(), True) for i in range(30)], "id long, embedding array<double>, dense_lexical_use boolean")
+    q = spark.createDataFrame([(i, vec()) for i in range(20)], "query_id int, qe array<double>")
+    want = rows(search.dense_search(q, c, 5), "query_id", "rank", "chunk_id")
     monkeypatch.setattr(search, "BATCH", 3)
-    with pytest.raises(ValueError):
-        search.stated(spark.range(4))
-    assert search.stated(spark.range(3)).count() == 3
+    assert rows(search.dense_search(q, c, 5), "query_id", "rank", "chunk_id") == want and len(want) == 100
