@@ -17,6 +17,32 @@ def citations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
 
 
+def source_keys(source: Column, place: Column) -> Column:
+    """What a citation may call a source (work_id, title, authors, type, item_id) that is the place-th (from 0): its title, its first author's last name, `[research] result n`, `s` and its number, or its number."""
+    number = (place + 1).cast("string")
+    author = F.element_at(F.split(F.trim(F.split_part(source["authors"], F.lit(","), F.lit(1))), r"\s+"), -1)
+    result = F.when(source["type"] == "research_result", F.coalesce(source["item_id"].cast("string"), number))
+    keys = F.array(source["title"], author, F.concat(F.lit("result "), result), F.concat(F.lit("research result "), result), F.concat(F.lit("s"), number), number)
+    return F.filter(F.transform(keys, F.lower), lambda k: F.coalesce(k, F.lit("")) != "")
+
+
+def _names(citation: Column, keys: Column) -> Column:
+    return F.exists(keys, lambda k: F.contains(F.lower(citation), k))
+
+
+def source_diversity(cites: Column, sources: Column) -> Column:
+    """How many different works (results without a work by their item) some citation names."""
+    found = F.filter(F.transform(sources, lambda s, i: F.struct(
+        F.exists(cites, lambda c: _names(c, source_keys(s, i))).alias("cited"), F.coalesce(s["work_id"].cast("string"), F.concat(F.lit("item_"), F.coalesce(s["item_id"].cast("string"), (i + 1).cast("string")))).alias("name"))), lambda s: s["cited"])
+    return F.size(F.array_distinct(F.transform(found, lambda s: s["name"])))
+
+
+def broken_citations(cites: Column, sources: Column) -> Column:
+    """The citations that name no source."""
+    keys = F.flatten(F.transform(sources, source_keys))
+    return F.filter(cites, lambda c: ~_names(c, keys))
+
+
 def quality_score(text: Column, created: Column, model: Column, as_of: Column) -> Column:
     """.40 citation density (one in 50 words is full) + .20 freshness (180 days) + .15 completeness (1000 words) + .15 diversity (5 sources) + .10 model; 0 without words."""
     words, cites = X.count_words(text), citations(text)

@@ -80,14 +80,82 @@ def islands(df: DataFrame, by: list[str], gap: int = 7, start: str = "start_line
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(along)).drop("_new")
 
 
-def ancestors(chunks: DataFrame, depth: int = 10) -> DataFrame:
-    """(id, depth, ancestor_id): a bounded loop of self-joins on (id, parent_id), each as long as what still has a parent; a climb ends where it would come to a node again."""
-    edges = chunks.select("id", "parent_id").where("parent_id is not null and parent_id != id")
-    step = edges.select("id", F.lit(1).alias("depth"), F.col("parent_id").alias("ancestor_id"), F.array("id", "parent_id").alias("seen"))
-    out = step.drop("seen")
-    up = edges.select(F.col("id").alias("_i"), F.col("parent_id").alias("_p"))
-    for n in range(2, depth + 1):
-        step = step.join(up, F.col("ancestor_id") == F.col("_i")).where(~F.array_contains("seen", F.col("_p")))
-        step = step.select("id", F.lit(n).alias("depth"), F.col("_p").alias("ancestor_id"), F.array_append("seen", F.col("_p")).alias("seen"))
-        out = out.unionAll(step.drop("seen"))
-    return out
+def ancestors(chunks: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, depth, ancestor_id): all that stands above each of chunks (id, parent_id), at any height, with the least depth.
+
+    Each round joins what is known with itself: what stands 2^n above a node knows its own next 2^n, so a tree of height h takes about log h rounds. A climb ends
+    where it would come to its own node again, and a round that finds nothing new is the last, so circles end too. A parent that isn't there is an
+    ancestor without any of its own. depth: only so far up.
+    """
+    from folioflow.sources.files import remove, step  # it imports operators
+
+    spark = chunks.sparkSession
+    known, path = step(chunks.where("parent_id is not null and parent_id != id").select("id", F.lit(1).alias("depth"), F.col("parent_id").alias("ancestor_id")).distinct())
+    n, span = known.count(), 1
+    while n and (depth is None or span < depth):
+        far = known.where(F.col("depth") == span).select("id", F.col("ancestor_id").alias("_via"))
+        above = known.select(F.col("id").alias("_via"), (F.col("depth") + span).alias("depth"), "ancestor_id")
+        more = far.join(above, "_via").where("id != ancestor_id").select("id", "depth", "ancestor_id")
+        out, after = step(known.unionAll(more).groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth")).select("id", "depth", "ancestor_id"))
+        remove(spark, path)
+        before, (known, path, span) = n, (out, after, span * 2)
+        n = known.count()
+        if n == before:
+            break
+    return known if depth is None else known.where(F.col("depth") <= depth)
+
+
+def ancestors_of(items: DataFrame, above: DataFrame) -> DataFrame:
+    """(id, depth, ancestor_id) of items (id, parent_id) below a tree whose ancestors() are known: one join, however many items there are."""
+    first = items.where("parent_id is not null").select("id", F.lit(1).alias("depth"), F.col("parent_id").alias("ancestor_id"))
+    up = above.select(F.col("id").alias("_p"), (F.col("depth") + 1).alias("depth"), "ancestor_id")
+    more = items.select("id", F.col("parent_id").alias("_p")).join(up, "_p").select("id", "depth", "ancestor_id")
+    return first.unionAll(more)
+
+
+def breadcrumb_walk(items: DataFrame, tree: DataFrame) -> DataFrame:
+    """(id, breadcrumb) of items (id, parent_id) below or in a tree (id, parent_id, content): the headings above from the root down; none gives [No heading]."""
+    titles = tree.select(F.col("id").alias("ancestor_id"), F.regexp_replace(F.split_part("content", F.lit("\n"), F.lit(1)), "^#+ *", "").alias("t"))
+    a = ancestors_of(items, ancestors(tree)).join(titles, "ancestor_id")
+    crumbs = a.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "t")), asc=False), lambda s: s["t"]), " > ").alias("b"))
+    return items.select("id").join(crumbs, "id", "left").select("id", F.coalesce("b", F.lit("[No heading]")).alias("breadcrumb"))
+
+
+def within_ranges(ranges: DataFrame, pieces: DataFrame, by: str, width: int = 64) -> DataFrame:
+    """Rows of ranges (by, range_start, range_end, ...) with each of the pieces (by, start_line, end_line, ...) that lie inside.
+
+    Lines are cut into bins of `width`: a range is in all bins that it touches, a piece in that of its start, so the join has equal keys, which
+    part even a single large work, and each pair meets once.
+    """
+    bins = F.sequence(F.floor(F.col("range_start") / width), F.floor(F.col("range_end") / width))
+    r = ranges.where("range_end >= range_start").withColumn("_bin", F.explode(bins))
+    p = pieces.withColumn("_bin", F.floor(F.col("start_line") / width))
+    return r.join(p, [by, "_bin"]).where("start_line >= range_start and end_line <= range_end").drop("_bin")
+
+
+def excerpts(items: DataFrame, works: DataFrame, chunks: DataFrame, width: int = 64, preview: int = 2000) -> DataFrame:
+    """(item_id, content, heading_breadcrumbs, preview) of excerpt links (item_id, work_id, range_start, range_end): the chunks of the work inside the range, in order of lines.
+
+    The breadcrumbs are the first chunk's. A range without chunks and a work that is gone say so in content; their preview is null.
+    """
+    j = within_ranges(items, chunks.select("work_id", "id", "start_line", "end_line", "content", "heading_breadcrumbs"), "work_id", width)
+    g = j.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", "content", "heading_breadcrumbs"))).alias("c"))
+    out = items.join(works.select("work_id", F.lit(True).alias("_there")).distinct(), "work_id", "left").join(g, "item_id", "left")
+    text = F.array_join(F.transform("c", lambda x: x["content"]), "\n\n")
+    has = F.col("_there") & F.col("c").isNotNull()
+    return out.select(
+        "item_id", F.when(F.col("_there").isNull(), "Source work deleted.").when(F.col("c").isNull(), "Excerpt content not found.").otherwise(text).alias("content"),
+        F.when(has, F.col("c")[0]["heading_breadcrumbs"]).alias("heading_breadcrumbs"), F.when(has, F.substring(text, 1, preview)).alias("preview"))
+
+
+def heading_context(lines: DataFrame, around: int = 100, doc: str = "doc_id") -> DataFrame:
+    """(doc, line, level, title, position, before, after) of the headings of one to six marks: where they begin in their document, from 0, and so many characters of it on both sides, trimmed."""
+    along = Window.partitionBy(doc).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    x = lines.withColumn("position", F.coalesce(F.sum(F.length("text") + 1).over(along), F.lit(0)))
+    whole = lines.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("_whole"))
+    h = x.where(F.col("text").rlike(r"^#{1,6}\s+\S")).join(whole, doc)
+    start, end = F.col("position").cast("int"), (F.col("position") + F.length("text")).cast("int")
+    blank = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return h.select(
+        doc, "line", F.length(F.regexp_extract("text", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("text", r"^#+\s+(.*)$", 1)).alias("title"), "position",
+        blank(F.substr("_whole", F.greatest(start - around, F.lit(0)) + 1, F.least(start, F.lit(around)))).alias("before"), blank(F.substr("_whole", end + 1, F.lit(around))).alias("after"))

@@ -1,11 +1,69 @@
-"""Summaries under token budgets: which headings and chunks go into which prompt."""
+"""Summaries: the best chunks of every heading, and which headings and chunks go into which prompt under token budgets."""
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import vector as V
+from folioflow.operators import fulltext, fusion
+from folioflow.operators.search import ranked
+
+#: Rows of the dense, the lexical and the fused list of a heading, the fusion's constant, diversity, and chunks chosen.
+DENSE, LEXICAL, FUSED, RRF_K, DIVERSITY, CHOSEN = 7, 7, 7, 60, 0.7, 5
+
+
+def heading_query(breadcrumbs: Column, title: Column) -> Column:
+    """What a heading asks its chunks: the headings above and its title, without emphasis marks."""
+    q = F.concat_ws(" ", F.replace(breadcrumbs, F.lit(">"), F.lit(" ")), title)
+    return F.trim(F.regexp_replace(F.regexp_replace(q, "[*_]{1,3}", ""), r"\s+", " "))
+
+
+def fused_children(headings: DataFrame, children: DataFrame, index: DataFrame, k: int = RRF_K, top: int = FUSED) -> DataFrame:
+    """(heading_id, id, rrf_score, dense_rank, lexical_rank, rank) for all headings at once, each over its own children only.
+
+    headings (heading_id, q, qe), children (heading_id, id, embedding), index: postings. The dense list has the children nearest by cosine (those with a vector),
+    the lexical one the best by cover rank, those without the words included; both are joins with the pairs of heading and child, so work is linear in the children.
+    """
+    pairs = children.join(headings.select("heading_id", "qe"), "heading_id")
+    cos = V.cosine(F.col("qe"), F.col("embedding"))
+    near = pairs.where("embedding is not null").select(F.col("heading_id"), "id", F.round(cos, 6).alias("similarity"))
+    dense = ranked(near, DENSE, F.desc("similarity"), F.asc("id"), by="heading_id").select("heading_id", "id", "rank")
+    asked = headings.select(F.col("heading_id").alias("query_id"), "q")
+    lexical = fulltext.rank_given(pairs.select(F.col("heading_id").alias("query_id"), "id"), asked, index, LEXICAL).select(F.col("query_id").alias("heading_id"), "id", "rank")
+    f = fusion.weighted_rrf(dense, lexical, k, by="heading_id").drop("score")
+    one = lambda c: 1.0 / (F.lit(k) + F.coalesce(c, F.lit(fusion.MISSING)))
+    f = f.withColumn("rrf_score", F.round(one("dense_rank") + one("lexical_rank"), 10))
+    return ranked(f, top, F.desc("rrf_score"), F.asc("id"), by="heading_id").select("heading_id", "id", "rrf_score", "dense_rank", "lexical_rank", "rank")
+
+
+def rank_children(headings: DataFrame, children: DataFrame, index: DataFrame, lam: float = DIVERSITY, chosen: int = CHOSEN) -> DataFrame:
+    """(heading_id, id, rank, mmr_score): the children of each heading that its summary is made of: fused lists, then chosen for diversity."""
+    best = fused_children(headings, children, index).select("heading_id", "id", F.col("rrf_score").alias("score")).join(children, ["heading_id", "id"])
+    return fusion.mmr(best, "heading_id", chosen, lam, normalised=False).select("heading_id", "id", F.col("mmr_rank").alias("rank"), "mmr_score")
+
+
+def prompt_sections(headings: DataFrame, chunks: DataFrame, by: str = "work_id") -> DataFrame:
+    """(by, batch, sections, context): what a prompt says of each batch of headings (by, heading_id, pos, batch, title, start_line, end_line).
+
+    sections has every heading of the batch with its chunks (heading_id, rank, id, content, start_line, end_line), context the titles of the work's headings before
+    and after the batch. pos is a heading's place in the work, from 0; a batch is a run of places.
+    """
+    text = F.concat(F.coalesce("content", F.lit("")), F.lit("\n-- chunk_id: "), F.col("id").cast("string"), F.lit(", lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"))
+    parts = chunks.groupBy("heading_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", text.alias("t")))), lambda x: x["t"]), "\n").alias("parts"))
+    head = F.concat(F.lit("# "), "title", F.lit("\n-- id: "), F.col("heading_id").cast("string"), F.lit("\n-- lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"))
+    h = headings.join(parts, "heading_id", "left").withColumn("t", F.concat_ws("\n", head, "parts"))
+    ordered = lambda *c: F.array_sort(F.collect_list(F.struct("pos", *c)))
+    b = h.groupBy(by, "batch").agg(F.array_join(F.transform(ordered("t"), lambda x: x["t"]), "\n").alias("sections"), F.min("pos").alias("_a"), F.max("pos").alias("_b"))
+    titles = headings.groupBy(by).agg(F.transform(ordered("title"), lambda x: F.concat(F.lit("- "), x["title"])).alias("_t"))
+    before = F.when(F.col("_a") > 0, F.concat(F.lit("## Previous context (headings only):\n"), F.array_join(F.slice("_t", 1, F.col("_a")), "\n"), F.lit("\n")))
+    rest = F.size("_t") - F.col("_b") - 1
+    after = F.when(rest > 0, F.concat(F.lit("## Subsequent context (headings only):\n"), F.array_join(F.slice("_t", F.col("_b") + 2, F.greatest(rest, F.lit(0))), "\n"), F.lit("\n")))
+    return b.join(titles, by).select(by, "batch", "sections", F.concat_ws("\n", before, after).alias("context"))
+
 
 def heading_budget(headings: DataFrame, budget: int, by: str = "work_id") -> DataFrame:
     """headings (by, start_line, level, words) without the deepest, then shortest, until the words fit.
@@ -30,11 +88,14 @@ def prune_to_budget(headings: DataFrame, budget: int, floors: dict | None = None
         pdf = pdf.sort_values("heading_id")
         rows = [[r.heading_id, int(r.level[1]), floors.get(r.level, 1), r.title_tokens, list(r.chunk_tokens)] for r in pdf.itertuples()]
         total = sum(r[3] + sum(r[4]) for r in rows)
-        while total > budget:
-            more = [r for r in rows if len(r[4]) > r[2]]
-            if not more:
-                break
-            total -= max(more, key=lambda r: (r[1], len(r[4])))[4].pop()
+        next_ = [(-r[1], -len(r[4]), i) for i, r in enumerate(rows) if len(r[4]) > r[2]]
+        heapq.heapify(next_)
+        while total > budget and next_:
+            level, _, i = heapq.heappop(next_)
+            r = rows[i]
+            total -= r[4].pop()
+            if len(r[4]) > r[2]:
+                heapq.heappush(next_, (level, -len(r[4]), i))
         while total > budget and rows:
             gone = max(rows, key=lambda r: r[1])
             total -= gone[3] + sum(gone[4])

@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import retrieval as RT
 from folioflow.operators import statistics as ST
 from folioflow.operators import summarize as SU
 from folioflow.plans import corpus as C
+from folioflow.plans.hierarchy import ANC
+from folioflow.plans.lexical_sql import GIVEN
 from folioflow.plans.predicates import customer, docs, events, lineitem, orders, part
 from folioflow.registry import query
 
@@ -94,10 +97,15 @@ def a11(spark, sf_dir):
     return C.chunks(spark, sf_dir).where("vector_status = 'to_vec' and parent_id is not null").agg(_n().alias("n"))
 
 
-@query("a12_enrichment_metrics", C.sql(r"SELECT count(*) AS n, round(100.0 * sum((w < 150)::INT) / count(*), 4) AS percent_short, round(avg(w), 4) AS mean_words FROM (SELECT len(regexp_extract_all(content, '[^\s]+')) AS w FROM leaves)"))
+@query("a12_enrichment_metrics", C.sql(r"""SELECT count(*) AS total_chunks, count(e.anc) AS enriched_count, 0::BIGINT AS fallback_count, round(100.0 * count(e.anc) / count(*), 4)::DOUBLE AS enrichment_percentage, round(sum(coalesce(depth, 0)) / count(*)::DOUBLE, 4) AS average_depth, count(CASE WHEN e.w < 150 THEN 1 END) AS reached_root_count
+  FROM (SELECT id, len(regexp_extract_all(content, '[^\s]+')) AS w FROM leaves) c LEFT JOIN (SELECT id, anc, depth, w, row_number() OVER (PARTITION BY id ORDER BY (w >= 150) DESC, CASE WHEN w >= 150 THEN depth ELSE -depth END) AS rn
+    FROM up JOIN (SELECT id AS p, len(regexp_extract_all(content, '[^\s]+')) AS w FROM chunks) ON p = anc) e ON e.id = c.id AND c.w < 150 AND rn = 1""", ANC).replace("WITH ", "WITH RECURSIVE ", 1))
 def a12(spark, sf_dir):
-    w = C.leaves(spark, sf_dir).select(X.count_words(F.col("content")).alias("w"))
-    return w.agg(_n().alias("n"), F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("w") < 150), _n()), 4).alias("percent_short"), F.round(F.avg("w"), 4).alias("mean_words"))
+    """What enrichment from parents comes to over all leaves: how many got another text, from how far up on average, how often the root wasn't enough."""
+    leaves = C.leaves(spark, sf_dir)
+    e = RT.enriched(leaves, C.headings(spark, sf_dir))
+    share = F.try_divide(100.0 * F.count("enriched_from"), _n())
+    return e.agg(_n().alias("total_chunks"), F.count("enriched_from").alias("enriched_count"), F.count_if("fallback").alias("fallback_count"), F.round(share, 4).alias("enrichment_percentage"), F.round(F.avg("depth"), 4).alias("average_depth"), F.count_if("reached_root").alias("reached_root_count"))
 
 
 @query("a13_template_versions", "SELECT p_brand, count(*) AS versions, max(CASE WHEN p_size > 25 THEN p_partkey END) AS active, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1")
@@ -134,17 +142,51 @@ def a17(spark, sf_dir):
     return SU.batch_headings(_headed(spark, sf_dir).select("work_id", "heading_id", (F.col("title_tokens") + F.aggregate("chunk_tokens", F.lit(0), lambda a, b: a + b)).alias("tokens")), 900)
 
 
-@query("a18_prompt_assembly", C.sql("SELECT parent_id, string_agg(content, chr(10) || chr(10) ORDER BY start_line, id) AS prompt FROM leaves GROUP BY 1"))
-def a18(spark, sf_dir):
-    parts = F.array_sort(F.collect_list(F.struct("start_line", "id", "content")))
-    return C.leaves(spark, sf_dir).groupBy("parent_id").agg(F.array_join(F.transform(parts, lambda s: s["content"]), "\n\n").alias("prompt"))
+_BOOK = """hb AS (SELECT doc_id // 200 AS book, id AS heading_id, doc_id - (doc_id // 200) * 200 AS place, doc_id % 200 // 15 AS batch, 'Document ' || doc_id AS title, start_line, end_line FROM headings JOIN docs ON id = doc_id + 10000 WHERE level = 'H3'),
+hp AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY place) - 1 AS pos FROM hb),
+cb AS (SELECT parent_id AS heading_id, string_agg(content || chr(10) || '-- chunk_id: ' || id || ', lines: ' || start_line || '-' || end_line || chr(10), chr(10) ORDER BY start_line, id) AS parts FROM leaves WHERE start_line <= 4 GROUP BY 1),
+bb AS (SELECT book, batch, min(pos) AS a, max(pos) AS b, string_agg('# ' || title || chr(10) || '-- id: ' || heading_id || chr(10) || '-- lines: ' || start_line || '-' || end_line || chr(10) || coalesce(chr(10) || parts, ''), chr(10) ORDER BY pos) AS sections FROM hp LEFT JOIN cb USING (heading_id) GROUP BY 1, 2)"""
 
 
-@query("a19_rank_children", C.sql(r"SELECT parent_id, id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY len(regexp_extract_all(content, '[^\s]+')) DESC, id) AS INT) AS rank FROM leaves QUALIFY rank <= 7"))
+@query("a18_prompt_assembly", C.sql("""SELECT book, batch, sections, coalesce(string_agg('- ' || title, chr(10) ORDER BY pos) FILTER (pos < a), '') AS before, coalesce(string_agg('- ' || title, chr(10) ORDER BY pos) FILTER (pos > b), '') AS after FROM bb JOIN hp h USING (book) GROUP BY book, bb.batch, sections""".replace("SELECT book, batch,", "SELECT book, bb.batch,"), _BOOK))
+def a18(spark, sf_dir):
+    """Prompts for books of 200 documents, in batches of 15 headings, with the first lines of each and the headings before and after the batch."""
+    k = F.col("id") - 10000
+    h = C.headings(spark, sf_dir).where("level = 'H3'").select(
+        F.floor(k / 200).alias("book"), F.col("id").alias("heading_id"), F.floor(k % 200 / 15).alias("batch"), F.concat(F.lit("Document "), k.cast("string")).alias("title"), "start_line", "end_line")
+    h = h.withColumn("pos", F.row_number().over(Window.partitionBy("book").orderBy("heading_id")) - 1)
+    c = C.leaves(spark, sf_dir).where("start_line <= 4").select(F.col("parent_id").alias("heading_id"), F.col("start_line").alias("rank"), "id", "content", "start_line", "end_line")
+    titles = lambda name: F.coalesce(F.trim(F.regexp_extract("context", rf"## {name} context \(headings only\):\n((?:- [^\n]*\n)*)", 1), F.lit("\n")), F.lit(""))
+    return SU.prompt_sections(h, c, "book").select("book", "batch", "sections", titles("Previous").alias("before"), titles("Subsequent").alias("after"))
+
+
+_ASKED = r"""hq AS (SELECT id AS heading_id, id AS query_id, trim(regexp_replace(regexp_replace(replace(heading_breadcrumbs, '>', ' ') || ' ' || q, '[*_]{1,3}', '', 'g'), '\s+', ' ', 'g')) AS q, e.embedding AS qe
+  FROM headings h JOIN (SELECT item_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 1), ' ') AS q FROM benchmark) b ON b.item_id = abs(h.id) % 20 JOIN embeddings e ON e.vec_id = abs(h.id) % 20 WHERE level = 'H2'),
+kids AS (SELECT h.heading_id, c.id, c.embedding, qe FROM chunks c JOIN hq h ON c.parent_id = h.heading_id WHERE level = 'H3'), qt AS (SELECT query_id, q FROM hq), gp AS (SELECT heading_id AS query_id, id FROM kids)"""
+_FUSED = """dn AS (SELECT heading_id, id, row_number() OVER (PARTITION BY heading_id ORDER BY round(coalesce(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0), 6) DESC, id) AS rank FROM kids WHERE embedding IS NOT NULL QUALIFY rank <= 7),
+fu AS (SELECT coalesce(d.heading_id, l.query_id) AS heading_id, coalesce(d.id, l.id) AS id, d.rank AS dense_rank, l.rank AS lexical_rank, round(1.0::DOUBLE / (60 + coalesce(d.rank, 999999)) + 1.0::DOUBLE / (60 + coalesce(l.rank, 999999)), 10) AS rrf_score
+  FROM dn d FULL JOIN (SELECT * FROM given WHERE rank <= 7) l ON d.heading_id = l.query_id AND d.id = l.id)"""
+
+
+def asked_children(spark, sf_dir):
+    """H2 headings with a question (their breadcrumbs and a word of a benchmark item) and a vector; their H3 chunks."""
+    word = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_i"), F.get(X.lexemes(F.col("text")), F.lit(0)).alias("_q"))
+    vec = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_i"), F.col("embedding").alias("qe"))
+    h = C.headings(spark, sf_dir).where("level = 'H2'").withColumn("_i", F.abs("id") % 20).join(word, "_i").join(vec, "_i")
+    kids = C.chunks(spark, sf_dir).where("level = 'H3' and dense_lexical_use").select(F.col("parent_id").alias("heading_id"), "id", "embedding")
+    return h.select(F.col("id").alias("heading_id"), SU.heading_query(F.col("heading_breadcrumbs"), F.col("_q")).alias("q"), "qe"), kids
+
+
+@query("a19_rank_children", C.sql("SELECT heading_id, id, rrf_score, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank, CAST(row_number() OVER (PARTITION BY heading_id ORDER BY rrf_score DESC, id) AS INT) AS rank FROM fu QUALIFY rank <= 7", _ASKED, GIVEN, _FUSED))
 def a19(spark, sf_dir):
-    """Children of every heading at once, ranked inside their heading."""
-    w = Window.partitionBy("parent_id").orderBy(F.desc(X.count_words(F.col("content"))), "id")
-    return C.leaves(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 7").select("parent_id", "id", "rank")
+    """Children of all headings at once: dense and lexical lists inside each heading, fused."""
+    return SU.fused_children(*asked_children(spark, sf_dir), C.fulltext_index(spark, sf_dir))
+
+
+@query("a19_summary_chunks")
+def a19_mmr(spark, sf_dir):
+    """The same, chosen for diversity: what each heading's summary is made of."""
+    return SU.rank_children(*asked_children(spark, sf_dir), C.fulltext_index(spark, sf_dir))
 
 
 @query("a20_distinct_headings", C.sql("SELECT DISTINCT parent_id FROM leaves"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as X
 from folioflow.operators import consolidation as K
 from folioflow.operators import retrieval as RT
+from folioflow.operators import structure as S
 from folioflow.plans import corpus as C
 from folioflow.plans.predicates import LINKS, docs, events, items_with_links, orders
 from folioflow.registry import query
@@ -98,12 +99,24 @@ def c10(spark, sf_dir):
     return orders(spark, sf_dir).select("o_orderkey", F.array_join(refs.cast("array<string>"), ",").alias("refs"))
 
 
-@query("c11_excerpt_range", C.sql("SELECT h.id, string_agg(l.content, chr(10) || chr(10) ORDER BY l.start_line, l.id) AS excerpt FROM headings h JOIN leaves l ON l.parent_id = h.id AND l.start_line >= 3 AND l.end_line <= 6 WHERE h.level = 'H3' GROUP BY 1"))
+_EXC = """it AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 50 = 7 THEN work_id + 1000 ELSE work_id END AS work_id, doc_id * 100000000 + 3 AS s, (doc_id + doc_id % 4) * 100000000 + CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 6 END AS e FROM docs),
+pc AS (SELECT id, work_id, (parent_id - 10000) * 100000000 + start_line AS a, (parent_id - 10000) * 100000000 + end_line AS b, content, heading_breadcrumbs FROM leaves
+  UNION ALL SELECT id, work_id, (id - 10000) * 100000000 + start_line, (id - 10000) * 100000000 + end_line, content, heading_breadcrumbs FROM headings WHERE level = 'H3')"""
+
+
+@query("c11_excerpt_range", C.sql("""SELECT item_id, CASE WHEN max(w.work_id) IS NULL THEN 'Source work deleted.' WHEN count(pc.id) = 0 THEN 'Excerpt content not found.' ELSE string_agg(content, chr(10) || chr(10) ORDER BY a, id) END AS content,
+  CASE WHEN max(w.work_id) IS NOT NULL THEN arg_min(heading_breadcrumbs, (a, id)) END AS heading_breadcrumbs, CASE WHEN max(w.work_id) IS NOT NULL THEN left(string_agg(content, chr(10) || chr(10) ORDER BY a, id), 2000) END AS preview
+  FROM it LEFT JOIN works w USING (work_id) LEFT JOIN pc ON pc.work_id = it.work_id AND a >= s AND b <= e GROUP BY 1""", _EXC))
 def c11(spark, sf_dir):
-    h = C.headings(spark, sf_dir).where("level = 'H3'").select(F.col("id").alias("h"))
-    l = C.leaves(spark, sf_dir)
-    j = h.join(l, (F.col("parent_id") == F.col("h")) & (F.col("start_line") >= 3) & (F.col("end_line") <= 6))
-    return j.groupBy(F.col("h").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", "content"))), lambda s: s["content"]), "\n\n").alias("excerpt"))
+    """Excerpt links of collections, ranges of lines of a work: the rest of a document, up to three further ones with it, and works that are gone. A document's lines follow those of all with smaller ids."""
+    far = 100_000_000
+    d = C.documents(spark, sf_dir)
+    items = d.select(
+        F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 50 == 7, F.col("work_id") + 1000).otherwise(F.col("work_id")).alias("work_id"), (F.col("doc_id") * far + 3).alias("range_start"),
+        ((F.col("doc_id") + F.col("doc_id") % 4) * far + F.when(F.col("doc_id") % 9 == 0, 2).otherwise(6)).alias("range_end"))
+    at = lambda df, doc: df.withColumns({c: doc * far + F.col(c) for c in ("start_line", "end_line")}).select("id", "work_id", "start_line", "end_line", "content", "heading_breadcrumbs")
+    pieces = at(C.leaves(spark, sf_dir), F.col("parent_id") - 10000).unionAll(at(C.headings(spark, sf_dir).where("level = 'H3'"), F.col("id") - 10000))
+    return S.excerpts(items, C.works(spark, sf_dir), pieces, width=far)
 
 
 @query("c12_containment_dedup")

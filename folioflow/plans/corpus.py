@@ -24,7 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, lang, source, work_id, lang_no) of documents with a source and a language."""
     d = table(spark, sf_dir, "documents").where("source is not null and lang is not null and text is not null")
     lang = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in LANGS.items()], F.lit(9))
-    return d.withColumns({"work_id": F.regexp_extract("source", r"(\d+)", 1).cast("long"), "lang_no": lang})
+    named = F.when(F.col("source").rlike(r"^src\d{1,9}$"), F.expr("try_cast(substring(source, 4) as long)"))
+    return d.withColumns({"work_id": F.coalesce(named, (1 << 30) + F.conv(F.substring(F.md5("source"), 1, 8), 16, 10).cast("long")), "lang_no": lang})
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,17 +44,25 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELDS = ["id", "parent_id", "work_id", "level", "content", "heading_breadcrumbs", "start_line", "end_line"]
 
 
+def _h1(work):
+    """Ids of H1 and H2 chunks are negative, those of documents and lines positive, so they never meet."""
+    return (-1 - work * 100).cast("long")
+
+
+def _h2(work, lang_no):
+    return (-2 - work * 100 - lang_no).cast("long")
+
+
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    long = lambda c: c.cast("long")
     h1 = d.groupBy("work_id").agg(F.min("source").alias("s")).select(
-        (F.col("work_id") + 1).alias("id"), F.lit(None).cast("long").alias("parent_id"), "work_id", F.lit("H1").alias("level"), F.concat(F.lit("# "), "s").alias("content"),
+        _h1(F.col("work_id")).alias("id"), F.lit(None).cast("long").alias("parent_id"), "work_id", F.lit("H1").alias("level"), F.concat(F.lit("# "), "s").alias("content"),
         F.col("s").alias("heading_breadcrumbs"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
     h2 = d.groupBy("work_id", "lang_no").agg(F.min("source").alias("s"), F.min("lang").alias("l")).select(
-        long(1000 + F.col("work_id") * 10 + F.col("lang_no")).alias("id"), (F.col("work_id") + 1).alias("parent_id"), "work_id", F.lit("H2").alias("level"),
+        _h2(F.col("work_id"), F.col("lang_no")).alias("id"), _h1(F.col("work_id")).alias("parent_id"), "work_id", F.lit("H2").alias("level"),
         F.concat(F.lit("## "), "s", F.lit(" "), "l").alias("content"), F.concat_ws(" > ", "s", "l").alias("heading_breadcrumbs"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
     h3 = d.select(
-        (F.col("doc_id") + 10000).alias("id"), long(1000 + F.col("work_id") * 10 + F.col("lang_no")).alias("parent_id"), "work_id", F.lit("H3").alias("level"),
+        (F.col("doc_id") + 10000).alias("id"), _h2(F.col("work_id"), F.col("lang_no")).alias("parent_id"), "work_id", F.lit("H3").alias("level"),
         F.concat(F.lit("### Document "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("content"),
         F.concat_ws(" > ", "source", "lang", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("heading_breadcrumbs"),
         F.lit(1).alias("start_line"), (F.size(F.split("text", "\n")) + 1).alias("end_line"))
@@ -101,7 +110,7 @@ def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same as common table expressions: docs, works, headings, leaves, chunks.
 SQL = r"""
-docs AS (SELECT doc_id, text, lang, source, CAST(regexp_extract(source, '(\d+)', 1) AS BIGINT) AS work_id,
+docs AS (SELECT doc_id, text, lang, source, CASE WHEN regexp_matches(source, '^src\d{1,9}$') THEN CAST(substr(source, 4) AS BIGINT) ELSE 1073741824 + CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) END AS work_id,
   CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 9 END AS lang_no
   FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL),
 works AS (SELECT work_id, min(source) AS title, 'Author ' || CAST(work_id % 7 AS VARCHAR) AS authors, CAST(1990 + work_id AS INT) AS year,
@@ -109,9 +118,9 @@ works AS (SELECT work_id, min(source) AS title, 'Author ' || CAST(work_id % 7 AS
 doc_lines AS (SELECT doc_id, work_id, lang, source, lang_no, i AS line_no, l[i] AS line
   FROM (SELECT *, string_split(text, chr(10)) AS l FROM docs), unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
 headings AS (
-  SELECT work_id + 1 AS id, CAST(NULL AS BIGINT) AS parent_id, work_id, 'H1' AS level, '# ' || min(source) AS content, min(source) AS heading_breadcrumbs, 0 AS start_line, 0 AS end_line FROM docs GROUP BY work_id
-  UNION ALL SELECT 1000 + work_id * 10 + lang_no, work_id + 1, work_id, 'H2', '## ' || min(source) || ' ' || min(lang), min(source) || ' > ' || min(lang), 0, 0 FROM docs GROUP BY work_id, lang_no
-  UNION ALL SELECT doc_id + 10000, 1000 + work_id * 10 + lang_no, work_id, 'H3', '### Document ' || doc_id || chr(10) || text, source || ' > ' || lang || ' > Document ' || doc_id, 1, CAST(len(string_split(text, chr(10))) + 1 AS INT) FROM docs),
+  SELECT -1 - work_id * 100 AS id, CAST(NULL AS BIGINT) AS parent_id, work_id, 'H1' AS level, '# ' || min(source) AS content, min(source) AS heading_breadcrumbs, 0 AS start_line, 0 AS end_line FROM docs GROUP BY work_id
+  UNION ALL SELECT -2 - work_id * 100 - lang_no, -1 - work_id * 100, work_id, 'H2', '## ' || min(source) || ' ' || min(lang), min(source) || ' > ' || min(lang), 0, 0 FROM docs GROUP BY work_id, lang_no
+  UNION ALL SELECT doc_id + 10000, -2 - work_id * 100 - lang_no, work_id, 'H3', '### Document ' || doc_id || chr(10) || text, source || ' > ' || lang || ' > Document ' || doc_id, 1, CAST(len(string_split(text, chr(10))) + 1 AS INT) FROM docs),
 leaves AS (SELECT 1000000000 + doc_id * 100000000 + line_no AS id, doc_id + 10000 AS parent_id, work_id, 'H3-chunk' AS level, line AS content,
   source || ' > ' || lang || ' > Document ' || doc_id AS heading_breadcrumbs, CAST(line_no + 1 AS INT) AS start_line, CAST(line_no + 1 AS INT) AS end_line FROM doc_lines),
 chunks0 AS (SELECT h.*, e.embedding FROM headings h LEFT JOIN embeddings e ON h.id = e.vec_id + 10000 UNION ALL SELECT l.*, NULL FROM leaves l),

@@ -133,25 +133,27 @@ def t25(spark, sf_dir):
     return h.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", row.alias("r")))), lambda s: s["r"]), "\n").alias("titles"))
 
 
-@query("t26_toc", sql("SELECT doc_id, level, count(*) AS n FROM (SELECT doc_id, CAST(level AS INT) AS level FROM hd) GROUP BY 1, 2"))
+@query("t26_toc", sql("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS entry, CAST(level AS INT) AS level, title, CAST(line AS INT) AS line FROM hd"))
 def t26(spark, sf_dir):
-    return S.parse_headings(md_lines(spark, sf_dir)).groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    """The table of contents of each document: its headings in order."""
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    return S.parse_headings(md_lines(spark, sf_dir)).select("doc_id", order.alias("entry"), "level", "title", "line")
 
 
-_ANC = "up(id, depth, anc) AS (SELECT id, 1, parent_id FROM chunks WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, up.depth + 1, c.parent_id FROM up JOIN chunks c ON c.id = up.anc WHERE c.parent_id IS NOT NULL AND up.depth < 10)"
+ANC = "up(id, depth, anc) AS (SELECT id, 1, parent_id FROM chunks WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, up.depth + 1, c.parent_id FROM up JOIN chunks c ON c.id = up.anc WHERE c.parent_id IS NOT NULL AND up.depth < 10)"
 
 
 def _rec(body: str) -> str:
-    return C.sql(body, _ANC).replace("WITH ", "WITH RECURSIVE ", 1)
+    return C.sql(body, ANC).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("h1_breadcrumb_walk", _rec("SELECT c.id, coalesce((SELECT string_agg(regexp_replace(split_part(p.content, chr(10), 1), '^#+ *', ''), ' > ' ORDER BY u.depth DESC) FROM up u JOIN headings p ON p.id = u.anc WHERE u.id = c.id), '[No heading]') AS breadcrumb FROM headings c"))
 def h1(spark, sf_dir):
     """Walk to the root over headings: titles from the root down; none gives [No heading]."""
     h = C.headings(spark, sf_dir)
-    a = S.ancestors(h, 4).join(h.select(F.col("id").alias("ancestor_id"), F.regexp_replace(F.split_part("content", F.lit("\n"), F.lit(1)), "^#+ *", "").alias("t")), "ancestor_id")
-    crumbs = a.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "t")), asc=False), lambda s: s["t"]), " > ").alias("b"))
-    return h.select("id").join(crumbs, "id", "left").select("id", F.coalesce("b", F.lit("[No heading]")).alias("breadcrumb"))
+    return S.breadcrumb_walk(h, h)
 
 
 _WC = r"len(regexp_extract_all(content, '[^\s]+'))"
@@ -164,9 +166,8 @@ def h2(spark, sf_dir):
     """Short leaves climb to the first ancestor with 150 words, else to the topmost."""
     h = C.headings(spark, sf_dir)
     leaves = C.leaves(spark, sf_dir).withColumn("w", X.count_words(F.col("content")).cast("long"))
-    every = h.select("id", "parent_id").unionAll(leaves.where("w < 150").select("id", "parent_id"))
     p = h.select(F.col("id").alias("ancestor_id"), X.count_words(F.col("content")).cast("long").alias("pw"))
-    a = S.ancestors(every, 4).where("id > 1000000000").join(p, "ancestor_id")
+    a = S.ancestors_of(leaves.where("w < 150"), S.ancestors(h)).join(p, "ancestor_id")
     enough = F.min_by(F.when(F.col("pw") >= 150, F.struct("ancestor_id", "depth", "pw")), F.when(F.col("pw") >= 150, F.col("depth")))
     best = a.groupBy("id").agg(F.coalesce(enough, F.max_by(F.struct("ancestor_id", "depth", "pw"), "depth")).alias("e"))
     return leaves.join(best, "id", "left").select("id", F.coalesce("e.ancestor_id", "id").alias("enriched_id"), F.coalesce("e.depth", F.lit(0)).alias("depth"), F.coalesce("e.pw", "w").alias("words"))
@@ -174,23 +175,26 @@ def h2(spark, sf_dir):
 
 @query("h4_descendants", _rec("SELECT anc AS id, count(*) AS n_descendants FROM up WHERE anc IN (SELECT id FROM headings) GROUP BY 1"))
 def h4(spark, sf_dir):
-    every = C.headings(spark, sf_dir).select("id", "parent_id").unionAll(C.leaves(spark, sf_dir).select("id", "parent_id"))
-    return S.ancestors(every, 4).groupBy(F.col("ancestor_id").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    """How many stand below each heading: headings by their ancestors, leaves counted by parent first."""
+    h = C.headings(spark, sf_dir)
+    above = S.ancestors(h)
+    below = C.leaves(spark, sf_dir).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    up = below.select(F.col("parent_id").alias("id"), "n").join(above, "id").select("ancestor_id", "n")
+    rows = above.select("ancestor_id", F.lit(1).cast("long").alias("n")).unionAll(up).unionAll(below.select("parent_id", "n"))
+    return rows.groupBy(F.col("ancestor_id").alias("id")).agg(F.sum("n").alias("n_descendants"))
 
 
 @query("h5_ancestor_closure", _rec("SELECT DISTINCT anc AS id FROM up WHERE id % 17 = 0 AND id > 1000000000"))
 def h5(spark, sf_dir):
-    leaves = C.leaves(spark, sf_dir).where("id % 17 = 0").select("id", "parent_id")
-    every = C.headings(spark, sf_dir).select("id", "parent_id").unionAll(leaves)
-    return S.ancestors(every, 4).where("id > 1000000000").select(F.col("ancestor_id").alias("id")).distinct()
+    leaves = C.leaves(spark, sf_dir).where("id % 17 = 0").select("parent_id").distinct().withColumn("id", F.col("parent_id"))
+    return S.ancestors_of(leaves, S.ancestors(C.headings(spark, sf_dir))).select(F.col("ancestor_id").alias("id")).distinct()
 
 
 @query("h6_nearest_heading_ancestor", _rec("SELECT u.id, split_part(p.content, chr(10), 1) AS heading FROM up u JOIN headings p ON p.id = u.anc WHERE u.id > 1000000000 QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY u.depth) = 1"))
 def h6(spark, sf_dir):
     h = C.headings(spark, sf_dir)
-    every = h.select("id", "parent_id").unionAll(C.leaves(spark, sf_dir).select("id", "parent_id"))
     first = h.select(F.col("id").alias("ancestor_id"), F.split_part("content", F.lit("\n"), F.lit(1)).alias("t")).where(F.col("t").startswith("#"))
-    a = S.ancestors(every, 4).where("id > 1000000000").join(first, "ancestor_id")
+    a = S.ancestors_of(C.leaves(spark, sf_dir), S.ancestors(h)).join(first, "ancestor_id")
     return a.groupBy("id").agg(F.min_by("t", "depth").alias("heading"))
 
 

@@ -129,13 +129,14 @@ def s14(spark, sf_dir):
     return NAV.with_entries(ncx_documents(spark, sf_dir), "ncx", "ncx").select("work_id", NAV.toc_markdown(F.col("entries")).alias("toc"))
 
 
-@query("s16_json_config", "SELECT 1200 AS token_threshold, 15000 AS other")
+@query("s16_json_config", "SELECT CAST(count(*) AS INT) AS token_threshold, 15000 AS wrong, 15000 AS missing FROM documents")
 def s16(spark, sf_dir):
+    """A configuration made from what is there (as many tokens as documents), written as JSON and read back; wrong and missing values give the default."""
     path = IO.scratch(spark, "config")
-    spark.range(1).select(F.lit('{"conversion": {"token_threshold": 1200, "wrong": "x"}}').alias("value")).coalesce(1).write.text(path)
+    docs(spark, sf_dir).agg(F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("token_threshold"), F.lit("x").alias("wrong")).alias("conversion"))).alias("value")).coalesce(1).write.text(path)
     config = IO.read_config(spark, path)
-    values = [IO.setting(config, "conversion", k, default=15000) for k in ("token_threshold", "wrong")]
-    return spark.createDataFrame([tuple(values)], "token_threshold int, other int")
+    keys = ("token_threshold", "wrong", "missing")
+    return spark.createDataFrame([tuple(IO.setting(config, "conversion", k, default=15000) for k in keys)], ", ".join(f"{k} int" for k in keys))
 
 
 @query("s15_csv_mapping", "SELECT p_name AS old, p_brand AS new FROM part")
@@ -200,11 +201,11 @@ def s24(spark, sf_dir):
     return IO.upsert(old, old.where("doc_id % 4 = 0").withColumn("quality", F.col("quality") + 10), ["doc_id"])
 
 
-@query("s25_cascade_delete", C.sql("SELECT id FROM headings WHERE id <> 1 AND parent_id IS DISTINCT FROM 1 AND (parent_id IS NULL OR parent_id NOT IN (SELECT id FROM headings WHERE parent_id = 1))"))
+@query("s25_cascade_delete", C.sql("SELECT id FROM headings WHERE id <> -1 AND parent_id IS DISTINCT FROM -1 AND (parent_id IS NULL OR parent_id NOT IN (SELECT id FROM headings WHERE parent_id = -1))"))
 def s25(spark, sf_dir):
-    """Chunk 1 and all below it go."""
+    """Chunk -1, the first work's, and all below it go, at any depth."""
     h = C.headings(spark, sf_dir)
-    gone = S.ancestors(h, 4).where("ancestor_id = 1").select("id").unionAll(h.where("id = 1").select("id"))
+    gone = S.ancestors(h).where("ancestor_id = -1").select("id").unionAll(h.where("id = -1").select("id"))
     return h.join(gone, "id", "left_anti").select("id")
 
 

@@ -95,16 +95,21 @@ def j13(spark, sf_dir):
     return S.heading_of_lines(x).join(h, ["doc_id", "heading_line"]).select("doc_id", "line", "title")
 
 
-@query("j14_theta_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 2")
+_COS = "round(coalesce(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0), 6)"
+
+
+@query("j14_theta_similarity", f"WITH {C.queries_sql()} SELECT query_id, vec_id, {_COS} AS similarity FROM qv JOIN embeddings ON query_id <> vec_id AND {_COS} > 0.85")
 def j14(spark, sf_dir):
-    x = part(spark, sf_dir).select(F.col("p_partkey").alias("a"), "p_brand", "p_type", F.col("p_size").alias("sa"))
-    y = x.toDF("b", "p_brand", "p_type", "sb")
-    return x.join(y, ["p_brand", "p_type"]).where("a < b and abs(sa - sb) <= 2").select("a", "b")
+    """Queries and vectors with a cosine over .85: the stated queries against all."""
+    e = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.dense_scores(C.query_vectors(spark, sf_dir), e).where("similarity > 0.85 and query_id != vec_id").select("query_id", "vec_id", "similarity")
 
 
-@query("j15_queries_by_chunks", C.sql("SELECT query_id, count(*) AS n, max(id) AS last FROM qv, headings GROUP BY 1", C.queries_sql()))
+@query("j15_queries_by_chunks", C.sql(f"SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank FROM (SELECT query_id, id, {_COS} AS similarity FROM qv, chunks WHERE embedding IS NOT NULL) QUALIFY rank <= 3", C.queries_sql()))
 def j15(spark, sf_dir):
-    return C.headings(spark, sf_dir).crossJoin(C.query_vectors(spark, sf_dir).select("query_id")).groupBy("query_id").agg(_n().alias("n"), F.max("id").alias("last"))
+    """Every query with every chunk, the three best kept where they are met."""
+    scored = search.dense_scores(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir).where("embedding is not null").select("id", "embedding"))
+    return search.ranked(scored, 3, F.desc("similarity"), F.asc("id")).select("query_id", "id", "similarity", "rank")
 
 
 @query("j16_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

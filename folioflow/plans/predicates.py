@@ -153,11 +153,13 @@ def resolve(section: str, key: str, argument=None, config: dict | None = None, d
     return None
 
 
-@query("f18_parameter_resolution", "SELECT 'rrf_k' AS key, 50 AS value UNION ALL SELECT 'dense_limit', 7 UNION ALL SELECT 'line_gap', 3")
+@query("f18_parameter_resolution", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_orderkey % 5 = 0 THEN length(o_orderpriority) ELSE 50 END AS rrf_k FROM orders")
 def f18(spark, sf_dir):
-    config = {"retrieval": {"dense_limit": 7}}
-    rows = [("rrf_k", resolve("retrieval", "rrf_k", config=config)), ("dense_limit", resolve("retrieval", "dense_limit", config=config)), ("line_gap", resolve("consolidation", "line_gap", argument=3))]
-    return spark.createDataFrame(rows, "key string, value int")
+    """A parameter for every row: its own argument, else the configuration that its requester has, else the deprecated name's value, else the preset's."""
+    k = F.col("o_orderkey")
+    mine, deprecated = F.when(k % 2 == 0, F.col("o_custkey")), F.when(k % 5 == 0, F.length("o_orderpriority"))
+    config = F.when(k % 3 == 0, resolve("retrieval", "rrf_k", config={"retrieval": {"rrf_k": 7}}))
+    return orders(spark, sf_dir).select("o_orderkey", F.coalesce(mine, config, deprecated, F.lit(resolve("retrieval", "rrf_k"))).alias("rrf_k"))
 
 
 @query("f19_chunk_title", C.sql(r"SELECT id, coalesce(nullif(trim(regexp_replace(split_part(content, chr(10), 1), '^#+', '')), ''), 'Untitled') AS title FROM chunks WHERE level <> 'H2'"))

@@ -13,12 +13,12 @@ from folioflow.plans.predicates import docs
 from folioflow.registry import query
 
 #: Sections: documents with citations put in by their number.
-_SEC_SQL = r"""sec0 AS (SELECT doc_id, text || repeat(' [Smith 2001]', CAST(doc_id % 4 AS INT)) || repeat(' [Jones et al. 2010]', CAST(doc_id % 3 AS INT)) AS text FROM documents),
+_SEC_SQL = r"""sec0 AS (SELECT doc_id, text || repeat(' [Smith 2001]', CAST(doc_id % 4 AS INT)) || repeat(' [Jones et al. 2010]', CAST(doc_id % 3 AS INT)) || CASE WHEN doc_id % 5 = 0 THEN ' [Brown 4567]' ELSE '' END AS text FROM documents),
 sec1 AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\s]+')) AS words, regexp_extract_all(text, '\[[A-Za-z\s]+(?:\set\sal\.)?\s\d{4}\]') AS c FROM sec0)"""
 
 
 def sections(spark, sf_dir):
-    t = F.concat("text", F.expr("repeat(' [Smith 2001]', cast(doc_id % 4 as int))"), F.expr("repeat(' [Jones et al. 2010]', cast(doc_id % 3 as int))"))
+    t = F.concat("text", F.expr("repeat(' [Smith 2001]', cast(doc_id % 4 as int))"), F.expr("repeat(' [Jones et al. 2010]', cast(doc_id % 3 as int))"), F.when(F.col("doc_id") % 5 == 0, " [Brown 4567]").otherwise(""))
     return docs(spark, sf_dir).select("doc_id", t.alias("text"))
 
 
@@ -40,24 +40,42 @@ def g12(spark, sf_dir):
     return R.reuse_strategy(m, "question")
 
 
-@query("g13_section_metadata", f"WITH {_SEC_SQL} SELECT doc_id, CAST(words AS INT) AS words, CAST(len(c) AS INT) AS citations, CAST(len(list_filter(['Smith', 'Jones', 'Kim'], lambda s: len(list_filter(c, lambda x: contains(x, s))) > 0)) AS INT) AS sources FROM sec1")
+_SRC_SQL = _SEC_SQL + r""",
+srcs AS (SELECT doc_id, 'w' || (doc_id % 20) AS name, ['on memory', 'smith', 's1', '1'] AS keys FROM documents
+  UNION ALL SELECT doc_id, 'item_' || (doc_id % 5 + 30), ['research result ' || (doc_id % 5 + 30), 'result ' || (doc_id % 5 + 30), 's2', '2'] FROM documents
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'w' || (doc_id % 20) ELSE 'w7' END, ['kim papers', 's3', '3'] FROM documents WHERE doc_id % 2 = 0),
+div AS (SELECT doc_id, count(DISTINCT name) AS sources FROM srcs JOIN sec1 USING (doc_id) WHERE len(list_filter(c, lambda x: len(list_filter(keys, lambda k: contains(lower(x), k))) > 0)) > 0 GROUP BY 1),
+brk AS (SELECT doc_id, len(list_filter(c, lambda x: len(list_filter(every, lambda k: contains(lower(x), k))) = 0)) AS broken FROM sec1 JOIN (SELECT doc_id, flatten(list(keys)) AS every FROM srcs GROUP BY 1) USING (doc_id))"""
+
+
+def sourced(spark, sf_dir):
+    """Sections with their citations and their sources: a work, a research result, and for even ids another work, which can be the same."""
+    source = "array<struct<work_id: long, title: string, authors: string, type: string, item_id: long>>"
+    k, none = F.col("doc_id"), F.lit(None)
+    one = lambda *v: F.struct(*[x.alias(n) for n, x in zip(("work_id", "title", "authors", "type", "item_id"), v, strict=True)])
+    first = one(k % 20, F.lit("On Memory"), F.lit("John Smith, A. Other"), F.lit("excerpt"), none.cast("long"))
+    second = one(none.cast("long"), none.cast("string"), none.cast("string"), F.lit("research_result"), k % 5 + 30)
+    third = one(F.when(k % 4 == 0, k % 20).otherwise(7).cast("long"), F.lit("Kim Papers"), F.lit(""), F.lit("excerpt"), none.cast("long"))
+    both = F.array(first, second).cast(source)
+    s = F.when(k % 2 == 0, F.concat(both, F.array(third).cast(source))).otherwise(both)
+    return sections(spark, sf_dir).withColumns({"c": R.citations(F.col("text")), "s": s})
+
+
+@query("g13_section_metadata", f"WITH {_SRC_SQL} SELECT doc_id, CAST(words AS INT) AS words, CAST(len(c) AS INT) AS citations, CAST(coalesce(sources, 0) AS INT) AS sources FROM sec1 LEFT JOIN div USING (doc_id)")
 def g13(spark, sf_dir):
-    """Words, citations, and how many of the known source keys some citation contains."""
-    keys = F.array(F.lit("Smith"), F.lit("Jones"), F.lit("Kim"))
-    s = sections(spark, sf_dir).withColumn("c", R.citations(F.col("text")))
-    return s.select("doc_id", X.count_words(F.col("text")).alias("words"), F.size("c").alias("citations"), F.size(F.filter(keys, lambda k: F.exists("c", lambda x: F.contains(x, k)))).alias("sources"))
+    """Words, citations, and how many different sources the citations name."""
+    return sourced(spark, sf_dir).select("doc_id", X.count_words(F.col("text")).alias("words"), F.size("c").alias("citations"), R.source_diversity(F.col("c"), F.col("s")).alias("sources"))
 
 
-_QUAL = f"""{_SEC_SQL}, qual AS (SELECT doc_id, words AS w, c, least(1.0::DOUBLE, len(c) / greatest(1, len(list_filter(regexp_split_to_array(text, '\\.\\s+'), lambda s: trim(s) <> '')))::DOUBLE) AS cov,
-  len(list_filter(['Smith', 'Jones', 'Kim'], lambda s: len(list_filter(c, lambda x: contains(x, s))) > 0)) AS sources FROM sec1),
+_QUAL = f"""{_SRC_SQL}, qual AS (SELECT doc_id, words AS w, c, least(1.0::DOUBLE, len(c) / greatest(1, len(list_filter(regexp_split_to_array(text, '\\.\\s+'), lambda s: trim(s) <> '')))::DOUBLE) AS cov,
+  coalesce(sources, 0) AS sources FROM sec1 LEFT JOIN div USING (doc_id)),
 ql AS (SELECT *, CASE WHEN w > 800 AND cov > 0.5 THEN 'High' WHEN w > 400 AND cov > 0.3 THEN 'Medium' ELSE 'Low' END AS coherence FROM qual)"""
 
 
 def judged(spark, sf_dir):
     """Sections with the counts that their quality is made of."""
-    keys = F.array(F.lit("Smith"), F.lit("Jones"), F.lit("Kim"))
-    s = sections(spark, sf_dir).withColumn("c", R.citations(F.col("text")))
-    s = s.select("doc_id", X.count_words(F.col("text")).alias("words"), F.size("c").alias("citations"), R.count_sentences(F.col("text")).alias("sentences"), "c", F.size(F.filter(keys, lambda k: F.exists("c", lambda x: F.contains(x, k)))).alias("sources"))
+    s = sourced(spark, sf_dir).select(
+        "doc_id", X.count_words(F.col("text")).alias("words"), F.size("c").alias("citations"), R.count_sentences(F.col("text")).alias("sentences"), R.source_diversity(F.col("c"), F.col("s")).alias("sources"), F.size(R.broken_citations(F.col("c"), F.col("s"))).alias("broken"))
     return R.section_quality(s)
 
 
@@ -66,19 +84,15 @@ def g14(spark, sf_dir):
     return judged(spark, sf_dir).select("doc_id", "coverage", "coherence", "completeness")
 
 
-@query("g15_broken_citations", f"WITH {_SEC_SQL} SELECT doc_id, CAST(len(list_filter(c, lambda x: NOT contains(x, 'Smith'))) AS INT) AS broken FROM sec1")
+@query("g15_broken_citations", f"WITH {_SRC_SQL} SELECT doc_id, CAST(broken AS INT) AS broken FROM brk")
 def g15(spark, sf_dir):
-    keys = F.array(F.lit("Smith"), F.lit("Kim"))
-    bad = F.filter(R.citations(F.col("text")), lambda c: ~F.exists(keys, lambda k: F.contains(c, k)))
-    return sections(spark, sf_dir).select("doc_id", F.size(bad).alias("broken"))
+    return sourced(spark, sf_dir).select("doc_id", F.size(R.broken_citations(F.col("c"), F.col("s"))).alias("broken"))
 
 
-@query("g16_refinement_decision", f"WITH {_QUAL} SELECT doc_id, (round(cov, 2) < 0.7 OR sources < 3 OR coherence = 'Low' OR len(list_filter(c, lambda x: NOT contains(x, 'Smith'))) > 0) AND doc_id % 4 < 2 AS refine FROM ql")
+@query("g16_refinement_decision", f"WITH {_QUAL} SELECT doc_id, (round(cov, 2) < 0.7 OR sources < 3 OR coherence = 'Low' OR broken > 0) AND doc_id % 4 < 2 AS refine FROM ql JOIN brk USING (doc_id)")
 def g16(spark, sf_dir):
     """Sections that go for another round, of at most two; their number says how many they had."""
-    known = F.array(F.lit("Smith"), F.lit("Kim"))
-    bad = F.size(F.filter("c", lambda c: ~F.exists(known, lambda k: F.contains(c, k))))
-    return R.needs_refinement(judged(spark, sf_dir).withColumns({"broken": bad, "rounds": F.col("doc_id") % 4})).select("doc_id", "refine")
+    return R.needs_refinement(judged(spark, sf_dir).withColumn("rounds", F.col("doc_id") % 4)).select("doc_id", "refine")
 
 
 _HEADS = r"""h6 AS (SELECT doc_id, line, len(regexp_extract(text, '^(#+)\s+', 1)) AS level, lower(trim(regexp_extract(text, '^#+\s+(.*)$', 1))) AS name FROM md WHERE regexp_matches(text, '^#{1,6}\s+')),

@@ -9,7 +9,7 @@ from folioflow.operators import chunking as CH
 from folioflow.operators import rewriting as R
 from folioflow.operators import structure as S
 from folioflow.plans import corpus as C
-from folioflow.plans.hierarchy import MD_SQL, md_lines, sql
+from folioflow.plans.hierarchy import ANC, MD_SQL, md_lines, sql
 from folioflow.plans.predicates import docs, events
 from folioflow.registry import query
 
@@ -75,13 +75,12 @@ def t17(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.tokens_by_ratio(w).alias("by_ratio"), X.tokens_per_word(w, 1.3).alias("by_factor"))
 
 
-@query("t18_heading_context", sql("SELECT h.doc_id, CAST(h.line AS INT) AS line, h.title, coalesce(right(p.text, 100), '') AS before, coalesce(left(n.text, 100), '') AS after FROM hd h LEFT JOIN md p ON p.doc_id = h.doc_id AND p.line = h.line - 1 LEFT JOIN md n ON n.doc_id = h.doc_id AND n.line = h.line + 1"))
+@query("t18_heading_context", sql(r"""SELECT doc_id, CAST(line AS INT) AS line, CAST(len(regexp_extract(text, '^(#+)', 1)) AS INT) AS level, trim(regexp_extract(text, '^#+\s+(.*)$', 1)) AS title, pos AS position,
+  regexp_replace(right(left(whole, pos), 100), '^\s+|\s+$', '', 'g') AS before, regexp_replace(left(substr(whole, pos + length(text) + 1), 100), '^\s+|\s+$', '', 'g') AS after
+  FROM (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM md) JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY line) AS whole FROM md GROUP BY 1) USING (doc_id) WHERE regexp_matches(text, '^#{1,6}\s+\S')"""))
 def t18(spark, sf_dir):
-    from pyspark.sql import Window
-    w = Window.partitionBy("doc_id").orderBy("line")
-    x = md_lines(spark, sf_dir).withColumns({"before": F.coalesce(F.right(F.lag("text").over(w), F.lit(100)), F.lit("")), "after": F.coalesce(F.left(F.lead("text").over(w), F.lit(100)), F.lit(""))})
-    h = S.parse_headings(x).select("doc_id", "line", "title")
-    return h.join(x.select("doc_id", "line", "before", "after"), ["doc_id", "line"])
+    """Headings with 100 characters of the document on both sides."""
+    return S.heading_context(md_lines(spark, sf_dir))
 
 
 @query("t19_condensed", sql("SELECT doc_id, string_agg('L' || line || ' ' || title, chr(10) ORDER BY line) AS condensed FROM hd GROUP BY 1"))
@@ -236,9 +235,12 @@ def t40(spark, sf_dir):
     return with_embedding(docs(spark, sf_dir).select("doc_id", "text"), "text", hashing_embedder).select("doc_id", "embedding", "vector_status")
 
 
-@query("t44_breadcrumb_backfill", C.sql("SELECT id, coalesce(nullif(heading_breadcrumbs, ''), '[No heading]') AS heading_breadcrumbs FROM chunks"))
+@query("t44_breadcrumb_backfill", C.sql("SELECT c.id, CASE WHEN c.id % 3 <> 0 THEN c.heading_breadcrumbs ELSE coalesce((SELECT string_agg(regexp_replace(split_part(p.content, chr(10), 1), '^#+ *', ''), ' > ' ORDER BY u.depth DESC) FROM up u JOIN headings p ON p.id = u.anc WHERE u.id = c.id), '[No heading]') END AS heading_breadcrumbs FROM chunks c", ANC).replace("WITH ", "WITH RECURSIVE ", 1))
 def t44(spark, sf_dir):
-    return C.chunks(spark, sf_dir).select("id", F.coalesce(F.nullif("heading_breadcrumbs", F.lit("")), F.lit("[No heading]")).alias("heading_breadcrumbs"))
+    """A third of all chunks have lost their breadcrumbs; these are found by walking up."""
+    c = C.chunks(spark, sf_dir).select("id", "parent_id", F.when(F.col("id") % 3 != 0, F.col("heading_breadcrumbs")).alias("heading_breadcrumbs"))
+    walked = S.breadcrumb_walk(c.where("heading_breadcrumbs is null"), C.headings(spark, sf_dir))
+    return c.where("heading_breadcrumbs is not null").select("id", "heading_breadcrumbs").unionAll(walked)
 
 
 @query("t45_sentence_backfill", C.sql(f"SELECT id, CAST(len({_SENT.replace('text', 'content')}) AS INT) AS sentence_count FROM leaves"))

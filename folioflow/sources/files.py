@@ -29,11 +29,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table written to the shared folder, which cuts their lineage."""
+def step(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table written to the shared folder, which cuts their lineage, and its path, for remove()."""
     path = scratch(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return step(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a step that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
