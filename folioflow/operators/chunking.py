@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
+from folioflow.operators.structure import LEVELS
+
 #: Words in a chunk (aim, most, least) and sentences carried over.
 TARGET, MOST, LEAST, OVERLAP = 200, 300, 50, 3
 _EDGE = re.compile(r"(?<=[.!?])\s+")
@@ -34,87 +36,111 @@ def bullets_to_sentences(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     return g.select(by, "line", F.when(F.col("bullet"), text).otherwise(F.col("p")[0]["t"]).alias("text"), "bullet").where("not bullet or text != ''").drop("bullet")
 
 
+def _n_words(text: str | None) -> int:
+    return len((text or "").split())
+
+
 def paragraph_chunks(paragraphs: DataFrame, by: str = "doc_id") -> DataFrame:
     """(by, start_line, end_line, words, content): paragraphs of a document packed in order up to the aim, with the last sentences of a chunk carried into the next.
 
-    A chunk ends when it reaches TARGET or the next paragraph would take it over MOST, unless it is under LEAST.
-    Documents are independent and of bounded length, so each is packed by one call.
+    A chunk ends when it reaches TARGET or the next paragraph would take it over MOST, unless it is under LEAST. A table function gets the paragraphs in order and
+    holds the chunk that is being packed, nothing else of the document.
     """
     kind = paragraphs.schema[by].dataType.simpleString()
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("start_line")
-        out, held, words, start, end = [], [], 0, None, None
-
-        def flush() -> list[str]:
-            out.append((pdf[by].iloc[0], start, end, words, "\n".join(held)))
-            sentences = [s for s in _EDGE.split(held[-1].strip()) if s]
-            return [" ".join(sentences[-OVERLAP:] if len(sentences) >= 2 else sentences)]
-
-        last = len(rows) - 1
-        for i, r in enumerate(rows.itertuples()):
-            n = len(r.content.split())
-            if held and words >= LEAST and words + n > MOST:
-                held = flush()
-                words, start = len(held[0].split()), end
-            held.append(r.content)
-            words, end = words + n, r.end_line
-            start = r.start_line if start is None else start
-            if words >= TARGET and i < last:
-                held = flush()
-                words, start = len(held[0].split()), r.start_line
-        if held:
-            flush()
-        return pd.DataFrame(out, columns=[by, "start_line", "end_line", "words", "content"])
-
-    return paragraphs.groupBy(by).applyInPandas(pack, f"{by} {kind}, start_line int, end_line int, words int, content string")
+    @F.udtf(returnType=f"{by} {kind}, start_line int, end_line int, words int, content string")
+    class Pack:
+        def __init__(self):
+            self.held, self.words, self.start, self.end, self.full, self.key = [], 0, None, None, False, None
+
+        def flush(self):
+            out = (self.key, self.start, self.end, self.words, "\n".join(self.held))
+            sentences = [x for x in _EDGE.split(self.held[-1].strip()) if x]
+            self.held = [" ".join(sentences[-OVERLAP:] if len(sentences) >= 2 else sentences)]
+            self.words = _n_words(self.held[0])
+            return out
+
+        def eval(self, r: Row):
+            n, self.key = _n_words(r["content"]), r[by]
+            if self.full:  # it reached the aim, and there is a next paragraph
+                at = self.last
+                yield self.flush()
+                self.start, self.full = at, False
+            if self.held and self.words >= LEAST and self.words + n > MOST:
+                end = self.end
+                yield self.flush()
+                self.start = end
+            self.held.append(r["content"] or "")
+            self.words, self.end, self.last = self.words + n, r["end_line"], r["start_line"]
+            self.start = r["start_line"] if self.start is None else self.start
+            self.full = self.words >= TARGET
+
+        def terminate(self):
+            if self.held:
+                yield self.flush()
+
+    return Pack(paragraphs.select(by, "start_line", "end_line", "content").asTable().partitionBy(by).orderBy("start_line"))
 
 
 def merge_small(blocks: DataFrame, least: int = LEAST, by: str = "doc_id") -> DataFrame:
-    """(by, start_line, end_line, kind, words): paragraphs under `least` words join the next, or else the previous, paragraph; tables and figures are barriers."""
+    """(by, start_line, end_line, kind, words): paragraphs under `least` words join the next, or else the previous, paragraph; tables and figures are barriers.
+
+    A table function gets the blocks in order and holds two of them: the last whole one, and one that may still grow.
+    """
     kind_ = blocks.schema[by].dataType.simpleString()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.start_line, r.end_line, r.kind, len(r.content.split())] for r in pdf.sort_values("start_line").itertuples()]
-        out: list[list] = []
-        for r in rows:
-            if out and r[2] == out[-1][2] == "paragraph" and out[-1][3] < least:
-                out[-1][1], out[-1][3] = r[1], out[-1][3] + r[3]
-            else:
-                out.append(r)
-        i = len(out) - 1
-        while i > 0:
-            if out[i][2] == out[i - 1][2] == "paragraph" and out[i][3] < least:
-                out[i - 1][1], out[i - 1][3] = out[i][1], out[i - 1][3] + out[i][3]
-                del out[i]
-            i -= 1
-        return pd.DataFrame([(pdf[by].iloc[0], *r) for r in out], columns=[by, "start_line", "end_line", "kind", "words"])
-
-    return blocks.groupBy(by).applyInPandas(merge, f"{by} {kind_}, start_line int, end_line int, kind string, words int")
+    @F.udtf(returnType=f"{by} {kind_}, start_line int, end_line int, kind string, words int")
+    class Merge:
+        def __init__(self):
+            self.before, self.now, self.key = None, None, None
+
+        def settled(self):
+            """What is known to stay when nothing more joins `now`: a small one goes to the paragraph before."""
+            if self.before and self.now and self.before[2] == self.now[2] == "paragraph" and self.now[3] < least:
+                self.before[1], self.before[3] = self.now[1], self.before[3] + self.now[3]
+                self.now = None
+
+        def eval(self, r: Row):
+            self.key, block = r[by], [r["start_line"], r["end_line"], r["kind"], r["words"]]
+            if self.now and block[2] == self.now[2] == "paragraph" and self.now[3] < least:
+                self.now[1], self.now[3] = block[1], self.now[3] + block[3]
+                return
+            if block[2] != "paragraph":
+                self.settled()
+            if self.now:
+                if self.before:
+                    yield (self.key, *self.before)
+                self.before = self.now
+            self.now = block
+
+        def terminate(self):
+            self.settled()
+            for b in (self.before, self.now):
+                if b:
+                    yield (self.key, *b)
+
+    rows = blocks.select(by, "start_line", "end_line", "kind", X.count_words(F.col("content")).alias("words"))
+    return Merge(rows.asTable().partitionBy(by).orderBy("start_line"))
 
 
 def propagate_decisions(headings: DataFrame, by: str = "doc_id") -> DataFrame:
-    """(by, line, decision): a skipped heading's descendants are skipped too; after that, the ancestors of a vectorised heading are vectorised."""
-    kind = headings.schema[by].dataType.simpleString()
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        level, decision = pdf["level"].tolist(), pdf["decision"].tolist()
-        for i in range(len(level)):
-            if decision[i] == "SKIP":
-                for j in range(i + 1, len(level)):
-                    if level[j] <= level[i]:
-                        break
-                    decision[j] = "SKIP"
-        for i in range(len(level)):
-            if decision[i] == "VECTORIZE":
-                top = level[i]
-                for j in range(i - 1, -1, -1):
-                    if level[j] < top:
-                        top, decision[j] = level[j], "VECTORIZE"
-        return pd.DataFrame({by: pdf[by], "line": pdf["line"], "decision": decision})
-
-    return headings.groupBy(by).applyInPandas(apply, f"{by} {kind}, line int, decision string")
+    """(by, line, decision): a skipped heading's descendants are skipped too; after that, the ancestors of a vectorised heading are vectorised.
+
+    A heading is a skipped one's descendant if, for some level, the last heading of that level or a higher one is skipped; it is an ancestor of what comes before the
+    next heading of its level or a higher one. So four windows do, at any number of headings.
+    """
+    along = Window.partitionBy(by).orderBy("line")
+    so_far, after = along.rowsBetween(Window.unboundedPreceding, Window.currentRow), along.rowsBetween(1, Window.unboundedFollowing)
+    skipped = F.lit(False)
+    for n in LEVELS:
+        skipped = skipped | F.coalesce(F.last(F.when(F.col("level") <= n, F.col("decision") == "SKIP"), ignorenulls=True).over(so_far), F.lit(False))
+    x = headings.select(by, "line", "level", F.when(skipped, "SKIP").otherwise(F.col("decision")).alias("decision"))
+    wanted = F.first(F.when(F.col("decision") == "VECTORIZE", F.col("line")), ignorenulls=True).over(after)
+    end = F.lit(None)
+    for n in LEVELS:
+        end = F.when(F.col("level") == n, F.first(F.when(F.col("level") <= n, F.col("line")), ignorenulls=True).over(after)).otherwise(end)
+    above = wanted.isNotNull() & (end.isNull() | (wanted < end))
+    return x.select(by, "line", F.when(above, "VECTORIZE").otherwise(F.col("decision")).alias("decision"))
 
 
 def unfenced(reply: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import vector as V
@@ -106,17 +106,21 @@ def prune_to_budget(headings: DataFrame, budget: int, floors: dict | None = None
 
 
 def batch_headings(headings: DataFrame, most: int, by: str = "work_id") -> DataFrame:
-    """(by, heading_id, batch): headings (by, heading_id, tokens) packed in order; a batch ends before it would pass `most`, and an oversize heading stands alone."""
+    """(by, heading_id, batch): headings (by, heading_id, tokens) packed in order; a batch ends before it would pass `most`, and an oversize heading stands alone.
+
+    A table function gets the headings of a work in order and holds the size of the batch that is being packed.
+    """
     kind = headings.schema[by].dataType.simpleString()
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("heading_id")
-        batch, size, out = 0, 0, []
-        for t in pdf["tokens"]:
-            if size and size + t > most:
-                batch, size = batch + 1, 0
-            size += t
-            out.append(batch)
-        return pd.DataFrame({by: pdf[by], "heading_id": pdf["heading_id"], "batch": out})
-
-    return headings.groupBy(by).applyInPandas(pack, f"{by} {kind}, heading_id long, batch int")
+    @F.udtf(returnType=f"{by} {kind}, heading_id long, batch int")
+    class Pack:
+        def __init__(self):
+            self.batch, self.size = 0, 0
+
+        def eval(self, r: Row):
+            if self.size and self.size + r["tokens"] > most:
+                self.batch, self.size = self.batch + 1, 0
+            self.size += r["tokens"]
+            yield r[by], r["heading_id"], self.batch
+
+    return Pack(headings.select(by, "heading_id", "tokens").asTable().partitionBy(by).orderBy("heading_id"))

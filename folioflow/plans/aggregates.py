@@ -137,7 +137,10 @@ def a16(spark, sf_dir):
     return SU.prune_to_budget(_headed(spark, sf_dir), 1500)
 
 
-@query("a17_batch_headings")
+@query("a17_batch_headings", """WITH RECURSIVE h AS (SELECT o_custkey AS work_id, o_orderkey AS heading_id, 20 + 100 * (o_orderkey % 4 + 1) AS tokens, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+p(work_id, heading_id, k, batch, size) AS (SELECT work_id, heading_id, k, 0, tokens FROM h WHERE k = 1
+  UNION ALL SELECT h.work_id, h.heading_id, h.k, p.batch + CASE WHEN p.size + h.tokens > 900 THEN 1 ELSE 0 END, CASE WHEN p.size + h.tokens > 900 THEN h.tokens ELSE p.size + h.tokens END FROM p JOIN h ON h.work_id = p.work_id AND h.k = p.k + 1)
+SELECT work_id, heading_id, batch FROM p""")
 def a17(spark, sf_dir):
     return SU.batch_headings(_headed(spark, sf_dir).select("work_id", "heading_id", (F.col("title_tokens") + F.aggregate("chunk_tokens", F.lit(0), lambda a, b: a + b)).alias("tokens")), 900)
 

@@ -138,7 +138,9 @@ def t27(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", R.apply_mapping(t, [("the", "THE"), ("THE ", "_")]).alias("text"), R.occurrences(t, "the").alias("n"))
 
 
-@query("t28_hierarchy_decisions")
+@query("t28_hierarchy_decisions", sql("""SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN EXISTS (SELECT 1 FROM d2 i WHERE i.doc_id = d.doc_id AND i.decision = 'VECTORIZE' AND i.line > d.line AND NOT EXISTS (SELECT 1 FROM d0 x WHERE x.doc_id = d.doc_id AND x.line > d.line AND x.line <= i.line AND x.level <= d.level)) THEN 'VECTORIZE' ELSE decision END AS decision FROM d2 d""").replace("SELECT doc_id, CAST(line AS INT)", """, d0 AS (SELECT doc_id, line, level, CASE WHEN (doc_id + line) % 3 = 0 THEN 'SKIP' ELSE 'VECTORIZE' END AS decision FROM hd),
+d2 AS (SELECT doc_id, line, level, CASE WHEN EXISTS (SELECT 1 FROM d0 s WHERE s.doc_id = d.doc_id AND s.decision = 'SKIP' AND s.line < d.line AND NOT EXISTS (SELECT 1 FROM d0 x WHERE x.doc_id = d.doc_id AND x.line > s.line AND x.line <= d.line AND x.level <= s.level)) THEN 'SKIP' ELSE decision END AS decision FROM d0 d)
+SELECT doc_id, CAST(line AS INT)""", 1))
 def t28(spark, sf_dir):
     h = S.parse_headings(md_lines(spark, sf_dir))
     n = (F.col("doc_id") + F.col("line")) % 3
