@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, langid, mixing, ngram_join, paragraphs
-from folioflow.llm.common import cut, n_words, remove_path, shared_path
+from folioflow.llm.common import cut, n_words, remove_path, shared_path, shrink_heaps
 from folioflow.llm.queries import vocabulary_path
 
 #: Rows of a list of ids up to which it is broadcast (8 bytes each); beyond, it is joined by shuffle.
@@ -45,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand in a document with a smaller id; a document that loses every word goes. Null texts and rows with a null id stay as they are; rows that repeat an id lose alike."""
+    shrink_heaps(spark)
     out = paragraphs.dedup(docs)
     out = out.where((F.col("removed_words") == 0) | (n_words(F.col("clean_text")) > 0))
     cleaned = F.col("spans").isNotNull()
@@ -58,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text again. A null text is empty; repeated rows are encoded alike."""
+    shrink_heaps(spark)
     return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary_path()).drop("text")
 
 

@@ -31,6 +31,8 @@ from folioflow.llm.common import give_back, small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a task remembers across batches: bytes of words and their ids, and pairs of tokens; beyond it the memory starts anew (results don't depend on it).
 CACHE_BYTES, CACHE_PAIRS = 36 << 20, 250_000
+#: The same where the task shares its executor with the stages of a pipeline that ran before: less memory for some more time.
+SMALL_CACHE = (8 << 20, 60_000)
 #: Characters of texts that are split into words at a time (a longer text alone), and the longest word that is remembered.
 CHARS, CACHE_WORD = 500_000, 64
 _ALONE = 1 << 60
@@ -61,7 +63,8 @@ def supported(spec: dict) -> None:
 class TrieEncoder:
     """Encoder and decoder of one vocabulary (the text of a tokenizers JSON file with a byte-level BPE model)."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache_bytes: int = CACHE_BYTES, cache_pairs: int = CACHE_PAIRS):
+        self.cache_bytes, self.cache_pairs = cache_bytes, cache_pairs
         spec = json.loads(vocabulary)
         supported(spec)
         letters = {c: b for b, c in enumerate(byte_letters())}
@@ -129,7 +132,7 @@ class TrieEncoder:
                     break
                 y, y_until = self.left.get(y), self.made.get(y)
             x, x_until = self.right.get(x), self.made.get(x)
-        if len(self.fits) >= CACHE_PAIRS:
+        if len(self.fits) >= self.cache_pairs:
             self.fits.clear()
         self.fits[a << 32 | b] = known
         return known
@@ -170,7 +173,7 @@ class TrieEncoder:
         """Little-endian 32-bit ids of each text."""
         split, word = self.split, self.word
         cut = [word(t) if split is None or not any(s in t for s in self.special) else [w for p in split(t) for w in ([p] if p in self.special else word(p))] for t in texts]
-        if self.cached > CACHE_BYTES:
+        if self.cached > self.cache_bytes:
             self.cache.clear()
             self.cached = 0
         cache = self.cache
@@ -202,7 +205,7 @@ def _runs(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
         yield run
 
 
-def _column(df: DataFrame, vocabulary_path: str, col: str, kind: str, values):
+def _column(df: DataFrame, vocabulary_path: str, col: str, kind: str, values, cache: tuple[int, int] = (CACHE_BYTES, CACHE_PAIRS)):
     """Column: values(encoder, list of col's values) of a batch, as a column of a type (for a struct, tuples). Only col goes to Python."""
     spark = df.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:  # a file of the driver, of fixed size
@@ -211,7 +214,7 @@ def _column(df: DataFrame, vocabulary_path: str, col: str, kind: str, values):
     names = [x.split(" ")[0] for x in kind.split(", ")] if " " in kind else []
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[list]:
-        enc = TrieEncoder(vocabulary.value)  # lives as long as the task
+        enc = TrieEncoder(vocabulary.value, *cache)  # lives as long as the task
         for column in batches:
             yield list(values(enc, column.to_list()))
         del enc
@@ -249,7 +252,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col:
 def encode_checked(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, ids and round_trip (decoding the ids gives the text again), in one pass."""
     kind = "n_tokens long, ids array<int>, round_trip boolean"
-    coded = _column(docs, vocabulary_path, text_col, kind, lambda enc, texts: ((len(b) // 4, np.frombuffer(b, dtype="<i4"), enc.decode(b) == t) for t, b in _encoded(enc, texts)))
+    coded = _column(docs, vocabulary_path, text_col, kind, lambda enc, texts: ((len(b) // 4, np.frombuffer(b, dtype="<i4"), enc.decode(b) == t) for t, b in _encoded(enc, texts)), SMALL_CACHE)
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "round_trip")]
     return docs.select(*kept, coded.alias("__bpe")).select(*kept, "__bpe.*")
 

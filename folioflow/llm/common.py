@@ -82,6 +82,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """The JVMs of the executors collect their garbage and give unused heap back to the system, between two jobs that differ in what they need: a heap grows to its limit under shuffles, and Python
+    workers live beside it in the same executor. A few empty tasks a core; an executor that gets none of them keeps what it has."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(work):
     """A function over an iterator of batches that gives memory back when a task's batches end."""
 
