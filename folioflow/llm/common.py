@@ -67,11 +67,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(most))
 
 
+def let_go(spark: SparkSession) -> None:
+    """The driver collects its garbage, so that Spark deletes the shuffle files (and with spark.cleaner.referenceTracking.cleanCheckpoints the checkpoints) of frames that nothing refers to any more; by itself it may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; Spark removes it when unused."""
+    """Cut the lineage with a checkpoint in the shared folder. What the frame was made from is let go; the checkpoint itself stays until the session ends where spark.cleaner.referenceTracking.cleanCheckpoints is unset."""
     shared_dir(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    let_go(df.sparkSession)
+    return out
 
 
 def give_back() -> None:
