@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import fulltext
+from folioflow.operators import fulltext, vectorindex
 from folioflow.sources.files import scratch
 
 LANGS = {"en": 0, "fr": 1, "de": 2, "es": 3}
@@ -90,22 +90,33 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored full-text index of all chunks. It is written once a session for the documents and embeddings as they are (names, sizes and times of their files) and read by every search."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Where an index is that is written once a session for the documents and embeddings as they are (names, sizes and times of their files)."""
     files = [f for t in ("documents", "embeddings") for f in sorted(table(spark, sf_dir, t).inputFiles())]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    state = []
+    state = [name]
     for f in files:
         p = jvm.org.apache.hadoop.fs.Path(f)
         s = p.getFileSystem(conf).getFileStatus(p)
         state.append((f, s.getLen(), s.getModificationTime()))
     known = spark.__dict__.setdefault("_folioflow_indexes", {})
     if tuple(state) not in known:
-        path = scratch(spark, "fulltext")
-        flags = {"usable": F.col("dense_lexical_use"), "heading": F.col("level").isin("H1", "H2", "H3", "H4", "H5"), "has_vector": F.col("vector_status") == "vec"}
-        fulltext.write_index(chunks(spark, sf_dir).withColumns(flags), path)
+        path = scratch(spark, name)
+        write(path)
         known[tuple(state)] = path
-    return fulltext.read_index(spark, known[tuple(state)])
+    return known[tuple(state)]
+
+
+def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored full-text index of all chunks, read by every search."""
+    flags = {"usable": F.col("dense_lexical_use"), "heading": F.col("level").isin("H1", "H2", "H3", "H4", "H5"), "has_vector": F.col("vector_status") == "vec"}
+    return fulltext.read_index(spark, _stored(spark, sf_dir, "fulltext", lambda path: fulltext.write_index(chunks(spark, sf_dir).withColumns(flags), path)))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the stored index of all chunks with vectors."""
+    fields = ("id", "embedding", "dense_lexical_use", "sentence_count")
+    return _stored(spark, sf_dir, "vectors", lambda path: vectorindex.write_index(chunks(spark, sf_dir).select(*fields), path))
 
 
 #: The same as common table expressions: docs, works, headings, leaves, chunks.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import fulltext, fusion, search
+from folioflow.operators import fulltext, fusion, search, vectorindex
 from folioflow.plans import corpus as C
 from folioflow.plans.lexical_sql import GIVEN, LEX, WEB
 from folioflow.registry import query
@@ -17,6 +17,12 @@ def r1(spark, sf_dir):
     return search.dense_search(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir), 19)
 
 
+@query("r1_indexed")
+def r1_indexed(spark, sf_dir):
+    """The same lists from the stored index, of which the nearest cells are read; tests hold its recall against the full scan."""
+    return vectorindex.search(spark, C.query_vectors(spark, sf_dir), C.vector_index(spark, sf_dir), 19, where=F.col("dense_lexical_use")).select("query_id", "chunk_id", "rank")
+
+
 @query("r2_search_dense_page", C.sql(
     "SELECT query_id, id, title AS work_title, similarity, CAST(rank AS INT) AS rank, least(n, 20) AS total FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM dense WHERE level IN ('H1','H2','H3','H4','H5')) JOIN works USING (work_id) WHERE rank > 5 AND rank <= 10",
     C.queries_sql(), _DENSE))
