@@ -62,7 +62,7 @@ def g6(spark, sf_dir):
     return C.table(spark, sf_dir, "documents").select("doc_id", F.round(fusion.entity_boost(F.col("text"), e), 4).alias("boost"))
 
 
-_INTENT = "CASE CAST(id % 7 AS INT) WHEN 0 THEN 'DEFINITION' WHEN 1 THEN 'MECHANISM' WHEN 2 THEN 'COMPARISON' WHEN 3 THEN 'APPLICATION' WHEN 4 THEN 'STUDY_DETAIL' WHEN 5 THEN 'CRITIQUE' ELSE 'OTHER' END"
+_INTENT = "CASE CAST(abs(id) % 7 AS INT) WHEN 0 THEN 'DEFINITION' WHEN 1 THEN 'MECHANISM' WHEN 2 THEN 'COMPARISON' WHEN 3 THEN 'APPLICATION' WHEN 4 THEN 'STUDY_DETAIL' WHEN 5 THEN 'CRITIQUE' ELSE 'OTHER' END"
 
 
 @query("g7_intent_boost", C.sql(
@@ -75,7 +75,7 @@ _INTENT = "CASE CAST(id % 7 AS INT) WHEN 0 THEN 'DEFINITION' WHEN 1 THEN 'MECHAN
     FROM (SELECT id, level, length(content) AS n, {_INTENT} AS intent FROM headings)"""))
 def g7(spark, sf_dir):
     names = [i[0] for i in fusion.INTENTS] + ["OTHER"]
-    h = C.headings(spark, sf_dir).withColumn("intent", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 7 + 1).cast("int")))
+    h = C.headings(spark, sf_dir).withColumn("intent", F.element_at(F.array(*map(F.lit, names)), (F.abs("id") % 7 + 1).cast("int")))
     return fusion.intent_boost(h).select("id", "intent_boost")
 
 
