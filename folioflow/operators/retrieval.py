@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import chunking, consolidation, external, fulltext, fusion, search
+from folioflow.operators import chunking, consolidation, external, fulltext, fusion, search, structure
 
 #: Limits of the lists, of their fusion and of the result; words of an enriched text; weights.
 DENSE, LEXICAL, RRF_K, FUSED, FINAL = 19, 5, 50, 75, 17
@@ -82,6 +82,22 @@ def enriched(items: DataFrame, chunks: DataFrame, least: int = LEAST_WORDS, most
         (~found & (F.col("_stop") | (F.col("depth") > 0))).alias("fallback"), (ended & (~found | (X.count_words(text) < least))).alias("reached_root"))
 
 
+def enrichment_metrics(items: DataFrame, tree: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """One row of what enriched() comes to for items (id, parent_id, content) below a tree of chunks (id, parent_id, content), without the texts: how many there are, how many take an ancestor's text, in percent too,
+    how many have to keep their own as no ancestor has one, from how far up on average, and how often the topmost wasn't enough. The tree's ancestors are found once; items join them by parent."""
+    n = lambda c: X.count_words(F.col(c)).cast("long")
+    short = items.select("id", "parent_id", n("content").alias("_w")).where(F.col("_w") < least)
+    up = tree.where("content is not null").select(F.col("id").alias("ancestor_id"), n("content").alias("_aw"))
+    above = structure.ancestors_of(short, structure.ancestors(tree)).join(up, "ancestor_id")
+    enough = F.min_by(F.struct("depth", "_aw"), F.when(F.col("_aw") >= least, F.col("depth")))
+    best = above.groupBy("id").agg(F.coalesce(enough, F.max_by(F.struct("depth", "_aw"), "depth")).alias("e"))
+    found = short.join(best, "id", "left").agg(
+        F.count("e").alias("enriched_count"), F.count_if(F.col("e").isNull() & F.col("parent_id").isNotNull()).alias("fallback_count"), F.coalesce(F.sum("e.depth"), F.lit(0)).alias("_d"), F.count_if(F.col("e._aw") < least).alias("reached_root_count"))
+    total = items.agg(F.count(F.lit(1)).alias("total_chunks"))
+    share = lambda c: F.try_divide(c.cast("double"), F.col("total_chunks"))
+    return total.crossJoin(found).select("total_chunks", "enriched_count", "fallback_count", F.round(100 * share(F.col("enriched_count")), 4).alias("enrichment_percentage"), F.round(share(F.col("_d")), 4).alias("average_depth"), "reached_root_count")
+
+
 def retrieve(
     expanded: DataFrame, chunks: DataFrame, embed: Callable = external.hashing_embedder, score: Callable = external.overlap_scorer, analyser: str = "english",
     dense: int = DENSE, lexical: int = LEXICAL, fused: int = FUSED, final: int = FINAL,

@@ -102,10 +102,7 @@ def a11(spark, sf_dir):
     FROM up JOIN (SELECT id AS p, len(regexp_extract_all(content, '[^\s]+')) AS w FROM chunks) ON p = anc) e ON e.id = c.id AND c.w < 150 AND rn = 1""", ANC).replace("WITH ", "WITH RECURSIVE ", 1))
 def a12(spark, sf_dir):
     """What enrichment from parents comes to over all leaves: how many got another text, from how far up on average, how often the root wasn't enough."""
-    leaves = C.leaves(spark, sf_dir)
-    e = RT.enriched(leaves, C.headings(spark, sf_dir))
-    share = F.try_divide(100.0 * F.count("enriched_from"), _n())
-    return e.agg(_n().alias("total_chunks"), F.count("enriched_from").alias("enriched_count"), F.count_if("fallback").alias("fallback_count"), F.round(share, 4).alias("enrichment_percentage"), F.round(F.avg("depth"), 4).alias("average_depth"), F.count_if("reached_root").alias("reached_root_count"))
+    return RT.enrichment_metrics(C.leaves(spark, sf_dir), C.headings(spark, sf_dir))
 
 
 @query("a13_template_versions", "SELECT p_brand, count(*) AS versions, max(CASE WHEN p_size > 25 THEN p_partkey END) AS active, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1")

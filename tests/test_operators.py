@@ -229,6 +229,8 @@ def test_enrichment_climbs_and_stops(spark):
     got = {r.id: (r.enriched_from, r.depth, r.fallback, r.reached_root, r.title) for r in retrieval.enriched(c, c).collect()}
     assert got[3] == (1, 2, False, False, "Top") and got[5] == (4, 1, False, True, "Root") and got[11] == (None, 0, False, False, "enough")
     assert got[6] == (7, 1, False, False, "d") and got[8] == (None, 0, True, False, "lost") and got[9] == (None, 1, True, True, "nul") and got[12] == (None, 0, True, False, "empty")
+    m = retrieval.enrichment_metrics(c, c).first()
+    assert (m.total_chunks, m.enriched_count, m.reached_root_count) == (12, sum(g[0] is not None for g in got.values()), sum(g[0] is not None and g[3] or i in (6, 7) for i, g in got.items()))
     deep = spark.createDataFrame([(i, i + 1, "a", 1, 2, "x") for i in range(30)], c.schema)
     assert retrieval.enriched(deep.where("id = 0"), deep).first().depth == 10
     long = spark.createDataFrame([(1, None, "\n".join(f"s{i} " + w(50) + "." for i in range(50)), 1, 50, "T"), (2, 1, "s25 " + w(50) + ".", 26, 26, "T > y")], c.schema)
