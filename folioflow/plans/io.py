@@ -13,7 +13,7 @@ from folioflow.plans.predicates import docs, events, orders, part
 from folioflow.registry import query
 from folioflow.sources import files as IO
 from folioflow.sources import navigation as NAV
-from folioflow.streaming import ingest
+from folioflow.streaming import ingest, queue
 
 
 @query("s1_table_scan", "SELECT * FROM nation")
@@ -221,6 +221,14 @@ def streaming_ingest(spark, sf_dir):
     return ingest.headings_of_new_documents(spark, md_lines(spark, sf_dir))
 
 
+@query("streaming_vectorisation", C.sql(r"SELECT id, CASE WHEN regexp_matches(content, '\S') THEN 'vec' ELSE 'vec_err' END AS vector_status, CASE WHEN regexp_matches(content, '\S') THEN 64 END AS dimensions FROM chunks WHERE vector_status = 'to_vec' AND parent_id IS NOT NULL AND embedding IS NULL"))
+def streaming_vectorisation(spark, sf_dir):
+    """Every chunk of the corpus comes to the queue; those that wait for a vector get one."""
+    from folioflow.operators.external import hashing_embedder
+    got = queue.vectorised(C.chunks(spark, sf_dir), hashing_embedder)
+    return got.select("id", "vector_status", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimensions"))
+
+
 @query("streaming_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_event_windows(spark, sf_dir):
     return ingest.event_windows(spark, events(spark, sf_dir), "1 hour")
