@@ -6,7 +6,7 @@ of their own, paragraphs set apart by an empty line, list items marked and inden
 to columns, preformatted text as it is.
 
 Visibility: `hidden` attributes, closed details and dialogs, and the properties display and visibility of style attributes and of style
-elements count; of style sheets, rules with selectors of one element (name, classes, id) outside of @-blocks, or in @media blocks for all
+elements count; of style sheets, rules whose selectors are names, classes and ids, of one element or of a descendant or child of others, outside of @-blocks, or in @media blocks for all
 or screen, by specificity and order. Other selectors and linked sheets are passed over. Text inside an element with visibility hidden
 is shown again where a descendant says visible. Fallbacks of audio, video, canvas, iframe, noscript and object are not
 shown, as in a browser with scripts; text in svg and math is. Buttons and text fields show their values.
@@ -29,12 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from folioflow.llm.common import small_batches, tidy
+
 DEPTH = 256
 CELL = 80
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Raw elements whose character references count.
+ESCAPABLE = frozenset(["textarea", "title"])
 HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas area base link meta param source track rp desc metadata annotation annotation-xml".split())
 FIELDS = frozenset(["", "text", "search", "tel", "url", "email", "number", "date", "time", "month", "week", "datetime-local", "submit", "reset", "button"])
 BLOCK = frozenset(
@@ -114,7 +118,8 @@ def parse(html: str) -> Element:
             continue  # a form between rows or cells holds nothing
         if tag in RAW:
             e = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            node.children.append(html[at : e.start() if e else len(html)])
+            raw = html[at : e.start() if e else len(html)]
+            node.children.append(unescape(raw) if tag in ESCAPABLE else raw)
             at = e.end() if e else len(html)
         elif tag not in VOID and tag != "colgroup" and len(stack) < DEPTH:
             stack.append(node)
@@ -151,8 +156,49 @@ def sheet_blocks(css: str) -> Iterator[tuple[str, str]]:
         yield before, css[inside:]
 
 
+def selector(text: str) -> tuple[list, tuple] | None:
+    """([(combinator before it, name, classes, ids), ...], specificity) of a selector of descendants and children; None for other kinds."""
+    found, before = [], ""
+    for part in text.replace(">", " > ").split():
+        if part == ">":
+            if before or not found:
+                return None
+            before = ">"
+            continue
+        m = _SELECTOR.match(part)
+        if not m:
+            return None
+        marks = re.findall(r"([.#])([\w-]+)", m[2])
+        found.append((before, (m[1] or "*").lower(), {x for k, x in marks if k == "."}, {x for k, x in marks if k == "#"}))
+        before = ""
+    if before or not found:
+        return None
+    return found, (sum(len(f[3]) for f in found), sum(len(f[2]) for f in found), sum(f[1] != "*" for f in found))
+
+
+def fits(part: tuple, place: tuple) -> bool:
+    """Whether an element (name, classes, id) is what one part of a selector asks for."""
+    _, name, classes, ids = part
+    return name in ("*", place[0]) and classes <= place[1] and (not ids or ids == {place[2]})
+
+
+def selects(parts: list, path: list) -> bool:
+    """Whether a selector selects the last element of a path from the root."""
+    if not fits(parts[-1], path[-1]):
+        return False
+    ends = [len(path) - 1]  # where the part to the right may stand
+    for k in range(len(parts) - 2, -1, -1):
+        if parts[k + 1][0] == ">":
+            ends = [i - 1 for i in ends if i and fits(parts[k], path[i - 1])]
+        else:
+            ends = [i for i in range(max(ends)) if fits(parts[k], path[i])]
+        if not ends:
+            return False
+    return True
+
+
 def sheet_rules(css: str, rules: list) -> None:
-    """Appends (name, classes, ids, specificity, properties) of a sheet's rules about visibility."""
+    """Appends (parts of the selector, specificity, properties) of a sheet's rules about visibility."""
     for before, inside in sheet_blocks(re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)):
         if before.startswith("@"):
             if re.fullmatch(r"@media\s*(?:only\s+)?(?:all|screen)?", before, re.I):
@@ -160,17 +206,14 @@ def sheet_rules(css: str, rules: list) -> None:
             continue
         found = properties(inside)
         for one in before.split(",") if found else ():
-            m = _SELECTOR.match(one.strip())
-            if m and one.strip():
-                parts = re.findall(r"([.#])([\w-]+)", m[2])
-                classes, ids = {x for k, x in parts if k == "."}, {x for k, x in parts if k == "#"}
-                name = (m[1] or "*").lower()
-                rules.append((name, classes, ids, (len(ids), len(classes), name != "*"), found))
+            s = selector(one)
+            if s:
+                rules.append((*s, found))
 
 
-def shown(node: Element, rules: list, seen: bool = True) -> None:
-    """Takes what style rules hide out of the tree: elements that aren't displayed, and strings that aren't visible."""
-    kept = []
+def shown(node: Element, rules: list, seen: bool = True, path: list | None = None) -> None:
+    """Takes what style rules hide out of the tree: elements that aren't displayed, and strings that aren't visible. path: the node and what it is in, as selectors see them."""
+    kept, path = [], path if path is not None else []
     for child in node.children:
         if isinstance(child, str):
             if seen:
@@ -178,9 +221,9 @@ def shown(node: Element, rules: list, seen: bool = True) -> None:
             continue
         a, own = child.attrs, {}
         if rules:
-            classes = set(a.get("class", "").split())
-            for name, need, ids, weight, found in rules:
-                if name in ("*", child.tag) and need <= classes and (not ids or ids == {a.get("id")}):
+            path.append((child.tag, set(a.get("class", "").split()), a.get("id")))
+            for parts, weight, found in rules:
+                if selects(parts, path):
                     for k, (important, value) in found.items():
                         if (important, weight) >= own.get(k, ((False, (-1,)),))[0]:
                             own[k] = (important, weight), value
@@ -191,11 +234,17 @@ def shown(node: Element, rules: list, seen: bool = True) -> None:
         if display != "none":
             visibility = own["visibility"][1] if "visibility" in own else ""
             inside = True if visibility == "visible" else False if visibility in ("hidden", "collapse") else seen
-            shown(child, rules, inside)
+            if child.tag == "html" and rules:
+                path.append(("body", *path[-1][1:]))  # the root stands for both
+            shown(child, rules, inside, path)
+            if child.tag == "html" and rules:
+                path.pop()
             if not inside:
                 child.attrs = {k: v for k, v in a.items() if k != "value"}
                 child.attrs["hidden-mark"] = ""
             kept.append(child)
+        if rules:
+            path.pop()
     node.children = kept
 
 
@@ -424,6 +473,7 @@ def render(html: str | None) -> str | None:
 def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", text_col: str = "text") -> DataFrame:
     """keep columns of pages with the rendered text."""
     keep = [c for c in keep if c != text_col]
+    small_batches(pages.sparkSession)
     source = pages.select(*keep, pages[html_col].alias("_html"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -432,4 +482,4 @@ def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", text
             out[text_col] = pd.Series([render(h) if isinstance(h, str) else None for h in batch["_html"]], index=out.index, dtype=object)
             yield out
 
-    return source.mapInPandas(work, T.StructType([f for f in source.schema.fields if f.name != "_html"] + [T.StructField(text_col, T.StringType())]))
+    return source.mapInPandas(tidy(work), T.StructType([f for f in source.schema.fields if f.name != "_html"] + [T.StructField(text_col, T.StringType())]))
