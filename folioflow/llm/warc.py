@@ -5,7 +5,8 @@ of at least `min_bytes` are stored once: the page with the largest id is the res
 revisit it.
 
 The reader walks an archive (plain, or gzip members) record by record. A record counts only if all its
-checks hold: version line, header lines, length, terminator, payload digest. After a failure it
+checks hold: version line, header lines (folded ones too), length, terminator, block and payload digests (sha1, md5, sha256 or sha512, in hex,
+base32 or base64; the payload digests of revisits and of truncated records are those of other bytes, and digests of other kinds aren't checked). After a failure it
 searches on for the next place where a whole valid member or record starts, takes up there, and
 logs the bytes between as a gap. A file is read by one task, so the writer rolls archives at `archive_bytes`; foreign archives of gigabytes
 take a task of that memory each, and files beyond 2 GB can't be read (binaryFile's limit).
@@ -18,6 +19,7 @@ records; columns other than the three named ones are not archived.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -37,6 +39,8 @@ MEMBER_BYTES, HEAD_BYTES = 1 << 30, 1 << 20
 _HEAD_END = b"\r\n\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Digests that are checked, with their bytes.
+_DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 _FIELD = re.compile(rb"([!#-'*+\-.0-9A-Z^-z|~]+):[ \t]*([^\r\n]*)\Z")
 
 
@@ -86,6 +90,33 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, h
 # ---------------------------------------------------------------- reading
 
 
+def _digest(said: str) -> tuple[str, bytes | None]:
+    """(algorithm, bytes) of a digest as headers say it, algorithm:value; None for a value in none of the three encodings."""
+    name, _, value = said.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in _DIGESTS:
+        return name, None
+    size, bare = _DIGESTS[name], value.rstrip("=")
+    try:
+        if len(bare) == 2 * size:
+            return name, bytes.fromhex(bare)
+        if len(bare) == -(-size * 8 // 5):
+            return name, base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+        if len(bare) == -(-size * 8 // 6):
+            return name, base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+    except ValueError:
+        pass
+    return name, None
+
+
+def _refuted(said: str | None, data: bytes) -> bool:
+    """Whether a digest header doesn't hold for the data; one of an unknown algorithm refutes nothing."""
+    if not said:
+        return False
+    name, value = _digest(said)
+    return name in _DIGESTS and hashlib.new(name, data).digest() != value
+
+
 def _record_at(data: bytes, at: int) -> tuple[int, dict] | None:
     """(end, fields) of the record that starts here, or None if a check fails."""
     v = _VERSION.match(data, at)
@@ -93,7 +124,7 @@ def _record_at(data: bytes, at: int) -> tuple[int, dict] | None:
     if end < 0:
         return None
     fields = {}
-    for line in data[v.end() : end].split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data[v.end() : end]).split(b"\r\n"):
         m = _FIELD.match(line)
         if not m:
             return None
@@ -108,8 +139,9 @@ def _record_at(data: bytes, at: int) -> tuple[int, dict] | None:
     block = data[start:stop]
     fields["payload"] = payload = block.partition(_HEAD_END)[2] if fields.get("content-type", "").startswith("application/http") else block
     fields["http"] = block[: len(block) - len(payload)]
-    said = fields.get("warc-payload-digest", "").partition(":")
-    if said[0] == "sha1" and fields["warc-type"] != "revisit" and len(said[2]) == 40 and hashlib.sha1(payload).hexdigest() != said[2].lower():
+    if _refuted(fields.get("warc-block-digest"), block):
+        return None
+    if fields["warc-type"] != "revisit" and "warc-truncated" not in fields and _refuted(fields.get("warc-payload-digest"), payload):
         return None
     return stop + 4, fields
 
@@ -166,13 +198,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def one(name: str, offset: int, end: int, f: dict | None) -> tuple:
         if f is None:
             return name, offset, end - offset, "gap", None, None, None, None, None, None, None
-        kind, said = f["warc-type"], f.get("warc-payload-digest", "").partition(":")[2].lower() or None
+        kind, (name_of, value) = f["warc-type"], _digest(f.get("warc-payload-digest", ""))
+        said = value.hex() if value and name_of == "sha1" else None
         size = len(f["payload"])
         if kind == "revisit":
             m = re.search(rb"(?im)^content-length:[ \t]*(\d+)", f["http"])
             digest, size = said, int(m[1]) if m else None
         else:
-            digest = said if said and len(said) == 40 else hashlib.sha1(f["payload"]).hexdigest()
+            digest = said if said and "warc-truncated" not in f else hashlib.sha1(f["payload"]).hexdigest()
         return name, offset, end - offset, "record", kind, f["warc-record-id"], f.get("warc-target-uri"), f.get("warc-refers-to"), digest, size, f["payload"] if with_payload else None
 
     names = [c.split(" ")[0] for c in _SCHEMA.split(", ")]

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and edge cases, on small fixtures."""
 
 import collections
+import base64
 import gzip
 import hashlib
 import json
@@ -168,7 +169,11 @@ def test_quality_edge_rows(spark):
         ("<p title=\"a>b\">c</p>", "c"),
         ("<style>.x{display:none} p#y , b{visibility:hidden} i{display:none} @media print{u{display:none}} @media screen{s{display:none}}</style><p class='z x'>n</p><p id=y>n<span style='visibility:visible'>v</span></p><b>n</b><i class=k>n</i><u>u</u><s>n</s>", "v\n\nu"),
         ("<style>div.a{display:none}.b{display:block !important}</style><div class='a b'>x</div><div class=a>n</div><div class=a style='display:block'>y</div><p>.a{}</p>", "x\ny\n\n.a{}"),
-        ("<style>ul li{display:none}</style><ul><li>kept: not a rule of one element</ul>", "- kept: not a rule of one element"),
+        ("<style>ul li{display:none}</style><ul><li>n</ul><ol><li>kept</ol>", "1. kept"),
+        ("<style>.a .b{display:none} #c>p{display:none} div > div > i{visibility:hidden}</style><div class=a><u><s class=b>n</s></u></div><div id=c><p>n</p><div><p>y</p><i>n</i></div></div><s class=b>z</s>", "y\n\nz"),
+        ("<style>body.m > p, html body #k b{display:none}</style><body class=m><p>n</p><div id=k><p>y<u><b>n</b></u></p></div>", "y"),
+        ("<style>div p{display:none} p.s{display:block} a + b, c:hover d, > q{display:none}</style><div><p class=s>n</p><p>n</p></div><a>1</a><b>2</b><q>3</q>", "n\n\n123"),
+        ("<textarea>a &amp; b &lt;i></textarea><xmp>c &amp; d</xmp>", "a & b <i>\n\nc &amp; d"),
         ("<div style='visibility:hidden'>n<div style='visibility: visible'>v</div><input value=n><input type=submit></div>", "v"),
         ("a<svg><text>s</text><desc>n</desc></svg><map name=m>t</map><math><mi>x</mi></math>", "astx"),
         ("<input value=v><input type=hidden value=n><input type=submit><input type=reset value=r><input type=password value=n><button>b</button>", "v Submit r b"),
@@ -338,6 +343,23 @@ def test_salvage_recovers_later_records_and_logs_every_gap():
     assert [f["payload"] for _, _, f in warc.salvage(gzip.compress(a + c))] == [b"abc", b""]
 
 
+def test_warc_digests_of_all_kinds_and_folded_lines():
+    body = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    head = b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <x>\r\nContent-Type: application/http;\r\n\tmsgtype=response\r\n%sContent-Length: 22\r\n\r\n" + body + b"\r\n\r\n"
+
+    def fine(*lines, kind=b"response"):
+        return [bool(f) for _, _, f in warc.salvage(head % (kind, b"".join(x.encode() + b"\r\n" for x in lines)))] == [True]
+
+    assert fine() and len(body) == 22
+    for name in ("sha1", "md5", "sha256", "sha512"):
+        good, bad, block = (hashlib.new(name, x).digest() for x in (b"abc", b"abd", body))
+        for enc in (bytes.hex, lambda b: b.hex().upper(), lambda b: base64.b32encode(b).decode(), lambda b: base64.b32encode(b).decode().rstrip("=").lower(), lambda b: base64.b64encode(b).decode(), lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")):
+            assert fine(f"WARC-Payload-Digest: {name}:{enc(good)}", f"WARC-Block-Digest: {name}:{enc(block)}")
+            assert not fine(f"WARC-Payload-Digest: {name}:{enc(bad)}") and not fine(f"WARC-Block-Digest: {name}:{enc(good)}")
+            assert fine(f"WARC-Payload-Digest: {name}:{enc(bad)}", kind=b"revisit") and fine(f"WARC-Payload-Digest: {name}:{enc(bad)}", "WARC-Truncated: length")
+    assert not fine("WARC-Payload-Digest: sha1:zz") and fine("WARC-Payload-Digest: xxh3:zz")
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 600
     rows = [(1, "http://a/\r\nx", "short"), (2, None, "short"), (3, "u", long), (9, "u", long), (5, "u", long), (None, "u", long), (6, "u", None), (7, "u", "WARC/1.1\r\nWARC-Type: x\r\n\r\n" * 60), (9, "u", long)]
