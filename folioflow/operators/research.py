@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import structure as S
+from folioflow.sources.files import exists
 
 #: The citation pattern, and model names that count as strong.
 CITATION = r"(\[[A-Za-z\s]+(?:\set\sal\.)?\s\d{4}\])"
@@ -82,6 +85,39 @@ def needs_refinement(sections: DataFrame, coverage: str = "coverage", sources: s
     return sections.withColumn("refine", poor & (F.col(rounds) < most))
 
 
+def measured(sections: DataFrame, text: str = "text", sources: str = "s") -> DataFrame:
+    """sections with all that needs_refinement() asks for, of their text and their sources (as source_keys() takes them)."""
+    t, s = F.col(text), F.col(sources)
+    c = citations(t)
+    return section_quality(sections.withColumns({
+        "words": X.count_words(t), "citations": F.size(c), "sentences": count_sentences(t), "sources": source_diversity(c, s), "broken": F.size(broken_citations(c, s))}))
+
+
+def refined(sections: DataFrame, improve: Callable[[DataFrame], DataFrame], path: str, judge: Callable[[DataFrame], DataFrame] = measured, most: int = 2) -> DataFrame:
+    """The judged sections after rounds of improvement, with rounds: how often each was improved, `most` times at most.
+
+    A round judges its sections and writes them under path, settled ones and poor ones apart; only the poor ones go on, through improve (retrieval and a language model, say), which gives the same
+    columns back. The rounds are the state: a run over the same path takes up after the last round that was written whole, and a round that broke off is written again.
+    Each section is settled in one round, so nothing is written twice; a section that improve leaves out is gone.
+    """
+    spark, fields = sections.sparkSession, sections.columns
+    now = sections
+    for n in range(most + 1):
+        found = needs_refinement(judge(now).withColumn("rounds", F.lit(n)), most=most)
+        schema, to = found.schema, f"{path}/round={n}"
+        if not exists(spark, f"{to}/_SUCCESS"):
+            found.write.mode("overwrite").partitionBy("refine").parquet(to)
+        poor = spark.read.schema(schema).parquet(to).where("refine").select(*fields)
+        if n == most or poor.isEmpty():
+            break
+        now = improve(poor).select(*fields)
+    written = [spark.read.schema(schema).parquet(f"{path}/round={k}") for k in range(n + 1)]
+    out = written[0]
+    for w in written[1:]:
+        out = out.unionByName(w)
+    return out.where("not refine").drop("refine")
+
+
 def structure_scores(headings: DataFrame, totals: DataFrame, doc: str = "doc_id", words_per_line: float = 12.0) -> DataFrame:
     """Per document with headings: how well its structure serves chunking.
 

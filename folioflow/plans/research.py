@@ -11,6 +11,7 @@ from folioflow.plans import corpus as C
 from folioflow.plans.hierarchy import MD_SQL, md_lines, totals
 from folioflow.plans.predicates import docs
 from folioflow.registry import query
+from folioflow.sources import files as IO
 
 #: Sections: documents with citations put in by their number.
 _SEC_SQL = r"""sec0 AS (SELECT doc_id, text || repeat(' [Smith 2001]', CAST(doc_id % 4 AS INT)) || repeat(' [Jones et al. 2010]', CAST(doc_id % 3 AS INT)) || CASE WHEN doc_id % 5 = 0 THEN ' [Brown 4567]' ELSE '' END AS text FROM documents),
@@ -95,6 +96,29 @@ def g16(spark, sf_dir):
     return R.needs_refinement(judged(spark, sf_dir).withColumn("rounds", F.col("doc_id") % 4)).select("doc_id", "refine")
 
 
+_MORE = " [On Memory 2001] [Kim Papers 2003]"
+_ROUNDS = rf"""{_SRC_SQL},
+t1 AS (SELECT doc_id, text || ' ' || text || '{_MORE}' AS text FROM sec0), t2 AS (SELECT doc_id, text || ' ' || text || '{_MORE}' AS text FROM t1),
+tr AS (SELECT 0 AS r, * FROM sec0 UNION ALL SELECT 1, * FROM t1 UNION ALL SELECT 2, * FROM t2),
+mr AS (SELECT doc_id, r, length(text) AS n_chars, len(regexp_extract_all(text, '[^\s]+')) AS w, regexp_extract_all(text, '\[[A-Za-z\s]+(?:\set\sal\.)?\s\d{{4}}\]') AS c, len(list_filter(regexp_split_to_array(text, '\.\s+'), lambda s: trim(s) <> '')) AS n FROM tr),
+sr AS (SELECT *, 0 AS since FROM srcs UNION ALL SELECT doc_id, 'w40', ['kim papers', 's3', '3'], 1 FROM documents WHERE doc_id % 2 = 1),
+pr AS (SELECT doc_id, r, count(DISTINCT CASE WHEN len(list_filter(c, lambda x: len(list_filter(keys, lambda k: contains(lower(x), k))) > 0)) > 0 THEN name END) AS sources, flatten(list(keys)) AS every FROM mr JOIN sr USING (doc_id) WHERE since <= r GROUP BY 1, 2),
+qr AS (SELECT *, least(1.0::DOUBLE, len(c) / greatest(1, n)::DOUBLE) AS cov, len(list_filter(c, lambda x: len(list_filter(every, lambda k: contains(lower(x), k))) = 0)) AS broken FROM mr JOIN pr USING (doc_id, r)),
+jr AS (SELECT *, CASE WHEN w > 800 AND cov > 0.5 THEN 'High' WHEN w > 400 AND cov > 0.3 THEN 'Medium' ELSE 'Low' END AS coherence FROM qr),
+fr AS (SELECT doc_id, coalesce(min(r) FILTER (NOT (round(cov, 2) < 0.7 OR sources < 3 OR coherence = 'Low' OR broken > 0)), 2) AS r FROM jr GROUP BY 1)"""
+
+
+@query("g16_refinement_rounds", f"WITH {_ROUNDS} SELECT doc_id, CAST(r AS INT) AS rounds, CAST(n_chars AS INT) AS n_chars, round(cov, 2) AS coverage, coherence, CAST(sources AS INT) AS sources, CAST(broken AS INT) AS broken FROM jr JOIN fr USING (doc_id, r)")
+def g16_rounds(spark, sf_dir):
+    """Sections through up to two rounds: each makes a poor one twice as long, with two more citations and a third source where it has two."""
+    def improve(poor):
+        kim = F.array(F.struct(F.lit(40).cast("long").alias("work_id"), F.lit("Kim Papers").alias("title"), F.lit("").alias("authors"), F.lit("excerpt").alias("type"), F.lit(None).cast("long").alias("item_id")))
+        return poor.withColumns({"text": F.concat("text", F.lit(" "), "text", F.lit(_MORE)), "s": F.when(F.size("s") < 3, F.concat("s", kim)).otherwise(F.col("s"))})
+
+    got = R.refined(sourced(spark, sf_dir).drop("c"), improve, IO.scratch(spark, "refinement"))
+    return got.select("doc_id", "rounds", F.length("text").alias("n_chars"), "coverage", "coherence", "sources", "broken")
+
+
 _HEADS = r"""h6 AS (SELECT doc_id, line, len(regexp_extract(text, '^(#+)\s+', 1)) AS level, lower(trim(regexp_extract(text, '^#+\s+(.*)$', 1))) AS name FROM md WHERE regexp_matches(text, '^#{1,6}\s+')),
 hs AS (SELECT h.*, total_lines, (coalesce((SELECT min(x.line) FROM h6 x WHERE x.doc_id = h.doc_id AND x.line > h.line AND x.level <= h.level), total_lines + 1) - h.line) * 12 AS size,
   row_number() OVER w AS k, line - lag(line) OVER w AS gap, abs(level - lag(level) OVER w) AS jump FROM h6 h JOIN tot USING (doc_id) WINDOW w AS (PARTITION BY h.doc_id ORDER BY line))"""
