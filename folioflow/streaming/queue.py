@@ -84,6 +84,11 @@ class Queue(StatefulProcessor):
         pass
 
 
+def waiting(chunks: DataFrame) -> DataFrame:
+    """The chunks that wait for a vector."""
+    return chunks.where("id is not null and vector_status = 'to_vec' and parent_id is not null and embedding is null")
+
+
 def vectorise_stream(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], shards: int = 256, batch: int = 100, most: int = 3, wait_ms: int = 60_000) -> DataFrame:
     """The results (id, embedding, vector_status, attempts, error) of a stream of chunks (id, parent_id, content, vector_status, embedding).
 
@@ -91,8 +96,7 @@ def vectorise_stream(chunks: DataFrame, embed: Callable[[list[str]], list[list[f
     hash of the id, so no key is hot, and bound how many tasks a micro-batch can use. With more than one try a stream has timers, so it goes on
     until it is stopped, whatever its trigger.
     """
-    wanted = chunks.where("id is not null and vector_status = 'to_vec' and parent_id is not null and embedding is null")
-    keyed = wanted.select("id", "content", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    keyed = waiting(chunks).select("id", "content", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     return keyed.groupBy("shard").transformWithStateInPandas(Queue(embed, batch, most, wait_ms), RESULT, "Append", "ProcessingTime" if most > 1 else "None")
 
 
@@ -114,7 +118,7 @@ def vectorised(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]
     """The results of a table of chunks that is put through the queue once, by a stream over its files. Chunks have one try each: nothing would wait for their timers."""
     spark = chunks.sparkSession
     source, out = scratch(spark, "queue"), scratch(spark, "vectors")
-    chunks.select("id", "parent_id", "content", "vector_status", "embedding").write.parquet(source)
+    waiting(chunks).select("id", "parent_id", "content", "vector_status", "embedding").write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1_000).parquet(source)
     start(vectorise_stream(stream, embed, most=1, **options), out, scratch(spark, "queue-state"), availableNow=True).awaitTermination()
     return spark.read.schema(RESULT).parquet(out)
