@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import structure as S
-from folioflow.sources.files import exists
+from folioflow.sources.files import exists, remove
 
 #: The citation pattern, and model names that count as strong.
 CITATION = r"(\[[A-Za-z\s]+(?:\set\sal\.)?\s\d{4}\])"
@@ -30,20 +30,24 @@ def source_keys(source: Column, place: Column) -> Column:
 
 
 def _names(citation: Column, keys: Column) -> Column:
-    return F.exists(keys, lambda k: F.contains(F.lower(citation), k))
+    return _once(F.lower(citation), lambda c: F.exists(keys, lambda k: F.contains(c, k)))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, however often then's own functions of items ask for it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def source_diversity(cites: Column, sources: Column) -> Column:
     """How many different works (results without a work by their item) some citation names."""
-    found = F.filter(F.transform(sources, lambda s, i: F.struct(
-        F.exists(cites, lambda c: _names(c, source_keys(s, i))).alias("cited"), F.coalesce(s["work_id"].cast("string"), F.concat(F.lit("item_"), F.coalesce(s["item_id"].cast("string"), (i + 1).cast("string")))).alias("name"))), lambda s: s["cited"])
+    named = F.transform(sources, lambda s, i: F.struct(source_keys(s, i).alias("keys"), F.coalesce(s["work_id"].cast("string"), F.concat(F.lit("item_"), F.coalesce(s["item_id"].cast("string"), (i + 1).cast("string")))).alias("name")))
+    found = F.filter(named, lambda s: F.exists(cites, lambda c: _names(c, s["keys"])))
     return F.size(F.array_distinct(F.transform(found, lambda s: s["name"])))
 
 
 def broken_citations(cites: Column, sources: Column) -> Column:
     """The citations that name no source."""
-    keys = F.flatten(F.transform(sources, source_keys))
-    return F.filter(cites, lambda c: ~_names(c, keys))
+    return _once(F.flatten(F.transform(sources, source_keys)), lambda keys: F.filter(cites, lambda c: ~_names(c, keys)))
 
 
 def quality_score(text: Column, created: Column, model: Column, as_of: Column) -> Column:
@@ -87,28 +91,34 @@ def needs_refinement(sections: DataFrame, coverage: str = "coverage", sources: s
 
 def measured(sections: DataFrame, text: str = "text", sources: str = "s") -> DataFrame:
     """sections with all that needs_refinement() asks for, of their text and their sources (as source_keys() takes them)."""
-    t, s = F.col(text), F.col(sources)
-    c = citations(t)
-    return section_quality(sections.withColumns({
-        "words": X.count_words(t), "citations": F.size(c), "sentences": count_sentences(t), "sources": source_diversity(c, s), "broken": F.size(broken_citations(c, s))}))
+    t, s, c = F.col(text), F.col(sources), F.col("_cites")
+    return section_quality(sections.withColumn("_cites", citations(t)).withColumns({
+        "words": X.count_words(t), "citations": F.size(c), "sentences": count_sentences(t), "sources": source_diversity(c, s), "broken": F.size(broken_citations(c, s))}).drop("_cites"))
 
 
 def refined(sections: DataFrame, improve: Callable[[DataFrame], DataFrame], path: str, judge: Callable[[DataFrame], DataFrame] = measured, most: int = 2) -> DataFrame:
     """The judged sections after rounds of improvement, with rounds: how often each was improved, `most` times at most.
 
     A round judges its sections and writes them under path, settled ones and poor ones apart; only the poor ones go on, through improve (retrieval and a language model, say), which gives the same
-    columns back. The rounds are the state: a run over the same path takes up after the last round that was written whole, and a round that broke off is written again.
-    Each section is settled in one round, so nothing is written twice; a section that improve leaves out is gone.
+    columns back. The rounds are the state: a run over the same path takes up after the last round that was written whole, and a round that broke off is written again. A round's poor sections
+    are deleted once the next round is whole. Each section is settled in one round; a section that improve leaves out is gone.
     """
     spark, fields = sections.sparkSession, sections.columns
+    whole = lambda n: exists(spark, f"{path}/round={n}/_SUCCESS")
     now = sections
     for n in range(most + 1):
         found = needs_refinement(judge(now).withColumn("rounds", F.lit(n)), most=most)
         schema, to = found.schema, f"{path}/round={n}"
-        if not exists(spark, f"{to}/_SUCCESS"):
+        if not whole(n):
             found.write.mode("overwrite").partitionBy("refine").parquet(to)
+        if n:
+            remove(spark, f"{path}/round={n - 1}/refine=true")
+        if n == most:
+            break
+        if whole(n + 1):
+            continue
         poor = spark.read.schema(schema).parquet(to).where("refine").select(*fields)
-        if n == most or poor.isEmpty():
+        if poor.isEmpty():
             break
         now = improve(poor).select(*fields)
     written = [spark.read.schema(schema).parquet(f"{path}/round={k}") for k in range(n + 1)]

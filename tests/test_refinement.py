@@ -42,8 +42,11 @@ def test_a_run_takes_up_after_the_last_whole_round(spark, tmp_path):
     with pytest.raises(RuntimeError):
         R.refined(df, broken, path, judge)
     first = spark.read.parquet(f"{path}/round=0").count()
+    poor = tmp_path / "s" / "round=0" / "refine=true"
+    assert poor.exists()
     got = R.refined(df, grown(seen), path, judge, most=3)
     assert first == 2 and sorted((r.id, r.v, r.rounds) for r in got.collect()) == [(1, 9, 0), (2, 3, 3)]
+    assert not poor.exists()  # the round after it is whole
     again = R.refined(df, broken_late(seen), path, judge, most=3)
     assert sorted((r.id, r.v, r.rounds) for r in again.collect()) == [(1, 9, 0), (2, 3, 3)]
 
@@ -51,3 +54,11 @@ def test_a_run_takes_up_after_the_last_whole_round(spark, tmp_path):
 def broken_late(seen):
     """Rounds that are written are not judged from new improvements again."""
     return lambda poor: poor.withColumn("v", F.lit(1000))
+
+
+def test_citations_of_sources(spark):
+    source = "struct<work_id: long, title: string, authors: string, type: string, item_id: long>"
+    rows = [("[On Memory 2001] x [Nobody 3888] y [kim papers 2003]", [(1, "On Memory", "A Berg", "excerpt", None), (2, "Else", "Jo Kim, X", "excerpt", None)]), ("no citation", []), ("[On Memory 2001]", None), (None, [(1, "t", None, "excerpt", None)])]
+    got = R.measured(spark.createDataFrame(rows, f"text string, s array<{source}>")).collect()
+    assert [(r.citations, r.sources, r.broken) for r in got[:2]] == [(3, 2, 1), (0, 0, 0)]
+    assert len(got) == 4 and got[3].sources in (-1, 0, None)
