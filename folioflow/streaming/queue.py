@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from folioflow.sources.files import scratch
+from folioflow.sources.files import remove, scratch
 
 RESULT = "id long, embedding array<float>, vector_status string, attempts int, error string"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -55,18 +55,26 @@ class Queue(StatefulProcessor):
     def table(self, results: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(results, columns=["id", "embedding", "vector_status", "attempts", "error"]).astype({"id": "int64", "attempts": "int32", "embedding": object, "error": object})
 
+    def came(self, pdf: pd.DataFrame, now: int) -> pd.DataFrame:
+        """The results of new chunks."""
+        blank = [t is None or t != t or not t.strip() for t in pdf["content"]]
+        rows = [(int(i), t, 0) for i, t in zip(pdf["id"], pdf["content"], strict=True)]
+        done = [(i, None, "vec_err", 0, "no text") for (i, _, _), b in zip(rows, blank, strict=True) if b]
+        ready = [r for r, b in zip(rows, blank, strict=True) if not b]
+        for k in range(0, len(ready), self.batch):
+            done += self.tried(ready[k : k + self.batch], now)
+        return self.table(done)
+
+    def at_once(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The results of chunks that have one try: none waits, so there is no state."""
+        return (self.came(pdf, 0) for pdf in batches)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
         for pdf in rows:
-            texts = pdf["content"].where(pdf["content"].notna(), None)
-            blank = texts.map(lambda t: t is None or not t.strip())
-            done = [(int(i), None, "vec_err", 0, "no text") for i in pdf["id"][blank]]
-            ready = [(int(i), t, 0) for i, t in zip(pdf["id"][~blank], texts[~blank], strict=True)]
-            for i, _, _ in ready:
-                self.waiting.removeKey((i,))  # a chunk that comes again has a new text
-            for k in range(0, len(ready), self.batch):
-                done += self.tried(ready[k : k + self.batch], now)
-            yield self.table(done)
+            for i in pdf["id"]:
+                self.waiting.removeKey((int(i),))  # a chunk that comes again has a new text
+            yield self.came(pdf, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
@@ -94,10 +102,12 @@ def vectorise_stream(chunks: DataFrame, embed: Callable[[list[str]], list[list[f
 
     Chunks that are to_vec, have a parent and no embedding are taken, others are passed over. A chunk without text is vec_err at once. Shards are dealt by a
     hash of the id, so no key is hot, and bound how many tasks a micro-batch can use. With more than one try a stream has timers, so it goes on
-    until it is stopped, whatever its trigger.
+    until it is stopped, whatever its trigger. With one try nothing waits: chunks are taken where they are read, without shuffle or state.
     """
+    if most == 1:
+        return waiting(chunks).select("id", "content").mapInPandas(Queue(embed, batch, most, wait_ms).at_once, RESULT)
     keyed = waiting(chunks).select("id", "content", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    return keyed.groupBy("shard").transformWithStateInPandas(Queue(embed, batch, most, wait_ms), RESULT, "Append", "ProcessingTime" if most > 1 else "None")
+    return keyed.groupBy("shard").transformWithStateInPandas(Queue(embed, batch, most, wait_ms), RESULT, "Append", "ProcessingTime")
 
 
 def start(results: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -117,8 +127,10 @@ def start(results: DataFrame, path: str, checkpoint: str, **trigger) -> Streamin
 def vectorised(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], **options) -> DataFrame:
     """The results of a table of chunks that is put through the queue once, by a stream over its files. Chunks have one try each: nothing would wait for their timers."""
     spark = chunks.sparkSession
-    source, out = scratch(spark, "queue"), scratch(spark, "vectors")
+    source, out, log = scratch(spark, "queue"), scratch(spark, "vectors"), scratch(spark, "queue-log")
     waiting(chunks).select("id", "parent_id", "content", "vector_status", "embedding").write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1_000).parquet(source)
-    start(vectorise_stream(stream, embed, most=1, **options), out, scratch(spark, "queue-state"), availableNow=True).awaitTermination()
+    start(vectorise_stream(stream, embed, most=1, **options), out, log, availableNow=True).awaitTermination()
+    for path in (source, log):
+        remove(spark, path)
     return spark.read.schema(RESULT).parquet(out)
