@@ -110,7 +110,7 @@ def refined(sections: DataFrame, improve: Callable[[DataFrame], DataFrame], path
         found = needs_refinement(judge(now).withColumn("rounds", F.lit(n)), most=most)
         schema, to = found.schema, f"{path}/round={n}"
         if not whole(n):
-            found.write.mode("overwrite").partitionBy("refine").parquet(to)
+            found.write.mode("overwrite").partitionBy("refine").option("compression", "zstd").parquet(to)
         if n:
             remove(spark, f"{path}/round={n - 1}/refine=true")
         if n == most:
