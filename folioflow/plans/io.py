@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
 from folioflow.operators import chunking as CH
 from folioflow.operators import rewriting as R
 from folioflow.operators import structure as S
@@ -183,9 +184,9 @@ def s21(spark, sf_dir):
 def s22(spark, sf_dir):
     d = docs(spark, sf_dir).where("lang = 'en'")
     a = d.where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("a"))
-    b = d.where("doc_id % 3 = 0").select("doc_id", F.upper("text").alias("b"))
-    j = d.select("doc_id").join(a, "doc_id", "left").join(b, "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("a").isNotNull(), "table").when(F.col("b").isNotNull(), "file").otherwise("missing").alias("origin"), F.coalesce("a", "b").alias("content"))
+    b = d.where("doc_id % 3 = 0").select("doc_id", X.upper(F.col("text")).alias("b"))
+    j = d.select("doc_id").join(a.withColumn("in_a", F.lit(True)), "doc_id", "left").join(b.withColumn("in_b", F.lit(True)), "doc_id", "left")
+    return j.select("doc_id", F.when(F.col("in_a"), "table").when(F.col("in_b"), "file").otherwise("missing").alias("origin"), F.when(F.col("in_a"), F.col("a")).otherwise(F.col("b")).alias("content"))
 
 
 @query("s23_stage_log", "SELECT event_type AS stage, count(*) AS n FROM events GROUP BY 1")

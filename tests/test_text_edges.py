@@ -22,3 +22,8 @@ def both(spark, tmp_path, name):
 def test_sentences_keep_the_digits_at_their_edges(spark, tmp_path):
     got, want = both(spark, tmp_path, "t12_split_sentences")
     assert got == want
+
+
+def test_origin_is_where_the_row_is_found_and_upper_case_keeps_the_length(spark, tmp_path):
+    got, want = both(spark, tmp_path, "s22_source_precedence")
+    assert got == want
