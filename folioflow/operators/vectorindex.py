@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions import vector as V
-from folioflow.operators.search import dense_scores, ranked
+from folioflow.operators.search import nearest, ranked
+from folioflow.sources.files import written
 
 #: Vectors that k-means is fitted on, cells at most, and what the number of cells to read is measured by: vectors asked for, their nearest, and the share of these to be in the cells.
 FIT_ROWS, MOST_CELLS = 50_000, 4_096
@@ -53,13 +54,18 @@ def write_index(chunks: DataFrame, path: str, cells: int | None = None, fit_rows
     spark.createDataFrame([(probes, schema)], "probes int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
 
 
+def _centres(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("cell").alias("id"), F.col("centre").alias("embedding"))
+
+
 def _probes(spark: SparkSession, path: str) -> int:
     """How many of the nearest cells hold AIM of the nearest vectors, asked for some of the vectors."""
     v, cells = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells")
     n = v.count()
     asked = v.where(F.pmod(F.xxhash64(F.lit(99), "id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, ASKED / n)).select(F.col("id").alias("query_id"), F.col("embedding").alias("qe"))
-    true = ranked(dense_scores(asked, v.select("id", "cell", "embedding")).where("id != query_id"), NEAREST, F.desc("similarity"), F.asc("id")).select("query_id", "cell")
-    order = ranked(dense_scores(asked, cells.select("cell", F.col("centre").alias("embedding"))), None, F.desc("similarity"), F.asc("cell")).select("query_id", "cell", "rank")
+    others = nearest(asked, v, NEAREST + 1).where("id != query_id").drop("rank")
+    true = ranked(others, NEAREST, F.desc("similarity"), F.asc("id")).join(v.select("id", "cell"), "id").select("query_id", "cell")
+    order = nearest(asked, _centres(cells), MOST_CELLS).select("query_id", F.col("id").alias("cell"), "rank")
     return true.join(order, ["query_id", "cell"]).agg(F.ceil(F.percentile("rank", F.lit(AIM))).cast("int")).first()[0] or 1
 
 
@@ -78,17 +84,15 @@ def search(spark: SparkSession, queries: DataFrame, path: str, k: int = 19, prob
     n = cells.count()
     measured, schema = spark.read.parquet(f"{path}/probes").first()
     probes = probes or measured
-    if n <= probes:
-        near = queries.select("query_id").crossJoin(F.broadcast(cells.select("cell")))  # at most MOST_CELLS rows
-    else:
-        scored = dense_scores(queries, cells.select("cell", F.col("centre").alias("embedding")))
-        near = ranked(scored, probes, F.desc("similarity"), F.asc("cell")).select("query_id", "cell")
-    wanted = [r[0] for r in near.select("cell").distinct().collect()]  # at most MOST_CELLS
-    v = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/vectors").where(F.col("cell").isin(wanted))
+    all_, fields = n <= probes, T.StructType.fromJson(json.loads(schema))
+    v = spark.read.schema(fields).parquet(f"{path}/vectors")
+    if not all_:
+        near = nearest(queries, _centres(cells), probes).groupBy("query_id").agg(F.collect_list("id").alias("cells"))
+        near = written(queries.select("query_id", "qe").join(near, "query_id"))
+        wanted = [r[0] for r in near.select(F.explode("cells")).distinct().collect()]  # at most MOST_CELLS
+        queries, v = near, v.where(F.col("cell").isin(wanted))
     v = v if where is None else v.where(where)
-    met = v.select("cell", "id", "embedding").join(near, "cell").join(queries.select("query_id", "qe"), "query_id")
-    scored = met.select("query_id", "id", F.round(V.cosine(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
-    return ranked(scored, k, F.desc("similarity"), F.asc("id")).select("query_id", F.col("id").alias("chunk_id"), "similarity", "rank")
+    return nearest(queries, v, k, cells=not all_).select("query_id", F.col("id").alias("chunk_id"), "similarity", "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

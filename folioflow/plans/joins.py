@@ -101,15 +101,14 @@ _COS = "round(coalesce(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embeddi
 @query("j14_theta_similarity", f"WITH {C.queries_sql()} SELECT query_id, vec_id, {_COS} AS similarity FROM qv JOIN embeddings ON query_id <> vec_id AND {_COS} > 0.85")
 def j14(spark, sf_dir):
     """Queries and vectors with a cosine over .85: the stated queries against all."""
-    e = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search.dense_scores(C.query_vectors(spark, sf_dir), e).where("similarity > 0.85 and query_id != vec_id").select("query_id", "vec_id", "similarity")
+    e = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return search.above(C.query_vectors(spark, sf_dir), e, 0.85).where("query_id != id").select("query_id", F.col("id").alias("vec_id"), "similarity")
 
 
 @query("j15_queries_by_chunks", C.sql(f"SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank FROM (SELECT query_id, id, {_COS} AS similarity FROM qv, chunks WHERE embedding IS NOT NULL) QUALIFY rank <= 3", C.queries_sql()))
 def j15(spark, sf_dir):
     """Every query with every chunk, the three best kept where they are met."""
-    scored = search.dense_scores(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir).where("embedding is not null").select("id", "embedding"))
-    return search.ranked(scored, 3, F.desc("similarity"), F.asc("id")).select("query_id", "id", "similarity", "rank")
+    return search.nearest(C.query_vectors(spark, sf_dir), C.chunks(spark, sf_dir).where("embedding is not null"), 3).select("query_id", "id", "similarity", "rank")
 
 
 @query("j16_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
