@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.search import small_batches
+
 DIMENSIONS = 64
 
 
@@ -31,6 +33,8 @@ def hashing_embedder(texts: list[str]) -> list[list[float]]:
 def with_embedding(df: DataFrame, text_col: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
     """df with embedding and vector_status (vec, or vec_err where there is no text). The function is loaded once per worker and gets `batch` texts at a time."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -45,6 +49,8 @@ def with_embedding(df: DataFrame, text_col: str, embed: Callable[[list[str]], li
 def with_completion(df: DataFrame, prompt_col: str, complete: Callable[[list[str]], list[str]], out_col: str = "reply", batch: int = 8) -> DataFrame:
     """df with a language model's reply to each prompt (null for null). The function is loaded once per worker and gets `batch` prompts at a time."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
@@ -58,6 +64,8 @@ def with_completion(df: DataFrame, prompt_col: str, complete: Callable[[list[str
 def with_rerank_score(df: DataFrame, query_col: str, text_col: str, score: Callable[[list[tuple[str, str]]], list[float]], batch: int = 8) -> DataFrame:
     """df with rerank_score of each (query, text) pair. The scorer (a cross-encoder, say) is loaded once per worker and gets `batch` pairs at a time."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, texts in batches:
