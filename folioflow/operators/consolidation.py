@@ -50,7 +50,8 @@ def consolidate(items: DataFrame, parents: DataFrame, threshold: float = 0.5, ga
     without a parent merge inside their work. What isn't changed stays as it is, so nothing is lost at any height. Rounds are as many
     as the forest is high and merges follow each other; each is written to the shared folder.
     """
-    p = parents.select(F.col("id").alias("_p"), F.col("parent_id").alias("_up"), F.col("content").alias("_content"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
+    p = parents.select(F.col("id").alias("_p"), F.col("parent_id").alias("_up"), F.length("content").alias("_size"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
+    texts = parents.select(F.col("id").alias("_p"), F.col("content").alias("_content"))
     crumb = F.col("heading_breadcrumbs") if "heading_breadcrumbs" in items.columns else F.lit(None).cast("string")
     work = F.concat(F.lit("w"), F.col("work_id").cast("string")) if "work_id" in items.columns else F.concat(F.lit("i"), F.col("id").cast("string"))
     group = [by, "parent_id", "root"]
@@ -59,15 +60,20 @@ def consolidate(items: DataFrame, parents: DataFrame, threshold: float = 0.5, ga
     state = written(state)
     before = state.count()
     while before:
-        whole = state.join(p, F.col("parent_id") == F.col("_p"), "left").withColumn("root", F.when(F.col("_p").isNull(), F.col("work")))
-        whole = whole.withColumn("covered", F.coalesce(F.try_divide(F.sum(F.length("content")).over(Window.partitionBy(*group)).cast("double"), F.length("_content")), F.lit(0.0)) >= threshold)
+        met = state.select(F.col("parent_id").alias("_p")).distinct()
+        whole = state.join(met_by(p, met), F.col("parent_id") == F.col("_p"), "left").withColumn("root", F.when(F.col("_p").isNull(), F.col("work")))
+        whole = whole.withColumn("covered", F.coalesce(F.try_divide(F.sum(F.length("content")).over(Window.partitionBy(*group)).cast("double"), F.col("_size")), F.lit(0.0)) >= threshold)
         up = whole.where("covered").groupBy(by, F.col("parent_id").alias("node_id"), F.col("_up").alias("parent_id")).agg(
-            F.min("work").alias("work"), F.first("_start").alias("start_line"), F.first("_end").alias("end_line"), F.max("score").alias("score"), F.first("_content").alias("content"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"),
+            F.min("work").alias("work"), F.first("_start").alias("start_line"), F.first("_end").alias("end_line"), F.max("score").alias("score"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"),
             (F.max("level_up") + 1).alias("level_up"), F.lit(None).cast("string").alias("crumb"))
+        up = up.join(met_by(texts, up.select(F.col("node_id").alias("_p")).distinct()), F.col("node_id") == F.col("_p")).withColumnRenamed("_content", "content").drop("_p")
         rest = S.islands(whole.where("not covered").withColumn("_id", F.element_at("ids", 1)), group, gap, order="_id")
         part = F.array_sort(F.collect_list(F.struct("start_line", "end_line", F.element_at("ids", 1).alias("id"), "content", "ids", "node_id", "crumb")))
         merged = rest.groupBy(*group, "island").agg(
-            F.min("work").alias("work"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("score").alias("score"), part.alias("p"), F.max("level_up").alias("level_up"), F.first("_content").alias("_content"), F.first("_start").alias("_start"))
+            F.min("work").alias("work"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("score").alias("score"), part.alias("p"), F.max("level_up").alias("level_up"), F.first("_start").alias("_start"))
+        if enrich:  # only what several items merge into takes lines of the parent
+            few = merged.where(F.size("p") > 1).select(F.col("parent_id").alias("_p")).distinct()
+            merged = merged.join(met_by(texts, few), (F.col("parent_id") == F.col("_p")) & (F.size("p") > 1), "left").drop("_p")
         joined = F.array_join(F.filter(F.transform("p", lambda x: x["content"]), lambda c: F.coalesce(c, F.lit("")) != ""), "\n\n")
         between = lines_of(F.col("_content"), F.col("start_line"), F.col("end_line"), F.col("_start")) if enrich else F.lit("")
         text = F.when(F.trim(F.coalesce(between, F.lit(""))) != "", between).otherwise(joined)
@@ -85,6 +91,16 @@ def consolidate(items: DataFrame, parents: DataFrame, threshold: float = 0.5, ga
     return state.drop("crumb", "work")
 
 
+#: Ids that are broadcast; more are joined by a shuffle.
+MOST_IDS = 500_000
+
+
+def met_by(df: DataFrame, ids: DataFrame, key: str = "_p") -> DataFrame:
+    """Rows of df whose key is among the distinct ids (key). Few ids go to where the rows are, so texts of other rows don't move."""
+    kept = written(ids.where(F.col(key).isNotNull()))
+    return df.join(F.broadcast(kept) if kept.count() <= MOST_IDS else kept, key, "left_semi")
+
+
 def lines_of(content: Column, start: Column, end: Column, parent_start: Column) -> Column:
     """The lines start to end (document lines, inclusive) of a parent's content, clamped."""
     lines = F.split(content, "\n")

@@ -53,24 +53,26 @@ def enriched(items: DataFrame, chunks: DataFrame, least: int = LEAST_WORDS, most
 
     A text of fewer than `least` words takes that of the first ancestor with enough, or else of the topmost with a text, of at most `height` steps up;
     reached_root says that the root was not enough. A missing parent or a cycle ends the climb; where no ancestor has a text, the item keeps its own
-    (fallback). Ancestors' texts over `most` words are cut to a window around the item. Only what still climbs is joined again.
+    (fallback). Ancestors' texts over `most` words are cut to a window around the item. The climb has ids and word counts only; texts are joined once, at its end.
     """
-    up = chunks.select(F.col("id").alias("_i"), F.col("parent_id").alias("_up"), F.col("content").alias("_c"), F.col("start_line").alias("_s"), F.col("heading_breadcrumbs").alias("_b"))
-    state = items.withColumns({
-        "_at": F.when(X.count_words(F.col("content")) < least, F.col("parent_id")), "_seen": F.array("id"), "_stop": F.col("content").isNull(), "_text": F.lit(None).cast("string"), "_title": F.lit(None).cast("string"),
-        "enriched_from": F.lit(None).cast("long"), "depth": F.lit(0)})
-    state = state.withColumn("_at", F.when(~F.col("_stop"), F.col("_at")))
+    tree = consolidation.written(chunks.select(F.col("id").alias("_i"), F.col("parent_id").alias("_up"), F.col("content").isNotNull().alias("_has"), (X.count_words(F.col("content")) < least).alias("_few")))
+    keys = {"_short": X.count_words(F.col("content")) < least, "_none": F.col("content").isNull()}
+    state = items.select("id", "parent_id", *[v.alias(k) for k, v in keys.items()]).distinct().withColumns({
+        "_at": F.when(F.col("_short") & ~F.col("_none"), F.col("parent_id")), "_seen": F.array("id"), "_stop": F.col("_none"), "enriched_from": F.lit(None).cast("long"), "depth": F.lit(0)})
     for _ in range(height):
-        j = state.join(up, F.col("_at") == F.col("_i"), "left")
+        j = state.join(tree, F.col("_at") == F.col("_i"), "left")
         there = F.col("_at").isNotNull() & F.col("_i").isNotNull() & ~F.array_contains("_seen", F.col("_at"))
-        use = there & F.col("_c").isNotNull()
-        on = there & (F.col("_c").isNull() | (X.count_words(F.col("_c")) < least))
         circular = F.coalesce(F.array_contains("_seen", F.col("_at")), F.lit(False))
         state = j.select(
-            *items.columns, F.when(on, F.col("_up")).alias("_at"), F.when(there, F.array_append("_seen", F.col("_at"))).otherwise(F.col("_seen")).alias("_seen"),
+            "id", "parent_id", *keys, F.when(there & (~F.col("_has") | F.col("_few")), F.col("_up")).alias("_at"), F.when(there, F.array_append("_seen", F.col("_at"))).otherwise(F.col("_seen")).alias("_seen"),
             (F.col("_stop") | (F.col("_at").isNotNull() & (F.col("_i").isNull() | circular))).alias("_stop"),
-            F.when(use, F.col("_c")).otherwise(F.col("_text")).alias("_text"), F.when(use, F.col("_b")).otherwise(F.col("_title")).alias("_title"),
-            F.when(use, F.col("_at")).otherwise(F.col("enriched_from")).alias("enriched_from"), F.when(there, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
+            F.when(there & F.col("_has"), F.col("_at")).otherwise(F.col("enriched_from")).alias("enriched_from"), F.when(there, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
+    state = consolidation.written(state.drop("_seen"))
+    above = chunks.select(F.col("id").alias("_p"), F.col("content").alias("_text"), F.col("heading_breadcrumbs").alias("_title"))
+    above = consolidation.met_by(above, state.select(F.col("enriched_from").alias("_p")).distinct())
+    climbed = state.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), *[F.col(k).alias(k + "_") for k in keys], "_at", "_stop", "enriched_from", "depth")
+    same = (F.col("id") == F.col("_id")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("_short") == F.col("_short_")) & (F.col("_none") == F.col("_none_"))
+    state = items.withColumns(keys).join(climbed, same).join(above, F.col("enriched_from") == F.col("_p"), "left")
     text = F.coalesce("_text", "content", F.lit(""))
     place = F.greatest(F.lit(0), F.instr(text, F.substring(F.coalesce(F.col("content"), F.lit("")), 1, 50)) - 1)
     cut = consolidation.truncate_around(text, place, place + F.coalesce(F.length("content"), F.lit(0)), F.lit(most))
@@ -106,17 +108,21 @@ def retrieve(
     """(query_id, rank, id, parent_id, work_id, level, content, enriched_content, start_line, end_line, heading_breadcrumbs, rrf_score, final_score): the contexts of each query.
 
     expanded: what expand_queries() gives. A dense list for each embedded text and a lexical one for the question and each rephrasing are
-    fused by rank (index: stored postings of the chunks; without it their texts are read); the best are enriched from their parents, reranked, moved by entities and intent, and chosen for diversity.
+    fused by rank (index: stored postings of the chunks; without it their texts are read, once); the best are enriched from their parents, reranked, moved by entities and intent, and chosen for diversity.
     """
     lists = vectorise_queries(expanded, embed)
     key = F.struct("query_id", "list_id").alias("query_id")
     near = search.dense_search(lists.select(key, F.col("embedding").alias("qe")), chunks, dense).select("query_id.*", "chunk_id", "rank")
-    usable = search.searchable(chunks)
-    words = fulltext.postings(usable, analyser) if index is None else index
-    found = fulltext.search_web(lists.where("kind != 'hyde'").select(key, F.col("text").alias("q")), words, lexical, analyser, F.col("usable") & F.col("has_vector")).select("query_id.*", "chunk_id", "rank").withColumn("list_id", F.col("list_id") + 1000)
-    best = fusion.rrf(near.unionByName(found), RRF_K, fused)
+    asked = lists.where("kind != 'hyde'").select(key, F.col("text").alias("q"))
+    if index is None:
+        found = fulltext.search_web_texts(asked, search.searchable(chunks), lexical, analyser)
+    else:
+        found = fulltext.search_web(asked, index, lexical, analyser, F.col("usable") & F.col("has_vector"))
+    found = found.select("query_id.*", "chunk_id", "rank").withColumn("list_id", F.col("list_id") + 1000)
+    best = consolidation.written(fusion.rrf(near.unionByName(found), RRF_K, fused))
     fields = ["id", "parent_id", "work_id", "level", "content", "start_line", "end_line", "heading_breadcrumbs", "embedding"]
-    cand = best.join(chunks.select(*fields), F.col("chunk_id") == F.col("id")).select("query_id", "rrf_score", *fields)
+    met = consolidation.met_by(chunks.select(*fields), best.select(F.col("chunk_id").alias("id")).distinct(), "id")
+    cand = best.join(met, F.col("chunk_id") == F.col("id")).select("query_id", "rrf_score", *fields)
     cand = enriched(cand, chunks).drop("title", "enriched_from", "depth", "fallback", "reached_root")
     cand = cand.join(expanded.select("query_id", "q", "intent", "entities"), "query_id")
     cand = fusion.intent_boost(external.with_rerank_score(cand, "q", "enriched_content", score))

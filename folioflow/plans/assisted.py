@@ -95,7 +95,7 @@ def t54(spark, sf_dir):
 
 def embedded(spark, sf_dir):
     """Documents as chunks with the embedding that the queries get too, and the headings above them."""
-    c = C.chunks(spark, sf_dir).where("level != 'H3-chunk'").drop("embedding", "vector_status")
+    c = C.headings(spark, sf_dir).withColumn("dense_lexical_use", F.col("level") == "H3")  # without the join of given vectors, which would move all texts
     return external.with_embedding(c, "content", external.hashing_embedder)
 
 
