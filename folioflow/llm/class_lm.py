@@ -7,7 +7,8 @@ Words come in two kinds. A word that makes up at least one in SHARE training tok
 arithmetic there are at most SHARE of these, at any corpus size. All other words, the unseen included, belong to one of SUFFIXES units by their
 last three bytes; inside such a unit a word has its own discounted frequency and what the discount frees is the unseen
 words'. So units, classes and their matrices are of bounded size and go to every task, while the counts of all words
-stay in a table, and texts meet them in blocks: the distinct rare words of a block of documents are looked up by a join.
+stay in a table, and texts meet them in blocks: the distinct rare words of a block of documents are looked up by a join. No row is wide: a document is
+one, a rare word of a block is one, with the documents that have it, so readers and joins, which hold rows by number, hold little at any size of the table.
 
 Passes: count words; count pairs of units; find classes over lists of neighbours, one row a unit; score documents up to
 their rare words; look those up. All counts cover every training token. Counts are integers and rounds depend on them alone, so reruns agree.
@@ -21,19 +22,23 @@ columns with the name of an added one are left out. Words are compared by 64-bit
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import CHUNK, _hashed, _pieces, mix64, remove_path, small_batches, stored, tidy
+from folioflow.llm.common import CHUNK, _hashed, _pieces, mix64, remove_path, shrink_heaps, small_batches, stored, tidy
 
 #: Part of the training tokens from which a word is a unit; units of other words, by their ends; classes; rounds of exchange.
 SHARE, SUFFIXES, CLASSES, ROUNDS = 1 << 16, 1 << 11, 128, 12
+#: Pairs of units in a file of lists of neighbours, about.
+PAIRS = 1 << 19
+#: Tokens of rare words in a block, about.
+BLOCK = 1 << 20
 #: Taken off each count of a pair of classes.
 DISCOUNT = 0.5
 END = np.uint64(0)
@@ -137,7 +142,8 @@ def neighbours(docs: DataFrame, text_col: str, units: Units, suffixes: int) -> D
     pairs, path = stored(pairs.select(F.floor(F.col("pair") / size).cast("int").alias("a"), (F.col("pair") % size).cast("int").alias("b"), "n"), "class-pairs")
     after = pairs.groupBy(F.col("a").alias("unit")).agg(F.collect_list("b").alias("after"), F.collect_list("n").alias("after_n"))
     before = pairs.groupBy(F.col("b").alias("unit")).agg(F.collect_list("a").alias("before"), F.collect_list("n").alias("before_n"))
-    out, _ = stored(before.join(after, "unit").repartition(F.col("unit")), "class-neighbours")
+    files = pairs.count() // PAIRS + 1  # a reader holds the lists of thousands of units at once, so no file has more of them as tables grow
+    out, _ = stored(before.join(after, "unit").repartition(files, F.col("unit")), "class-neighbours")
     remove_path(docs.sparkSession, path)
     return out
 
@@ -298,28 +304,36 @@ def score(docs: DataFrame, keep: list[str], key_col: str = "doc_id", text_col: s
     held = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
     blocks = docs.select(F.struct(*[F.col(f.name) for f in kept], held).alias("row"), F.col(text_col).alias("text"))
     row = blocks.schema["row"].dataType
-    made, _ = stored(blocks.mapInArrow(tidy(_block_scorer(model, suffixes)), T.StructType([
-        T.StructField("block", T.StringType()), T.StructField("rows", T.ArrayType(row)), *[T.StructField(c, T.ArrayType(t)) for c, t in _BLOCK],
-    ])), "class-blocks")
-    look = made.select("block", F.posexplode("words").alias("pos", "w")).join(words, "w").groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("found"))
-    values = spark.sparkContext.broadcast((n_suffix, types_suffix, off, tokens, types))
-    return made.join(look, "block", "left").drop("block", "words").mapInArrow(tidy(_finisher(values)), T.StructType([*kept, *ADDED]))
+    shrink_heaps(spark)  # they grew under the shuffles of the counts
+    made, _ = stored(blocks.mapInArrow(tidy(_block_scorer(model, suffixes)), T.StructType([T.StructField("block", T.LongType()), T.StructField("row", row), *_DOC, *_RARE])), "class-blocks")
+    scored = made.where("doc IS NOT NULL").select("block", "row", *(f.name for f in _DOC))
+    rare = made.where("w IS NOT NULL").select("block", *(f.name for f in _RARE)).join(words.select("w", "n"), "w", "left").drop("w")
+    sums = rare.groupBy("block").applyInArrow(_summer(spark.sparkContext.broadcast((n_suffix, types_suffix, off))), "block long, doc int, rare_known long, rare_base double, rare_score double")
+    with_rare = lambda c, zero: F.col(c) + F.coalesce(F.col(f"rare_{c}"), F.lit(zero))
+    return scored.join(sums, ["block", "doc"], "left").select(
+        "row.*", "n_tokens", with_rare("known", 0).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (with_rare("base", 0.0) - F.col("n_tokens") * F.lit(float(np.log10(tokens + types + 1)))).alias("base_score"), with_rare("score", 0.0).alias("score"),
+    )
 
 
-_BLOCK = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("words", T.LongType()), ("suffix", T.IntegerType()), ("doc", T.IntegerType()), ("word", T.IntegerType()), ("times", T.IntegerType())]
+#: Of a document, its place in the block and what is known of it without its rare words; of a rare word of a block, places and numbers of times in turn of the documents that have it.
+_DOC = [T.StructField("doc", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("base", "score")]]
+_RARE = [T.StructField("w", T.LongType()), T.StructField("suffix", T.IntegerType()), T.StructField("found", T.ArrayType(T.IntegerType()))]
+_ARROW = {"doc": pa.int32(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "w": pa.int64(), "suffix": pa.int32(), "found": pa.list_(pa.int32())}
 
 
 def _block_scorer(model, suffixes: int):
-    """Batches of (row, text) to blocks: what is known of each document without its rare words, the distinct rare words, and which document has which how often."""
+    """Batches of (row, text) to a row for each document and, for each block of consecutive documents, one for each distinct rare word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, of, trans, emit = model.value
         logs = np.log10(units.counts + 1.0)
+        block, first, rare, row = TaskContext.get().partitionId() << 32, 0, [], None
         for batch in batches:
-            m, last = batch.num_rows, 0
+            m, last, row = batch.num_rows, 0, batch.column(0).type
             if not m:
                 continue
-            n, known, base, score, rare = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m), []
+            n, known, base, score = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m)
             for doc, words, ends in sequences(batch.column(1).to_pylist(), suffixes):
                 if not len(words):
                     continue
@@ -331,36 +345,60 @@ def _block_scorer(model, suffixes: int):
                 score += np.bincount(doc, weights=value, minlength=m)
                 base += np.bincount(doc, weights=np.where(own, logs[unit], 0.0), minlength=m)
                 known += np.bincount(doc, weights=own & (units.counts[unit] > 0), minlength=m)
-                rare.append((doc[~own], words[~own], ends[~own]))
-            doc, word, end = (np.concatenate(x) for x in zip(*rare, strict=True))
-            words, at, which = np.unique(word, return_index=True, return_inverse=True)
-            pair, times = np.unique(doc * max(len(words), 1) + which, return_counts=True)
-            lists = [n.astype(np.int64), known.astype(np.int64), base, score, words.view(np.int64), end[at], (pair // max(len(words), 1)).astype(np.int32), (pair % max(len(words), 1)).astype(np.int32), times.astype(np.int32)]
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(batch.column(0)), *(one(pa.array(a)) for a in lists)], ["block", "rows", *(c for c, _ in _BLOCK)])
+                rare.append([(doc[~own] + first).astype(np.int32), words[~own], ends[~own]])
+            docs = np.arange(first, first + m, dtype=np.int32)
+            yield _rows(block, m, row, {"row": batch.column(0), "doc": docs, "n_tokens": n.astype(np.int64), "known": known.astype(np.int64), "base": base, "score": score})
+            first += m
+            if sum(len(words) for _, words, _ in rare) >= BLOCK:
+                yield from _rare_rows(block, row, rare)
+                block, first, rare = block + 1, 0, []
+        if rare:
+            yield from _rare_rows(block, row, rare)
 
     return work
 
 
-def _finisher(values):
-    """Blocks with the counts of their rare words to rows."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_suffix, types_suffix, off, tokens, types = values.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = lambda c: batch.column(batch.schema.get_field_index(c))[i].values  # noqa: B023, E731
-                get = lambda c: np.zeros(0, dtype=np.int64) if cell(c) is None else cell(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                n, suffix, doc, word, times = get("n_tokens"), get("suffix"), get("doc"), get("word"), get("times")
-                count = np.zeros(len(suffix))
-                count[get("pos")] = get("found")
-                of, kinds = n_suffix[suffix], types_suffix[suffix]
-                value = np.where(of > 0, np.log10(np.where(count > 0, count - off, off * np.maximum(kinds, 1)) / np.maximum(of, 1)), 0.0)
-                add = lambda x: np.bincount(doc, weights=times * x[word], minlength=len(n))  # noqa: B023, E731
-                known = get("n_known") + add((count > 0).astype(float)).astype(np.int64)
-                base = get("base") + add(np.log10(count + 1)) - n * np.log10(tokens + types + 1)
-                rows = cell("rows").flatten()
-                numbers = [pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, dtype=np.int64)), pa.array(base), pa.array(get("score") + add(value))]
-                yield pa.RecordBatch.from_arrays([*rows, *numbers], names=[*(f.name for f in cell("rows").type), *ADDED.names[1:]])
+def _rows(block: int, n: int, row: pa.DataType, columns: dict) -> pa.RecordBatch:
+    """n rows of a block; columns that are not given are null."""
+    out = {"block": pa.array(np.full(n, block)), "row": pa.nulls(n, row)} | {f.name: pa.nulls(n, _ARROW[f.name]) for f in (*_DOC, *_RARE)}
+    return pa.RecordBatch.from_pydict(out | {k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+
+
+def _rare_rows(block: int, row: pa.DataType, rare: list, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The distinct rare words of a block's (document, word, suffix unit), in batches of at most so many."""
+    doc, word, end = (np.concatenate([r.pop(0) for r in rare]) for _ in range(3))  # parts go as they are joined
+    order = np.lexsort((doc, word))
+    doc, word, end = doc[order], word[order], end[order]
+    new_word = np.concatenate((np.ones(min(len(word), 1), dtype=bool), word[1:] != word[:-1]))
+    at = np.flatnonzero(new_word | np.concatenate((new_word[:1], doc[1:] != doc[:-1])))  # first of each word and document
+    found = np.stack([doc[at], np.diff(at, append=len(doc))], axis=1, dtype=np.int32, casting="same_kind").ravel()
+    starts = np.concatenate((np.flatnonzero(new_word[at]), [len(at)]))
+    for i in range(0, len(starts) - 1, most):
+        ends = starts[i : i + most + 1]
+        words = at[ends[:-1]]
+        lists = pa.ListArray.from_arrays(pa.array((2 * (ends - ends[0])).astype(np.int32)), pa.array(found[2 * ends[0] : 2 * ends[-1]]))
+        yield _rows(block, len(words), row, {"w": word[words].view(np.int64), "suffix": end[words], "found": lists})
+
+
+def _summer(values):
+    """The rare words of a block with their counts to what they add to each document."""
+
+    def work(rare: pa.Table) -> pa.Table:
+        n_suffix, types_suffix, off = values.value
+        found = rare["found"].combine_chunks()
+        which = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy() // 2)
+        doc, times = found.flatten().to_numpy().reshape(-1, 2).T
+        count, suffix = rare["n"].fill_null(0).to_numpy(), rare["suffix"].to_numpy()
+        of, kinds = n_suffix[suffix], types_suffix[suffix]
+        value = np.where(of > 0, np.log10(np.where(count > 0, count - off, off * np.maximum(kinds, 1)) / np.maximum(of, 1)), 0.0)
+        docs = np.flatnonzero(np.bincount(doc))
+
+        def add(x: np.ndarray) -> np.ndarray:
+            x = times * x[which]
+            order = np.argsort(x)  # sums are alike whatever the order of rows
+            return np.bincount(doc[order], weights=x[order])[docs]
+
+        sums = [docs.astype(np.int32), add((count > 0).astype(float)).astype(np.int64), add(np.log10(count + 1)), add(value)]
+        return pa.table([pa.array(np.full(len(docs), rare["block"][0].as_py())), *(pa.array(a) for a in sums)], ["block", "doc", "rare_known", "rare_base", "rare_score"])
 
     return work

@@ -120,3 +120,30 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     r = class_lm.score(df, ["doc_id"]).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score < 0
     assert class_lm.score(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_rows_of_scratch_tables_stay_narrow(spark, monkeypatch):
+    seen, stored = {}, class_lm.stored
+    monkeypatch.setattr(class_lm, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert class_lm.score(df, ["doc_id"], share=50, classes=8, rounds=2, suffixes=64).count() == len(rows)
+    blocks = seen["class-blocks"][0]
+    lists = [F.coalesce(F.size(f.name), F.lit(0)) for f in blocks.schema if f.dataType.typeName() == "array"]
+    # a reader holds rows by number: a row has the documents of one word, not the words of a block of documents
+    assert blocks.select(sum(lists).alias("n")).agg(F.max("n")).first()[0] < 200
+
+
+def test_small_blocks_and_files_give_the_same(spark, monkeypatch):
+    rows = grammar()
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    run = lambda: sorted(str((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))) for r in class_lm.score(df, ["doc_id"], share=50, classes=8, rounds=4, suffixes=64).collect())
+    whole = run()
+    monkeypatch.setattr(class_lm, "BLOCK", 1)
+    monkeypatch.setattr(class_lm, "PAIRS", 100)
+    monkeypatch.setattr(class_lm, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20"))
+    try:
+        assert run() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
